@@ -7,11 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.llm import license_scan as licenses
 from lectern.llm.common import read_table
+from lectern.llm.mixing import TARGETS, label_domain, mix
 from lectern.llm.piece_bpe import encode_decode
+from lectern.llm.quality import quality
 from lectern.llm.secret_scan import secret_scan
+from lectern.llm.simhash import near_duplicates
 from lectern.llm.substring_dedup import substring_dedup
 from lectern.llm.token_counts import token_counts
+from lectern.llm.toxicity import toxicity
 from lectern.llm.winnowing import fingerprint_edits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,20 +34,45 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(read_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents"))
+
+
 def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), label_domain(), TARGETS)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(read_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_secret_scan": op2_secret_scan,
     "op3_winnowing": op3_winnowing,
+    "op4_quality": op4_quality,
     "op5_piece_bpe": op5_piece_bpe,
+    "op6_mixing": op6_mixing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_simhash": op8_simhash,
+    "op9_license_scan": op9_license_scan,
+    "op10_toxicity": op10_toxicity,
 }
 
 OP7_SQL = r"""
@@ -68,7 +98,7 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN k USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_substring_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_substring_dedup": OP7_SQL, "op9_license_scan": licenses.oracle()}
 
 
 def queries() -> dict[str, Query]:
