@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Code points handled at once inside a Python worker; bounds its memory whatever the Arrow batch holds.
 SLICE_CHARS = 4_000_000
@@ -63,3 +64,14 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]
+
+
+def annotate(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Array]]], fields: list[T.StructField], text_col: str = "text") -> DataFrame:
+    """All rows and columns of docs, and columns computed from their texts: make() runs once per task and gives a function of a list of texts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in slices(batches, text_col):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *compute(texts(batch, text_col))], names=[*batch.schema.names, *(f.name for f in fields)])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))

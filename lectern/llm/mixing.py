@@ -26,7 +26,6 @@ are equal; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -34,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.llm.common import materialise, slices, texts
+from lectern.llm.common import annotate, materialise, slices, texts
 
 #: Labelled rows that the classifier is fitted on at most, the first by a hash of their id.
 TRAIN_ROWS = 12_000
@@ -46,7 +46,6 @@ FLOOR = 1e-3
 #: Features count if so many labelled rows have them and their evidence for the domains differs by so much; a document's evidence is cut to a span.
 LEAST_ROWS, LEAST_SPREAD, SPAN = 6, 1.5, 9.0
 CACHE_ENTRIES = 300_000
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def token_features(token: str) -> tuple[str, ...]:
@@ -112,55 +111,70 @@ def learn_domains(docs: DataFrame, labels: DataFrame, domain: Column, n_domains:
     return DomainModel(counts, counts.pop("", [0] * n_domains))
 
 
+def membership_function(model: DomainModel):
+    """A function from texts to their numbers of tokens and their posteriors."""
+    number = {f: i for i, f in enumerate(model.weights)}
+    table = np.array(list(model.weights.values())).reshape(-1, len(model.prior))
+    known: set[str] = set()
+    telling: dict[str, tuple[int, ...]] = {}
+
+    def of(whole: list[str]) -> list[pa.Array]:
+        split = [t.split() for t in whole]
+        if len(known) > CACHE_ENTRIES:
+            known.clear()
+            telling.clear()
+        for token in set().union(*split) - known:
+            if found := tuple(number[f] for f in token_features(token) if f in number):
+                telling[token] = found
+            known.add(token)
+        evidence = np.zeros((len(whole), table.shape[1]))
+        for i, tokens in enumerate(split):
+            if found := sorted({k for t in set(tokens) & telling.keys() for k in telling[t]}):
+                evidence[i] = table[found].sum(0)
+        # tokens are words between ASCII white space
+        tokens = [len(t.encode().split()) for t in whole]
+        return [pa.array(tokens, pa.int64()), pa.array(list(model.posterior(evidence)), pa.list_(pa.float64()))]
+
+    return of
+
+
+_MEMBERSHIP = [T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))]
+
+
 def memberships(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, posterior array<double> of every whole text; tokens are words."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    return annotate(source, lambda: membership_function(model), _MEMBERSHIP).drop("text")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {f: i for i, f in enumerate(model.weights)}
-        table = np.array(list(model.weights.values())).reshape(-1, len(model.prior))
-        known: set[str] = set()
-        telling: dict[str, tuple[int, ...]] = {}
-        for batch in slices(batches):
-            whole = texts(batch)
-            split = [t.split() for t in whole]
-            if len(known) > CACHE_ENTRIES:
-                known.clear()
-                telling.clear()
-            for token in set().union(*split) - known:
-                if found := tuple(number[f] for f in token_features(token) if f in number):
-                    telling[token] = found
-                known.add(token)
-            evidence = np.zeros((len(whole), table.shape[1]))
-            for i, tokens in enumerate(split):
-                if found := list({k for t in set(tokens) & telling.keys() for k in telling[t]}):
-                    evidence[i] = table[found].sum(0)
-            p = model.posterior(evidence)
-            tokens = [len(_WORD.findall(t.encode())) if not t.isascii() or any(c in t for c in "\x1c\x1d\x1e\x1f") else len(s) for t, s in zip(whole, split)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "posterior"])
-
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, posterior array<double>")
-
-
-def solve_rates(rows: DataFrame, weights: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float, list[float]]:
-    """Direction mu, scale and misses per step: a row's rate is max(0, 1 + n_tokens * (posterior . mu) / scale).
+
+def rate_of(n_tokens: Column, posterior: Column, mu: np.ndarray, scale: float, least: float = 0.0) -> Column:
+    """A row's rate: one plus its steps, no less than the least."""
+    slope = sum((posterior[i] * F.lit(float(x)) for i, x in enumerate(mu)), F.lit(0.0))
+    return F.greatest(F.lit(float(least)), F.lit(1.0) + n_tokens / F.lit(float(scale)) * slope)
+
+
+def solve_rates(rows: DataFrame, weights: list[float], least: float = 0.0, grow: bool = False, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float, list[float]]:
+    """Direction mu, scale and misses per step: a row's rate is max(least, 1 + n_tokens * (posterior . mu) / scale).
 
     Minimises the squared miss of the expected domain tokens; of all such rates these are the nearest to one.
+    With grow the total is the least at which no domain has to shrink.
     """
     k = len(weights)
     p = [F.col("posterior")[i] for i in range(k)]
-    total, largest = rows.agg(F.sum("n_tokens"), F.max("n_tokens")).first()
+    total, largest, *held = rows.agg(F.sum("n_tokens"), F.max("n_tokens"), *(F.sum(F.col("n_tokens") * x) for x in p)).first()
     if not total:
         return np.zeros(k), 1.0, []
     scale = float(largest)
-    target = total * np.array(weights, float) / sum(weights)
+    share = np.array(weights, float) / sum(weights)
+    if grow:
+        total = max(h / s for h, s in zip(held, share) if s)
+    target = total * share
     mu, misses, best = np.zeros(k), [], (math.inf, np.zeros(k))
     pace = 1.0
     size = F.col("n_tokens") / F.lit(scale)
     for _ in range(steps):
-        slope = sum((p[i] * F.lit(float(mu[i])) for i in range(1, k)), p[0] * F.lit(float(mu[0])))
-        rate = F.greatest(F.lit(0.0), F.lit(1.0) + size * slope)
-        free = F.when(rate > 0, size * F.col("n_tokens")).otherwise(0.0)
+        rate = rate_of(F.col("n_tokens"), F.col("posterior"), mu, scale, least)
+        free = F.when(rate > least, size * F.col("n_tokens")).otherwise(0.0)
         got = rows.agg(
             *(F.sum(rate * F.col("n_tokens") * p[i]).alias(f"t{i}") for i in range(k)),
             *(F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)),
@@ -190,8 +204,20 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: list[float]
     model = learn_domains(docs, labels, domain, len(weights), train_rows)
     rows = materialise(memberships(docs, model))
     mu, scale, _ = solve_rates(rows, weights)
-    slope = F.aggregate(F.zip_with("posterior", F.array(*(F.lit(float(x)) for x in mu)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return rows.withColumn("rate", F.greatest(F.lit(0.0), F.lit(1.0) + F.col("n_tokens") / F.lit(scale) * slope))
+    return rows.withColumn("rate", rate_of(F.col("n_tokens"), F.col("posterior"), mu, scale))
+
+
+def mixed_rows(docs: DataFrame, labels: DataFrame, domain: Column, weights: list[float], train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs, each as often as its rate says: all whole uses, and one more by a hash of the id with the rest as probability.
+
+    Rates are at least one, so no document is lost: domains below their weight are repeated.
+    """
+    model = learn_domains(docs, labels, domain, len(weights), train_rows)
+    mu, scale, _ = solve_rates(materialise(memberships(docs, model)), weights, least=1.0, grow=True)
+    rated = annotate(docs, lambda: membership_function(model), [T.StructField(f"_{f.name}", f.dataType) for f in _MEMBERSHIP])
+    chance = (F.xxhash64(F.lit("uses"), F.col("doc_id")).bitwiseAND(F.lit((1 << 30) - 1))) / F.lit(float(1 << 30))
+    uses = F.floor(rate_of(F.col("_n_tokens"), F.col("_posterior"), mu, scale, 1.0) + chance).cast("int")
+    return rated.select(*docs.columns, F.explode(F.sequence(F.lit(1), uses)).alias("_use")).drop("_use")
 
 
 def label_domain() -> Column:

@@ -30,8 +30,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.llm.common import by_bucket, materialise, shuffle_partitions, slices
+from lectern.llm.common import annotate, by_bucket, materialise, shuffle_partitions, slices
 from lectern.llm.components import components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -229,11 +230,29 @@ def links(points: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return by_bucket(dealt, n).mapInArrow(search, "u long, v long")
 
 
+def _groups(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, node, root) of every distinct fingerprint: its least id and the least id of its component."""
+    points = materialise(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("node")))
+    # a document may be the least of several fingerprints where ids repeat: they are one component then
+    found = materialise(components(links(points, max_bits)))
+    return materialise(points.join(found, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row. Ids must be integers."""
     prints = materialise(fingerprints(docs, width, id_col, text_col))
-    points = materialise(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("node")))
-    found = materialise(components(links(points, max_bits)))
-    named = materialise(points.join(found, "node", "left").select("fp", F.nullif(F.coalesce("root", "node"), F.lit(NULL_ID)).alias("component_id")))
+    named = _groups(prints, max_bits).select("fp", F.nullif("root", F.lit(NULL_ID)).alias("component_id"))
     # both sides are plain scans, so adaptive execution can split a fingerprint that many rows share
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of every group of near-duplicates, the one with the least doc_id, with all columns of docs."""
+    chosen = _groups(materialise(fingerprints(docs, width)), max_bits).where("node = root").select(F.col("fp").alias("_fp"), F.col("node").alias("_node"))
+
+    def make():
+        return lambda whole: [pa.array(fingerprints_of([t.encode() for t in whole], width).view(np.int64))]
+
+    marked = annotate(docs, make, [T.StructField("_fp", T.LongType())]).withColumn("_node", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    # the least id of a fingerprint is one row, unless rows repeat
+    return marked.join(chosen, ["_fp", "_node"], "left_semi").dropDuplicates(["_fp", "_node"]).select(*docs.columns)
