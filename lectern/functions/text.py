@@ -171,7 +171,7 @@ def chapter_range(spec: Column) -> Column:
 def shortest_label(name: Column, aliases: Column) -> Column:
     """The shortest of a name and its aliases of two characters or more; the earlier of equals."""
     labels = F.filter(F.concat(F.array(name), F.coalesce(aliases, F.array().cast("array<string>"))), lambda x: F.length(x) >= 2)
-    ranked = F.sort_array(F.transform(labels, lambda x, i: F.struct(F.length(x).alias("n"), i.alias("i"), x.alias("label"))))
+    ranked = F.sort_array(F.transform(labels, lambda x, i: F.named_struct(F.lit("n"), F.length(x), F.lit("i"), i, F.lit("label"), x)))
     return F.coalesce(F.try_element_at(ranked, F.lit(1))["label"], name)
 
 

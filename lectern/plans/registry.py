@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: tuple[str, ...] = ("text_queries", "timing_queries", "document_queries")
+_MODULES: tuple[str, ...] = ("text_queries", "timing_queries", "document_queries", "script_queries")
 
 
 def _entries() -> dict[str, tuple[Query, str | None]]:
