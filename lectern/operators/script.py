@@ -3,26 +3,29 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.constants import EMOTIONS, RETAINED_SPEAKERS
 
-_ORDER = Window.partitionBy("chapter_idx").orderBy("seg_idx")
+
+def _order() -> WindowSpec:
+    return Window.partitionBy("chapter_idx").orderBy("seg_idx")
+
 
 
 def speaker_islands(segments: DataFrame) -> DataFrame:
     """Adjacent segments of one speaker as one."""
-    new = F.when(F.lag("speaker").over(_ORDER) == F.col("speaker"), 0).otherwise(1)
-    island = segments.withColumn("new", new).withColumn("island", F.sum("new").over(_ORDER.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    new = F.when(F.lag("speaker").over(_order()) == F.col("speaker"), 0).otherwise(1)
+    island = segments.withColumn("new", new).withColumn("island", F.sum("new").over(_order().rowsBetween(Window.unboundedPreceding, 0)) - 1)
     g = island.groupBy("chapter_idx", "island").agg(F.first("speaker").alias("speaker"), F.count(F.lit(1)).alias("n_segments"), F.sort_array(F.collect_list(F.struct("seg_idx", X.stripped(F.col("text")).alias("t")))).alias("t"))
     return g.select("chapter_idx", F.col("island").alias("seg_idx"), "speaker", "n_segments", F.array_join("t.t", " ").alias("text"))
 
 
 def neighbours(segments: DataFrame, before: int, after: int) -> DataFrame:
     """Each segment with the texts around it, as far as there are any."""
-    frame = _ORDER.rowsBetween(-before, after)
+    frame = _order().rowsBetween(-before, after)
     return segments.withColumn("context", F.array_join(F.collect_list(F.concat("speaker", F.lit(": "), "text")).over(frame), "\n"))
 
 
@@ -83,7 +86,7 @@ def apply_review(segments: DataFrame, changes: DataFrame) -> DataFrame:
 def without(segments: DataFrame, dropped: DataFrame) -> DataFrame:
     """Segments without the listed places (chapter_idx, seg_idx), numbered anew."""
     left = segments.join(dropped, ["chapter_idx", "seg_idx"], "left_anti")
-    return left.withColumn("seg_idx", (F.row_number().over(_ORDER) - 1).cast("long"))
+    return left.withColumn("seg_idx", (F.row_number().over(_order()) - 1).cast("long"))
 
 
 def inserted(segments: DataFrame, pieces: DataFrame) -> DataFrame:
