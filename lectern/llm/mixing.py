@@ -174,7 +174,8 @@ def solve_rates(rows: DataFrame, weights: list[float], least: float = 0.0, grow:
     size = F.col("n_tokens") / F.lit(scale)
     for _ in range(steps):
         rate = rate_of(F.col("n_tokens"), F.col("posterior"), mu, scale, least)
-        free = F.when(rate > least, size * F.col("n_tokens")).otherwise(0.0)
+        # a row whose rate is just at its bound, as all are at the start where the bound is one, can still rise
+        free = F.when(rate_of(F.col("n_tokens"), F.col("posterior"), mu, scale, -math.inf) >= least, size * F.col("n_tokens")).otherwise(0.0)
         got = rows.agg(
             *(F.sum(rate * F.col("n_tokens") * p[i]).alias(f"t{i}") for i in range(k)),
             *(F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)),
