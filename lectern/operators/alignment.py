@@ -27,6 +27,12 @@ def find_text(needle: str, source: str, start: int = 0) -> tuple[int, int] | Non
     own, theirs = [t[0] for t in tokens(needle)], [(w, a + start, b + start) for w, a, b in tokens(source[start:])]
     if not own or not theirs:
         return None
+    # the whole needle as a run of words is the longest run there can be, so its first occurrence is the answer
+    joined = "\0" + "\0".join(t[0] for t in theirs) + "\0"
+    at = joined.find("\0" + "\0".join(own) + "\0")
+    if at >= 0:
+        first = joined.count("\0", 0, at)
+        return theirs[first][1], theirs[first + len(own) - 1][2]
     run = difflib.SequenceMatcher(None, own, [t[0] for t in theirs], autojunk=False).find_longest_match()
     if run.size < ACCEPT * len(own):
         return None

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import alignment, chunking, html
+from lectern.operators import alignment, chunking, html, overlay
 from lectern.plans.common import SEGMENTS_SQL, segments, table
 
 _SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, E' \n\t\r')), lambda s: s <> '')"
@@ -65,6 +65,16 @@ def validate_script(spark: SparkSession, d: str) -> DataFrame:
     return alignment.validate_scripts(sources, script)
 
 
+def read_along_placements(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as chapters in XHTML, their sentence chunks anchored to spans and paragraphs."""
+    t = table(spark, d, "documents")
+    lines = F.filter(F.split("text", "\n", -1), lambda x: X.is_speakable(x))
+    body = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), X.escape_markup(F.regexp_replace(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")), F.lit("</p>"))), "")
+    xhtml = t.select(F.col("doc_id").alias("chapter_idx"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("xhtml"))
+    chunks = chunking.sentence_chunks(t, "doc_id", "text", 300).groupBy(F.col("doc_id").alias("chapter_idx")).agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "chunk")))["chunk"].alias("chunks"))
+    return overlay.placements(xhtml.join(chunks, "chapter_idx"))
+
+
 def strip_segments(spark: SparkSession, d: str) -> DataFrame:
     """Segments as they are saved: wrapping quotes off, styles checked."""
     return segments(spark, d).select("chapter_idx", "seg_idx", "speaker", X.strip_wrapping_quotes(F.col("text")).alias("text"))
@@ -109,4 +119,9 @@ QUERIES = {
     "page_titles": (page_titles, f"SELECT page_id, coalesce({_TAG('title')}, {_TAG('h1')}, {_TAG('h2')}, {_TAG('h3')}) AS title FROM pages"),
     "find_text_in_source": (find_text_in_source, _FIND),
     "validate_script": (validate_script, None),
+    "read_along_placements": (read_along_placements, None),
+    "strip_segments": (
+        strip_segments,
+        f"WITH {SEGMENTS_SQL} SELECT chapter_idx, seg_idx, speaker, CASE WHEN length(trim(text)) >= 2 AND regexp_matches(trim(text), '(?s)^(\".*\"|''.*''|“.*”|‘.*’)$') THEN trim(trim(text)[2:-2]) ELSE text END AS text FROM segments",
+    ),
 }

@@ -190,3 +190,22 @@ def test_epub_source(spark, tmp_path):
         assert z.namelist()[0] == "mimetype" and z.read("OPS/s.xhtml") == b"new" and z.read("OPS/x") == b"added"
     samples, rate = epub.wav_samples(epub.wav_bytes([0.0, 0.25, -0.25], 8000))
     assert rate == 8000 and samples == pytest.approx([0.0, 0.25, -0.25], abs=1e-4)
+
+
+def test_overlay_placement():
+    from xml.etree import ElementTree as ET
+
+    from lectern.operators import overlay
+
+    root = ET.fromstring('<html><head/><body><p id="lv0">It was late.  The road <i>lay</i> empty.</p><div>Loose <p>Nobody came. Nobody went.</p></div></body></html>')
+    placed = overlay.place_chunks(root, ["It was late.", "The road lay empty.", "Loose Nobody came.", "Nobody went", "zzz"])
+    assert placed[0] == [("lv1", 0.0, 1.0)] and placed[1] == [("lv0", 0.0, 1.0)]
+    assert len(placed[2]) == 2 and placed[2][0][1] == 0.0 and placed[2][-1][2] == 1.0 and placed[4] == []
+    spans = {e.get("id"): e.text for e in root.iter() if e.tag == "span"}
+    assert spans["lv1"] == "It was late" and spans[placed[3][0][0]] == "Nobody went"
+    assert "".join("".join(root.itertext()).split()) == "Itwaslate.Theroadlayempty.LooseNobodycame.Nobodywent."
+    assert overlay.with_highlight(root) and not overlay.with_highlight(ET.fromstring("<body/>"))
+    package = ET.fromstring('<package><metadata/><manifest><item id="a" href="a.xhtml"/></manifest></package>')
+    overlay.wire_package(package, [{"doc_href": "a.xhtml", "smil_href": "a.smil", "audio_href": "a.mp3", "duration": "0:00:01.000"}], "0:00:01.000")
+    assert package.find("manifest/item").get("media-overlay") == "smil0" and len(package.find("metadata")) == 3
+    assert "&lt;b&gt;" in overlay.navigation([("a.xhtml", "<b>")])
