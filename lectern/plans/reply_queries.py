@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,12 +83,10 @@ def speech_audio(spark: SparkSession, d: str) -> DataFrame:
 
 def synthesized(spark: SparkSession, d: str) -> DataFrame:
     """Every distinct line of the scripts spoken by the stand-in, takes with faults spoken again."""
-    from lectern.streaming.narration import shared_folder
-
     s = segments(spark, d).where(X.is_speakable(F.col("text"))).select(content_hash(F.col("speaker"), F.col("text")).alias("hash"), "text", F.col("speaker").alias("voice"), F.lit(0).alias("seed")).dropDuplicates(["hash"])
 
     def save(df: DataFrame) -> DataFrame:
-        path = shared_folder(spark)
+        path = narration.shared_folder(spark)
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
@@ -100,8 +99,6 @@ def synthesized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def written_scripts(spark: SparkSession, d: str) -> DataFrame:
-    import pyarrow as pa
-
     def run(batches):
         for batch in batches:
             made = generation.script_writer([t or "" for t in batch.column("text").to_pylist()])

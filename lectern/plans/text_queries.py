@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -95,8 +95,6 @@ def long_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents with enough words to be chapters, numbered densely."""
     t = table(spark, d, "documents").where(F.size(X.words(F.col("text"))) >= 50)
     # per source, so that no window spans the whole table
-    from pyspark.sql import Window
-
     return t.select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("chapter_idx"))
 
 
@@ -105,6 +103,15 @@ _MS = lambda v: f"CAST(round_even(greatest({v}, 0.0) * 1000, 0) AS BIGINT)"  # n
 _EMO = "[" + ", ".join(f"'{e}'" for e in EMOTIONS) + "]"
 _TITLE = "split_part(text, chr(10), 1)"
 
+TITLES_SQL = rf"""
+WITH t AS (SELECT doc_id, {_TITLE} AS t FROM documents),
+c AS (SELECT *, regexp_replace(t, '[<>:"/\\|?*\x00-\x1f]', '_', 'g') AS safe, regexp_replace(t, '[^\p{{L}}\p{{N}} _-]', '', 'g') AS kept, {_STRIP('t')} AS line FROM t)
+SELECT doc_id, printf('%02d_', doc_id) || substr(replace({_STRIP('safe')}, ' ', '_'), 1, 50) AS filename_base,
+  coalesce(nullif(regexp_replace(lower({_STRIP('kept')}), '[\s_]+', '-', 'g'), ''), 'untitled') AS slug,
+  kept AS safe_title, substr(regexp_replace(t, '[^\p{{L}}\p{{N}}_-]', '_', 'g'), 1, 64) AS safe_label,
+  CASE WHEN length(line) > 80 THEN substr(line, 1, 77) || '...' ELSE line END AS truncated
+FROM c"""
+
 QUERIES = {
     "is_speakable": (is_speakable, f"WITH {PARAGRAPHS_SQL} SELECT doc_id, para_idx, regexp_matches(text, '[\\p{{L}}\\p{{N}}]') AS speakable FROM paragraphs"),
     "voiced_segments": (
@@ -125,14 +132,7 @@ QUERIES = {
         "regexp_replace(line, '^[\\s\"''“”‘’]+|[\\s\"''“”‘’]+$', '', 'g') AS bare, "
         "regexp_matches(line, '\"[^\"]*\"|“[^”]*”') AND regexp_matches(regexp_replace(line, '\"[^\"]*\"|“[^”]*”', '', 'g'), '[\\p{L}\\p{N}_]') AS mixed FROM s",
     ),
-    "titles": (
-        titles,
-        f"WITH t AS (SELECT doc_id, {_TITLE} AS t FROM documents) SELECT doc_id, "
-        f"printf('%02d_', doc_id) || substr(replace({_STRIP(chr(114) + 'egexp_replace(t, ' + chr(39) + '[<>:' + chr(34) + '/' + chr(92) * 2 + '|?*' + chr(92) + 'x00-' + chr(92) + 'x1f]' + chr(39) + ', ' + chr(39) + '_' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, ' ', '_'), 1, 50) AS filename_base, "
-        f"coalesce(nullif(regexp_replace(lower({_STRIP('regexp_replace(t, ' + chr(39) + '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N} _-]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')}), '[\\s_]+', '-', 'g'), ''), 'untitled') AS slug, "
-        "regexp_replace(t, '[^\\p{L}\\p{N} _-]', '', 'g') AS safe_title, substr(regexp_replace(t, '[^\\p{L}\\p{N}_-]', '_', 'g'), 1, 64) AS safe_label, "
-        f"CASE WHEN length({_STRIP('t')}) > 80 THEN substr({_STRIP('t')}, 1, 77) || '...' ELSE {_STRIP('t')} END AS truncated FROM t",
-    ),
+    "titles": (titles, TITLES_SQL),
     "escapes": (
         escapes,
         "SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '=', '\\='), ';', '\\;'), '#', '\\#'), '\\', '\\\\'), chr(10), '\\' || chr(10))) AS metadata_md5, "
