@@ -4,9 +4,11 @@ A fingerprint is cut into 32 segments of two bits; the number of set bits
 per segment embeds it in a grid of 32 coordinates, where the Manhattan
 distance of two points never exceeds the Hamming distance of their
 fingerprints. All pairs within Manhattan distance d are found by a range
-join over the grid: the coordinates form d + 3 groups, of which a distance
-of at most d leaves three unchanged, so every point goes into one cell per
-choice of three groups and partners are looked for inside cells only.
+join over the grid: the coordinates form d + s groups, of which a distance
+of at most d leaves s unchanged, so every point goes into one cell per
+choice of s groups and partners are looked for inside cells only. Results
+do not depend on s; it grows with the number of points, which keeps the
+expected number of chance partners per point small at any size.
 Pairs in a cell pass the Manhattan bound, then the exact Hamming distance.
 
 Equal fingerprints are one point, whatever their number. A cell reports
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -92,11 +95,22 @@ def embedded(fp: np.ndarray) -> np.ndarray:
     return (fp & high & _EVEN) << np.uint64(1) | ((fp | high) & _EVEN)
 
 
-def projections(max_bits: int) -> list[int]:
-    """Masks over the unary code: one per choice of three of max_bits + 3 groups of coordinates."""
-    groups = np.array_split(np.arange(32), max_bits + 3)
+#: Chance that two random segments have equal counts, and the cost of comparing a pair in parts of the cost of placing a point.
+_EQUAL, _PAIR_COST = 0.375, 0.05
+#: Points times projections that a worker places at once; bounds its memory.
+_PLACED = 1_500_000
+
+
+def unchanged_groups(max_bits: int, points: int) -> int:
+    """Groups per projection at which placing the points and comparing those that meet by chance costs least."""
+    return min(range(2, 9), key=lambda s: comb(max_bits + s, s) * (1 + _PAIR_COST * points * _EQUAL ** (32 * s / (max_bits + s))))
+
+
+def projections(max_bits: int, same: int = 3) -> list[int]:
+    """Masks over the unary code: one per choice of `same` of max_bits + same groups of coordinates."""
+    groups = np.array_split(np.arange(32), max_bits + same)
     masks = [sum(3 << (2 * int(s)) for s in g) for g in groups]
-    return [a | b | c for a, b, c in combinations(masks, 3)]
+    return [sum(chosen) for chosen in combinations(masks, same)]
 
 
 def _cells(codes: np.ndarray, projection: int, mask: int) -> np.ndarray:
@@ -184,36 +198,39 @@ def _stars(u: list[int], v: list[int]) -> tuple[list[int], list[int]]:
 def links(points: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Links (u, v) that connect points (node, fp) at max_bits or fewer differing bits; fps are distinct, nodes their ids."""
     n = shuffle_partitions(points.sparkSession)
-    masks = projections(max_bits)
+    masks = projections(max_bits, unchanged_groups(max_bits, points.count()))
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column("node").to_numpy(zero_copy_only=False)
-            fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            if not len(node):
-                continue
-            codes = embedded(fp)
-            choice = np.repeat(np.arange(len(masks), dtype=np.uint8), len(fp))
-            cells = np.concatenate([_cells(codes, k, mask) for k, mask in enumerate(masks)])
-            bucket = (cells % np.uint64(n)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            begin = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=n))))
-            full = [b for b in range(n) if begin[b + 1] > begin[b]]
-            payload = []
-            for b in full:
-                part = order[begin[b] : begin[b + 1]]
-                at = part % len(fp)
-                payload.append(choice[part].tobytes() + fp[at].tobytes() + node[at].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(payload, pa.binary())], names=["bucket", "payload"])
+            step = max(1, _PLACED // len(masks))
+            for start in range(0, batch.num_rows, step):
+                yield dealt(batch.slice(start, step))
+
+    def dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
+        node = batch.column("node").to_numpy(zero_copy_only=False)
+        fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        codes = embedded(fp)
+        choice = np.repeat(np.arange(len(masks), dtype=np.uint16), len(fp))
+        cells = np.concatenate([_cells(codes, k, mask) for k, mask in enumerate(masks)])
+        bucket = (cells % np.uint64(n)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        begin = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=n))))
+        full = [b for b in range(n) if begin[b + 1] > begin[b]]
+        payload = []
+        for b in full:
+            part = order[begin[b] : begin[b + 1]]
+            at = part % len(fp)
+            payload.append(choice[part].tobytes() + fp[at].tobytes() + node[at].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(payload, pa.binary())], names=["bucket", "payload"])
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         choice, fp, node = [], [], []
         for batch in batches:
             for payload in batch.column("payload").to_pylist():
-                k = len(payload) // 17
-                choice.append(np.frombuffer(payload, np.uint8, k))
-                fp.append(np.frombuffer(payload, np.uint64, k, k))
-                node.append(np.frombuffer(payload, np.int64, k, 9 * k))
+                k = len(payload) // 18
+                choice.append(np.frombuffer(payload, np.uint16, k))
+                fp.append(np.frombuffer(payload, np.uint64, k, 2 * k))
+                node.append(np.frombuffer(payload, np.int64, k, 10 * k))
         if not choice:
             return
         choice, fp, node = np.concatenate(choice), np.concatenate(fp), np.concatenate(node)
@@ -226,8 +243,8 @@ def links(points: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         u, v = _stars(node[a].tolist(), node[b].tolist())
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    dealt = points.select("node", "fp").mapInArrow(deal, "bucket int, payload binary")
-    return by_bucket(dealt, n).mapInArrow(search, "u long, v long")
+    placed = points.select("node", "fp").mapInArrow(deal, "bucket int, payload binary")
+    return by_bucket(placed, n).mapInArrow(search, "u long, v long")
 
 
 def _groups(prints: DataFrame, max_bits: int) -> DataFrame:

@@ -308,8 +308,8 @@ def test_simhash(spark, docs, texts):
     assert sorted(kept) == sorted(set(expected.values()))
 
 
-@pytest.mark.parametrize("small", [2, 48])
-def test_links_of_dense_and_sparse_points(spark, monkeypatch, small):
+@pytest.mark.parametrize("small, bits, same", [(2, 4, 3), (48, 4, 3), (48, 4, 5), (48, 7, 2)])
+def test_links_of_dense_and_sparse_points(spark, monkeypatch, small, bits, same):
     """Chains, dense balls and lone points, with cells taken as small and as large."""
     monkeypatch.setattr(simhash, "SMALL_CELL", small)
     r = random.Random(small)
@@ -330,12 +330,17 @@ def test_links_of_dense_and_sparse_points(spark, monkeypatch, small):
             k = parent[k]
         return k
 
-    for k, mask in enumerate(simhash.projections(4)):
-        for a, b in zip(*simhash.cell_links(simhash._cells(codes, k, mask), everything, 4)):
-            assert (int(everything[a]) ^ int(everything[b])).bit_count() <= 4
+    for k, mask in enumerate(simhash.projections(bits, same)):
+        for a, b in zip(*simhash.cell_links(simhash._cells(codes, k, mask), everything, bits)):
+            assert (int(everything[a]) ^ int(everything[b])).bit_count() <= bits
             a, b = find(int(a)), find(int(b))
             parent[max(a, b)] = min(a, b)
-    assert {k: find(k) for k in range(len(everything))} == plain_components(points)
+    assert {k: find(k) for k in range(len(everything))} == plain_components(points, bits)
+
+
+def test_plan_grows_with_points():
+    found = [simhash.unchanged_groups(4, n) for n in (100, 10**5, 10**7, 10**10)]
+    assert found == sorted(found) and found[0] < found[-1]
 
 
 def test_manhattan_is_a_lower_bound():

@@ -30,7 +30,7 @@ def test_stages(spark, sf, steps):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     flagged = {r.doc_id for r in toxicity.toxicity(steps[0], labels).where("predicted = 1").collect()}
     assert flagged and sorted(rows[1]) == sorted(r for r in rows[0] if r[0] not in flagged)
-    firsts = {r.component_id for r in simhash.near_duplicates(steps[1]).collect()}
+    firsts = {r.component_id for r in simhash.near_duplicates(steps[1], max_bits=corpus_pipeline.NEAR_BITS).collect()}
     assert sorted(rows[2]) == sorted(r for r in rows[1] if r[0] in firsts)
     assert sorted(rows[3]) == sorted((i, secret_scan.redacted(t, secret_scan.scan(t)[1])) for i, t in rows[2])
     assert set(rows[4]) == set(rows[3]) and len(rows[4]) >= len(rows[3])
