@@ -33,7 +33,7 @@ from lectern.llm.common import slices, texts
 
 MARK = "▁"
 #: Entries a worker keeps in each of its caches before it starts anew; bounds memory, not results.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
 #: Piece types of the model format (fixed values): normal, user-defined and unused pieces can be produced by merges; bytes stand for unknown characters.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -67,13 +67,36 @@ class PieceEncoder:
         self.shorter = {self.ids[p]: next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in reachable), None) for p in own}
         self.automaton = ahocorasick.Automaton()
         for p in own:
-            self.automaton.add_word(p, (len(p), self.ids[p]))
+            self.automaton.add_word(p, (len(p) - 1, self.ids[p]))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.chunks: dict[str, tuple[int, str, str]] = {}
+        self.plain_from = 1 + max(i for i, k in enumerate(kinds) if k not in (NORMAL, UNUSED))
+        self.chunks: dict[str, str] = {}
+        self.irregular: dict[str, str] = {}
 
     def merge(self, text: str) -> list[int]:
         """Ids by plain merging: always the best-scored adjacent pair, leftmost among equals."""
+        out: list[int] = []
+        for s in self._merged(text) if len(text) > 24 else self._merged_short(text):
+            out += [self.ids[s]] if s in self.ids else [self.byte_id[b] for b in s.encode()]
+        return out
+
+    def _merged_short(self, text: str) -> list[str]:
+        """A few characters: the scores of all pairs in a list."""
+        symbols, score, none = list(text), self.scores.get, float("-inf")
+        pairs = [score(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while pairs and (best := max(pairs)) != none:
+            i = pairs.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = score(symbols[i] + symbols[i + 1], none)
+            if i:
+                pairs[i - 1] = score(symbols[i - 1] + symbols[i], none)
+        return symbols
+
+    def _merged(self, text: str) -> list[str]:
+        """Any length: a heap of pairs over a linked list of symbols."""
         symbols: list[str | None] = list(text)
         after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
         heap: list[tuple[float, int, str, str]] = []
@@ -99,11 +122,7 @@ class PieceEncoder:
             if before[i] >= 0:
                 offer(before[i])
             offer(i)
-        out: list[int] = []
-        for s in symbols:
-            if s is not None:
-                out += [self.ids[s]] if s in self.ids else [self.byte_id[b] for b in s.encode()]
-        return out
+        return [s for s in symbols if s is not None]
 
     def _fits(self, left: int, right: int) -> bool:
         key = left << 20 | right
@@ -120,11 +139,9 @@ class PieceEncoder:
             return self.merge(chunk)
         n = len(chunk)
         longest: list[int] = [-1] * n
-        reach = [0] * n
-        for end, (length, piece) in self.automaton.iter(chunk):
-            start = end - length + 1
-            if length > reach[start]:
-                reach[start], longest[start] = length, piece
+        # matches come by their end, so the last one of a start is its longest
+        for end, (back, piece) in self.automaton.iter(chunk):
+            longest[end - back] = piece
         tokens: list[int] = []
         pairs, lengths, shorter = self.pairs, self.lengths, self.shorter
         failed = at = 0
@@ -172,13 +189,17 @@ class PieceEncoder:
         joined = "".join(out)
         return joined[joined.startswith(MARK) :].replace(MARK, " ")
 
-    def _chunk(self, chunk: str) -> tuple[int, str, str]:
+    def _chunk(self, chunk: str) -> str:
+        """The ids of a chunk, joined; a chunk that does not decode to itself is noted with what it decodes to."""
         ids = self.encode_chunk(chunk)
-        return len(ids), " ".join(map(str, ids)), self._plain(ids)
-
-    def _plain(self, ids: list[int]) -> str:
-        """A chunk's decoding with its marks kept as spaces; chunks hold whole characters, so their decodings can be joined."""
-        return " " * (self.pieces[ids[0]][:1] == MARK) + self.decode(ids)
+        if min(ids) >= self.plain_from:
+            plain = "".join([self.pieces[i] for i in ids])
+        else:
+            # marks that begin a chunk stay: only a text's first one goes
+            plain = MARK * (self.pieces[ids[0]][:1] == MARK) + self.decode(ids)
+        if plain.replace(MARK, " ") != chunk.replace(MARK, " "):
+            self.irregular[chunk] = plain
+        return " ".join(map(str, ids))
 
     def split(self, text: str) -> list[str]:
         """Chunks of a text with its leading mark put on."""
@@ -191,18 +212,22 @@ class PieceEncoder:
         """Number of ids, the ids joined by a space, and the decoded text of whole texts, the end id included."""
         if len(self.chunks) > CACHE_ENTRIES:
             self.chunks.clear()
+            self.irregular.clear()
         known, out = self.chunks, []
         for text in batch:
             if not text:
                 out.append((1, str(self.end_id), ""))
                 continue
             parts = self.split(text)
-            for part in parts:
-                if part not in known:
-                    known[part] = self._chunk(part)
-            rows = [known[p] for p in parts]
-            sizes, ids, plain = zip(*rows)
-            out.append((sum(sizes) + 1, " ".join(ids) + f" {self.end_id}", "".join(plain)[1:]))
+            for part in set(parts).difference(known):
+                known[part] = self._chunk(part)
+            ids = " ".join(map(known.__getitem__, parts))
+            # chunks hold whole characters, so a text decodes to its chunks' decodings
+            if self.irregular and not self.irregular.keys().isdisjoint(parts):
+                plain = "".join(self.irregular.get(p, p) for p in parts)[1:].replace(MARK, " ")
+            else:
+                plain = text.replace(MARK, " ")
+            out.append((ids.count(" ") + 2, f"{ids} {self.end_id}", plain))
         return out
 
 
