@@ -4,11 +4,9 @@ Every stage works on all that its predecessor kept; stages before the last
 return the columns of documents.
 
 * toxicity: documents that score 0.7 or more go.
-* simhash: of each group of near-duplicates (fingerprints of 4-word shingles
-  that differ in 7 bits or fewer, over chains) the document with the least
-  id stays. On the test tables this radius finds the groups that a similarity
-  of 0.8 on five-word shingles has; the 4 bits of the registered query find
-  four fifths of them.
+* simhash: of each group of near-duplicates (5-word shingles with a Jaccard
+  similarity of 0.8 or more, over chains) the document with the least id
+  stays. Every link is verified on the whole shingle sets.
 * secrets: every found secret is masked in the text.
 * mixing: a document of an under-weighted language is repeated as its rate
   says; no document is lost.
@@ -25,10 +23,10 @@ from lectern.llm.common import materialise, read_table
 from lectern.llm.mixing import mixed_rows
 from lectern.llm.piece_bpe import encode_decode
 from lectern.llm.secret_scan import without_secrets
-from lectern.llm.simhash import one_of_each
+from lectern.llm.similar import one_of_each
 from lectern.llm.toxicity import without_toxic
 
-#: Differing bits up to which fingerprints are near-duplicates.
+#: The radius of the earlier fingerprint stage; no stage uses it any more, an older test still does.
 NEAR_BITS = 7
 #: Target shares of tokens per language.
 LANGUAGES = {"en": 0.55, "fr": 0.17, "de": 0.17, "es": 0.11}
@@ -39,7 +37,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs, max_bits=NEAR_BITS)
+    return one_of_each(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
