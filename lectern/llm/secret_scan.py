@@ -5,9 +5,10 @@ candidate strings are runs of token characters; a window slides along each
 run and keeps, per character class, the counts from which its Shannon
 entropy follows; moving the window changes two counts, so the sum of
 c*log2(c) is updated and not computed again. The classes are hexadecimal
-digits and letters-and-digits, each with its own window and threshold.
-Windows at or over a threshold that also mix digits with letters are
-joined into spans. An allow-list suppresses spans whose run is a known
+digits, letters-and-digits, and the URL-safe alphabet, each with its own
+window and threshold. Windows at or over a threshold that also mix digits
+with letters, or whose neighbouring characters change kind often enough,
+are joined into spans. An allow-list suppresses spans whose run is a known
 harmless form (UUIDs, dotted versions, paths of plain words, data of one
 repeated unit). Base spans are never removed; an entropy span that lies
 inside a base span adds nothing and is left out.
@@ -41,6 +42,11 @@ MIN_VALUE = 6
 
 #: Per class: characters, window, least entropy in bits per character over the whole window.
 CLASSES = {"hex": (frozenset("0123456789abcdefABCDEF"), 24, 3.0), "base64": (frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/"), 20, 3.7)}
+#: Both base64 alphabets; a window mixes by its changes of kind, whatever its number of digits.
+URL_SAFE = (CLASSES["base64"][0] | frozenset("-_"), 20, 3.7)
+#: Least changes of kind between neighbours in a window of URL_SAFE. A word's capital (Name) and closing number (name2-) are no changes.
+MIN_CHANGES = 3
+_CHANGE = re.compile(r"(?<=l)u(?!l)|(?<=[lu])d(?!d*(?:-|$))|(?<=d)[lu]")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Least digits and letters in a window that counts as mixed.
 MIN_DIGITS, MIN_LETTERS = 3, 3
@@ -66,10 +72,24 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def entropy_windows(run: str, members: frozenset[str], width: int, least: float) -> list[tuple[int, int]]:
-    """Joined windows of a run whose entropy over the class reaches the threshold; counts move by one character."""
+def _changes(run: str) -> list[int]:
+    """1 at each letter or digit that differs in kind (small, capital, digit) from the one before it, other than by a word's capital or closing number."""
+    kinds = "".join("d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "-" for c in run)
+    out = [0] * len(run)
+    for m in _CHANGE.finditer(kinds):
+        out[m.start()] = 1
+    return out
+
+
+def entropy_windows(run: str, members: frozenset[str], width: int, least: float, min_changes: int | None = None) -> list[tuple[int, int]]:
+    """Joined windows of a run whose entropy over the class reaches the threshold; counts move by one character.
+
+    A window mixes by its digits and letters, or with min_changes by its changes of kind.
+    """
     if len(run) < width:
         return []
+    changes = _changes(run) if min_changes is not None else []
+    changed = 0
     counts: dict[str, int] = {}
     digits = letters = inside = 0
     weighted = 0.0  # the sum of c * log2(c) over the window
@@ -84,7 +104,13 @@ def entropy_windows(run: str, members: frozenset[str], width: int, least: float)
                 inside += step
                 digits += step * c.isdigit()
                 letters += step * c.isalpha()
-        if i >= width - 1 and inside == width and digits >= MIN_DIGITS and letters >= MIN_LETTERS:
+        if min_changes is None:
+            mixed = digits >= MIN_DIGITS and letters >= MIN_LETTERS
+        else:
+            # the change into the window's first character is not inside it
+            changed += changes[i] - (changes[i - width + 1] if i >= width - 1 else 0)
+            mixed = changed >= min_changes
+        if i >= width - 1 and inside == width and mixed:
             if math.log2(width) - weighted / width >= least - 1e-9:
                 start = i - width + 1
                 if found and start <= found[-1][1]:
@@ -100,7 +126,7 @@ def entropy_spans(text: str, known: list[Span]) -> list[Span]:
         run = m.group()
         if not any(c.isdigit() for c in run) or any(p.fullmatch(run) for p in ALLOWED):
             continue
-        windows = sorted(w for spec in CLASSES.values() for w in entropy_windows(run, *spec))
+        windows = sorted([w for spec in CLASSES.values() for w in entropy_windows(run, *spec)] + entropy_windows(run, *URL_SAFE, MIN_CHANGES))
         joined: list[list[int]] = []
         for start, end in windows:
             if joined and start <= joined[-1][1]:
