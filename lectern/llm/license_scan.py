@@ -67,8 +67,8 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("reserved", "Proprietary", ("reserved",)),
 )
 
-#: Every known sentence has one of these; texts without any are not cut into sentences.
-KEYS = ("licen", "permission", "warrant", "redistribut", "rights reserved", "provided")
+#: Every known sentence has one of these, each within a word, so spacing cannot hide it; texts without any are not cut into sentences.
+KEYS = ("licen", "permission", "warrant", "redistribut", "reserved", "provided")
 
 
 def _run(ids: tuple[str, ...]) -> str:
