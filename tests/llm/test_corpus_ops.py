@@ -212,8 +212,8 @@ def plain_counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(inside)
 
 
-def test_quality(spark, docs, texts, labels):
-    extra = {10_000 + i: t for i, t in enumerate(["a b a b a b", "a a a a", "x", "\n\n a\na\n a", "é|ß z <b> #", "q " * 60])}
+def test_quality(spark, docs, texts):
+    extra = {10_000 + i: t for i, t in enumerate(["a b a b a b", "a a a a", "x", "\n\n a\na\n a", "é|ß z <b> #", "q " * 60])}
     every = texts | extra
     d = spark.createDataFrame(list(every.items()), "doc_id long, text string")
     found = {r.doc_id: r for r in quality.quality(d).collect()}
@@ -221,27 +221,68 @@ def test_quality(spark, docs, texts, labels):
         r, e = found[i], plain_counts(t)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == e, i
         assert r.base_failed == (e[0] < 50 or 100 * e[4] > 50 * e[0])
-        assert not (r.base_failed and r.kept)
-    good = [found[r.doc_id].kept or found[r.doc_id].base_failed for r in labels.collect() if r.quality == 1 and r.doc_id in found]
-    bad = [found[r.doc_id].kept for r in labels.collect() if r.quality == 0 and r.doc_id in found]
-    assert all(good) and not any(bad)
+        assert r.kept == (not r.base_failed and r.posterior >= quality.KEEP_AT)
+
+
+def test_quality_counts_for_votes(spark):
+    import regex
+
+    cases = ["A short. Line! Of (words)?", "x### y%%% ZZ!!\nx### y%%% ZZ!!", "é’s “quoted” — dash", "", None]
+    for r in quality.counts(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect():
+        t = cases[r.doc_id] or ""
+        expected = (len(set(WORDS.findall(t))), len(regex.findall(r"\p{Lu}", t)), len(regex.sub(r"[\p{L}\p{M}\p{N}\s.,;:'\"()?\u2019-]", "", t)), len(re.findall("[.!?]", t)), len([x for x in t.split("\n") if WORDS.search(x)]))
+        assert (r.n_distinct, r.n_capitals, r.n_marks, r.n_ends, r.n_lines) == expected, t
+
+
+def plain_posteriors(patterns, rules, kinds, rounds):
+    """The same estimation in plain numpy: {votes: posterior of the good state}."""
+    names = [n for n, _, _ in rules]
+    chance = np.array([[quality.FALSE_ALARM] * len(rules)] + [[quality.HIT if n in k else quality.OTHER for n in names] for k in kinds])
+    share = np.array([quality.FIRST_GOOD] + [(1 - quality.FIRST_GOOD) / len(kinds)] * len(kinds))
+    first, first_share, m = chance.copy(), share.copy(), quality.PRIOR_DOCS
+    v, n = np.array(list(patterns)), np.array(list(patterns.values()), float)
+    bad, good = (v == 0).astype(float), (v == 1).astype(float)
+
+    def state():
+        score = np.log(share) + bad @ np.log(chance).T + good @ np.log(1 - chance).T
+        w = np.exp(score - score.max(1, keepdims=True))
+        return w / w.sum(1, keepdims=True)
+
+    for _ in range(rounds):
+        g = state() * n[:, None]
+        share = (g.sum(0) + m * first_share) / (n.sum() + m)
+        chance = (g.T @ bad + m * first) / (g.T @ (bad + good) + m)
+    return dict(zip(patterns, state()[:, 0]))
 
 
 def test_quality_estimates(spark):
-    """The fold equals the same estimation in plain Python."""
+    """The fold equals the same estimation in plain numpy."""
     r = random.Random(4)
     rules = (("a", "x = 0", "x = 1"), ("b", "y = 0", "y = 1"), ("c", "z = 0", "z = 1"))
-    data = [tuple(r.choice((0, 1, 2)) for _ in range(3)) for _ in range(400)]
-    found = {tuple(p.votes): p.posterior for p in quality.posteriors(spark.createDataFrame(data, "x int, y int, z int"), rules, 10).collect()}
-    patterns, acc = collections.Counter(data), [quality.FIRST] * 3
+    kinds = (("a",), ("b", "c"))
+    data = [tuple(r.choice((0, 1, 1, 2)) for _ in range(3)) for _ in range(400)]
+    found = {tuple(p.votes): p.posterior for p in quality.posteriors(spark.createDataFrame(data, "x int, y int, z int"), rules, kinds, 10).collect()}
+    assert found == pytest.approx(plain_posteriors(collections.Counter(data), rules, kinds, 10))
 
-    def post(v):
-        return 1 / (1 + np.exp(-sum((2 * x - 1) * np.log(acc[i] / (1 - acc[i])) for i, x in enumerate(v) if x != 2)))
 
-    for _ in range(10):
-        g = {p: post(p) for p in patterns}
-        acc = [min(quality.MOST, max(quality.LEAST, (quality.PRIOR_DOCS * quality.FIRST + sum(n * (g[p] if p[j] else 1 - g[p]) for p, n in patterns.items() if p[j] != 2)) / (quality.PRIOR_DOCS + sum(n for p, n in patterns.items() if p[j] != 2)))) for j in range(3)]
-    assert found == pytest.approx({p: post(p) for p in patterns})
+def test_quality_is_no_all_must_pass_filter(spark):
+    """On the labelled rows of sf0.01 the estimated verdict agrees with the labels better than the filter that one bad vote fails."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    counted = quality.counts(d)
+    votes = {x.doc_id: list(x.v) for x in counted.select("doc_id", quality.votes().alias("v")).collect()}
+    found = {x.doc_id: x for x in quality.quality(d).collect()}
+    both = [(x.quality, found[x.doc_id].kept, not found[x.doc_id].base_failed and quality.BAD not in votes[x.doc_id]) for x in labels.collect() if x.doc_id in found and x.quality is not None and not found[x.doc_id].base_failed]
+    estimated, strict = (np.mean([bool(q) == k for q, k in pairs]) for pairs in ([(q, a) for q, a, _ in both], [(q, b) for q, _, b in both]))
+    assert estimated > 0.98 and estimated > strict + 0.05
+    # named: documents 100 words short of a good length, or with a repeated line, pass in spite of a bad vote
+    saved = [i for i, x in found.items() if x.kept and quality.BAD in votes[i]]
+    assert len(saved) > 50 and any(votes[i][0] == quality.BAD for i in saved) and any(votes[i][4] == quality.BAD for i in saved)
+
+
+def test_quality_of_all_abstaining_rules_is_the_share(spark):
+    rules = (("a", "x = 0", "x = 1"),)
+    found = quality.posteriors(spark.createDataFrame([(2,)] * 3, "x int"), rules, (("a",),), 5).collect()
+    assert [(list(p.votes), p.n) for p in found] == [([2], 3.0)] and 0.5 < found[0].posterior < 1
 
 
 def plain_dedup(rows, width):
