@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Code points handled at once inside a Python worker; bounds its memory whatever the Arrow batch holds.
 SLICE_CHARS = 4_000_000
+#: Bytes that one bucket of a packed exchange holds about; a worker loads a bucket whole.
+BUCKET_BYTES = 64_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +26,32 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def buckets(spark: SparkSession, size: int) -> int:
+    """Buckets for a packed exchange of so many bytes: the session's number, and more where a bucket would outgrow BUCKET_BYTES."""
+    return max(shuffle_partitions(spark), -(-int(size) // BUCKET_BYTES))
+
+
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """Bytes of all texts, and some per row; one narrow scan."""
+    row = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    return (row["n"] or 0) + 64 * row["rows"]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of df has; Spark compares names without case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; set only where it is unset (tests, local runs)."""
+    """The shared folder that the cluster names; one of its own only where it is unset and all runs on this machine (tests, local runs)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(path)
     return path

@@ -11,15 +11,21 @@ do not depend on s; it grows with the number of points, which keeps the
 expected number of chance partners per point small at any size.
 Pairs in a cell pass the Manhattan bound, then the exact Hamming distance.
 
-Equal fingerprints are one point, whatever their number. A cell reports
-links that connect its members, not all pairs: in a large cell a member
-already reached is never compared again, so a dense group costs about its
-size. Links are joined to components by star steps over the link table.
+Equal fingerprints are one point, whatever their number; the fingerprint
+itself names it, so ids may repeat or be null. A cell reports links that
+connect its members, not all pairs: in a large cell a member already reached
+is never compared again, so a dense group costs about its size, and cells
+that are larger still are first cut along their other coordinates. Links are
+joined to components by star steps over the link table.
 
 Defined results: a null or empty text has fingerprint zero and is linked
-like any other; repeated rows share a component; a null id takes part but
-never names a component unless all its members are null (then null);
-extra columns are ignored; an empty table gives an empty result.
+like any other; rows with equal texts share a component whatever their ids;
+rows that share an id but not a text are grouped each by its own text; a
+null id takes part but never names a component unless all its members are
+null (then null); extra columns are ignored; an empty table gives an empty
+result. Where one row of each component is chosen, it is the one with the
+least id, the least fingerprint among equal ids, a null id only where there
+is no other; of rows that are alike in both any one stays.
 """
 
 from __future__ import annotations
@@ -35,13 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import annotate, by_bucket, materialise, shuffle_partitions, slices
+from lectern.llm.common import annotate, buckets, by_bucket, free_name, materialise, slices
 from lectern.llm.components import components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 NULL_ID = (1 << 63) - 1
 #: Cells of up to so many points compare all pairs at once; larger ones grow components from seeds.
 SMALL_CELL = 48
+#: Cells of more points are cut along their other coordinates before that.
+LARGE_CELL = 4_096
 _EVEN = np.uint64(0x5555555555555555)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -150,6 +158,25 @@ def _seeded_links(fp: np.ndarray, codes: np.ndarray, max_bits: int) -> tuple[np.
     return np.concatenate(left), np.concatenate(right)
 
 
+def _cut_links(fp: np.ndarray, codes: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a cell too large for that: partners differ in at most max_bits of max_bits + 1 parts of the coordinates that vary, so they share a part."""
+    varies = np.bitwise_or.reduce(codes ^ codes[0])
+    bits = [np.uint64(1 << b) for b in range(64) if int(varies) >> b & 1]
+    left, right = [], []
+    for chosen in np.array_split(np.array(bits, np.uint64), max_bits + 1):
+        shared = codes & np.bitwise_or.reduce(chosen) if len(chosen) else np.zeros(len(codes), np.uint64)
+        order = np.argsort(shared, kind="stable")
+        heads = np.flatnonzero(np.concatenate(([True], shared[order][1:] != shared[order][:-1])))
+        for part in np.split(order, heads[1:]):
+            if len(part) > 1:
+                a, b = _seeded_links(fp[part], codes[part], max_bits)
+                left.append(part[a])
+                right.append(part[b])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def cell_links(cells: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that connect, within each cell, all points joined by chains of at most max_bits per step."""
     order = np.argsort(cells, kind="stable")
@@ -167,7 +194,7 @@ def cell_links(cells: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.nda
             right.append(at + step)
     for k in np.flatnonzero(sizes > SMALL_CELL):
         part = slice(heads[k], heads[k] + sizes[k])
-        a, b = _seeded_links(fp[part], codes[part], max_bits)
+        a, b = (_cut_links if sizes[k] > LARGE_CELL else _seeded_links)(fp[part], codes[part], max_bits)
         left.append(a + heads[k])
         right.append(b + heads[k])
     if not left:
@@ -196,9 +223,10 @@ def _stars(u: list[int], v: list[int]) -> tuple[list[int], list[int]]:
 
 
 def links(points: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links (u, v) that connect points (node, fp) at max_bits or fewer differing bits; fps are distinct, nodes their ids."""
-    n = shuffle_partitions(points.sparkSession)
-    masks = projections(max_bits, unchanged_groups(max_bits, points.count()))
+    """Links (u, v) that connect distinct fingerprints (fp) at max_bits or fewer differing bits; the fingerprints name themselves."""
+    size = points.count()
+    masks = projections(max_bits, unchanged_groups(max_bits, size))
+    n = buckets(points.sparkSession, 10 * size * len(masks))
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,69 +235,72 @@ def links(points: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 yield dealt(batch.slice(start, step))
 
     def dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node = batch.column("node").to_numpy(zero_copy_only=False)
         fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
         codes = embedded(fp)
         choice = np.repeat(np.arange(len(masks), dtype=np.uint16), len(fp))
         cells = np.concatenate([_cells(codes, k, mask) for k, mask in enumerate(masks)])
         bucket = (cells % np.uint64(n)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        begin = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=n))))
-        full = [b for b in range(n) if begin[b + 1] > begin[b]]
-        payload = []
-        for b in full:
-            part = order[begin[b] : begin[b + 1]]
-            at = part % len(fp)
-            payload.append(choice[part].tobytes() + fp[at].tobytes() + node[at].tobytes())
+        full, begin = np.unique(bucket[order], return_index=True)
+        payload = [choice[part].tobytes() + fp[part % len(fp)].tobytes() for part in np.split(order, begin[1:])]
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(payload, pa.binary())], names=["bucket", "payload"])
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        choice, fp, node = [], [], []
+        choice, fp = [], []
         for batch in batches:
             for payload in batch.column("payload").to_pylist():
-                k = len(payload) // 18
+                k = len(payload) // 10
                 choice.append(np.frombuffer(payload, np.uint16, k))
                 fp.append(np.frombuffer(payload, np.uint64, k, 2 * k))
-                node.append(np.frombuffer(payload, np.int64, k, 10 * k))
         if not choice:
             return
-        choice, fp, node = np.concatenate(choice), np.concatenate(fp), np.concatenate(node)
+        choice, fp = np.concatenate(choice), np.concatenate(fp)
         codes = embedded(fp)
         cells = np.zeros(len(fp), np.uint64)
         for k, mask in enumerate(masks):
             own = choice == k
             cells[own] = _cells(codes[own], k, mask)
         a, b = cell_links(cells, fp, max_bits)
-        u, v = _stars(node[a].tolist(), node[b].tolist())
+        signed = fp.view(np.int64)
+        u, v = _stars(signed[a].tolist(), signed[b].tolist())
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    placed = points.select("node", "fp").mapInArrow(deal, "bucket int, payload binary")
+    placed = points.select("fp").mapInArrow(deal, "bucket int, payload binary")
     return by_bucket(placed, n).mapInArrow(search, "u long, v long")
 
 
 def _groups(prints: DataFrame, max_bits: int) -> DataFrame:
-    """(fp, node, root) of every distinct fingerprint: its least id and the least id of its component."""
-    points = materialise(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("node")))
-    # a document may be the least of several fingerprints where ids repeat: they are one component then
-    found = materialise(components(links(points, max_bits)))
-    return materialise(points.join(found, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("root")))
+    """(fp, least, root) of every distinct fingerprint: its least id, null where all are, and the least fingerprint of its component."""
+    points = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = materialise(components(links(points, max_bits)).withColumnRenamed("node", "fp"))
+    return materialise(points.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row. Ids must be integers."""
     prints = materialise(fingerprints(docs, width, id_col, text_col))
-    named = _groups(prints, max_bits).select("fp", F.nullif("root", F.lit(NULL_ID)).alias("component_id"))
+    groups = _groups(prints, max_bits)
+    named = materialise(groups.join(groups.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"))
     # both sides are plain scans, so adaptive execution can split a fingerprint that many rows share
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def chosen_rows(docs: DataFrame, key: str, chosen: DataFrame) -> DataFrame:
+    """The rows of docs whose key and id chosen (key, least) names, one row for each; docs also has the key as a column that goes."""
+    node = free_name(docs, "_node")
+    marked = docs.withColumn(node, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    named = chosen.select(F.col("key").alias(key), F.coalesce("least", F.lit(NULL_ID)).alias(node))
+    return marked.join(named, [key, node], "left_semi").dropDuplicates([key, node]).drop(key, node)
+
+
 def one_of_each(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of every group of near-duplicates, the one with the least doc_id, with all columns of docs."""
-    chosen = _groups(materialise(fingerprints(docs, width)), max_bits).where("node = root").select(F.col("fp").alias("_fp"), F.col("node").alias("_node"))
+    groups = _groups(materialise(fingerprints(docs, width)), max_bits)
+    first = F.min(F.struct(F.coalesce("least", F.lit(NULL_ID)).alias("least"), "fp")).alias("first")
+    chosen = groups.groupBy("root").agg(first).select(F.col("first.fp").alias("key"), F.col("first.least").alias("least"))
+    key = free_name(docs, "_fp")
 
     def make():
         return lambda whole: [pa.array(fingerprints_of([t.encode() for t in whole], width).view(np.int64))]
 
-    marked = annotate(docs, make, [T.StructField("_fp", T.LongType())]).withColumn("_node", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    # the least id of a fingerprint is one row, unless rows repeat
-    return marked.join(chosen, ["_fp", "_node"], "left_semi").dropDuplicates(["_fp", "_node"]).select(*docs.columns)
+    return chosen_rows(annotate(docs, make, [T.StructField(key, T.LongType())]), key, chosen)

@@ -1,22 +1,29 @@
-"""Near-duplicates by the exact similarity of word shingles.
+"""SimHash near-duplicates with an exact check of similarity.
 
 Two texts are near-duplicates if the Jaccard similarity of their sets of
-5-word shingles is 0.8 or more; groups are the chains of such pairs.
-
-1. Equal texts are one point. 125 minima of hashes per point form 25 bands
-   of five; points that share a band meet. A pair of similarity 0.8 meets
-   with probability 1 - (1 - 0.8**5)**25 = 0.99995, a closer one oftener.
-2. Of the points of a band, neighbours are compared first. Pairs whose
-   minima agree in less than LEAST_AGREEMENT are dropped: 4.5 standard
-   deviations below 0.8. All others are verified on the whole shingle sets.
-3. All pairs of a band that the verified links do not join yet are compared
-   likewise, so dense groups cost about their size and nothing is capped.
+5-word shingles is 0.8 or more; groups are the chains of such pairs. One
+64-bit fingerprint of all shingles cannot decide that (such pairs differ in
+about 5 to 13 of 64 bits), so a text gets PRINTS fingerprints, each the
+SimHash of a consistent sample of its shingles: those with the least hash
+under SAMPLE permutations of its own. Every fingerprint is embedded by its
+bits per segment and joined over a grid as in `simhash`.
+
+1. Equal texts are one point. Two texts of similarity s draw the same sample
+   with probability s**SAMPLE, and meet with 1 - (1 - s**SAMPLE)**PRINTS at
+   least: 0.9997 at 0.8, more for closer pairs.
+2. Members of a cell are paired with one of them, first the least key, then
+   others by turns as long as that joins many. Pairs pass the Manhattan
+   bound, the Hamming distance and a bound on the share of equal minima (4.5
+   standard deviations below 0.8); the rest is verified on whole shingle sets.
+3. All pairs of a cell that no chain joins yet are checked likewise. So a
+   dense group costs about its size, and nothing is capped.
 
 Defined results: a null or empty text has no shingles and is similar to any
 other such text only; a text of fewer than five words has one shingle;
-repeated rows are one; a null id comes after all others; an empty table
-gives an empty result. Equal 64-bit hashes are taken as equal shingles and
-as equal texts.
+repeated rows are one; of a group the row with the least id stays, a null id
+only where there is no other, the least hash of the text among equal ids; an
+empty table gives an empty result. Equal 64-bit hashes are taken as equal
+shingles and as equal texts.
 """
 
 from __future__ import annotations
@@ -28,18 +35,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise, slices
+from lectern.llm.common import free_name, materialise, slices
 from lectern.llm.components import components
-from lectern.llm.simhash import NULL_ID, shingle_hashes
+from lectern.llm.simhash import _cells, chosen_rows, embedded, projections, shingle_hashes, unchanged_groups
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
 LEAST = (4, 5)
-BANDS, ROWS = 25, 5
-LEAST_AGREEMENT = 0.64
+PRINTS, SAMPLE = 20, 5
+#: Differing bits of two fingerprints that still make a candidate.
+MAX_BITS = 1
+LEAST_AGREEMENT = 0.62
+#: A turn of pairing with one member is worth another if it leaves no more than this share of the rows open.
+WORTH = 0.6
 #: Shingles whose minima are taken at once; keeps them in the processor's cache.
 _AT_ONCE = 16_000
-_FACTORS, _TERMS = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS, _TERMS = np.random.default_rng(7).integers(0, 1 << 63, (2, PRINTS * SAMPLE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -54,8 +65,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of BANDS * ROWS minima per set; an empty set has the largest values."""
-    out = np.full((len(sets), BANDS * ROWS), np.uint64(0xFFFFFFFFFFFFFFFF))
+    """One row of PRINTS * SAMPLE minima per set; an empty set has the largest values."""
+    out = np.full((len(sets), PRINTS * SAMPLE), np.uint64(0xFFFFFFFFFFFFFFFF))
     full = [i for i, s in enumerate(sets) if len(s)]
     start = 0
     while start < len(full):
@@ -73,21 +84,49 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """A hash of each band's number and minima."""
-    x = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(found), BANDS)).copy()
-    for k in range(ROWS):
-        x = (x ^ found[:, k::ROWS]) * _MIX
-        x ^= x >> np.uint64(32)
-    return x
+def fingerprints(found: np.ndarray) -> np.ndarray:
+    """PRINTS fingerprints per row of minima: a bit is set where over half of a sample's shingles have it."""
+    x = found ^ (found >> np.uint64(32))
+    x = (x * _MIX) ^ ((x * _MIX) >> np.uint64(29))
+    bits = np.unpackbits((x * _MIX).astype(">u8").view(np.uint8)).reshape(len(found), PRINTS, SAMPLE, 64)
+    return np.packbits(2 * bits.sum(axis=2, dtype=np.uint8) > SAMPLE, axis=2).view(">u8").reshape(len(found), PRINTS).astype(np.uint64)
+
+
+def sketches(found: np.ndarray) -> list[bytes]:
+    """The fingerprints, and a byte of every minimum."""
+    prints, codes = fingerprints(found), (found >> np.uint64(56) ^ found >> np.uint64(23)).astype(np.uint8)
+    return [p.tobytes() + c.tobytes() for p, c in zip(prints, codes)]
+
+
+def _opened(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and bytes of minima of sketches."""
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), PRINTS * (8 + SAMPLE))
+    return np.ascontiguousarray(raw[:, : 8 * PRINTS]).view(np.uint64), raw[:, 8 * PRINTS :]
+
+
+def candidates(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Where some fingerprint is within the Manhattan bound and then the Hamming distance, and enough minima agree."""
+    ok = (a[1] == b[1]).mean(axis=1) >= LEAST_AGREEMENT
+    one, two = a[0][ok], b[0][ok]
+    near = (np.bitwise_count(embedded(one) ^ embedded(two)) <= MAX_BITS) & (np.bitwise_count(one ^ two) <= MAX_BITS)
+    ok[ok] = near.any(axis=1)
+    return ok
+
+
+def grid(prints: np.ndarray, masks: list[int]) -> np.ndarray:
+    """Cells of every row of fingerprints, one per fingerprint and projection."""
+    codes = embedded(prints)
+    return np.stack([_cells(codes[:, k], k * len(masks) + m, mask) for k in range(PRINTS) for m, mask in enumerate(masks)], axis=1)
+
+
+def grid_masks(points: int) -> list[int]:
+    return projections(MAX_BITS, unchanged_groups(MAX_BITS, points))
 
 
-def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         found = minima([shingle_set((t or "").encode()) for t in batch.column("text").to_pylist()])
-        codes = (found >> np.uint64(56) ^ found >> np.uint64(23)).astype(np.uint8)
-        lists = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * BANDS, pa.array(bands(found).view(np.int64).reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), lists, pa.array([c.tobytes() for c in codes], pa.binary())], names=["key", "node", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), pa.array(sketches(found), pa.binary())], names=["key", "node", "sketch"])
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,81 +134,148 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([shingle_set((t or "").encode()).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["key", "shingles"])
 
 
-def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sifted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 5_000):
+            part = batch.slice(start, 5_000)
+            ok = candidates(_opened(part.column("left").to_pylist()), _opened(part.column("right").to_pylist()))
+            yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _meetings(band: np.ndarray, key: np.ndarray, root: np.ndarray, sketch: np.ndarray, neighbours: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of one band and of different roots whose sketches agree enough; rows come by band and key."""
-    end = np.searchsorted(band, band, side="right")
-    at, step = np.arange(len(band)), 1
-    while len(at := at[at + step < end[at]]):
-        for part in np.array_split(at, len(at) // 20_000 + 1):
-            part = part[root[part] != root[part + step]]
-            part = part[(sketch[part] == sketch[part + step]).mean(axis=1) >= LEAST_AGREEMENT] if len(part) else part
-            if len(part):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[part], key[part + step])), pa.array(np.maximum(key[part], key[part + step]))], names=["u", "v"])
-        if neighbours:
-            return
-        step += 1
+def _with_both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
+    """Pairs (u, v) with the value of both keys. The second join's exchange holds whole rows, which adaptive execution may split by a hub."""
+    right = pairs.join(of.select(F.col("key").alias("v"), F.col(value).alias("right")), "v")
+    return right.join(of.select(F.col("key").alias("u"), F.col(value).alias("left")), "u").select("u", "v", "left", "right")
 
 
-def _candidates(members: DataFrame, neighbours: bool) -> DataFrame:
-    """Distinct pairs (u, v) of keys to verify, of members (band, key, root, sketch)."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "key", "root")]
-            rows.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS))
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows)]
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
-            yield from _meetings(*(x[:last] for x in rows), neighbours)
-            held = [x[last:] for x in rows]
+def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (cell, key) by cell and key, those of cells with several members, with the cell's first key."""
+    last: tuple[int, int] | None = None
+    lone = True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell, key = (batch.column(c).to_numpy() for c in ("cell", "key"))
+        new = np.concatenate(([last is None or cell[0] != last[0]], cell[1:] != cell[:-1]))
+        head = np.maximum.accumulate(np.where(new, np.arange(len(cell)), -1))
+        first = np.where(head < 0, last[1] if last else 0, key[head])
+        use = ~new
+        out_cell, out_key, out_first = [cell[use]], [key[use]], [first[use]]
+        # a first member goes out with its second one, which may come in the next batch
+        opened = np.flatnonzero(use & np.concatenate(([lone and last is not None], new[:-1])))
+        out_cell.append(cell[opened])
+        out_key.append(first[opened])
+        out_first.append(first[opened])
+        lone = bool(new[-1])
+        last = (int(cell[-1]), int(first[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_cell, out_key, out_first)], names=["cell", "key", "first"])
+
+
+def _open_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) of keys of different roots within each cell, of rows (cell, key, root) by cell."""
+
+    def pairs(key: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, group, size = np.unique(root, return_inverse=True, return_counts=True)
+        order = np.lexsort((group, -size[group]))
+        key, group = key[order], group[order]
+        begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        before = np.repeat(begin, np.diff(np.concatenate((begin, [len(key)]))))
+        # every member with all members of larger groups: the largest group is never paired with itself
+        for at in range(int(begin[1]) if len(begin) > 1 else len(key), len(key)):
+            other = key[: before[at]]
+            for start in range(0, len(other), 20_000):
+                part = other[start : start + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(part, key[at])), pa.array(np.maximum(part, key[at]))], names=["u", "v"])
+
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(c).to_numpy() for c in ("cell", "key", "root")]
         if held is not None:
-            yield from _meetings(*held, neighbours)
-
-    return members.select("band", "key", "root", "sketch").repartition("band").sortWithinPartitions("band", "key").mapInArrow(run, "u long, v long").distinct()
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        begin = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1])))
+        for a, b in zip(begin, begin[1:]):
+            yield from pairs(rows[1][a:b], rows[2][a:b])
+        held = [x[begin[-1] :] for x in rows]
+    if held is not None:
+        yield from pairs(held[1], held[2])
 
 
 def _key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _groups(docs: DataFrame) -> DataFrame:
-    """(key, node, root) of every distinct text: its least id and the least key of its group."""
-    rows = docs.select(_key(F.col("text")).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("node"), "text")
-    found = rows.mapInArrow(_sketches, "key long, node long, bands array<long>, sketch binary")
-    points = materialise(found.groupBy("key").agg(F.min("node").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    placed = points.select("key", F.explode("bands").alias("band"))
-    shared = placed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    met = materialise(placed.join(shared, "band"))
-    members = materialise(met.join(points.select("key", "sketch"), "key"))
-    involved = members.select("key").distinct().join(points.select("key", "node"), "key")
-    texts = rows.join(involved, ["key", "node"], "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+def groups(docs: DataFrame) -> DataFrame:
+    """(key, least, root) of every distinct text: its hash, its least id (null where all are), and the least key of its group."""
+    rows = docs.select(_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("node"), "text")
+    found = rows.mapInArrow(_sketched, "key long, node long, sketch binary")
+    points = materialise(found.groupBy("key").agg(F.min("node").alias("least"), F.first("sketch").alias("sketch")))
+    masks = grid_masks(points.count())
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 5_000):
+                part = batch.slice(start, 5_000)
+                cells = grid(_opened(part.column("sketch").to_pylist())[0], masks)
+                yield pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64).reshape(-1)), pa.array(np.repeat(part.column("key").to_numpy(), cells.shape[1]))], names=["cell", "key"])
+
+    placed = points.select("key", "sketch").mapInArrow(deal, "cell long, key long")
+    met = materialise(placed.repartition("cell").sortWithinPartitions("cell", "key").mapInArrow(_met, "cell long, key long, first long"))
+    involved = met.select("key").distinct().join(points, "key").select("key", F.col("least").alias("id"), "sketch")
+    involved = materialise(involved)
+    same = (rows["key"] == involved["key"]) & rows["node"].eqNullSafe(involved["id"])
+    texts = rows.join(involved, same).groupBy(involved["key"].alias("key")).agg(F.first("text").alias("text"))
     sets = materialise(texts.mapInArrow(_sets, "key long, shingles binary"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("left")), "u")
-        both = left.join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("right")), "v")
-        return materialise(both.select("u", "v", "left", "right").mapInArrow(_verify, "u long, v long"))
-
-    first = verified(materialise(_candidates(members.withColumn("root", F.col("key")), True)))
-    roots = materialise(components(first).withColumnRenamed("node", "key"))
-    rest = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = rest.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
-    second = verified(materialise(_candidates(rest.join(mixed, "band"), False)))
-    roots = materialise(components(first.unionByName(second)).withColumnRenamed("node", "key"))
-    return materialise(points.select("key", "node").join(roots, "key", "left").select("key", "node", F.coalesce("root", "key").alias("root")))
+        sifted = materialise(_with_both(materialise(pairs), involved, "sketch").mapInArrow(_sifted, "u long, v long"))
+        return materialise(_with_both(sifted, sets, "shingles").mapInArrow(_verified, "u long, v long"))
+
+    def rooted(links: DataFrame) -> DataFrame:
+        return materialise(components(links).withColumnRenamed("node", "key"))
+
+    def still_open(roots: DataFrame) -> DataFrame:
+        """Rows (cell, key, root) of cells whose members have different roots."""
+        now = materialise(met.select("cell", "key").join(roots, "key", "left").select("cell", "key", F.coalesce("root", "key").alias("root")))
+        mixed = now.groupBy("cell").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("cell")
+        return materialise(now.join(mixed, "cell"))
+
+    links = verified(met.where("key <> first").select(F.col("first").alias("u"), F.col("key").alias("v")).distinct())
+    roots = rooted(links)
+    rest, before, turn = still_open(roots), met.count(), 0
+    # turns end when they no longer join much; what they leave open is paired in full
+    while (left := rest.count()) and left <= WORTH * before:
+        before, turn = left, turn + 1
+        one = rest.groupBy("cell").agg(F.min_by(F.struct("key", "root"), F.xxhash64("key", F.lit(turn))).alias("one"))
+        pairs = rest.join(one, "cell").where(F.col("root") != F.col("one.root")).select(F.least("key", "one.key").alias("u"), F.greatest("key", "one.key").alias("v"))
+        links = materialise(links.unionByName(verified(pairs.distinct())))
+        roots = rooted(links)
+        rest = still_open(roots)
+    if left:
+        pairs = rest.repartition("cell").sortWithinPartitions("cell").mapInArrow(_open_pairs, "u long, v long")
+        roots = rooted(links.unionByName(verified(pairs.distinct())))
+    return materialise(points.select("key", "least").join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id, the least doc_id of its group, of every row."""
+    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    found = groups(source)
+    named = materialise(found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id"))
+    return source.select("doc_id", _key(F.col("text")).alias("key")).join(named, "key").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of every group of near-duplicates, the one with the least doc_id, with all columns of docs."""
-    chosen = _groups(docs).groupBy("root").agg(F.min(F.struct("node", "key")).alias("least")).select(F.col("least.key").alias("_key"), F.col("least.node").alias("_node"))
-    marked = docs.withColumns({"_key": _key(F.col("text")), "_node": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))})
-    return marked.join(chosen, ["_key", "_node"], "left_semi").dropDuplicates(["_key", "_node"]).select(*docs.columns)
+    # a struct with a null id would come first
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("first")
+    chosen = groups(docs).groupBy("root").agg(first).select("first.key", "first.least")
+    key = free_name(docs, "_key")
+    return chosen_rows(docs.withColumn(key, _key(F.col("text"))), key, chosen)

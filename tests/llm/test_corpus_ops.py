@@ -349,10 +349,25 @@ def test_simhash(spark, docs, texts):
     assert sorted(kept) == sorted(set(expected.values()))
 
 
-@pytest.mark.parametrize("small, bits, same", [(2, 4, 3), (48, 4, 3), (48, 4, 5), (48, 7, 2)])
-def test_links_of_dense_and_sparse_points(spark, monkeypatch, small, bits, same):
-    """Chains, dense balls and lone points, with cells taken as small and as large."""
+def test_simhash_null_and_repeated_ids(spark):
+    """Ids name nothing: a text is grouped by its own fingerprint, whatever ids it shares or lacks."""
+    long = " ".join(f"a{k}" for k in range(2000))
+    near = long.replace("a1999", "b1999")
+    assert (plain_fingerprint(long) ^ plain_fingerprint(near)).bit_count() <= 4
+    rows = [(1, long), (None, near), (None, "an unrelated text of a few words"), (None, "another one that has no id"), (2, "first text under the id two"), (2, "second text, far off, under two"), (2, "second text, far off, under two"), (None, "another one that has no id"), (None, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, _fp string, _NODE int").repartition(3)
+    found = sorted((repr(x.doc_id), repr(x.component_id)) for x in simhash.near_duplicates(docs).collect())
+    assert found == sorted([("1", "1"), ("None", "1"), ("None", "None"), ("None", "None"), ("2", "2"), ("2", "2"), ("2", "2"), ("None", "None"), ("None", "9"), ("9", "9")])
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((repr(x.doc_id), x.text) for x in kept.collect()) == sorted([("1", long), ("None", rows[2][1]), ("None", rows[3][1]), ("2", rows[4][1]), ("2", rows[5][1]), ("9", "")])
+
+
+@pytest.mark.parametrize("small, large, bits, same", [(2, 8, 4, 3), (2, 10**6, 4, 3), (48, 60, 4, 3), (48, 60, 4, 5), (48, 60, 7, 2)])
+def test_links_of_dense_and_sparse_points(spark, monkeypatch, small, large, bits, same):
+    """Chains, dense balls and lone points, with cells taken as small, as large, and as so large that they are cut."""
     monkeypatch.setattr(simhash, "SMALL_CELL", small)
+    monkeypatch.setattr(simhash, "LARGE_CELL", large)
     r = random.Random(small)
     fps, x = set(), r.getrandbits(64)
     for _ in range(60):
