@@ -26,8 +26,6 @@ from lectern.llm.secret_scan import without_secrets
 from lectern.llm.similar import one_of_each
 from lectern.llm.toxicity import without_toxic
 
-#: The radius of the earlier fingerprint stage; no stage uses it any more, an older test still does.
-NEAR_BITS = 7
 #: Target shares of tokens per language.
 LANGUAGES = {"en": 0.55, "fr": 0.17, "de": 0.17, "es": 0.11}
 
