@@ -6,28 +6,34 @@
 2. Every document gets a nonnegative rate, the expected number of times it
    is used. The rates solve a least-squares problem: expected tokens per
    domain, summed over rate * tokens * posterior, shall equal the targets.
-   Projected-gradient steps run over the table of document rows: each step
-   is one distributed sum of as many numbers as there are domains; the
-   driver scales the gradient by the small domain-by-domain Gram matrix of
-   the documents that can still move, and rates below zero are set to zero.
-   A rate is kept as the projection of its start plus the steps so far, so
-   the state of the search is one number per domain.
 
-Targets are weights per domain; the total is the number of tokens at rate
-one. A domain in which no document has any posterior cannot be met and
-keeps its shortfall; the returned table still holds every row.
+The search is projected gradient over the rates. Its variables are
+rate * sqrt(tokens), so that the length of a document cancels from its step
+and documents of equal posteriors get equal rates, however long they are;
+the misses are weighted by the inverse of the domain-by-domain Gram matrix
+at the start, under which a step of length one never overshoots. Every
+iterate is projected: a rate below its bound is set to the bound. Steps are
+taken from a point that runs a little ahead of the iterates (momentum), and
+from the iterate itself again where that did not lower the miss. One step is
+one distributed sum of twice as many numbers as there are domains. A worker
+rebuilds a document's rate by running through the steps so far, which are a
+few numbers each; nothing of the size of the corpus is kept or sent.
 
-Defined results: a null or empty text has no tokens and rate 1 (it cannot
-change any total); repeated rows are rated alike; labels of one document
-that disagree take the largest domain; without labelled rows all posteriors
-are equal; extra columns are ignored; an empty table gives an empty result.
+Targets are weights per domain; the total is the number of tokens at rate
+one. What the rates cannot meet (a domain in which hardly any document has a
+posterior) stays as a miss, which is returned with the rows.
+
+Defined results: a null or empty text has no tokens; it gets the rate of its
+posterior like any other, which changes no total; repeated rows are rated
+alike; labels of one document that disagree take the largest domain; without
+labelled rows all posteriors are equal; a null id stays null; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +41,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import annotate, materialise, slices, texts
+from lectern.llm.common import annotate, free_name, materialise, slices, texts
 
 #: Labelled rows that the classifier is fitted on at most, the first by a hash of their id.
 TRAIN_ROWS = 12_000
 #: Steps of the rate search at most, and the relative miss at which it ends.
-STEPS, TOLERANCE = 60, 1e-6
+STEPS, TOLERANCE = 200, 1e-4
+#: The search also ends where so many steps lower the weighted miss by less than this share.
+STALL, STALL_STEPS = 1e-3, 10
 #: Least posterior of any domain: the classifier is never sure.
 FLOOR = 1e-3
 #: Features count if so many labelled rows have them and their evidence for the domains differs by so much; a document's evidence is cut to a span.
@@ -48,12 +56,17 @@ LEAST_ROWS, LEAST_SPREAD, SPAN = 6, 1.5, 9.0
 CACHE_ENTRIES = 300_000
 
 
+_MARKS = ".,;:!?\"'()[]"
+
+
 def token_features(token: str) -> tuple[str, ...]:
     """A word's beginning or the whole of a short one, and its shape."""
-    low = token.lower()
-    core = low.strip(".,;:!?\"'()[]")
+    core = token.strip(_MARKS).lower()
+    word = f"w:{core}" if len(core) < 5 else f"p:{core[:5]}"
+    if token.isalpha() and not token.isupper():
+        return (word,)
     shape = "U" * (token.isupper() and len(token) > 1) + "D" * any(map(str.isdigit, token)) + "S" * any(c in "#*$%&|<>" for c in token) + "!" * token.endswith("!!")
-    return (f"w:{core}" if len(core) < 5 else f"p:{core[:5]}", f"s:{shape}") if shape else (f"w:{core}" if len(core) < 5 else f"p:{core[:5]}",)
+    return (word, f"s:{shape}") if shape else (word,)
 
 
 def text_features(text: str) -> set[str]:
@@ -147,78 +160,126 @@ def memberships(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", tex
     return annotate(source, lambda: membership_function(model), _MEMBERSHIP).drop("text")
 
 
-def rate_of(n_tokens: Column, posterior: Column, mu: np.ndarray, scale: float, least: float = 0.0) -> Column:
-    """A row's rate: one plus its steps, no less than the least."""
-    slope = sum((posterior[i] * F.lit(float(x)) for i, x in enumerate(mu)), F.lit(0.0))
-    return F.greatest(F.lit(float(least)), F.lit(1.0) + n_tokens / F.lit(float(scale)) * slope)
+Step = tuple[np.ndarray, float]
+
+
+def rates(posterior: np.ndarray, steps: list[Step], least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of rows of posteriors after the steps, and the point ahead of them: each step's gradient is taken off, and the rate projected to its bound."""
+    rate = ahead = np.ones(len(posterior))
+    for gradient, momentum in steps:
+        moved = np.maximum(least, ahead - posterior @ gradient)
+        ahead = moved + momentum * (moved - rate)
+        rate = moved
+    return rate, ahead
+
+
+def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    column = batch.column(name)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+class Fit:
+    """The steps of a rate search, its bound, and the share of all target tokens by which domain totals missed at each step."""
+
+    def __init__(self, least: float) -> None:
+        self.steps: list[Step] = []
+        self.least = least
+        self.misses: list[float] = []
+
+    def rates(self, posterior: np.ndarray) -> np.ndarray:
+        return rates(posterior, self.steps, self.least)[0]
 
+    @property
+    def miss(self) -> float:
+        return self.misses[-1] if self.misses else 0.0
 
-def solve_rates(rows: DataFrame, weights: list[float], least: float = 0.0, grow: bool = False, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float, list[float]]:
-    """Direction mu, scale and misses per step: a row's rate is max(least, 1 + n_tokens * (posterior . mu) / scale).
 
-    Minimises the squared miss of the expected domain tokens; of all such rates these are the nearest to one.
+def _summed(rows: DataFrame, width: int, sums: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all rows of what a function makes of a batch's tokens and posteriors; a task sends one row of `width` numbers."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                total += sums(batch.column("n_tokens").to_numpy().astype(float), _matrix(batch, "posterior"))
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=[f"s{i}" for i in range(width)])
+
+    parts = rows.select("n_tokens", "posterior").mapInArrow(run, ", ".join(f"s{i} double" for i in range(width)))
+    row = parts.agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(width))).first()
+    return np.array([x or 0.0 for x in row])
+
+
+def solve_rates(rows: DataFrame, weights: list[float], least: float = 0.0, grow: bool = False, steps: int = STEPS, tolerance: float = TOLERANCE) -> Fit:
+    """Projected-gradient rates of rows (n_tokens, posterior) whose expected domain tokens are nearest to the targets, from rates of one.
+
     With grow the total is the least at which no domain has to shrink.
     """
-    k = len(weights)
-    p = [F.col("posterior")[i] for i in range(k)]
-    total, largest, *held = rows.agg(F.sum("n_tokens"), F.max("n_tokens"), *(F.sum(F.col("n_tokens") * x) for x in p)).first()
+    k, fit = len(weights), Fit(least)
+    held = _summed(rows, k + k * k, lambda n, p: np.concatenate((n @ p, ((p * n[:, None]).T @ p).reshape(-1))))
+    held, gram = held[:k], held[k:].reshape(k, k)
+    total = float(held.sum())
     if not total:
-        return np.zeros(k), 1.0, []
-    scale = float(largest)
+        return fit
     share = np.array(weights, float) / sum(weights)
     if grow:
         total = max(h / s for h, s in zip(held, share) if s)
     target = total * share
-    mu, misses, best = np.zeros(k), [], (math.inf, np.zeros(k))
-    pace = 1.0
-    size = F.col("n_tokens") / F.lit(scale)
-    for _ in range(steps):
-        rate = rate_of(F.col("n_tokens"), F.col("posterior"), mu, scale, least)
-        # a row whose rate is just at its bound, as all are at the start where the bound is one, can still rise
-        free = F.when(rate_of(F.col("n_tokens"), F.col("posterior"), mu, scale, -math.inf) >= least, size * F.col("n_tokens")).otherwise(0.0)
-        got = rows.agg(
-            *(F.sum(rate * F.col("n_tokens") * p[i]).alias(f"t{i}") for i in range(k)),
-            *(F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)),
-        ).first()
-        miss = np.array([got[f"t{i}"] for i in range(k)]) - target
-        gram = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        misses.append(float(np.abs(miss).sum() / total))
-        if misses[-1] < best[0]:
-            best = (misses[-1], mu.copy())
-            pace = min(1.0, pace * 1.5)
-        else:
-            mu, pace = best[1].copy(), pace / 2
-            if pace < 1e-3:
-                break
-        # done, or as near as the documents allow
-        if misses[-1] <= tolerance or len(misses) > 12 and best[0] > 0.98 * min(misses[:-8]):
-            break
-        ridge = 1e-9 * max(float(np.trace(gram)) / k, 1e-12)
-        if misses[-1] == best[0]:
-            step = np.linalg.solve(gram + ridge * np.eye(k), miss)
-        mu = best[1] - pace * step
-    return best[1], scale, misses
+    # the weights of the misses; the ridge only matters for domains without documents
+    inverse = np.linalg.inv(gram + 1e-9 * np.trace(gram) * np.eye(k))
+    def totals(n: np.ndarray, p: np.ndarray) -> np.ndarray:
+        rate, ahead = rates(p, fit.steps, least)
+        return np.concatenate(((n * rate) @ p, (n * ahead) @ p))
+
+    now = ahead = held
+    values, pace = [], 1.0
+    while True:
+        miss = now - target
+        values.append(float(miss @ inverse @ miss))
+        fit.misses.append(float(np.abs(miss).sum() / total))
+        stalled = len(values) > STALL_STEPS and values[-1] > (1 - STALL) * values[-1 - STALL_STEPS]
+        if fit.miss <= tolerance or stalled or len(fit.steps) == steps:
+            return fit
+        if len(values) > 1 and values[-1] > values[-2]:
+            # start anew from the iterate
+            fit.steps[-1], ahead, pace = (fit.steps[-1][0], 0.0), now, 1.0
+        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        fit.steps.append((inverse @ (ahead - target), (pace - 1) / faster))
+        pace = faster
+        now, ahead = np.split(_summed(rows, 2 * k, totals), 2)
 
 
 def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: list[float], train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, n_tokens, posterior, rate of every document."""
+    """doc_id, n_tokens, posterior, rate of every document, and miss, the share of tokens by which the whole mixture misses its targets."""
     model = learn_domains(docs, labels, domain, len(weights), train_rows)
     rows = materialise(memberships(docs, model))
-    mu, scale, _ = solve_rates(rows, weights)
-    return rows.withColumn("rate", rate_of(F.col("n_tokens"), F.col("posterior"), mu, scale))
+    fit = solve_rates(rows, weights)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fit.rates(_matrix(batch, "posterior")))], names=[*batch.schema.names, "rate"])
+
+    rated = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("rate", T.DoubleType())]))
+    return rated.withColumn("miss", F.lit(fit.miss))
 
 
 def mixed_rows(docs: DataFrame, labels: DataFrame, domain: Column, weights: list[float], train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of docs, each as often as its rate says: all whole uses, and one more by a hash of the id with the rest as probability.
+    """The rows of docs, each as often as its rate says: all whole uses, and one more by a hash of id and text with the rest as probability.
 
     Rates are at least one, so no document is lost: domains below their weight are repeated.
     """
     model = learn_domains(docs, labels, domain, len(weights), train_rows)
-    mu, scale, _ = solve_rates(materialise(memberships(docs, model)), weights, least=1.0, grow=True)
-    rated = annotate(docs, lambda: membership_function(model), [T.StructField(f"_{f.name}", f.dataType) for f in _MEMBERSHIP])
-    chance = (F.xxhash64(F.lit("uses"), F.col("doc_id")).bitwiseAND(F.lit((1 << 30) - 1))) / F.lit(float(1 << 30))
-    uses = F.floor(rate_of(F.col("_n_tokens"), F.col("_posterior"), mu, scale, 1.0) + chance).cast("int")
-    return rated.select(*docs.columns, F.explode(F.sequence(F.lit(1), uses)).alias("_use")).drop("_use")
+    fit = solve_rates(materialise(memberships(docs, model)), weights, least=1.0, grow=True)
+    name, use = free_name(docs, "_rate"), free_name(docs, "_use")
+
+    def make():
+        member = membership_function(model)
+        return lambda whole: [pa.array(fit.rates(member(whole)[1].flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)), pa.float64())]
+
+    rated = annotate(docs, make, [T.StructField(name, T.DoubleType())])
+    chance = F.xxhash64(F.lit("uses"), F.col("doc_id"), F.col("text")).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+    uses = F.floor(F.col(name) + chance).cast("int")
+    return rated.select(*docs.columns, F.explode(F.sequence(F.lit(1), uses)).alias(use)).drop(use)
 
 
 def label_domain() -> Column:
