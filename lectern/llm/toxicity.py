@@ -3,15 +3,22 @@
 1. A character trigram model is counted over every text of the corpus
    (64 symbol classes, so at most 64**3 counts whatever the corpus size).
 2. Tokens that leetspeak, spacing or repetition may have changed become a
-   lattice: a symbol may stand for a letter or for itself, a run of a
-   letter for one or two of it, a gap between single letters for a word
-   end or for nothing. Viterbi decoding under the character model and the
-   channel's costs restores the text; its words are scored.
+   lattice: a symbol may stand for a letter or for itself, a letter of
+   another script for the Latin one that it looks like, a run of a letter
+   for one or two of it, a gap between single letters for a word end or for
+   nothing, a mark at the end of a token for a letter or for punctuation.
+   Viterbi decoding under the character model and the channel's costs
+   restores the text; its words are scored. A state is the last two
+   symbols and none is ever dropped, so the reading found is the best of
+   the whole lattice, whatever the length of the token.
 3. Evidence of words and of word beginnings is learned from labelled rows:
    a toxic document counts for the strongest evidence it holds, so words
    that merely keep such company get no credit, and occurrences with the
-   same neighbours (copies) count once. A document's score is the
-   noisy-or of its strongest words.
+   same neighbours (copies) count once. A document is as toxic as its
+   strongest word, however long it is.
+
+A token without any letter is taken as a number or a mark and not decoded,
+unless it is part of a run of single characters.
 
 Labels are read only for training rows; a document's id, language and
 source are never inputs of its score.
@@ -35,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import annotate, materialise, slices, texts
+from lectern.llm.common import annotate, free_name, materialise, slices, texts
 
 #: Labelled rows that the classifier is fitted on at most, the first by a hash of their id.
 TRAIN_ROWS = 12_000
@@ -63,16 +70,19 @@ STANDS_FOR = {
 SWAP, ITSELF, DROP, RUN_TWO, RUN_ONE = 1.0, 6.0, 1.5, 0.7, 2.0
 #: Costs of a gap between single letters that joins them, and of one that ends a word.
 JOIN, SPLIT = 0.2, 3.0
-#: Readings kept per step, and complete readings scored.
-BEAM, READINGS = 24, 3
+#: Costs of a mark at either end of a token as punctuation, for marks that often are and for the others.
+EDGE, EDGE_RARE = 0.5, 2.0
+_OFTEN_AT_ENDS = "!(*#|"
+#: Letters of other scripts and the Latin ones that they look like (fixed values).
+LOOKS_LIKE = {
+    "а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
+    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u",
+}
 
 _RUN = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:[^\s][ ]){2,}[^\s](?!\S)")
-_EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’…–—¿¡"
-
-
-#: Symbols that stand for a letter at the start of a token; other marks around a token are punctuation.
-_HEADS = "$@€£("
+#: Marks around a token that are punctuation and nothing else.
+_EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in STANDS_FOR) + "«»“”‘’…–—¿¡"
 
 
 def letter_class(c: str) -> int:
@@ -129,6 +139,9 @@ def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
         if c == " " and spaced:
             out.append([("", JOIN), (" ", SPLIT)])
             run = at + 1
+        elif c in LOOKS_LIKE:
+            out.append([(c, 0.0), (LOOKS_LIKE[c], SWAP)])
+            run = at + 1
         elif c.isalpha() and run - at >= 3:
             out.append([(c, 0.0), (c + c, RUN_TWO)])
         elif c.isalpha() and run - at == 2:
@@ -136,10 +149,11 @@ def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
         elif c.isalpha():
             out.append([(c, 0.0)])
         elif c in STANDS_FOR:
-            choices = [(r, SWAP) for r in STANDS_FOR[c]] + [(" ", ITSELF)]
+            edge = not c.isdigit() and not spaced and (at == 0 or run == len(token))
+            choices = [(r, SWAP) for r in STANDS_FOR[c]] + [(" ", ITSELF if not edge else EDGE if c in _OFTEN_AT_ENDS else EDGE_RARE)]
             if run - at > 1:
                 choices += [(r + r, SWAP + RUN_TWO) for r in STANDS_FOR[c]]
-            if not c.isdigit():
+            if not c.isdigit() and not edge:
                 choices.append(("", DROP))
             out.append(choices)
         elif c.isdigit():
@@ -151,26 +165,29 @@ def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(steps: list[list[tuple[str, float]]], costs: np.ndarray) -> list[str]:
-    """The best readings of a lattice under the character model, best first."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def decode(steps: list[list[tuple[str, float]]], costs: np.ndarray) -> tuple[float, str]:
+    """Cost and text of the best reading of a lattice under the character model; of equal ones the first choices win."""
+    # of every pair of last symbols the cheapest way there, as (cost, choice, the state before); no state is dropped
+    states: dict[tuple[int, int], tuple] = {(0, 0): (0.0, "", None)}
     for choices in steps:
-        ahead: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
-            for written, channel in choices:
-                total, x, y = cost + channel, a, b
-                for c in written:
-                    z = letter_class(c)
+        ahead: dict[tuple[int, int], tuple] = {}
+        spelled = [(written, channel, [letter_class(c) for c in written]) for written, channel in choices]
+        for (a, b), before in states.items():
+            for written, channel, classes in spelled:
+                total, x, y = before[0] + channel, a, b
+                for z in classes:
                     if z or y:
-                        total += float(costs[x, y, z])
+                        total += costs.item(x, y, z)
                     x, y = (y, z) if z else (0, 0)
                 if (x, y) not in ahead or total < ahead[x, y][0]:
-                    ahead[x, y] = (total, text + written)
-        if len(ahead) > BEAM:
-            ahead = dict(sorted(ahead.items(), key=lambda s: s[1][0])[:BEAM])
+                    ahead[x, y] = (total, written, before)
         states = ahead
-    ended = sorted((cost + (float(costs[a, b, 0]) if b else 0.0), text) for (a, b), (cost, text) in states.items())
-    return [text for _, text in ended[:READINGS]]
+    best, node = min(((node[0] + (costs.item(a, b, 0) if b else 0.0), node) for (a, b), node in states.items()), key=lambda s: s[0])
+    parts: list[str] = []
+    while node is not None:
+        parts.append(node[1])
+        node = node[2]
+    return best, "".join(reversed(parts))
 
 
 class Restorer:
@@ -180,31 +197,27 @@ class Restorer:
         self.costs = costs
 
     def words(self, token: str) -> list[str]:
-        """Words of one lower-case token."""
+        """Words of one lower-case token: its runs of letters as written, and those of its best reading."""
         core = token.strip(_EDGES)
-        head = token[: token.find(core)] if core else token
-        if len(head) == 1 and head in _HEADS:
-            core = head + core
         if core.isalpha():
-            return [core, *self._decoded(core)] if _RUN.search(core) else [core]
-        plain = re.findall(r"[^\W\d_]+", core)
-        if not plain or len(core) > 64:
+            alike = not core.isascii() and not LOOKS_LIKE.keys().isdisjoint(core) and any(c in CLASS for c in core)
+            return [core, *self._decoded(core)] if alike or _RUN.search(core) else [core]
+        plain = _LETTERS.findall(core)
+        if not plain:
             return plain
         if len(plain) > 2 and max(map(len, plain)) == 1 and len(core) >= 2 * len(plain) - 1:
-            return [*plain, *self._decoded(" ".join(re.findall(r"[^\W_]", core)), True)]
+            return [*plain, *self._decoded(" ".join(_SINGLE.findall(core)), True)]
         return [*plain, *self._decoded(core)]
 
     def _decoded(self, token: str, spaced: bool = False) -> list[str]:
-        return [w for text in decode(lattice(token, spaced), self.costs) for w in text.split()]
+        return decode(lattice(token, spaced), self.costs)[1].split()
 
     def spaced(self, text: str) -> list[str]:
-        """Words of runs of single characters in a lower-case text; a long run is read in overlapping parts."""
-        out: list[str] = []
-        for m in _SPACED.finditer(text):
-            run = m.group()
-            for at in range(0, max(1, len(run) - 32), 32):
-                out += self._decoded(run[at : at + 64], True)
-        return out
+        """Words of runs of single characters in a lower-case text, each run read as a whole."""
+        return [w for m in _SPACED.finditer(text) for w in self._decoded(m.group(), True)]
+
+
+_LETTERS, _SINGLE = re.compile(r"[^\W\d_]+"), re.compile(r"[^\W_]")
 
 
 def features(word: str) -> list[str]:
@@ -323,11 +336,8 @@ class Scorer:
                     self.hot[token] = p
             self.known |= fresh
         found = [self.hot[t] for t in tokens & self.hot.keys()]
-        found += filter(None, map(self.word, self.restorer.spaced(low)))
-        miss = 1.0 - PRIOR
-        for p in sorted(found)[-3:]:
-            miss *= 1.0 - p
-        return 1.0 - miss
+        found += map(self.word, self.restorer.spaced(low))
+        return 1.0 - (1.0 - PRIOR) * (1.0 - max(found, default=0.0))
 
 
 def score(docs: DataFrame, strength: dict[str, float], costs: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -355,8 +365,10 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     costs = character_costs(character_counts(docs))
     strength = learn(docs, labels, costs, train_rows)
 
+    name = free_name(docs, "_toxicity")
+
     def make():
         scorer = Scorer(strength, costs)
         return lambda whole: [pa.array([scorer.score(t) for t in whole], pa.float64())]
 
-    return annotate(docs, make, [T.StructField("_toxicity", T.DoubleType())]).where(F.col("_toxicity") < threshold).drop("_toxicity")
+    return annotate(docs, make, [T.StructField(name, T.DoubleType())]).where(F.col(name) < threshold).drop(name)
