@@ -11,24 +11,30 @@ document and an earlier start) is removed; windows are judged on the input.
    value, packed into one binary row per slice and bucket, and a hash seen
    twice within a slice is a hit already and travels once, so a block that
    is everywhere costs one entry per slice and not one per occurrence.
-2. Extension. Around hits all full windows are hashed (64 bits, and an
-   independent hash names the bucket) and dealt out again; in each bucket
-   the first start of every window is kept and all later ones are repeats.
-   Runs of repeated windows are the maximal exact repeats; their words go.
-
-Texts are dealt out by their own hash, and copies inside a slice travel
-once, so exact copies meet in one place: the copy with the least id is
-judged, every other copy of `width` or more words is a repeat as a whole.
-
-Defined results: a null or empty text has no words; rows that repeat an id
-and its text get the same result and do not count as earlier than each
-other; a null id orders after all others; extra columns are ignored; an
-empty table gives an empty result.
+2. Extension. Around hits all full windows are hashed (two independent
+   hashes, 128 bits in all, taken as the words) and dealt out again; in each
+   bucket the first start of every window is kept and all later ones are
+   repeats. Runs of repeated windows are the maximal exact repeats; their
+   words go.
+
+Texts are dealt out by their own hash with their least id, and copies inside
+a slice travel once, so exact copies meet in one place: the copy with the
+least id is judged, every other copy of `width` or more words is a repeat as
+a whole. Rows find their text's result by a join on its hash, which adaptive
+execution may split, so many copies of one text, or many empty ones, are no
+load on one task. The number of buckets follows the bytes of the texts.
+
+Defined results: a null or empty text has no words; rows that share an id
+are one document to the order of starts: of equal windows under one id those
+at the least place are the first, in whichever of its rows (rows of equal
+texts so get equal results); a null id orders after all others, and all null
+ids are one; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -39,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import by_bucket, shuffle_partitions
+from lectern.llm.common import buckets, by_bucket, text_bytes
 
 WIDTH = 20
 #: Bytes of text that are hashed at once in a worker; bounds its memory.
@@ -275,36 +281,35 @@ def _spread(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[tuple[int, in
 
 
 def _texts_out(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """Texts by their hash, compressed together per slice and bucket; a text that repeats in the slice goes once with all its ids."""
+    """Texts by their hash, compressed together per slice and bucket; a text that repeats in the slice goes once with its least id."""
     packer = zstandard.ZstdCompressor(level=3)
     for ids, data in _documents(batches):
-        owners: dict[bytes, list[int]] = {}
+        least: dict[bytes, int] = {}
         for i, text in zip(ids.tolist(), data):
-            owners.setdefault(text, []).append(i)
-        buckets: dict[int, list[tuple[list[int], bytes]]] = defaultdict(list)
-        for text, own in owners.items():
-            buckets[xxhash.xxh64_intdigest(text) % n].append((own, text))
-        for b, rows in buckets.items():
-            head = np.array([len(rows), *(len(own) for own, _ in rows), *(len(t) for _, t in rows)], np.uint32).tobytes()
-            body = np.array([i for own, _ in rows for i in own], np.int64).tobytes()
-            yield b, _TEXTS, 0, packer.compress(head + body + b"".join(t for _, t in rows))
-
-
-def _texts_in(payloads: Iterable[bytes]) -> list[tuple[int, list[int], bytes]]:
-    """(least id, ids, text) of all texts of a partition, in an order that depends on nothing else."""
+            least[text] = min(i, least.get(text, i))
+        dealt: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
+        for text, i in least.items():
+            dealt[xxhash.xxh64_intdigest(text) % n].append((i, text))
+        for b, rows in dealt.items():
+            head = len(rows).to_bytes(4, "little") + np.array([i for i, _ in rows], np.int64).tobytes() + np.array([len(t) for _, t in rows], np.uint32).tobytes()
+            yield b, _TEXTS, 0, packer.compress(head + b"".join(t for _, t in rows))
+
+
+def _texts_in(payloads: Iterable[bytes]) -> list[tuple[int, bytes]]:
+    """(least id, text) of all distinct texts of a partition, in an order that depends on nothing else."""
     unpacker = zstandard.ZstdDecompressor()
-    owners: dict[bytes, list[int]] = {}
+    least: dict[bytes, int] = {}
     for payload in payloads:
         data = unpacker.decompress(payload)
         size = int.from_bytes(data[:4], "little")
-        own = np.frombuffer(data, np.uint32, size, 4).tolist()
-        lengths = np.frombuffer(data, np.uint32, size, 4 + 4 * size).tolist()
-        ids = np.frombuffer(data, np.int64, sum(own), 4 + 8 * size).tolist()
-        at, i = 4 + 8 * size + 8 * sum(own), 0
-        for count, length in zip(own, lengths):
-            owners.setdefault(data[at : at + length], []).extend(ids[i : i + count])
-            at, i = at + length, i + count
-    return sorted(((min(ids), ids, text) for text, ids in owners.items()), key=lambda x: (x[0], x[2]))
+        ids = np.frombuffer(data, np.int64, size, 4).tolist()
+        lengths = np.frombuffer(data, np.uint32, size, 4 + 8 * size).tolist()
+        at = 4 + 12 * size
+        for i, length in zip(ids, lengths):
+            text = data[at : at + length]
+            least[text] = min(i, least.get(text, i))
+            at += length
+    return sorted((i, text) for text, i in least.items())
 
 
 def _windows(batches: Iterable[pa.RecordBatch], n: int, width: int, block: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -322,7 +327,7 @@ def _windows(batches: Iterable[pa.RecordBatch], n: int, width: int, block: int)
     del payloads
     todo: list[tuple[int, int, bytes, np.ndarray]] = []
     origin = size = 0
-    for ordinal, (least, _, text) in enumerate(found):
+    for ordinal, (least, text) in enumerate(found):
         key = xxhash.xxh64_intdigest(text)
         if key in hits:
             origin = key % n
@@ -352,21 +357,22 @@ def _judge(todo: list[tuple[int, int, bytes, np.ndarray]], n: int, width: int, b
     ordinal = np.fromiter((o for o, *_ in todo), np.uint32, len(todo))[owner]
     ids = np.fromiter((i for _, i, *_ in todo), np.int64, len(todo))[owner]
     # texts come by id, so the first of equal hashes is the earliest here
-    order = np.argsort(one, kind="stable")
+    order = np.lexsort((two, one))
     fresh = np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])))
     head = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+    # different texts under one id: of starts at one place none is later than the others, so all go on to be judged
     same = (ids[order] == ids[head]) & (place[order] == place[head])
-    later = order[~fresh & ~same]
+    later = order[~same]
     if len(later):
         later.sort()
         yield origin, _REPEATS, origin, _ordinals(ordinal[later], place[later])
-    pick = np.sort(order[fresh])
+    pick = np.sort(order[same])
     bucket = (two[pick] % np.uint64(n)).astype(np.int64)
     order, begin = _by_bucket(bucket, n)
     for b in range(n):
         part = pick[order[begin[b] : begin[b + 1]]]
         if len(part):
-            yield b, _ENTRIES, origin, len(part).to_bytes(4, "little") + one[part].tobytes() + _planes(_delta(ids[part])) + _planes(_delta(ordinal[part])) + _planes(place[part])
+            yield b, _ENTRIES, origin, len(part).to_bytes(4, "little") + one[part].tobytes() + two[part].tobytes() + _planes(_delta(ids[part])) + _planes(_delta(ordinal[part])) + _planes(place[part])
 
 
 def _ordinals(ordinal: np.ndarray, place: np.ndarray) -> bytes:
@@ -381,10 +387,11 @@ def _first_starts(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[tuple[i
             yield origin, kind, origin, payload
             continue
         size = int.from_bytes(payload[:4], "little")
-        at = 4 + 8 * size
+        at = 4 + 16 * size
         parts.append(
             (
                 np.frombuffer(payload, np.uint64, size, 4),
+                np.frombuffer(payload, np.uint64, size, 4 + 8 * size),
                 np.cumsum(_unplaned(payload[at : at + 8 * size], np.int64, size)),
                 np.cumsum(_unplaned(payload[at + 8 * size : at + 12 * size], np.uint32, size), dtype=np.uint32),
                 _unplaned(payload[at + 12 * size :], np.uint32, size),
@@ -393,11 +400,11 @@ def _first_starts(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[tuple[i
         )
     if not parts:
         return
-    one, ids, ordinal, place, origin = (np.concatenate(c) for c in zip(*parts))
+    one, two, ids, ordinal, place, origin = (np.concatenate(c) for c in zip(*parts))
     del parts
-    order = np.lexsort((place, ids, one))
-    one, ids, ordinal, place, origin = one[order], ids[order], ordinal[order], place[order], origin[order]
-    fresh = np.concatenate(([True], one[1:] != one[:-1]))
+    order = np.lexsort((place, ids, two, one))
+    one, two, ids, ordinal, place, origin = one[order], two[order], ids[order], ordinal[order], place[order], origin[order]
+    fresh = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
     head = np.maximum.accumulate(np.where(fresh, np.arange(len(one)), 0))
     later = np.flatnonzero(~fresh & ((ids != ids[head]) | (place != place[head])))
     order = later[np.lexsort((place[later], ordinal[later], origin[later]))]
@@ -420,8 +427,7 @@ def _results(batches: Iterable[pa.RecordBatch], width: int, keep_text: bool) ->
         cuts = np.flatnonzero(np.concatenate(([True], ordinal[1:] != ordinal[:-1])))
         for a, b in zip(cuts, [*cuts[1:], size]):
             starts[int(ordinal[a])].append(place[a:b])
-    nothing = hashlib.sha256(b"").hexdigest()
-    for ordinal, (least, ids, text) in enumerate(_texts_in(payloads)):
+    for ordinal, (least, text) in enumerate(_texts_in(payloads)):
         words = text.split()
         size, removed = len(words), 0
         if ordinal in starts:
@@ -433,17 +439,20 @@ def _results(batches: Iterable[pa.RecordBatch], width: int, keep_text: bool) ->
             removed = int(covered.sum())
             words = [w for w, c in zip(words, covered.tolist()) if not c]
         left = b" ".join(words)
-        digest = hashlib.sha256(left).hexdigest()
-        for i in ids:
-            row = (size, removed, digest, left) if i == least or size < width else (size, size, nothing, b"")
-            yield (None if i == NULL_ID else i, *row) if keep_text else (None if i == NULL_ID else i, *row[:3])
+        row = (_signed(xxhash.xxh64_intdigest(text, 42)), zlib.crc32(text), len(text), least, size, removed, hashlib.sha256(left).hexdigest())
+        yield (*row, left) if keep_text else row
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every whole text; with keep_text also the kept words as text. Ids must be integers."""
-    n = shuffle_partitions(docs.sparkSession)
     block = width // 2
     source = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("doc_id"), docs[text_col].alias("text"))
+    # the entries of the probes are about as large as the texts
+    n = buckets(docs.sparkSession, 2 * text_bytes(source))
 
     def stage(df: DataFrame, step, *args) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,12 +460,13 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
 
         return df.mapInArrow(run, _EXCHANGE)
 
+    names = ["h", "crc", "size", "least", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
+
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * keep_text
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
+        kinds = [pa.int64()] * 6 + [pa.string()] * (1 + keep_text)
         rows: list[tuple] = []
         for row in _results(batches, width, keep_text):
-            rows.append((*row[:4], row[4].decode()) if keep_text else row)
+            rows.append((*row[:7], row[7].decode()) if keep_text else row)
             if len(rows) >= (500 if keep_text else 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
                 rows = []
@@ -468,5 +478,16 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     packed = stage(source, _texts_out, n)
     windows = stage(by_bucket(hits.unionByName(packed), n), _windows, n, width, block)
     repeats = stage(by_bucket(windows, n), _first_starts, n)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return by_bucket(repeats.unionByName(packed), n).mapInArrow(finish, schema)
+    schema = "h long, crc long, size long, least long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
+    judged = by_bucket(repeats.unionByName(packed), n).mapInArrow(finish, schema)
+    text = F.coalesce("text", F.lit(""))
+    rows = source.select("doc_id", F.xxhash64(text).alias("h"), F.crc32(text.cast("binary")).alias("crc"), F.octet_length(text).cast("long").alias("size"))
+    # a later copy of a whole text is a repeat, unless the text is shorter than a window
+    own = (F.col("doc_id") == F.col("least")) | (F.col("n_words") < width)
+    return rows.join(judged, ["h", "crc", "size"]).select(
+        F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"),
+        "n_words",
+        F.when(own, F.col("n_removed")).otherwise(F.col("n_words")).alias("n_removed"),
+        F.when(own, F.col("kept_sha256")).otherwise(F.sha2(F.lit(""), 256)).alias("kept_sha256"),
+        *([F.when(own, F.col("kept_text")).otherwise("").alias("kept_text")] * keep_text),
+    )
