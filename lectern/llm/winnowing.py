@@ -11,16 +11,23 @@ shorter than a k-gram gives the hash of the whole text; an empty or null
 text has no hashes. Equal texts have equal fingerprints.
 
 `fingerprints` is per row. `fingerprint_edits` also pairs each document
-with the next one in descending id order (the last with the first): ids are
-cut into ranges, each range's largest document is also sent to the range
-above, so one exchange brings every pair together. Repeated ids are ordered
-by their text; a null id comes last. Extra columns are ignored.
+with the next one in descending id order (the last with the first). Ids are
+cut into ranges whose number follows the bytes of the texts, an id that fills
+more than a range by the hash of its texts; the first document of a range is
+also sent to the range before it, so one exchange brings every pair together.
+A range is sorted by the engine, which may spill, and read as a stream: a
+worker holds two texts at a time.
+
+Defined results: a null text is empty; repeated ids are ordered by the hash
+of their text, then by the text; a null id comes last and stays null; a lone
+document follows itself; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import by_bucket, shuffle_partitions, slices, texts
+from lectern.llm.common import buckets, by_bucket, materialise, slices, texts
 
 GRAM, WINDOW = 24, 48
 #: An odd base, so that it has an inverse modulo 2**64.
@@ -120,14 +127,23 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, id_col
 
 #: Stands in for a null id: it orders before every other, so last in descending order.
 _NULL_ID = -(1 << 63)
+#: Where a row stands: descending ids, then ascending hashes of the text.
+Place = tuple[int, int]
 
 
-def _range_bounds(ids: DataFrame, n: int) -> list[int]:
-    """At most n - 1 cut points that deal the ids out evenly."""
+def _cuts(places: DataFrame, n: int) -> list[Place]:
+    """Places that deal the rows (doc_id, hash) out to about n ranges; an id of more rows than a range holds is cut by its hashes, which are even."""
     if n < 2:
         return []
-    row = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("q")).first()
-    return sorted(set(row["q"] or []))
+    row = places.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("q"), F.count(F.lit(1)).alias("n")).first()
+    if not row["n"]:
+        return []
+    cuts = {(-int(q), -(1 << 63)) for q in row["q"]}
+    # at most n ids have more than an n-th of the rows
+    for r in places.groupBy("doc_id").count().where(F.col("count") > row["n"] / n).collect():
+        parts = -(-r["count"] * n // row["n"])
+        cuts |= {(-r["doc_id"], -(1 << 63) + (k << 64) // parts) for k in range(parts)}
+    return sorted(cuts)
 
 
 def fingerprint_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,74 +152,73 @@ def fingerprint_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, i
     The edited text is the document with its last floor(n/2) code points replaced by the first as many
     of the next document. Ids must be integers.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    bounds = _range_bounds(source.select("doc_id"), shuffle_partitions(spark))
-    n = len(bounds) + 1
-    bucket = F.lit(0)
-    if bounds:
-        cuts = F.array(*map(F.lit, bounds))
-        # bounded by the number of partitions; the worker below does the same search for the same rows
-        bucket = F.size(F.filter(cuts, lambda c: c < F.col("doc_id")))
-    tops = {r["bucket"]: r["top"] for r in source.select(bucket.alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
+    source = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    places = materialise(source.select("doc_id", "hash", F.octet_length("text").alias("size")))
+    total = places.agg(F.sum("size").alias("n")).first()["n"] or 0
+    cuts = _cuts(places, buckets(docs.sparkSession, total))
+
+    def ranges(ids: pa.Array, hashes: pa.Array) -> list[int]:
+        return [bisect_right(cuts, (-i, h)) for i, h in zip(ids.to_pylist(), hashes.to_pylist())]
+
+    def firsts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, Place] = {}
+        for batch in batches:
+            ids, hashes = batch.column("doc_id"), batch.column("hash")
+            for k, i, h in zip(ranges(ids, hashes), ids.to_pylist(), hashes.to_pylist()):
+                least[k] = min(least.get(k, (-i, h)), (-i, h))
+        if least:
+            yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int32()), pa.array([-p[0] for p in least.values()], pa.int64()), pa.array([p[1] for p in least.values()], pa.int64())], names=["bucket", "doc_id", "hash"])
+
+    # a row per range: as many as the exchange has partitions
+    first = F.min(F.struct((-F.col("doc_id").cast("decimal(20,0)")).alias("id"), "hash")).alias("first")
+    tops = {r["bucket"]: (int(r["first"]["id"]), r["first"]["hash"]) for r in places.select("doc_id", "hash").mapInArrow(firsts, "bucket int, doc_id long, hash long").groupBy("bucket").agg(first).collect()}
     filled = sorted(tops)
-    # a range's largest document is also the next one of the range above; the largest of all follows the least
-    above = {tops[b]: filled[(i + 1) % len(filled)] for i, b in enumerate(filled)}
+    # the first of a range also follows the last of the range before; the first of all follows the last of all
+    before = {tops[b]: filled[k - 1] for k, b in enumerate(filled)}
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "lent", "doc_id", "text", "hash"]
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            own = [bisect_left(bounds, i) for i in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([False] * len(ids)), *batch.columns], names=["bucket", "lent", "doc_id", "text"])
-            lent = [k for k, i in enumerate(ids) if i in above]
-            if lent:
-                part = batch.take(pa.array(lent))
-                yield pa.RecordBatch.from_arrays([pa.array([above[ids[k]] for k in lent], pa.int32()), pa.array([True] * len(lent)), *part.columns], names=["bucket", "lent", "doc_id", "text"])
+            ids, hashes = batch.column("doc_id"), batch.column("hash")
+            yield pa.RecordBatch.from_arrays([pa.array(ranges(ids, hashes), pa.int32()), pa.array([False] * len(ids)), *batch.columns], names=names)
+            at = [k for k, place in enumerate(zip(ids.to_pylist(), hashes.to_pylist())) if (-place[0], place[1]) in before]
+            if at:
+                part = batch.take(pa.array(at))
+                to = [before[-i, h] for i, h in zip(part.column("doc_id").to_pylist(), part.column("hash").to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([True] * len(at)), *part.columns], names=names)
 
     def pair(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(batches, schema=dealt_schema) if not isinstance(batches, pa.Table) else batches
-        ids, lent = held.column("doc_id").to_numpy(), held.column("lent").to_numpy(zero_copy_only=False)
-        column = held.column("text").combine_chunks() if held.num_rows else held.column("text")
-        own = np.flatnonzero(~lent)
-        if not len(own):
-            return
-        text = lambda k: column[int(k)].as_py()
-        order = sorted(own.tolist(), key=lambda k: -int(ids[k]))
-        i = 0
-        while i < len(order):  # repeated ids: by their text
-            j = i + 1
-            while j < len(order) and ids[order[j]] == ids[order[i]]:
-                j += 1
-            if j - i > 1:
-                order[i:j] = sorted(order[i:j], key=text)
-            i = j
-        follow = np.flatnonzero(lent)
-        # of repeated rows of the following id the first by text
-        last_next = min((text(k) for k in follow), default=None)
         powers = Powers()
         rows: list[tuple] = []
-        held_chars = 0
-        current = text(order[0])
-        mine = winnow(code_points(current), powers, gram, window)
-        for at, k in enumerate(order):
-            following = text(order[at + 1]) if at + 1 < len(order) else (last_next if last_next is not None else text(order[0]))
-            theirs = winnow(code_points(following), powers, gram, window)
-            size = len(current)
-            half = size // 2
-            edited = current[: size - half] + following[:half]
-            changed = winnow(code_points(edited), powers, gram, window)
-            rows.append((None if ids[k] == _NULL_ID else int(ids[k]), size, hashlib.sha256(edited.encode()).hexdigest(), written(*mine), written(*changed), likeness(mine[0], changed[0]), likeness(mine[0], theirs[0])))
-            held_chars += size
-            if held_chars > 2_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), out_types)], names=out_names)
-                rows, held_chars = [], 0
-            current, mine = following, theirs
+        held = 0
+        current: tuple[int, str] | None = None
+        mine = None
+        for batch in batches:
+            for lent, i, text in zip(batch.column("lent").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                theirs = winnow(code_points(text), powers, gram, window)
+                if current is not None:
+                    rows.append(_paired(*current, mine, text, theirs, powers, gram, window))
+                    held += rows[-1][1]
+                if held > 2_000_000 or len(rows) == 5_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _OUT.values())], names=list(_OUT))
+                    rows, held = [], 0
+                # the first lent row follows the last own one; copies of it are not looked at
+                current, mine = (None if lent else (i, text)), theirs
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), out_types)], names=out_names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _OUT.values())], names=list(_OUT))
 
-    dealt_schema = pa.schema([("bucket", pa.int32()), ("lent", pa.bool_()), ("doc_id", pa.int64()), ("text", pa.string())])
-    out_names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    out_types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    dealt = source.mapInArrow(deal, "bucket int, lent boolean, doc_id long, text string")
+    dealt = source.mapInArrow(deal, "bucket int, lent boolean, doc_id long, text string, hash long")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return by_bucket(dealt, n).mapInArrow(pair, schema)
+    ordered = by_bucket(dealt, len(cuts) + 1).sortWithinPartitions("bucket", "lent", F.desc("doc_id"), "hash", "text")
+    return ordered.select("lent", "doc_id", "text").mapInArrow(pair, schema)
+
+
+_OUT = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
+
+
+def _paired(doc_id: int, text: str, mine: tuple, following: str, theirs: tuple, powers: Powers, gram: int, window: int) -> tuple:
+    """A result row of a document and the next one's text, both with their kept hashes."""
+    size = len(text)
+    edited = text[: size - size // 2] + following[: size // 2]
+    changed = winnow(code_points(edited), powers, gram, window)
+    return (None if doc_id == _NULL_ID else doc_id, size, hashlib.sha256(edited.encode()).hexdigest(), written(*mine), written(*changed), likeness(mine[0], changed[0]), likeness(mine[0], theirs[0]))
