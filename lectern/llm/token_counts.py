@@ -14,6 +14,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -28,6 +29,8 @@ from lectern.llm.common import slices, texts
 #: Entries a worker keeps in its chunk cache before it starts anew; bounds memory, not results.
 CACHE_ENTRIES = 400_000
 NO_RANK = np.int32(2**31 - 1)
+#: Sequences of more symbols are merged over an index of their pairs.
+LONG = 2_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -99,8 +102,12 @@ class RankMerger:
         length = np.fromiter(map(len, data), np.int64, len(data))
         symbols = self.byte_symbol[np.frombuffer(b"".join(data), np.uint8)]
         out = length.copy()
-        owner = np.flatnonzero(length > 1)
-        keep = np.repeat(length > 1, length)
+        ends = np.cumsum(length)
+        for k in np.flatnonzero(length > LONG):
+            out[k] = self._long(symbols[ends[k] - length[k] : ends[k]])
+        batched = (length > 1) & (length <= LONG)
+        owner = np.flatnonzero(batched)
+        keep = np.repeat(batched, length)
         symbols, length = symbols[keep], length[owner]
         while len(owner):
             starts = np.cumsum(length) - length
@@ -128,6 +135,55 @@ class RankMerger:
             symbols, owner, length = symbols[~done[seq]], owner[~done], length[~done]
         return out
 
+    def _long(self, symbols: np.ndarray) -> int:
+        """Number of symbols that survive in one long sequence."""
+        pairs = symbols[:-1].astype(np.int64) << 20 | symbols[1:]
+        slots = self.table.find(pairs)
+        left, rank_of, product_of = symbols.tolist(), self.table.ranks, self.table.products
+        after, before = list(range(1, len(left) + 1)), list(range(-1, len(left) - 1))
+        at_rank: dict[int, list[int]] = {}
+        pair_slot: dict[int, int] = dict(zip(pairs.tolist(), slots.tolist()))
+        for i in np.flatnonzero(slots >= 0).tolist():
+            at_rank.setdefault(int(rank_of[slots[i]]), []).append(i)
+        ranks = list(at_rank)
+        heapq.heapify(ranks)
+        survive = len(left)
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if i < 0 or j >= len(left):
+                return
+            pair = left[i] << 20 | left[j]
+            slot = pair_slot.get(pair)
+            if slot is None:
+                slot = pair_slot[pair] = int(self.table.find(np.array([pair], np.int64))[0])
+            if slot >= 0:
+                rank = int(rank_of[slot])
+                if rank not in at_rank:
+                    at_rank[rank] = []
+                    heapq.heappush(ranks, rank)
+                at_rank[rank].append(i)
+
+        while ranks:
+            rank = heapq.heappop(ranks)
+            # all occurrences at once, from the left where they overlap
+            for i in sorted(at_rank.pop(rank)):
+                j = after[i]
+                if left[i] < 0 or j >= len(left):
+                    continue
+                slot = pair_slot.get(left[i] << 20 | left[j], -1)
+                if slot < 0 or rank_of[slot] != rank:
+                    continue
+                left[i], left[j] = int(product_of[slot]), -1
+                after[i] = after[j]
+                if after[i] < len(left):
+                    before[after[i]] = i
+                survive -= 1
+                if before[i] >= 0:
+                    offer(before[i])
+                offer(i)
+        return survive
+
     def _pieces(self, text: str) -> tuple[str, list[str]]:
         """A head and the rest cut at single spaces between other characters; such cuts are always pre-token bounds."""
         if text[0] == " " or text[-1] == " " or self.loose_space.search(text):
