@@ -28,9 +28,10 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import annotate, slices, texts
+from lectern.llm.common import annotate, free_name, slices, texts
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -190,6 +191,6 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def without_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows and columns of docs with every found secret masked in the text."""
-    fields = [T.StructField("_masked", T.StringType())]
-    masked = annotate(docs, lambda: lambda whole: [pa.array([redacted(t, scan(t)[1]) for t in whole], pa.string())], fields, text_col)
-    return masked.select(*("_masked" if c == text_col else c for c in docs.columns)).withColumnRenamed("_masked", text_col)
+    name = free_name(docs, "_masked")
+    masked = annotate(docs, lambda: lambda whole: [pa.array([redacted(t, scan(t)[1]) for t in whole], pa.string())], [T.StructField(name, T.StringType())], text_col)
+    return masked.select(*(F.col(name).alias(c) if c == text_col else c for c in docs.columns))
