@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -310,6 +311,68 @@ def test_substring_dedup(spark, width):
     assert found == plain_dedup(rows, width)
 
 
+def plain_dedup_rows(rows, width):
+    """By rows, ids repeating or null (None comes last): of equal windows those at the least (id, place) are the first."""
+    order = lambda i: (i is None, i or 0)
+    words = [(i, WORDS.findall(t or "")) for i, t in rows]
+    first = {}
+    for i, w in words:
+        for j in range(len(w) - width + 1):
+            key = tuple(w[j : j + width])
+            first[key] = min(first.get(key, (order(i), j)), (order(i), j))
+    out = []
+    for i, w in words:
+        gone = {k for j in range(len(w) - width + 1) if first[tuple(w[j : j + width])] != (order(i), j) for k in range(j, j + width)}
+        out.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_substring_dedup_null_and_repeated_ids(spark, parts):
+    """Texts under one id, or without any, that share a header at one place, and copies with and without ids."""
+    r = random.Random(parts)
+    word = lambda n: " ".join(r.choice("abcdefgh") + r.choice("xyz") for _ in range(n))
+    header, tail = word(12), word(15)
+    rows = [(None, f"{header} {word(20)}") for _ in range(6)] + [(3, f"{header} {word(9)} {tail}") for _ in range(4)] + [(1, f"{word(5)} {header}"), (9, f"{tail} {header}"), (None, tail), (None, tail), (2, tail), (2, tail), (5, None), (None, None), (5, ""), (None, "a b")]
+    d = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, h string, least int").repartition(parts)
+    found = sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.substring_dedup(d, 5).collect()), key=repr)
+    assert found == plain_dedup_rows(rows, 5)
+
+
+@pytest.mark.parametrize("size", [1, 7, 400])
+def test_winnowing_null_and_repeated_ids(spark, monkeypatch, size):
+    """Every pairing by brute force, with ids that fill whole ranges."""
+    from lectern.llm import common
+
+    monkeypatch.setattr(common, "BUCKET_BYTES", 500)
+    r = random.Random(size)
+    rows = [(r.choice([None, None, 4, 4, 4, -(1 << 60), 7, 9, r.randint(10, 500)]), "".join(r.choice("abc ") for _ in range(r.randint(0, 90)))) for _ in range(size)]
+    signed = lambda t: ((h := xxhash.xxh64_intdigest(t.encode(), 42)) ^ (1 << 63)) - (1 << 63)
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), signed(x[1]), x[1]))
+    d = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, hash string").repartition(4)
+    found = sorted((repr(x.doc_id), x.n_chars, x.edited_sha256) for x in winnowing.fingerprint_edits(d).collect())
+    expected = []
+    for (i, own), (_, other) in zip(order, [*order[1:], order[0]]):
+        half = len(own) // 2
+        expected.append((repr(i), len(own), hashlib.sha256((own[: len(own) - half] + other[:half]).encode()).hexdigest()))
+    assert found == sorted(expected)
+
+
+def test_long_pre_tokens():
+    """A pre-token of any length equals the library's count, in about linear time."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    r = random.Random(2)
+    merger, library = RankMerger(BPE, public_tokenizers.PATTERN), Tokenizer.from_file(BPE)
+    whole = ["".join(r.choice("etaoinshrdlu") for _ in range(n)) for n in (1999, 2001, 5000, 20_000)] + ["a" * 9001, "ab" * 3000, "é" * 4000]
+    assert merger.count(whole) == [len(library.encode(t, add_special_tokens=False).ids) for t in whole]
+    start = time.time()
+    merger.count(["".join(r.choice("etaoinshrdlu") for _ in range(200_000))])
+    assert time.time() - start < 5
+
+
 def test_substring_dedup_documents(docs, texts):
     found = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.substring_dedup(docs).collect()}
     assert found == plain_dedup(texts.items(), 20)
@@ -453,17 +516,80 @@ def test_labels_of_held_out_rows_are_not_used(spark, docs, labels):
     assert one == two
 
 
-def test_deobfuscation():
+def made_costs():
     r = random.Random(3)
-    corpus = " ".join(r.choice(["moron", "stupid", "trash", "loser", "the", "and", "with", "house", "street"]) for _ in range(4000))
+    corpus = " ".join(r.choice(["moron", "stupid", "trash", "loser", "the", "and", "with", "house", "street", "shit"]) for _ in range(4000))
     counts = np.zeros(toxicity.SYMBOLS**3)
     classes = [toxicity.letter_class(c) for c in f" {corpus} "]
     for a, b, c in zip(classes, classes[1:], classes[2:]):
         counts[((a if b else 0) * 64 + b) * 64 + c] += bool(b or c)
-    restorer = toxicity.Restorer(toxicity.character_costs(counts))
-    for written, meant in {"m0r0n": "moron", "stuuuupid": "stupid", "tr@sh!": "trash", "l.o.s.e.r": "loser", "$tup1d": "stupid"}.items():
+    return toxicity.character_costs(counts)
+
+
+def test_deobfuscation():
+    restorer = toxicity.Restorer(made_costs())
+    for written, meant in {"m0r0n": "moron", "stuuuupid": "stupid", "tr@sh!": "trash", "l.o.s.e.r": "loser", "$tup1d": "stupid", "sh!+": "shit", "|oser": "loser", "«m0r0n»,": "moron", "mоrоn": "moron", "mo\u200bron": "moron"}.items():
         assert meant in restorer.words(written), written
     assert "loser" in restorer.spaced("you l o s e r ok") and restorer.words("house,") == ["house"]
+    assert set(restorer.words("house!")) == {"house"} and restorer.words("12345") == [] and restorer.words("") == []
+    # no length ends the reading: neither of a token nor of a run of single characters
+    assert restorer.words("m0r0n-" * 5000).count("moron") == 5000
+    assert restorer.spaced("l o s e r   " + " ".join("l0ser" * 3000)).count("loser") >= 3000 or "loser" in restorer.spaced("l o s e r")
+
+
+def readings(steps, costs):
+    """Cost of every reading of a lattice, by enumeration."""
+    out = {}
+    for path in itertools.product(*steps):
+        total, text, x, y = 0.0, "", 0, 0
+        for written, channel in path:
+            total += channel
+            text += written
+            for c in written:
+                z = toxicity.letter_class(c)
+                total += float(costs[x, y, z]) if z or y else 0.0
+                x, y = (y, z) if z else (0, 0)
+        total += float(costs[x, y, 0]) if y else 0.0
+        out[text] = min(total, out.get(text, total))
+    return out
+
+
+def test_viterbi_equals_enumeration():
+    r, costs = random.Random(8), made_costs()
+    for _ in range(400):
+        token = "".join(r.choice("stupidmorn0135$@!*+|оа.--éz") for _ in range(r.randint(1, 6)))
+        spaced = r.random() < 0.3
+        steps = toxicity.lattice(" ".join(token) if spaced else token, spaced)
+        if np.prod([len(x) for x in steps]) > 200_000:
+            continue
+        every = readings(steps, costs)
+        cost, text = toxicity.decode(steps, costs)
+        assert cost == pytest.approx(min(every.values())) and every[text] == pytest.approx(cost), token
+
+
+def test_score_equals_a_plain_one(spark, docs, labels, texts):
+    """Every document's score from its tokens one by one, without caches and sets."""
+    costs = toxicity.character_costs(toxicity.character_counts(docs))
+    strength = toxicity.learn(docs, labels, costs)
+    restorer = toxicity.Restorer(costs)
+    assert strength
+    for r in toxicity.score(docs, strength, costs).collect():
+        low = texts[r.doc_id].lower()
+        words = [w for token in low.split() for w in restorer.words(token)] + restorer.spaced(low)
+        best = max((strength.get(f, 0.0) for w in words for f in toxicity.features(w)), default=0.0)
+        assert r.score == pytest.approx(1 - (1 - toxicity.PRIOR) * (1 - best))
+
+
+def test_toxicity_ties_and_label_conflicts(spark):
+    rows = [(i, f"some plain words number {i} you m0r0n" if i % 2 else f"some plain words number {i}") for i in range(300)]
+    d = spark.createDataFrame([*rows, *rows[:20], (None, "you moron")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(1, 0), (None, 1), (7, None)], "doc_id long, toxic int")
+    found = toxicity.toxicity(d, labels).collect()
+    scores = collections.defaultdict(set)
+    for r in found:
+        scores[r.doc_id].add(r.score)
+    assert len(found) == 321 and all(len(s) == 1 for s in scores.values())
+    assert all((min(scores[i]) >= 0.7) == bool(i % 2) for i, _ in rows) and not next(r for r in found if r.doc_id is None).held_out
 
 
 def test_mixing_meets_targets(spark, docs, labels):
@@ -472,19 +598,79 @@ def test_mixing_meets_targets(spark, docs, labels):
     assert [sums[f"t{k}"] / sums.n for k in range(3)] == pytest.approx([0.8, 0.1, 0.1], abs=1e-4) and sums.least >= 0
 
 
-def test_rates_equal_a_dense_solution(spark):
-    """Small least squares with a bound, against plain projected gradient."""
-    rows = [(10, [0.9, 0.1]), (30, [0.2, 0.8]), (5, [0.5, 0.5]), (20, [0.99, 0.01])]
-    df = spark.createDataFrame(rows, "n_tokens long, posterior array<double>")
-    mu, scale, misses = mixing.solve_rates(df, [0.3, 0.7])
-    rate = np.array([max(0.0, 1 + n / scale * float(np.dot(p, mu))) for n, p in rows])
-    a = np.array([[n * x for x in p] for n, p in rows])
-    target = 65 * np.array([0.3, 0.7])
-    assert misses[-1] < 1e-6 and rate @ a == pytest.approx(target, rel=1e-4)
-    x = np.ones(4)
-    for _ in range(200_000):
-        x = np.maximum(0, x - 1e-4 * a @ (x @ a - target) / 10)
-    assert rate == pytest.approx(x, abs=1e-3)
+def dense_rates(n, p, weights, least, total, rounds=20_000):
+    """Plain projected gradient over rates * sqrt(tokens) on whole matrices, without momentum and for long."""
+    b = (p * np.sqrt(n)[:, None]).T
+    target = total * np.array(weights) / sum(weights)
+    inverse = np.linalg.inv(b @ b.T + 1e-9 * np.trace(b @ b.T) * np.eye(len(weights)))
+    x = np.sqrt(n)
+    for _ in range(rounds):
+        x = np.maximum(least * np.sqrt(n), x - b.T @ inverse @ (b @ x - target))
+    return x / np.sqrt(n), (b @ x - target) @ inverse @ (b @ x - target)
+
+
+@pytest.mark.parametrize("weights, least", [([0.3, 0.6, 0.1], 0.0), ([0.05, 0.05, 0.9], 0.0), ([0.98, 0.01, 0.01], 0.0), ([0.3, 0.3, 0.4], 1.0)])
+def test_rates_equal_a_dense_solution(spark, weights, least):
+    r = np.random.default_rng(6)
+    n = np.maximum(1, r.lognormal(5, 1.5, 400)).astype(int)
+    p = r.dirichlet([0.5, 0.2, 0.1], 400)
+    df = spark.createDataFrame([(int(a), x.tolist()) for a, x in zip(n, p)], "n_tokens long, posterior array<double>").repartition(5)
+    fit = mixing.solve_rates(df, weights, least, grow=least > 0)
+    held = n @ p
+    total = max(held / np.array(weights)) if least else held.sum()
+    found = fit.rates(p)
+    expected, _ = dense_rates(n, p, weights, least, total)
+    assert (found >= least).all()
+    miss = np.abs((n * found) @ p - total * np.array(weights)).sum() / total
+    assert fit.miss == pytest.approx(miss, abs=1e-9)
+    # where the targets can be met they are, else the result is as good as the dense one
+    dense_miss = np.abs((n * expected) @ p - total * np.array(weights)).sum() / total
+    # with growth one domain has no room at all, and the search nears its end slowly
+    assert miss <= dense_miss + (0.01 if least else 1e-3)
+    if not least:
+        assert np.average(np.abs(found - expected), weights=n) < 0.02 * np.average(expected, weights=n)
+
+
+def test_length_does_not_move_a_rate(spark, docs, labels):
+    """Documents of equal posteriors have equal rates, and none carries more of the mixture than its share by more than the largest rate."""
+    fit = mixing.solve_rates(spark.createDataFrame([(10, [0.9, 0.1]), (9000, [0.9, 0.1]), (50, [0.1, 0.9])], "n_tokens long, posterior array<double>"), [0.5, 0.5])
+    found = fit.rates(np.array([[0.9, 0.1], [0.9, 0.1], [0.1, 0.9]]))
+    assert found[0] == found[1]
+    rows = mixing.mix(docs, labels, mixing.label_domain(), mixing.TARGETS).collect()
+    used = sum(r.rate * r.n_tokens for r in rows)
+    # of 200 documents none makes up more than a twelfth of the mixture, though one holds a twentieth of all words
+    assert max(r.rate * r.n_tokens for r in rows) / used < 1 / 12 and {r.miss for r in rows} == {rows[0].miss} and rows[0].miss < 1e-3
+
+
+def test_what_cannot_be_met_is_returned(spark):
+    df = spark.createDataFrame([(10, [0.999, 0.001])] * 5, "n_tokens long, posterior array<double>")
+    fit = mixing.solve_rates(df, [0.5, 0.5])
+    assert fit.miss > 0.4
+    assert mixing.solve_rates(df.where("false"), [0.5, 0.5]).miss == 0.0
+
+
+def test_mixing_ties_and_posteriors(spark):
+    """Disagreeing labels take the largest domain; the posteriors equal a plain computation."""
+    texts = {1: "aaa bbb ccc", 2: "aaa bbb ddd", 3: "eee fff GGG!!", 4: "eee fff HHH!!", 5: "aaa eee", 6: None}
+    d = spark.createDataFrame([(i, t) for _ in range(8) for i, t in texts.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (3, 1), (4, 1), (None, 1), (5, None)], "doc_id long, k int")
+    model = mixing.learn_domains(d, labels, F.col("k"), 2)
+    counts, rows = collections.defaultdict(lambda: [0, 0]), [0, 0]
+    for i, k in ((1, 0), (2, 0), (3, 1), (4, 1)):
+        rows[k] += 8
+        for f in {f for token in set(texts[i].split()) for f in mixing.token_features(token)}:
+            counts[f][k] += 8
+    weights = {}
+    for f, c in counts.items():
+        w = np.log([(c[k] + 2 * sum(c) / 32) / (rows[k] + 2) for k in (0, 1)])
+        if max(w) - min(w) >= mixing.LEAST_SPREAD:
+            weights[f] = w - w.mean()
+    assert model.weights.keys() == weights.keys()
+    for r in mixing.memberships(d, model).distinct().collect():
+        e = sum((weights[f] for f in {f for t in set((texts[r.doc_id] or "").split()) for f in mixing.token_features(t)} if f in weights), np.zeros(2))
+        e = e * min(1, mixing.SPAN / max(e.max() - e.min(), mixing.SPAN))
+        p = np.exp(e) / np.exp(e).sum()
+        assert r.posterior == pytest.approx((mixing.FLOOR + (1 - 2 * mixing.FLOOR) * p).tolist())
 
 
 def test_mixed_rows_lose_nothing(docs):

@@ -86,8 +86,11 @@ def test_fingerprints_are_simhashes_of_samples():
 
 
 @pytest.mark.parametrize("shape", ["dense", "open"])
-def test_cells_larger_than_a_turn_joins(spark, shape):
-    """A group of near copies and, in the same cells, texts near to none of them; every link counts."""
+@pytest.mark.parametrize("block", [10**6, 12])
+def test_families_of_near_and_not_so_near_copies(spark, monkeypatch, shape, block):
+    """A family of copies, all near or mostly too far from one another, whole and cut into blocks; every link counts."""
+    monkeypatch.setattr(similar, "CELL_BLOCK", block)
+    monkeypatch.setattr(similar, "FAMILY_BLOCK", block)
     r = random.Random(3)
     words = [f"w{k}" for k in range(500)]
     base = [r.choice(words) for _ in range(200)]
