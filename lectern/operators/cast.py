@@ -1,17 +1,32 @@
-"""Cast tables: labels, speaker resolution, merges and references."""
+"""Cast tables: labels, speaker resolution, merges and references.
+
+Casts, segments, incoming rows and merges may have a `book_id`; names then mean members of the same book only. Tables
+without the column are one book. Names are compared in lower case; a null name is in no match.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.constants import ALIAS_STOPWORDS, EMOTIONS, RETAINED_SPEAKERS
 
+BOOK = "book_id"
 #: Names that every cast has.
 SPECIAL = ("Narrator", "Extra Female", "Extra Male", *RETAINED_SPEAKERS)
 
 
+def _booked(df: DataFrame) -> DataFrame:
+    return df if BOOK in df.columns else df.withColumn(BOOK, F.lit(0))
+
+
+def _unbooked(out: DataFrame, *sources: DataFrame) -> DataFrame:
+    """Without the column where no source has it."""
+    return out if any(BOOK in df.columns for df in sources) else out.drop(BOOK)
+
+
 def usable_aliases(aliases: Column, name: Column) -> Column:
     """Aliases that are neither empty, nor the own name, nor a pronoun."""
 
@@ -22,39 +37,47 @@ def usable_aliases(aliases: Column, name: Column) -> Column:
     return F.filter(aliases, keep)
 
 
-def labels(cast: DataFrame) -> DataFrame:
-    """(norm, display, rank): every normalised name and alias with its display name, special names first, then cast order.
+def _forms(cast: DataFrame) -> Column:
+    return F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
 
-    cast (name, aliases, ordinal).
+
+def labels(cast: DataFrame, books: DataFrame | None = None) -> DataFrame:
+    """(book_id, norm, display): every normalised name and alias with its display name, special names first, then cast order.
+
+    cast (name, aliases, ordinal); the special names are in every book of the cast, and of books (book_id) if given.
     """
+    cast = _booked(cast)
+    every_book = cast.select(BOOK) if books is None else cast.select(BOOK).unionByName(books.select(BOOK))
     display = X.shortest_label(F.col("name"), F.col("aliases"))
-    own = cast.select("ordinal", display.alias("display"), F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("place", "label"))
-    spark = cast.sparkSession
-    special = spark.range(len(SPECIAL)).select(F.lit(-1).cast("long").alias("ordinal"), F.get(F.array(*map(F.lit, SPECIAL)), F.col("id").cast("int")).alias("label"), F.col("id").cast("int").alias("place"))
+    own = cast.select(BOOK, "ordinal", display.alias("display"), F.posexplode(_forms(cast)).alias("place", "label"))
+    special = every_book.distinct().select(BOOK, F.lit(-1).cast("long").alias("ordinal"), F.posexplode(F.array(*map(F.lit, SPECIAL))).alias("place", "label"))
     every = own.unionByName(special.withColumn("display", F.col("label")))
-    return every.groupBy(X.normalize_name(F.col("label")).alias("norm")).agg(F.min_by("display", F.struct("ordinal", "place")).alias("display"))
+    return every.groupBy(BOOK, X.normalize_name(F.col("label")).alias("norm")).agg(F.min_by("display", F.struct("ordinal", "place")).alias("display"))
 
 
 def resolve_speakers(segments: DataFrame, cast: DataFrame) -> DataFrame:
     """segments (speaker, ...) with resolved and problem: by display name, by normalised label, by the one cast member whose label contains the speaker or is contained in it.
 
-    Only distinct speakers are resolved; the containment join has the cast on one side, which is as small as a book's cast.
+    Only distinct speakers of a book are resolved, against its own cast: an equi-join on the book, so the work is a book's speakers times its members.
     """
-    index = labels(cast)
-    speakers = segments.select("speaker").distinct().withColumn("norm", X.normalize_name(F.col("speaker")))
-    exact = speakers.join(index.select(F.col("display").alias("speaker")).distinct(), "speaker", "left_semi").select("speaker", F.col("speaker").alias("exact"))
+    rows, members = _booked(segments), _booked(cast)
+    speakers = rows.select(BOOK, "speaker").distinct().withColumn("norm", X.normalize_name(F.col("speaker")))
+    index = labels(members, speakers)
+    exact = speakers.join(index.select(BOOK, F.col("display").alias("speaker")).distinct(), [BOOK, "speaker"], "left_semi").select(BOOK, "speaker", F.col("speaker").alias("exact"))
     display = X.shortest_label(F.col("name"), F.col("aliases"))
-    forms = cast.select(display.alias("member"), F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("label")).select("member", X.normalize_name(F.col("label")).alias("form")).distinct()
-    loose = speakers.join(forms, F.contains("norm", "form") | F.contains("form", "norm")).groupBy("speaker").agg(F.array_sort(F.collect_set("member")).alias("members"))
-    found = speakers.join(exact, "speaker", "left").join(index, "norm", "left").join(loose, "speaker", "left")
+    forms = members.select(BOOK, display.alias("member"), F.explode(_forms(members)).alias("label")).select(BOOK, "member", X.normalize_name(F.col("label")).alias("form")).distinct()
+    inside = speakers.join(forms, BOOK).where(F.contains("norm", "form") | F.contains("form", "norm"))
+    loose = inside.groupBy(BOOK, "speaker").agg(F.array_sort(F.collect_set("member")).alias("members"))
+    found = speakers.join(exact, [BOOK, "speaker"], "left").join(index, [BOOK, "norm"], "left").join(loose, [BOOK, "speaker"], "left")
     n = F.coalesce(F.size("members"), F.lit(0))
     known = F.coalesce("exact", "display")
     resolved = found.select(
+        BOOK,
         "speaker",
         F.when(known.isNotNull(), known).when(n == 1, F.get("members", F.lit(0))).alias("resolved"),
         F.when(known.isNotNull() | (n == 1), F.lit(None)).when(n > 1, F.concat(F.lit("ambiguous: "), F.array_join("members", ", "))).otherwise("unknown").alias("problem"),
     )
-    return segments.join(resolved, "speaker", "left")
+    return _unbooked(rows.join(resolved, [BOOK, "speaker"], "left"), segments)
 
 
 def grouped_errors(rows: DataFrame, message: str, index: str, shown: int = 10) -> DataFrame:
@@ -67,45 +90,95 @@ def grouped_errors(rows: DataFrame, message: str, index: str, shown: int = 10) -
 
 def find_existing(incoming: DataFrame, cast: DataFrame) -> DataFrame:
     """(id, name, matched): the member that an incoming character (id, name, aliases) is: by name, else name as an alias, else its aliases in order."""
-    names = cast.select(F.lower("name").alias("form"), F.col("name").alias("matched"), F.lit(0).alias("kind"))
-    other = cast.select(F.explode("aliases").alias("form"), F.col("name").alias("matched")).select(F.lower("form").alias("form"), "matched", F.lit(1).alias("kind"))
-    asked = incoming.select("id", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("place", "form")).withColumn("form", F.lower("form"))
-    hits = asked.join(names.unionByName(other), "form").groupBy("id").agg(F.min_by("matched", F.struct("place", "kind", "matched")).alias("matched"))
-    return incoming.select("id", "name").join(hits, "id", "left")
+    asked, members = _booked(incoming), _booked(cast)
+    names = members.select(BOOK, F.lower("name").alias("form"), F.col("name").alias("matched"), F.lit(0).alias("kind"))
+    other = members.select(BOOK, F.explode("aliases").alias("form"), F.col("name").alias("matched")).select(BOOK, F.lower("form").alias("form"), "matched", F.lit(1).alias("kind"))
+    forms = asked.select(BOOK, "id", F.posexplode(_forms(asked)).alias("place", "form")).withColumn("form", F.lower("form"))
+    hits = forms.join(names.unionByName(other), [BOOK, "form"]).groupBy(BOOK, "id").agg(F.min_by("matched", F.struct("place", "kind", "matched")).alias("matched"))
+    return _unbooked(asked.select(BOOK, "id", "name").join(hits, [BOOK, "id"], "left"), incoming)
 
 
 def upsert(cast: DataFrame, incoming: DataFrame) -> DataFrame:
-    """cast (name, description, voice, audition_line, aliases) with incoming rows of one batch, distinct names: new text replaces old, a line only fills a gap, aliases join without taking another member's."""
-    c = cast.withColumn("key", F.lower("name"))
-    i = incoming.select(F.lower("name").alias("key"), *(F.col(x).alias(f"new_{x}") for x in ("name", "description", "voice", "audition_line", "aliases")))
+    """cast (name, description, voice, audition_line, aliases) with incoming rows of one batch, distinct names: new text replaces old, a line only fills a gap, aliases join without taking another member's.
+
+    An incoming name that is an alias of one member is that member, and joins its aliases as it does already; of several incoming rows for one member the least name counts.
+    """
+    members, asked = _booked(cast), _booked(incoming)
+    c = members.withColumn("key", F.lower("name"))
     none = F.array().cast("array<string>")
-    owners = c.select("key", F.explode(F.concat(F.array("name"), F.coalesce("aliases", none))).alias("form")).select(F.col("key").alias("owner"), F.lower("form").alias("form"))
-    fresh = i.select("key", F.explode(usable_aliases(F.coalesce("new_aliases", none), F.col("key"))).alias("alias")).withColumn("form", F.lower("alias"))
-    taken = fresh.join(owners, "form").where("owner <> key").select("key", "alias")
-    allowed = fresh.join(taken, ["key", "alias"], "left_anti").groupBy("key").agg(F.collect_set("alias").alias("allowed"))
-    both = c.join(i, "key", "full_outer").join(allowed, "key", "left")
+    named = asked.select(BOOK, F.lower("name").alias("key"), *(F.col(x).alias(f"new_{x}") for x in ("name", "description", "voice", "audition_line", "aliases")))
+    direct = c.select(BOOK, "key").withColumn("own", F.lit(True))
+    by_alias = c.select(BOOK, F.col("key").alias("member"), F.explode(F.coalesce("aliases", none)).alias("a")).groupBy(BOOK, F.lower("a").alias("key")).agg(F.min("member").alias("member"))
+    found = named.join(direct, [BOOK, "key"], "left").join(by_alias, [BOOK, "key"], "left")
+    i = found.withColumn("key", F.when(F.col("own").isNull(), F.coalesce("member", "key")).otherwise(F.col("key"))).drop("own", "member")
+    i = i.groupBy(BOOK, "key").agg(F.min_by(F.struct(*(c for c in i.columns if c.startswith("new_"))), F.struct(F.lower("new_name") != F.col("key"), "new_name")).alias("x")).select(BOOK, "key", "x.*")
+    owners = c.select(BOOK, "key", F.explode(_forms(c)).alias("form")).select(BOOK, F.col("key").alias("owner"), F.lower("form").alias("form"))
+    fresh = i.select(BOOK, "key", F.explode(usable_aliases(F.coalesce("new_aliases", none), F.col("key"))).alias("alias")).withColumn("form", F.lower("alias"))
+    taken = fresh.join(owners, [BOOK, "form"]).where("owner <> key").select(BOOK, "key", "alias")
+    allowed = fresh.join(taken, [BOOK, "key", "alias"], "left_anti").groupBy(BOOK, "key").agg(F.collect_set("alias").alias("allowed"))
+    both = c.join(i, [BOOK, "key"], "full_outer").join(allowed, [BOOK, "key"], "left")
     pick = lambda x: F.coalesce(F.nullif(F.col(f"new_{x}"), F.lit("")), F.col(x))
     aliases = F.array_sort(F.array_union(usable_aliases(F.coalesce("aliases", none), F.col("key")), F.coalesce("allowed", none)))
     description, voice = pick("description"), pick("voice")
     same = aliases.eqNullSafe(F.array_sort(F.coalesce("aliases", none))) & description.eqNullSafe(F.col("description")) & voice.eqNullSafe(F.col("voice"))
     outcome = F.when(F.col("name").isNull(), "added").when(F.col("new_name").isNull(), "kept").when(same, "unchanged").otherwise("updated")
-    line = F.coalesce(F.nullif(F.col("audition_line"), F.lit("")), F.col("new_audition_line"))
-    return both.select(F.coalesce("name", "new_name").alias("name"), description.alias("description"), voice.alias("voice"), line.alias("audition_line"), aliases.alias("aliases"), outcome.alias("outcome"))
+    line = F.coalesce(F.nullif(F.col("audition_line"), F.lit("")), F.col("new_audition_line"), F.col("audition_line"))
+    out = both.select(BOOK, F.coalesce("name", "new_name").alias("name"), description.alias("description"), voice.alias("voice"), line.alias("audition_line"), aliases.alias("aliases"), outcome.alias("outcome"))
+    return _unbooked(out, cast, incoming)
 
 
-def fold_merges(cast: DataFrame, merges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(name, survivor): members after merges (into, from), chains followed to their end; unknown names are ignored.
+def _survivors(members: list[tuple[str, list[str] | None]], merges: list[tuple[str, str]]) -> list[tuple[str, str, list[str] | None]]:
+    """(name, survivor, aliases of a survivor) of a book's members after merges (into, source) in their order.
 
-    Merges are pairs of a book's cast, followed by doubling: 2**rounds links at most.
+    A name or alias means the member that holds it now, so a chain is followed to its end whatever the order of its
+    links; a merge of a member into itself, which a cycle comes to, and one with an unknown name do nothing.
+    """
+    up = list(range(len(members)))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    holder: dict[str, int] = {}
+    for k, (name, _) in enumerate(members):
+        holder.setdefault(name.lower(), k)
+    for k, (_, aliases) in enumerate(members):
+        for alias in aliases or []:
+            holder.setdefault(alias.lower(), k)
+    for into, source in merges:
+        if (into or "").lower() in holder and (source or "").lower() in holder:
+            up[top(holder[source.lower()])] = top(holder[into.lower()])
+    gained: dict[int, set[str]] = {}
+    for k, (name, aliases) in enumerate(members):
+        gained.setdefault(top(k), set(aliases or [])).update(aliases or [], {name} if top(k) != k else ())
+    held = {k: sorted(a for a in every if a in (members[k][1] or []) or a.lower() != members[k][0].lower()) for k, every in gained.items()}
+    return [(name, members[top(k)][0], held[k] if top(k) == k else None) for k, (name, _) in enumerate(members)]
+
+
+def fold_merges(cast: DataFrame, merges: DataFrame) -> DataFrame:
+    """(name, survivor, aliases): members after merges (into, source, ordinal if there is an order); a survivor holds the names and aliases of all that were folded into it.
+
+    Merges follow one another, so a book's cast and merges are one group; books are independent. Without an ordinal the order is that of the names.
+    Members without a name are left out; merges with a null name do nothing.
     """
-    known = cast.select("name")
-    m = merges.where("into <> source").join(known.withColumnRenamed("name", "into"), "into", "left_semi").join(known.withColumnRenamed("name", "source"), "source", "left_semi")
-    up = m.groupBy("source").agg(F.min("into").alias("into"))
-    at = known.join(up.withColumnRenamed("source", "name"), "name", "left").select("name", F.coalesce("into", "name").alias("survivor"))
-    for _ in range(max(1, (rounds - 1).bit_length())):
-        step = at.select(F.col("name").alias("survivor"), F.col("survivor").alias("next"))
-        at = at.join(step, "survivor", "left").select("name", F.coalesce("next", "survivor").alias("survivor"))
-    return at
+    members, links = _booked(cast), _booked(merges)
+    kind = members.schema[BOOK].dataType.simpleString()
+    links = links if "ordinal" in links.columns else links.withColumn("ordinal", F.lit(0).cast("long"))
+    place = "ordinal" if "ordinal" in members.columns else "name"
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        own = left.sort_values(["place", "name"], kind="stable")
+        order = right.sort_values(["ordinal", "into", "source"], kind="stable")
+        aliases = [None if a is None else list(a) for a in own["aliases"]]
+        rows = _survivors(list(zip(own["name"], aliases)), list(zip(order["into"], order["source"])))
+        return pd.DataFrame([(own[BOOK].iloc[0], *r) for r in rows], columns=[BOOK, "name", "survivor", "aliases"])
+
+    left = members.where("name is not null").select(BOOK, "name", "aliases", F.col(place).alias("place")).groupBy(BOOK)
+    right = links.where("into is not null and source is not null").select(BOOK, "into", "source", "ordinal").groupBy(BOOK)
+    out = left.cogroup(right).applyInPandas(run, f"{BOOK} {kind}, name string, survivor string, aliases array<string>")
+    return _unbooked(out, cast, merges)
 
 
 def emote_tasks(cast: DataFrame) -> DataFrame:

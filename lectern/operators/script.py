@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -14,13 +13,13 @@ def _order() -> WindowSpec:
     return Window.partitionBy("chapter_idx").orderBy("seg_idx")
 
 
-
 def speaker_islands(segments: DataFrame) -> DataFrame:
-    """Adjacent segments of one speaker as one."""
+    """Adjacent segments of one speaker as one; where there are instructions, the first segment's is kept."""
     new = F.when(F.lag("speaker").over(_order()) == F.col("speaker"), 0).otherwise(1)
     island = segments.withColumn("new", new).withColumn("island", F.sum("new").over(_order().rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    g = island.groupBy("chapter_idx", "island").agg(F.first("speaker").alias("speaker"), F.count(F.lit(1)).alias("n_segments"), F.sort_array(F.collect_list(F.struct("seg_idx", X.stripped(F.col("text")).alias("t")))).alias("t"))
-    return g.select("chapter_idx", F.col("island").alias("seg_idx"), "speaker", "n_segments", F.array_join("t.t", " ").alias("text"))
+    first = [F.min_by("instruction", "seg_idx").alias("instruction")] * ("instruction" in segments.columns)
+    g = island.groupBy("chapter_idx", "island").agg(F.first("speaker").alias("speaker"), F.count(F.lit(1)).alias("n_segments"), F.sort_array(F.collect_list(F.struct("seg_idx", X.stripped(F.col("text")).alias("t")))).alias("t"), *first)
+    return g.select("chapter_idx", F.col("island").alias("seg_idx"), "speaker", "n_segments", F.array_join("t.t", " ").alias("text"), *["instruction"] * len(first))
 
 
 def neighbours(segments: DataFrame, before: int, after: int) -> DataFrame:
@@ -30,26 +29,25 @@ def neighbours(segments: DataFrame, before: int, after: int) -> DataFrame:
 
 
 def fold_wordless(segments: DataFrame) -> DataFrame:
-    """Segments without words go to the next one of the same speaker, else to the one before, else stay. Order decides, so a chapter is one group."""
-
-    def fold(chapter: pd.DataFrame) -> pd.DataFrame:
-        rows = chapter.sort_values("seg_idx").to_dict("records")
-        out: list[dict] = []
-        held = ""
-        for k, row in enumerate(rows):
-            text, held = held + row["text"], ""
-            if any(map(str.isalnum, row["text"])):
-                out.append(row | {"text": text})
-            elif k + 1 < len(rows) and rows[k + 1]["speaker"] == row["speaker"]:
-                held = text
-            elif out and out[-1]["speaker"] == row["speaker"]:
-                out[-1] = out[-1] | {"text": out[-1]["text"] + text}
-            else:
-                out.append(row | {"text": text})
-        return pd.DataFrame(out, columns=chapter.columns)
-
-    rows = segments.select("chapter_idx", "seg_idx", "speaker", "text")
-    return rows.groupBy("chapter_idx").applyInPandas(fold, rows.schema)
+    """Segments without words joined to a neighbour of the same speaker: the next one with words, else the one before, else they stay as one.
+
+    Within a run of one speaker a segment belongs to as many segments with words as stand before it, the last ones to the last
+    of those; the text of all that belong together is joined in order, and has the place of the one with words (of the last one
+    where none has any). A null text is empty, a null speaker equals itself; rows that repeat a place keep the order of their texts.
+    """
+    order = Window.partitionBy("chapter_idx").orderBy("seg_idx", "text")
+    before = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = segments.select("chapter_idx", "seg_idx", "speaker", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("worded", X.is_speakable(F.col("text")).cast("int"))
+    first = F.row_number().over(order) == 1
+    rows = rows.withColumn("run", F.sum(F.when(first | ~F.lag("speaker").over(order).eqNullSafe(F.col("speaker")), 1).otherwise(0)).over(before))
+    run = Window.partitionBy("chapter_idx", "run")
+    seen = F.sum("worded").over(run.orderBy("seg_idx", "text").rowsBetween(Window.unboundedPreceding, 0)) - F.col("worded")
+    rows = rows.withColumn("part", F.greatest(F.lit(0), F.least(seen, F.sum("worded").over(run) - 1)))
+    said = F.array_sort(F.collect_list(F.struct("seg_idx", "text")))
+    place = F.coalesce(F.max(F.when(F.col("worded") == 1, F.col("seg_idx"))), F.max("seg_idx"))
+    parts = rows.groupBy("chapter_idx", "run", "part").agg(place.alias("seg_idx"), F.first("speaker").alias("speaker"), F.array_join(said["text"], "").alias("text"))
+    return parts.select("chapter_idx", "seg_idx", "speaker", "text")
 
 
 def at_position(segments: DataFrame, asked: DataFrame) -> DataFrame:

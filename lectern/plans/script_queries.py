@@ -67,7 +67,8 @@ def cast_merge(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation")
     nxt = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("into"))
     merges = n.where("n_nationkey % 5 <> 4").join(nxt, F.col("n_nationkey") + 1 == F.col("k")).select("into", F.col("n_name").alias("source"))
-    return cast.fold_merges(_cast(spark, d), merges)
+    found = cast.fold_merges(_cast(spark, d), merges)
+    return found.select("name", "survivor", F.array_join("aliases", "|").alias("aliases"))
 
 
 def emote_tasks(spark: SparkSession, d: str) -> DataFrame:
@@ -220,10 +221,22 @@ QUERIES = {
         "a AS (SELECT id, unnest(list_concat([name], aliases)) AS form, generate_subscripts(list_concat([name], aliases), 1) AS place FROM i), f AS (SELECT lower(name) AS form, name AS matched, 0 AS kind FROM members UNION ALL SELECT lower(unnest(aliases)), name, 1 FROM members) "
         "SELECT i.id, i.name, m.matched FROM i LEFT JOIN (SELECT id, arg_min(matched, (place, kind, matched)) AS matched FROM a JOIN f ON lower(a.form) = f.form GROUP BY id) m USING (id)",
     ),
-    "cast_upsert": (cast_upsert, None),
+    "cast_upsert": (
+        cast_upsert,
+        f"WITH {CAST_SQL}, c AS (SELECT name, lower(name) AS key, 'from ' || name AS description, CASE WHEN ordinal % 2 = 0 THEN 'a line' ELSE '' END AS line, aliases, ordinal FROM members), "
+        "f AS (SELECT lower(unnest(list_concat([name], aliases))) AS form, key AS owner FROM c), "
+        f"w AS (SELECT lower(name) AS key, a.alias FROM c, (SELECT unnest([1, 2, 3]) AS i) x, LATERAL (SELECT ['she', 'old ' || name, 'the FRANCE'][x.i] AS alias) a WHERE ordinal % 3 = 0), "
+        f"k AS (SELECT key, list(alias) AS fresh FROM w WHERE {_CLEAN('alias')} <> '' AND {_CLEAN('alias')} <> key AND {_CLEAN('alias')} NOT IN {_STOP} AND NOT EXISTS (SELECT 1 FROM f WHERE f.form = lower(alias) AND f.owner <> w.key) GROUP BY key) "
+        f"SELECT name, CASE WHEN ordinal % 6 = 0 THEN 'new' ELSE description END AS description, 'low' AS voice, CASE WHEN line = '' AND ordinal % 3 = 0 THEN 'said' ELSE line END AS audition_line, "
+        f"array_to_string(list_sort(list_distinct(list_concat(list_filter(aliases, lambda a: {_CLEAN('a')} <> '' AND {_CLEAN('a')} <> key AND {_CLEAN('a')} NOT IN {_STOP}), coalesce(fresh, [])))), '|') AS aliases, "
+        "CASE WHEN ordinal % 3 <> 0 THEN 'kept' ELSE 'updated' END AS outcome FROM c LEFT JOIN k USING (key)",
+    ),
     "cast_merge": (
         cast_merge,
-        "SELECT n.n_name AS name, t.n_name AS survivor FROM nation n JOIN nation t ON t.n_nationkey = least(n.n_nationkey - n.n_nationkey % 5 + 4, 24)",
+        f"WITH {CAST_SQL}, t AS (SELECT m.name, m.aliases, s.name AS survivor FROM members m JOIN members s ON s.ordinal = least(m.ordinal - m.ordinal % 5 + 4, 24)), "
+        "a AS (SELECT survivor, name, unnest(list_concat(aliases, CASE WHEN name = survivor THEN [] ELSE [name] END)) AS alias FROM t), "
+        "g AS (SELECT survivor, array_to_string(list_sort(list(DISTINCT alias)), '|') AS aliases FROM a WHERE name = survivor OR lower(alias) <> lower(survivor) GROUP BY 1) "
+        "SELECT name, survivor, CASE WHEN name = survivor THEN g.aliases END AS aliases FROM t JOIN g USING (survivor)",
     ),
     "emote_tasks": (emote_tasks, f"SELECT n_name AS name, i - 1 AS emotion_idx, {_EMO}[i] AS emotion, sha256(n_name || chr(31) || {_EMO}[i]) AS hash FROM nation, generate_series(1, {len(EMOTIONS)}) AS g(i)"),
     "round_robin_voices": (
@@ -244,7 +257,16 @@ QUERIES = {
         neighbor_context,
         f"WITH {SEGMENTS_SQL} SELECT chapter_idx, seg_idx, md5(array_to_string(list(speaker || ': ' || text) OVER (PARTITION BY chapter_idx ORDER BY seg_idx ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), chr(10))) AS md5 FROM segments",
     ),
-    "fold_wordless": (fold_wordless, None),
+    "fold_wordless": (
+        fold_wordless,
+        f"WITH {SEGMENTS_SQL}, r AS (SELECT chapter_idx, seg_idx, CASE WHEN seg_idx % 5 < 3 THEN 'a' ELSE 'b' END AS speaker, CASE WHEN seg_idx % 3 = 1 THEN '“' ELSE text END AS text FROM segments), "
+        "w AS (SELECT *, regexp_matches(text, '[\\p{L}\\p{N}]') AS worded, coalesce(lag(speaker) OVER c <> speaker, true) AS new FROM r WINDOW c AS (PARTITION BY chapter_idx ORDER BY seg_idx)), "
+        "i AS (SELECT *, sum(new::INT) OVER (PARTITION BY chapter_idx ORDER BY seg_idx) AS run FROM w), "
+        # the next one with words in the run, else the last one, else the run's end
+        "o AS (SELECT *, coalesce((SELECT min(n.seg_idx) FROM i n WHERE n.chapter_idx = i.chapter_idx AND n.run = i.run AND n.worded AND n.seg_idx >= i.seg_idx), "
+        "(SELECT max(n.seg_idx) FROM i n WHERE n.chapter_idx = i.chapter_idx AND n.run = i.run AND n.worded), max(seg_idx) OVER (PARTITION BY chapter_idx, run)) AS home FROM i) "
+        "SELECT chapter_idx, home AS seg_idx, any_value(speaker) AS speaker, string_agg(text, '' ORDER BY seg_idx) AS text FROM o GROUP BY chapter_idx, home",
+    ),
     "audit_segment_index": (
         audit_segment_index,
         f"WITH {SEGMENTS_SQL}, e AS (SELECT chapter_idx || '-' || seg_idx AS entry_id, chapter_idx, seg_idx + chapter_idx % 3 AS seg_idx, CASE WHEN seg_idx % 4 = 3 THEN 'gone' ELSE text END AS text FROM segments), "
