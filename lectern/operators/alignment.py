@@ -5,15 +5,17 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Iterable
+from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 
 _TOKEN = re.compile(r"\w+")
-_EDGE = frozenset(".,;:?!\"'()[]-")
+_EDGE = ".,;:?!\"'()[]-"
 ACCEPT = 0.7
 
 
@@ -40,64 +42,75 @@ def find_text(needle: str, source: str, start: int = 0) -> tuple[int, int] | Non
 
 
 def compare_script(source: str, segments: list[str]) -> tuple[list[tuple[str, int, int, str]], list[int]]:
-    """What of the source no segment says, as (text, segment to insert before, offset in it, line), and segments that the source does not have."""
+    """What of the source no segment says, as (text, segment to insert before, offset in it, line), and segments that the source does not have.
+
+    Words are aligned in matching blocks. A gap is a run of source words between two blocks; it belongs where the script
+    stands behind the first of them. A segment of which under half the words lie in blocks is not in the source.
+    """
     if not segments:
         return ([(source, 0, 0, source)] if source.strip() else []), []
-    have = tokens(source)
-    said = [(w, k, a) for k, text in enumerate(segments) for w, a, _ in tokens(text)]
-    total, matched = [0] * len(segments), [0] * len(segments)
-    for _, k, _ in said:
-        total[k] += 1
-    gaps: list[list[int]] = []
-    steps = difflib.SequenceMatcher(None, [t[0] for t in have], [t[0] for t in said], autojunk=False).get_opcodes()
-    for kind, i1, i2, j1, j2 in steps:
-        if kind == "equal":
-            for _, k, _ in said[j1:j2]:
-                matched[k] += 1
-        elif i2 > i1:
-            _, before, offset = said[j1] if j1 < len(said) else ("", len(segments), 0)
-            gaps.append([have[i1][1], have[i2 - 1][2], before, offset])
-    joined: list[list[int]] = []
-    for gap in sorted(gaps):
-        if joined and joined[-1][2:] == gap[2:] and not re.search(r"\w", source[joined[-1][1] : gap[0]]):
-            joined[-1][1] = gap[1]
-        else:
-            joined.append(gap)
+    have, spoken = tokens(source), [tokens(text) for text in segments]
+    said = [t[0] for own in spoken for t in own]
+    owner = np.repeat(np.arange(len(segments)), [len(own) for own in spoken])
+    offset = [t[1] for own in spoken for t in own]
+    blocks = np.array(difflib.SequenceMatcher(None, [t[0] for t in have], said, autojunk=False).get_matching_blocks(), np.int64)
+    # between the end of a block and the start of the next; the last block is empty and stands at both ends
+    left = np.concatenate(([0], blocks[:-1, 0] + blocks[:-1, 2]))
+    behind = np.concatenate(([0], blocks[:-1, 1] + blocks[:-1, 2]))
     missing = []
-    for start, end, before, offset in joined:
-        while start and source[start - 1] in _EDGE:
-            start -= 1
-        while end < len(source) and source[end] in _EDGE:
-            end += 1
-        text = source[start:end].strip()
-        line = source[source.rfind("\n", 0, start) + 1 : (source.find("\n", end) + 1 or len(source) + 1) - 1].strip()
-        if len(text) > 1 or text.isalnum():
-            missing.append((text, before, offset, line))
-    return missing, [k for k, n in enumerate(total) if n and matched[k] < 0.5 * n]
+    for first, last, at in zip(left.tolist(), blocks[:, 0].tolist(), behind.tolist()):
+        if last > first:
+            a, b = _with_punctuation(source, have[first][1], have[last - 1][2])
+            text = source[a:b].strip()
+            if len(text) > 1 or text.isalnum():
+                missing.append((text, int(owner[at]) if at < len(said) else len(segments), offset[at] if at < len(said) else 0, _line(source, a, b)))
+    inside = np.zeros(len(said) + 1, np.int64)
+    np.add.at(inside, blocks[:, 1], 1)
+    np.add.at(inside, blocks[:, 1] + blocks[:, 2], -1)
+    matched = np.bincount(owner, np.cumsum(inside)[: len(said)], len(segments))
+    return missing, np.flatnonzero((matched < 0.5 * np.bincount(owner, minlength=len(segments)))).tolist()
+
+
+def _with_punctuation(source: str, a: int, b: int) -> tuple[int, int]:
+    """A span and the marks right around it."""
+    return len(source[:a].rstrip(_EDGE)), len(source) - len(source[b:].lstrip(_EDGE))
+
+
+def _line(source: str, a: int, b: int) -> str:
+    """The whole lines that hold a span."""
+    return (source[:a].rpartition("\n")[2] + source[a:b] + source[b:].partition("\n")[0]).strip()
+
+
+Span = tuple[int, int]
+
+
+def _literal(source: str, needle: str, at: int) -> Span | None:
+    found = source.find(needle, at)
+    return (found, found + len(needle)) if found >= 0 else None
+
+
+def _any_space(source: str, needle: str, at: int) -> Span | None:
+    """With all white space as one space; places are counted in the text so written, as the reviewed scripts expect."""
+    span = _literal(" ".join(re.split(r"\s+", source[at:])), " ".join(re.split(r"\s+", needle)), 0)
+    return (at + span[0], at + span[0] + len(needle)) if span else None
+
+
+def _in_words(source: str, needle: str, at: int) -> Span | None:
+    return find_text(needle, source, at)
 
 
 def locate_span(source: str, texts: Iterable[str], cursor: int = 0) -> tuple[int, int]:
-    """Span of the source that holds the texts in order: found exactly, else with other white space, else by words."""
-    start, at, end = None, cursor, cursor
-    for text in texts:
-        needle = text.strip()
-        if not needle:
-            continue
-        size, found = len(needle), source.find(needle, at)
-        if found < 0:
-            loose = re.sub(r"\s+", " ", source[at:]).find(re.sub(r"\s+", " ", needle))
-            if loose >= 0:
-                found = at + loose
-            elif span := find_text(needle, source, at):
-                found, size = span[0], span[1] - span[0]
-            else:
-                start = cursor if start is None else start
-                continue
-        if start is None and found >= cursor:
-            start = found
-        at = end = found + size
-    start = cursor if start is None else start
-    return start, end if end > start else len(source)
+    """Span of the source that holds the texts in order, each searched behind the one before: literally, else with other white space, else by words.
+
+    It begins where the first text was found (at the cursor if it was not) and ends behind the last that was found, at the end of the source if none was.
+    """
+    found: list[Span | None] = []
+    at = cursor
+    for needle in filter(None, map(str.strip, texts)):
+        found.append(_literal(source, needle, at) or _any_space(source, needle, at) or _in_words(source, needle, at))
+        at = found[-1][1] if found[-1] else at
+    start = found[0][0] if found and found[0] else cursor
+    return start, at if at > start else len(source)
 
 
 def locate_chunks(source: str, chunks: Iterable[str]) -> list[tuple[int, int] | None]:
@@ -130,28 +143,39 @@ def validate_scripts(sources: DataFrame, segments: DataFrame) -> DataFrame:
     return sources.select("chapter_idx", "text").groupBy("chapter_idx").cogroup(segments.select("chapter_idx", "seg_idx", "text").groupBy("chapter_idx")).applyInPandas(run, schema)
 
 
-def _positions(df: DataFrame, key: str, text: Column) -> DataFrame:
-    return df.select(key, X.word_tokens(text).alias("w"))
+#: Runs of so many needle words are sent to every task; more are joined by an exchange.
+BROADCAST_RUNS = 200_000
 
 
-def longest_shared_runs(needles: DataFrame, sources: DataFrame, needle_key: str, source_key: str, anchor: int = 4) -> DataFrame:
-    """Pairs whose longest common run of words has at least 0.7 of the needle's words (needles of `anchor` words or more).
+def _runs(words: DataFrame, key: str, place: str, anchor: int, *kept: str) -> DataFrame:
+    """(key, place, anchor, h): hashes of all runs of `anchor` words."""
+    w = words.where(F.size("w") >= anchor)
+    hashes = F.transform(F.slice("w", 1, F.size("w") - (anchor - 1)), lambda x, i: F.xxhash64(*(F.get("w", i + k) for k in range(anchor))))
+    return w.select(key, *kept, F.lit(anchor).alias("anchor"), F.posexplode(hashes).alias(place, "h"))
 
-    Needles and sources (key, text). Runs of `anchor` words are joined by their hash; matches on one diagonal in
-    consecutive places are one run, so the longest run follows from gaps and islands. Ties: earliest in the needle,
-    then earliest in the source.
-    """
 
-    def anchors(df: DataFrame, key: str, place: str) -> DataFrame:
-        w = _positions(df, key, F.col("text")).where(F.size("w") >= anchor)
-        runs = F.transform(F.slice("w", 1, F.size("w") - anchor + 1), lambda x, i: F.xxhash64(*(F.get("w", i + k) for k in range(anchor))))
-        return w.select(key, F.size("w").alias("n"), F.posexplode(runs).alias(place, "h"))
+def longest_shared_runs(needles: DataFrame, sources: DataFrame, needle_key: str, source_key: str, longest_anchor: int = 4) -> DataFrame:
+    """Pairs whose longest common run of words has at least 0.7 of the needle's words.
 
-    a = anchors(needles, needle_key, "i")
-    b = anchors(sources, source_key, "j").drop("n")
-    hits = a.join(b, "h").withColumn("diagonal", F.col("i") - F.col("j"))
+    Needles and sources (key, text). A needle's anchors are its runs of as many words as any accepted match must have, four
+    at most; they are joined by their hash. Matches on one diagonal in consecutive places are one run, so the longest run
+    follows from gaps and islands. Ties: earliest in the needle, then earliest in the source. A needle or source that is null or has
+    no words is in no pair; rows that repeat a key are one text only if they are equal.
+    """
+    own = needles.select(needle_key, X.word_tokens(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
+    theirs = sources.select(source_key, X.word_tokens(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
+    needed = F.ceil(F.size("w") * F.lit(ACCEPT) - 1e-9).cast("int")
+    own = own.withColumn("needed", needed)
+    anchors = range(1, longest_anchor + 1)
+    least = F.least(F.lit(longest_anchor), F.col("needed"))
+    sized = reduce(DataFrame.unionByName, (_runs(own.where(least == anchor), needle_key, "i", anchor, "needed") for anchor in anchors))
+    # lengths that occur, and how many runs of each: a few numbers
+    found = {r["anchor"]: r["n"] for r in sized.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = reduce(DataFrame.unionByName, (_runs(theirs, source_key, "j", anchor) for anchor in sorted(found) or [1]))
+    small = sum(found.values()) <= BROADCAST_RUNS
+    hits = held.join(F.broadcast(sized) if small else sized, ["anchor", "h"]).withColumn("diagonal", F.col("i") - F.col("j"))
     w = Window.partitionBy(needle_key, source_key, "diagonal").orderBy("i")
     islands = hits.withColumn("island", F.col("i") - F.row_number().over(w))
-    runs = islands.groupBy(needle_key, source_key, "diagonal", "island").agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.count(F.lit(1)) + anchor - 1).alias("size"), F.first("n").alias("n"))
-    best = runs.where(F.col("size") >= ACCEPT * F.col("n")).groupBy(needle_key, source_key).agg(F.max(F.struct("size", -F.col("i"), -F.col("j"))).alias("b"))
-    return best.select(needle_key, source_key, F.col("b.size").cast("long").alias("size"), (-F.col("b.col2")).cast("long").alias("needle_at"), (-F.col("b.col3")).cast("long").alias("source_at"))
+    runs = islands.groupBy(needle_key, source_key, "diagonal", "island").agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.count(F.lit(1)) + F.first("anchor") - 1).alias("size"), F.first("needed").alias("needed"))
+    best = runs.where(F.col("size") >= F.col("needed")).groupBy(needle_key, source_key).agg(F.max(F.struct("size", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))).alias("b"))
+    return best.select(needle_key, source_key, F.col("b.size").cast("long").alias("size"), (-F.col("b.i")).cast("long").alias("needle_at"), (-F.col("b.j")).cast("long").alias("source_at"))

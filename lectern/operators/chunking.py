@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,38 +19,40 @@ def sentences(text: str) -> list[str]:
     return [s for part in _SENTENCE_END.split(text) if (s := part.strip())]
 
 
+def _filled(pieces: list[str], limit: int) -> list[str]:
+    """Pieces joined to the longest runs whose lengths, and one for each piece, stay within the limit; a piece that is too long stands alone.
+
+    A run ends where the running sum passes the limit from the run's start: one search per run.
+    """
+    ends = [0, *accumulate(len(p) + 1 for p in pieces)]
+    out: list[str] = []
+    at = 0
+    while at < len(pieces):
+        to = max(at + 1, bisect_right(ends, ends[at] + limit) - 1)
+        out.append(" ".join(pieces[at:to]))
+        at = to
+    return out
+
+
 def pack_sentences(text: str, max_chars: int = MAX_CHUNK_CHARS) -> Iterator[str]:
-    """Sentences packed while they fit; each costs its length and one. A sentence that cannot fit is packed by words, and its rest stays open.
+    """Sentences packed while they fit; the last of a chunk need not pay for its space. A sentence longer than a chunk is packed by words, and its last words open the next chunk.
 
     A first word that is too long itself is preceded by an empty chunk, which callers drop.
     """
-    held: list[str] = []
-    size = 0
-
-    def take(piece: str) -> None:
-        nonlocal size
-        held.append(piece)
-        size += len(piece) + 1
-
-    for sentence in sentences(text):
-        if held and size + len(sentence) > max_chars:
-            yield " ".join(held)
-            held, size = [], 0
-        if len(sentence) <= max_chars:
-            take(sentence)
+    open_pieces: list[str] = []
+    for too_long, group in groupby(sentences(text), lambda s: len(s) > max_chars):
+        if not too_long:
+            open_pieces += group
             continue
-        line: list[str] = []
-        width = 0
-        for word in sentence.split(" "):
-            cost = len(word) + 1
-            if width + cost > max_chars:
-                yield " ".join(line)
-                line, width = [], 0
-            line.append(word)
-            width += cost
-        take(" ".join(line))
-    if held:
-        yield " ".join(held)
+        for sentence in group:
+            yield from _filled(open_pieces, max_chars + 1)
+            words = sentence.split(" ")
+            if len(words[0]) >= max_chars:
+                yield ""
+            *full, last = _filled(words, max_chars)
+            yield from full
+            open_pieces = [last]
+    yield from _filled(open_pieces, max_chars + 1)
 
 
 def pack_paragraphs(text: str, max_words: int = SCRIPT_CHUNK_WORDS, separator: str = "\n\n", overlap: int = 0, keep_blank: bool = True) -> Iterator[str]:

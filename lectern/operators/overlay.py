@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import accumulate, count
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
@@ -20,116 +24,141 @@ def local(tag: object) -> str:
     return tag.rpartition("}")[2] if isinstance(tag, str) else ""
 
 
-def content_elements(root: ET.Element) -> list[ET.Element]:
-    """Content elements in document order, none inside dropped ones."""
-    if local(root.tag) in SKIP_TAGS:
-        return []
-    own = [root] if local(root.tag) in CONTENT_TAGS else []
-    return own + [e for child in root for e in content_elements(child)]
-
-
-def slots(element: ET.Element) -> list[tuple[ET.Element, str]]:
-    """Where the loose text of an element is kept: (element, "text" or "tail"), in order, nested content elements left out."""
-    out = [(element, "text")]
-    for child in element:
-        if local(child.tag) not in CONTENT_TAGS and local(child.tag) not in SKIP_TAGS:
-            out += slots(child)
-        out.append((child, "tail"))
+@dataclass
+class Run:
+    """A stretch of a paragraph's text as the document keeps it: the text of a node, or what follows it inside its parent."""
+
+    node: ET.Element
+    parent: ET.Element | None
+
+    @property
+    def raw(self) -> str:
+        return (self.node.text if self.parent is None else self.node.tail) or ""
+
+    def wrap(self, a: int, b: int, span: ET.Element) -> None:
+        """Put raw[a:b] into the span."""
+        raw = self.raw
+        span.text, span.tail = raw[a:b], raw[b:]
+        if self.parent is None:
+            self.node.text = raw[:a]
+            self.node.insert(0, span)
+        else:
+            self.node.tail = raw[:a]
+            self.parent.insert(list(self.parent).index(self.node) + 1, span)
+
+
+class Paragraph:
+    """The text of a content element without that of nested ones: words of the document's runs, joined by one space where there was any.
+
+    Words are kept with where they begin in the joined text, so a place there is found by one search.
+    """
+
+    def __init__(self, element: ET.Element) -> None:
+        self.element = element
+        self.runs: list[Run] = []
+        #: Per word: where it begins in the joined text, its run, where it begins there.
+        self.starts: list[int] = []
+        self.at: list[tuple[int, int]] = []
+        parts: list[str] = []
+        size, gap = 0, False
+        self._collect(element)
+        for k, run in enumerate(self.runs):
+            for m in _BLANK_OR_WORD.finditer(run.raw):
+                if m.lastgroup == "blank":
+                    gap = size > 0
+                    continue
+                parts += [" "] * gap + [m.group()]
+                size += gap
+                self.starts.append(size)
+                self.at.append((k, m.start()))
+                size += len(m.group())
+                gap = False
+        self.text = "".join(parts)
+
+    def _collect(self, element: ET.Element) -> None:
+        self.runs.append(Run(element, None))
+        for child in element:
+            if not own_text(child):
+                self._collect(child)
+            self.runs.append(Run(child, element))
+
+    def _place(self, at: int) -> tuple[int, int] | None:
+        """Run and offset in it of a character of the joined text, none for a space."""
+        word = bisect_right(self.starts, at) - 1
+        if word < 0 or self.text[at] == " ":
+            return None
+        run, start = self.at[word]
+        return run, start + at - self.starts[word]
+
+    def wrap(self, start: int, end: int, fragment: str, expected: str) -> bool:
+        """Put a range of the joined text in a span with an id; False if it crosses markup, is out of range, begins or ends with a space, or reads otherwise."""
+        if not 0 <= start < end <= len(self.text) or self.text[start:end] != expected:
+            return False
+        first, last = self._place(start), self._place(end - 1)
+        if first is None or last is None or first[0] != last[0]:
+            return False
+        tag = self.element.tag
+        self.runs[first[0]].wrap(first[1], last[1] + 1, ET.Element(tag[: tag.rfind("}") + 1] + "span", id=fragment))
+        return True
+
+
+_BLANK_OR_WORD = re.compile(r"(?P<blank>\s+)|(?P<word>\S+)")
+
+
+def own_text(element: ET.Element) -> bool:
+    """Whether an element's text is not part of the paragraph around it: it is one itself, or is left out."""
+    return local(element.tag) in CONTENT_TAGS or local(element.tag) in SKIP_TAGS
+
+
+def paragraphs(root: ET.Element) -> list[Paragraph]:
+    """Content elements with text of their own in document order, none inside dropped ones."""
+    out: list[Paragraph] = []
+    todo = [root]
+    while todo:
+        element = todo.pop()
+        if local(element.tag) in SKIP_TAGS:
+            continue
+        if local(element.tag) in CONTENT_TAGS and (found := Paragraph(element)).text:
+            out.append(found)
+        todo += reversed(element)
     return out
 
 
-def collapsed(places: list[tuple[ET.Element, str]]) -> tuple[str, list[tuple[int, int]]]:
-    """The text of slots with single spaces and none at its ends, and the slot and offset of each of its characters."""
-    text, origin = [], []
-    for k, (node, kind) in enumerate(places):
-        for i, c in enumerate(getattr(node, kind) or ""):
-            if not c.isspace():
-                text.append(c)
-                origin.append((k, i))
-            elif text and text[-1] != " ":
-                text.append(" ")
-                origin.append((k, i))
-    if text and text[-1] == " ":
-        text.pop()
-        origin.pop()
-    return "".join(text), origin
-
-
-def paragraph_texts(root: ET.Element) -> list[tuple[ET.Element, str]]:
-    """Content elements that have text of their own."""
-    return [(e, text) for e in content_elements(root) if (text := collapsed(slots(e))[0])]
-
-
-def wrap(element: ET.Element, start: int, end: int, fragment: str, expected: str) -> bool:
-    """Put a range of an element's collapsed text in a span with an id; False if it crosses markup, is out of range or reads otherwise."""
-    places = slots(element)
-    text, origin = collapsed(places)
-    if not 0 <= start < end <= len(text) or text[start:end] != expected:
-        return False
-    (slot, low), (last, high) = origin[start], origin[end - 1]
-    if slot != last:
-        return False
-    node, kind = places[slot]
-    whole = getattr(node, kind)
-    span = ET.Element("{%s}span" % element.tag[1:].partition("}")[0] if element.tag.startswith("{") else "span", id=fragment)
-    span.text, span.tail = whole[low : high + 1], whole[high + 1 :]
-    setattr(node, kind, whole[:low])
-    if kind == "text":
-        node.insert(0, span)
-    else:
-        parent = next(p for p in element.iter() if node in list(p))
-        parent.insert(list(parent).index(node) + 1, span)
-    return True
-
-
-def pieces(bounds: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, float, float]]:
-    """Paragraphs that a span overlaps, each with its share of the span."""
-    widths = [(k, min(end, b) - max(start, a)) for k, (a, b) in enumerate(bounds) if b > start and a < end]
-    widths = [(k, w) for k, w in widths if w > 0]
-    total, seen, out = sum(w for _, w in widths), 0, []
-    for k, w in widths:
-        out.append((k, seen / total, (seen + w) / total))
-        seen += w
-    return out
+def shares(ends: list[int], starts: list[int], a: int, b: int) -> list[tuple[int, float, float]]:
+    """Intervals, in order and apart, that [a, b) overlaps, each with its share of what is covered."""
+    first, last = bisect_right(ends, a), bisect_left(starts, b)
+    edges = [0, *accumulate(min(b, ends[k]) - max(a, starts[k]) for k in range(first, last))]
+    return [(k, low / edges[-1], high / edges[-1]) for k, low, high in zip(range(first, last), edges, edges[1:])]
 
 
 def place_chunks(root: ET.Element, chunks: list[str], prefix: str = "lv") -> list[list[tuple[str, float, float]]]:
     """(fragment id, from share, to share) of each chunk: a span of its own inside one paragraph, else the paragraphs it covers. Changes the document."""
-    found = paragraph_texts(root)
-    bounds, at = [], 0
-    for _, text in found:
-        bounds.append((at, at + len(text)))
-        at += len(text) + 2
-    source = "\n\n".join(text for _, text in found)
+    found = paragraphs(root)
+    source = "\n\n".join(p.text for p in found)
+    starts = [0, *accumulate(len(p.text) + 2 for p in found)][: len(found)]
+    ends = [a + len(p.text) for a, p in zip(starts, found)]
     taken = {e.get("id") for e in root.iter() if e.get("id")}
-    counter = 0
+    names = (name for k in count() if (name := f"{prefix}{k}") not in taken)
+    spare: list[str] = []
 
-    def fresh() -> str:
-        nonlocal counter
-        while (name := f"{prefix}{counter}") in taken:
-            counter += 1
-        taken.add(name)
-        return name
+    def named(element: ET.Element) -> str:
+        if not element.get("id"):
+            element.set("id", spare.pop() if spare else next(names))
+        return element.get("id")
 
     out: list[list[tuple[str, float, float]]] = []
     for span in locate_chunks(source, chunks):
-        over = pieces(bounds, *span) if span else []
-        placed: list[tuple[str, float, float]] = []
+        over = shares(ends, starts, *span) if span else []
         if len(over) == 1:
             k = over[0][0]
-            a = bounds[k][0]
-            name = fresh()
-            if wrap(found[k][0], span[0] - a, span[1] - a, name, source[span[0] : span[1]]):
-                placed = [(name, 0.0, 1.0)]
-            else:
-                taken.discard(name)
-        if not placed:
-            for k, low, high in over:
-                element = found[k][0]
-                if not element.get("id"):
-                    element.set("id", fresh())
-                placed.append((element.get("id"), low, high))
-        out.append(placed)
+            name = spare.pop() if spare else next(names)
+            if found[k].wrap(span[0] - starts[k], span[1] - starts[k], name, source[slice(*span)]):
+                # the span cut a run of the paragraph in two
+                found[k] = Paragraph(found[k].element)
+                out.append([(name, 0.0, 1.0)])
+                continue
+            spare.append(name)
+        out.append([(named(found[k].element), low, high) for k, low, high in over])
     return out
 
 
@@ -167,17 +196,26 @@ def wire_package(package: ET.Element, overlays: list[dict], clock: str) -> None:
 
 
 def placements(chapters: DataFrame) -> DataFrame:
-    """(chapter_idx, chunk_idx, place, fragment, from_share, to_share) of chapters (chapter_idx, xhtml, chunks array<string>)."""
+    """(chapter_idx, chunk_idx, place, fragment, from_share, to_share, problem) of chapters (chapter_idx, xhtml, chunks array<string>).
+
+    A chapter whose document is null or not well formed has one row with the problem and nothing else; null chunks are not found,
+    and chunks that are not found have no rows.
+    """
+
+    def rows_of(key: int, xhtml: str | None, chunks: list[str | None] | None) -> Iterator[tuple]:
+        try:
+            root = ET.fromstring(xhtml or "")
+        except ET.ParseError as problem:
+            yield key, None, None, None, None, None, str(problem)
+            return
+        for i, placed in enumerate(place_chunks(root, [c or "" for c in chunks or []])):
+            yield from ((key, i, j, *p, None) for j, p in enumerate(placed))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, xhtml, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                for i, placed in enumerate(place_chunks(ET.fromstring(xhtml), chunks or [])):
-                    rows += [(key, i, j, *p) for j, p in enumerate(placed)]
+            rows = [row for values in zip(*(batch.column(k).to_pylist() for k in range(3))) for row in rows_of(*values)]
             if rows:
-                c = list(zip(*rows))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], names=["chapter_idx", "chunk_idx", "place", "fragment", "from_share", "to_share"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["chapter_idx", "chunk_idx", "place", "fragment", "from_share", "to_share", "problem"])
 
-    return chapters.select("chapter_idx", "xhtml", "chunks").mapInArrow(run, "chapter_idx long, chunk_idx long, place long, fragment string, from_share double, to_share double")
+    return chapters.select("chapter_idx", "xhtml", "chunks").mapInArrow(run, "chapter_idx long, chunk_idx long, place long, fragment string, from_share double, to_share double, problem string")

@@ -53,7 +53,11 @@ def page_titles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def find_text_in_source(spark: SparkSession, d: str) -> DataFrame:
-    return alignment.longest_shared_runs(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id")
+    """Whole benchmark passages and their first one to five words, looked for in all documents."""
+    whole = table(spark, d, "benchmark")
+    words = F.split("text", " ")
+    needles = whole.select(F.explode(F.array(*(F.struct((F.col("item_id") * 10 + k).alias("item_id"), (F.array_join(F.slice(words, 1, k), " ") if k else F.col("text")).alias("text")) for k in range(6)))).alias("n")).select("n.*")
+    return alignment.longest_shared_runs(needles, table(spark, d, "documents"), "item_id", "doc_id")
 
 
 def validate_script(spark: SparkSession, d: str) -> DataFrame:
@@ -101,16 +105,31 @@ _FULL_LINES = f"SELECT doc_id, ps, {_COUNTS} AS ns FROM (SELECT doc_id, list_fil
 _BATCHES = f"SELECT batch, ps, {_COUNTS} AS ns FROM (SELECT batch, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ps FROM (SELECT doc_id // 3 AS batch, string_agg(chr(10) || '--- Chapter ' || doc_id || ' ---' || chr(10) || text, '' ORDER BY doc_id) AS text FROM documents GROUP BY 1))"
 _TAG = lambda t: f"nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<{t}[^>]*>(.*?)</{t}>', 1), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')), '')"
 
+# words of needle and document that are equal, runs of them along a diagonal, the longest run of each pair
 _FIND = """
-WITH n AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM benchmark), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents),
-a AS (SELECT item_id, len(w) AS n, unnest(generate_series(1, len(w) - 3)) AS i, w FROM n), b AS (SELECT doc_id, unnest(generate_series(1, len(w) - 3)) AS j, w FROM d),
-h AS (SELECT item_id, doc_id, n, i - 1 AS i, j - 1 AS j FROM (SELECT item_id, n, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] AS g FROM a) JOIN (SELECT doc_id, j, w[j] || ' ' || w[j+1] || ' ' || w[j+2] || ' ' || w[j+3] AS g FROM b) USING (g)),
-r AS (SELECT item_id, doc_id, n, min(i) AS i, min(j) AS j, count(*) + 3 AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY item_id, doc_id, i - j ORDER BY i) AS island FROM h) GROUP BY item_id, doc_id, n, i - j, island)
+WITH t AS (SELECT item_id * 10 + k AS item_id, CASE WHEN k = 0 THEN text ELSE array_to_string(string_split(text, ' ')[:k], ' ') END AS text FROM benchmark, range(6) r(k)),
+n AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM t), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents),
+a AS (SELECT item_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM n), b AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS j FROM d),
+h AS (SELECT item_id, doc_id, n, i, j FROM a JOIN b USING (x)),
+r AS (SELECT item_id, doc_id, n, min(i) AS i, min(j) AS j, count(*) AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY item_id, doc_id, i - j ORDER BY i) AS island FROM h) GROUP BY item_id, doc_id, n, i - j, island)
 SELECT item_id, doc_id, size, i AS needle_at, j AS source_at FROM r WHERE size >= 0.7 * n QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY size DESC, i, j) = 1"""
 
+# the packing of sentences as a recursion over them; words take the place of a sentence longer than a chunk
+_PACKED = f"""
+WITH RECURSIVE t AS (SELECT doc_id, {_SENTENCES} AS ss FROM documents),
+p AS (SELECT doc_id, flatten(list_transform(ss, lambda x: CASE WHEN length(x) <= 500 THEN [{{'x': x, 'kind': 0}}] ELSE list_transform(string_split(x, ' '), lambda y, i: {{'x': y, 'kind': CASE WHEN i = 1 THEN 1 ELSE 2 END}}) END)) AS items FROM t),
+s AS (
+  SELECT doc_id, 0 AS k, items, NULL::VARCHAR AS held, 0 AS n, 0 AS base_, []::VARCHAR[] AS done FROM p WHERE len(items) > 0
+  UNION ALL
+  SELECT doc_id, k + 1, items, CASE WHEN ends_ OR held IS NULL THEN x ELSE held || ' ' || x END, length(x) + 1 + CASE WHEN ends_ THEN 0 ELSE n END, base_ + len(done),
+    CASE WHEN ends_ AND held IS NOT NULL THEN [held] ELSE [] END || CASE WHEN kind = 1 AND length(x) >= 500 THEN [''] ELSE [] END
+  FROM (SELECT *, items[k + 1].x AS x, items[k + 1].kind AS kind, CASE items[k + 1].kind WHEN 0 THEN n + length(items[k + 1].x) > 500 WHEN 1 THEN true ELSE n + length(items[k + 1].x) + 1 > 500 END AS ends_ FROM s WHERE k < len(items))),
+e AS (SELECT doc_id, base_ + i - 1 AS chunk_idx, done[i] AS chunk FROM s, unnest(generate_series(1, len(done))) u(i) UNION ALL SELECT doc_id, base_ + len(done), held FROM s WHERE k = len(items))
+SELECT doc_id, chunk_idx, length(chunk) AS n_chars, md5(chunk) AS md5 FROM e WHERE trim(chunk) <> ''"""
+
 QUERIES = {
     "sentence_split": (sentence_split, f"SELECT doc_id, generate_subscripts(s, 1) - 1 AS chunk_idx, md5(unnest(s)) AS md5 FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)"),
-    "chunk_text_500": (chunk_text_500, None),
+    "chunk_text_500": (chunk_text_500, _PACKED),
     "split_text_smart": (split_text_smart, _pack(_LINES, "doc_id", 60, 0)),
     "overlapping_chunks": (overlapping_chunks, _pack(_FULL_LINES, "doc_id", 80, 15)),
     "chapter_batches": (chapter_batches, _pack(_BATCHES, "batch", 400, 40)),
