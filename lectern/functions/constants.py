@@ -26,6 +26,13 @@ ALIAS_STOPWORDS = tuple(
     """.split()
 )
 
+# The cast of a book that has none yet, as (name, description, voice).
+DEFAULT_CAST = (
+    ("Narrator", "The book's narrating voice.", "Warm, articulate male voice; mature age; measured slow pace; authoritative yet compassionate."),
+    ("Extra Female", "An unnamed or minor female character.", "Neutral, casual, female voice, older adult; lower than average pitch."),
+    ("Extra Male", "An unnamed or minor male character.", "Gruff, textured baritone voice; older adult; relaxed slow speed; weary but kind."),
+)
+
 # Tags whose text is content, tags that are dropped.
 CONTENT_TAGS = ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th")
 SKIP_TAGS = ("script", "style", "meta", "head", "link", "noscript", "nav", "header", "footer")

@@ -8,6 +8,7 @@ and a tone generator.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -16,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.constants import SAMPLE_RATE
+from lectern.functions.constants import PARAGRAPH_PAUSE_MS, SAMPLE_RATE
+from lectern.operators import audio, chunking
+from lectern.operators.replies import error_snippet, parse_reply
 
 Voice = Callable[[list[tuple[str, str, int]]], list[list[float]]]
 
@@ -64,6 +67,122 @@ def synthesize(tasks: DataFrame, make: Callable[[], Voice], batch_size: int = 16
     return tasks.select("voice", "hash", "text", "seed").mapInArrow(run, "hash string, samples array<float>")
 
 
+class UnknownVoice(ValueError):
+    """A voice that the service does not know (any more)."""
+
+
+def cloned_voice(register: Callable[[str, str], str], say: Callable[[str, str, int], list[float]]) -> Callable[[list[tuple[str, str, str, int]]], list[list[float]]]:
+    """A speaker of (text, reference audio, reference text, seed): a reference is registered once per worker, and once more if its voice is not known any longer."""
+    known: dict[tuple[str, str], str] = {}
+
+    def one(text: str, audio: str, spoken: str, seed: int) -> list[float]:
+        fresh = (audio, spoken) not in known
+        if fresh:
+            known[audio, spoken] = register(audio, spoken)
+        try:
+            return say(text, known[audio, spoken], seed)
+        except UnknownVoice:
+            if fresh:
+                raise
+            known[audio, spoken] = register(audio, spoken)
+            return say(text, known[audio, spoken], seed)
+
+    return lambda requests: [one(*request) for request in requests]
+
+
+def clone(tasks: DataFrame, make: Callable[[], Callable[[list[tuple[str, str, str, int]]], list[list[float]]]], batch_size: int = 16) -> DataFrame:
+    """(hash, samples) of tasks (hash, text, ref_audio, ref_text, seed), a reference's tasks next to one another in each batch of rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speak = make()
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("ref_audio", "ref_text", "hash", "text", "seed"))
+            rows = sorted(zip(*columns), key=lambda r: (r[0] or "", r[1] or "", r[2]))
+            for i in range(0, len(rows), batch_size):
+                part = rows[i : i + batch_size]
+                sound = speak([(t or "", a or "", r or "", s) for a, r, _, t, s in part])
+                yield pa.RecordBatch.from_arrays([pa.array([h for _, _, h, _, _ in part], pa.string()), pa.array(sound, pa.list_(pa.float32()))], names=["hash", "samples"])
+
+    return tasks.select("ref_audio", "ref_text", "hash", "text", "seed").mapInArrow(run, "hash string, samples array<float>")
+
+
+def synthesize_long(texts: DataFrame, make: Callable[[], Voice], rate: int = SAMPLE_RATE, pause_ms: int = PARAGRAPH_PAUSE_MS) -> DataFrame:
+    """(hash, samples) of long texts (hash, text, voice, seed): cut at sentence ends, spoken piece by piece, and put together with pauses. A blank text is silence of no length."""
+    chunks = chunking.sentence_chunks(texts, "hash", "text")
+    tasks = chunks.join(texts.select("hash", "voice", "seed"), "hash").select(F.concat_ws("/", "hash", F.format_string("%09d", "chunk_idx")).alias("piece"), F.col("chunk").alias("text"), "voice", "seed")
+    spoken = synthesize(tasks.withColumnRenamed("piece", "hash"), make)
+    pieces = spoken.select(F.expr("left(hash, length(hash) - 10)").alias("text_hash"), F.col("hash").alias("piece"), "samples")
+    whole = audio.concatenated(pieces, ["text_hash"], "piece", "samples", rate * pause_ms // 1000)
+    return texts.select("hash").join(whole.withColumnRenamed("text_hash", "hash"), "hash", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<double>")))
+
+
+#: Makers of speakers by the name that a configuration gives; more can be added.
+ENGINES: dict[str, Callable[[dict], Voice]] = {"tone": lambda config: tone_voice(int(config.get("rate", SAMPLE_RATE)), float(config.get("per_char", 0.002)))}
+
+
+def engine(config: dict) -> Voice:
+    """The speaker that a configuration names under `engine`, the stand-in if it names none."""
+    name = config.get("engine") or "tone"
+    if name not in ENGINES:
+        raise ValueError(f"unknown engine {name!r}; known are {', '.join(sorted(ENGINES))}")
+    return ENGINES[name](config)
+
+
+Message = dict[str, str]
+
+
+def ask_until_valid(messages: list[Message], ask: Callable[[list[Message]], str], parse: Callable[[object], object], problems: Callable[[object], list[str]] = lambda found: [], attempts: int = 6, shape: str = "") -> tuple[object, list[Message]]:
+    """What a reply is parsed to, once it has no problems, and the conversation so far; a reply that fails is answered with what is wrong with it.
+
+    ask gives a reply to a conversation. parse raises ValueError or KeyError on a wrong structure. After the last attempt the last answer is raised.
+    """
+    talk = list(messages)
+    hint = f" Expected shape: {shape}" if shape else ""
+    for _ in range(attempts):
+        content = ask(talk)
+        if not content:
+            answer = f"The reply had no content. Put the answer in the reply itself as valid JSON.{hint}"
+        else:
+            try:
+                found = parse(parse_reply(content))
+                wrong = problems(found)
+                if not wrong:
+                    return found, [*talk, {"role": "assistant", "content": content}]
+                answer = "\n".join(["Validation errors:", *(f"- {w}" for w in wrong), "Fix these and send the whole JSON again."])
+            except json.JSONDecodeError as error:
+                answer = f"JSON error at line {error.lineno} column {error.colno}: {error.msg}.\n{error_snippet(content, error.pos)}\nSend the whole reply again as valid JSON.{hint}"
+            except KeyError as error:
+                answer = f"Structure error: missing key {error}. Send it again with all keys.{hint}"
+            except ValueError as error:
+                answer = f"Structure error: {error}. Send it again in the right shape.{hint}"
+        talk += [{"role": "assistant", "content": content}, {"role": "user", "content": answer}]
+    raise ValueError(f"no valid reply after {attempts} attempts: {answer}")
+
+
+def ask_rows(prompts: DataFrame, key: str, make: Callable[[], Callable[[list[Message]], str]], parse: Callable[[object], object], problems: Callable[[object], list[str]] = lambda found: [], attempts: int = 6) -> DataFrame:
+    """(key, json, n_attempts, problem) of prompts (key, system, prompt): every row is a conversation of its own; a row that never gets a valid reply has the problem."""
+    kind = prompts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = make()
+        for batch in batches:
+            found, tries, wrong = [], [], []
+            for system, prompt in zip(batch.column("system").to_pylist(), batch.column("prompt").to_pylist()):
+                start = [{"role": "system", "content": system or ""}, {"role": "user", "content": prompt or ""}]
+                try:
+                    value, talk = ask_until_valid(start, ask, parse, problems, attempts)
+                    found.append(json.dumps(value, ensure_ascii=False))
+                    tries.append((len(talk) - 1) // 2)
+                    wrong.append(None)
+                except ValueError as error:
+                    found.append(None)
+                    tries.append(attempts)
+                    wrong.append(str(error))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(tries, pa.int64()), pa.array(wrong, pa.string())], names=[key, "json", "n_attempts", "problem"])
+
+    return prompts.select(key, "system", "prompt").mapInArrow(run, f"{key} {kind}, json string, n_attempts long, problem string")
+
+
 def until_clean(tasks: DataFrame, generate: Callable[[DataFrame], DataFrame], faulty: Column, save: Callable[[DataFrame], DataFrame], attempts: int = 5) -> DataFrame:
     """Results of tasks, those with faults generated anew with the next seed; raises if some stay faulty.
 

@@ -15,6 +15,20 @@ def running_start(size: Column, gap: float, keys: list[str], order: list[str]) -
     return F.coalesce(F.sum(size + F.lit(gap)).over(w), F.lit(0) if isinstance(gap, int) else F.lit(0.0))
 
 
+def with_running_start(rows: DataFrame, name: str, size: Column, gap: float, key: str, order: str, width: int = 65_536) -> DataFrame:
+    """Rows with the sum of the earlier sizes of their group, for groups too large to be sorted by one task.
+
+    order is a whole number; a group is summed in blocks of `width` numbers, and the blocks' totals are summed after that.
+    """
+    block, before = f"{name}_block", f"{name}_before"
+    sized = rows.withColumn(block, F.floor(F.col(order) / width))
+    sums = sized.groupBy(key, block).agg(F.sum(size + F.lit(gap)).alias(before))
+    earlier = Window.partitionBy(key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(key, block, F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before))
+    inner = running_start(size, gap, [key, block], [order])
+    return sized.withColumn(name, inner).join(starts, [key, block]).withColumn(name, F.col(name) + F.col(before)).drop(block, before)
+
+
 def timing_manifest(chunks: DataFrame, pause_ms: int = PARAGRAPH_PAUSE_MS) -> DataFrame:
     """chunks (chapter_idx, seg_idx, duration_s, ...) with start_s and end_s; no pause after the last."""
     start = running_start(F.col("duration_s"), pause_ms / 1000, ["chapter_idx"], ["seg_idx"])

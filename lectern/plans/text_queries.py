@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.constants import EMOTIONS, RETAINED_SPEAKERS
+from lectern.operators import timing
 from lectern.plans.common import PARAGRAPHS_SQL, SEGMENTS_SQL, paragraphs, segments, table
 
 _WS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -94,8 +95,8 @@ def context_windows(spark: SparkSession, d: str) -> DataFrame:
 def long_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents with enough words to be chapters, numbered densely."""
     t = table(spark, d, "documents").where(F.size(X.words(F.col("text"))) >= 50)
-    # per source, so that no window spans the whole table
-    return t.select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("chapter_idx"))
+    numbered = timing.with_running_start(t.select("source", "doc_id"), "before", F.lit(1), 0, "source", "doc_id")
+    return numbered.select("source", "doc_id", (F.col("before") + 1).cast("long").alias("chapter_idx"))
 
 
 _TS = lambda v, hour, mark: f"printf('{hour}:%02d:%02d{mark}%03d', ({v}) // 3600000, (({v}) // 60000) % 60, (({v}) // 1000) % 60, ({v}) % 1000)"

@@ -72,8 +72,8 @@ def paragraph_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 def chapter_offsets(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select("source", "doc_id", F.floor(F.col("n_chars") / 16.0 * 1000).alias("duration_ms"))
-    start = timing.running_start(F.col("duration_ms"), 0, ["source"], ["doc_id"]).cast("long")
-    return t.withColumn("start_ms", start).withColumn("end_ms", F.col("start_ms") + F.col("duration_ms"))
+    t = timing.with_running_start(t, "start_ms", F.col("duration_ms"), 0, "source", "doc_id")
+    return t.withColumn("start_ms", F.col("start_ms").cast("long")).withColumn("end_ms", F.col("start_ms") + F.col("duration_ms"))
 
 
 def locate_segment(spark: SparkSession, d: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import wave
 import zipfile
+import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from posixpath import dirname, join, normpath
@@ -55,22 +57,37 @@ def book_of(data: bytes, fallback: str, min_words: int = MIN_CHAPTER_WORDS) -> d
         return {"title": first("title", fallback), "author": first("creator", "Unknown"), "language": first("language", "en"), "chapters": chapters}
 
 
+#: What a broken file raises while it is opened and read.
+_BROKEN = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, StopIteration, ValueError, RuntimeError, NotImplementedError, zlib.error)
+
+
 def read_books(spark: SparkSession, path: str, min_words: int = MIN_CHAPTER_WORDS) -> DataFrame:
-    """(path, sha256, title, author, language, chapter_idx, chapter_title, href, text) of every EPUB file under a path."""
+    """(path, sha256, title, author, language, chapter_idx, chapter_title, href, text, problem) of every EPUB file under a path.
+
+    A file that cannot be read is one row with the problem, and with nothing else; a book without chapters has no rows.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
+    def rows_of(where: str, data: bytes) -> Iterator[tuple]:
+        digest = hashlib.sha256(data).hexdigest()
+        try:
+            book = book_of(data, unquote(where.rpartition("/")[2].removesuffix(".epub")), min_words)
+        except _BROKEN as error:
+            yield (where, digest, *[None] * 7, f"{type(error).__name__}: {error}")
+            return
+        for c in book["chapters"]:
+            yield where, digest, book["title"], book["author"], book["language"], c["chapter_idx"], c["title"], c["href"], c["text"], None
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "title", "author", "language", "chapter_idx", "chapter_title", "href", "text"]
+        names = ["path", "sha256", "title", "author", "language", "chapter_idx", "chapter_title", "href", "text", "problem"]
+        kinds = [pa.int64() if n == "chapter_idx" else pa.string() for n in names]
         for batch in batches:
             for where, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                book = book_of(data, unquote(where.rpartition("/")[2].removesuffix(".epub")), min_words)
-                rows = [(where, book["title"], book["author"], book["language"], c["chapter_idx"], c["title"], c["href"], c["text"]) for c in book["chapters"]]
+                rows = list(rows_of(where, data or b""))
                 if rows:
-                    kinds = [pa.string()] * 4 + [pa.int64()] + [pa.string()] * 3
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    rows = files.mapInArrow(run, "path string, title string, author string, language string, chapter_idx long, chapter_title string, href string, text string")
-    return rows.join(files.select("path", F.sha2("content", 256).alias("sha256")), "path")
+    return files.mapInArrow(run, "path string, sha256 string, title string, author string, language string, chapter_idx long, chapter_title string, href string, text string, problem string")
 
 
 def with_parts(book: bytes, replacements: dict[str, bytes], additions: dict[str, bytes]) -> bytes:
