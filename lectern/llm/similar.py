@@ -11,12 +11,17 @@ bits per segment and joined over a grid as in `simhash`.
 1. Equal texts are one point. Two texts of similarity s draw the same sample
    with probability s**SAMPLE, and meet with 1 - (1 - s**SAMPLE)**PRINTS at
    least: 0.9997 at 0.8, more for closer pairs.
-2. Members of a cell are paired with one of them, first the least key, then
-   others by turns as long as that joins many. Pairs pass the Manhattan
-   bound, the Hamming distance and a bound on the share of equal minima (4.5
-   standard deviations below 0.8); the rest is verified on whole shingle sets.
-3. All pairs of a cell that no chain joins yet are checked likewise. So a
-   dense group costs about its size, and nothing is capped.
+2. Members of a cell that pass the Manhattan bound, the Hamming distance and
+   a bound on the share of equal minima (4.5 standard deviations below 0.8)
+   are candidates. A cell reports candidates that connect what is connected
+   by candidates, not all of them; so connected texts are a family.
+3. Inside a family every pair that no chain of links joins yet is verified on
+   whole shingle sets, which travel once per family and not once per pair. A
+   family reports links that connect its groups. So rows grow with the
+   number of texts whatever the size of a group, and nothing is capped.
+
+Cells and families too large for one task are cut into blocks, and every
+pair of blocks is a task of its own.
 
 Defined results: a null or empty text has no shingles and is similar to any
 other such text only; a text of fewer than five words has one shingle;
@@ -28,7 +33,7 @@ shingles and as equal texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +50,10 @@ LEAST = (4, 5)
 PRINTS, SAMPLE = 20, 5
 #: Differing bits of two fingerprints that still make a candidate.
 MAX_BITS = 1
+#: Least share of equal minima of a candidate.
 LEAST_AGREEMENT = 0.62
-#: A turn of pairing with one member is worth another if it leaves no more than this share of the rows open.
-WORTH = 0.6
+#: Members of a cell, and of a family, that one task holds at most of each of two blocks.
+CELL_BLOCK, FAMILY_BLOCK = 20_000, 1_000
 #: Shingles whose minima are taken at once; keeps them in the processor's cache.
 _AT_ONCE = 16_000
 _FACTORS, _TERMS = np.random.default_rng(7).integers(0, 1 << 63, (2, PRINTS * SAMPLE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,28 +140,8 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([shingle_set((t or "").encode()).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["key", "shingles"])
 
 
-def _sifted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, 5_000):
-            part = batch.slice(start, 5_000)
-            ok = candidates(_opened(part.column("left").to_pylist()), _opened(part.column("right").to_pylist()))
-            yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-
-def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ok = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-
-def _with_both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
-    """Pairs (u, v) with the value of both keys. The second join's exchange holds whole rows, which adaptive execution may split by a hub."""
-    right = pairs.join(of.select(F.col("key").alias("v"), F.col(value).alias("right")), "v")
-    return right.join(of.select(F.col("key").alias("u"), F.col(value).alias("left")), "u").select("u", "v", "left", "right")
-
-
 def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (cell, key) by cell and key, those of cells with several members, with the cell's first key."""
+    """Of rows (cell, key) by cell and key, those of cells with several members."""
     last: tuple[int, int] | None = None
     lone = True
     for batch in batches:
@@ -163,49 +149,118 @@ def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         cell, key = (batch.column(c).to_numpy() for c in ("cell", "key"))
         new = np.concatenate(([last is None or cell[0] != last[0]], cell[1:] != cell[:-1]))
-        head = np.maximum.accumulate(np.where(new, np.arange(len(cell)), -1))
-        first = np.where(head < 0, last[1] if last else 0, key[head])
-        use = ~new
-        out_cell, out_key, out_first = [cell[use]], [key[use]], [first[use]]
+        before = np.concatenate(([last[1] if last else 0], key[:-1]))
         # a first member goes out with its second one, which may come in the next batch
-        opened = np.flatnonzero(use & np.concatenate(([lone and last is not None], new[:-1])))
-        out_cell.append(cell[opened])
-        out_key.append(first[opened])
-        out_first.append(first[opened])
-        lone = bool(new[-1])
-        last = (int(cell[-1]), int(first[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_cell, out_key, out_first)], names=["cell", "key", "first"])
-
-
-def _open_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, v) of keys of different roots within each cell, of rows (cell, key, root) by cell."""
-
-    def pairs(key: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, group, size = np.unique(root, return_inverse=True, return_counts=True)
-        order = np.lexsort((group, -size[group]))
-        key, group = key[order], group[order]
-        begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        before = np.repeat(begin, np.diff(np.concatenate((begin, [len(key)]))))
-        # every member with all members of larger groups: the largest group is never paired with itself
-        for at in range(int(begin[1]) if len(begin) > 1 else len(key), len(key)):
-            other = key[: before[at]]
-            for start in range(0, len(other), 20_000):
-                part = other[start : start + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(part, key[at])), pa.array(np.maximum(part, key[at]))], names=["u", "v"])
-
-    held: list[np.ndarray] | None = None
+        opened = np.flatnonzero(~new & np.concatenate(([lone and last is not None], new[:-1])))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((cell[~new], cell[opened]))), pa.array(np.concatenate((key[~new], before[opened])))], names=["cell", "key"])
+        lone, last = bool(new[-1]), (int(cell[-1]), int(key[-1]))
+
+
+def _grouped(batches: Iterable[pa.RecordBatch], names: tuple[str, ...], value: str) -> Iterator[tuple[list[np.ndarray], list[bytes]]]:
+    """Whole groups (equal in the first two columns) of rows that come group by group: their number columns, and their binary one."""
+    held: list[tuple[list[np.ndarray], list[bytes]]] = []
+
+    def whole() -> tuple[list[np.ndarray], list[bytes]]:
+        return [np.concatenate(c) for c in zip(*(columns for columns, _ in held))], [v for _, values in held for v in values]
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(c).to_numpy() for c in ("cell", "key", "root")]
-        if held is not None:
-            rows = [np.concatenate(x) for x in zip(held, rows)]
-        begin = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1])))
+        columns, values = [batch.column(c).to_numpy() for c in names], batch.column(value).to_pylist()
+        group, part = columns[0], columns[1]
+        begin = [0, *(np.flatnonzero((group[1:] != group[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(group)]
         for a, b in zip(begin, begin[1:]):
-            yield from pairs(rows[1][a:b], rows[2][a:b])
-        held = [x[begin[-1] :] for x in rows]
-    if held is not None:
-        yield from pairs(held[1], held[2])
+            if a == 0 and held and (held[-1][0][0][-1] != group[0] or held[-1][0][1][-1] != part[0]):
+                yield whole()
+                held = []
+            elif a:
+                yield whole()
+                held = []
+            held.append(([c[a:b] for c in columns], values[a:b]))
+    if held:
+        yield whole()
+
+
+def _open(labels: np.ndarray, block: np.ndarray, i: int, crossing: bool) -> np.ndarray:
+    """Members behind the i-th that no chain joins to it yet; where a group is of two blocks, those of the other block."""
+    open_ = labels[i + 1 :] != labels[i]
+    if crossing:
+        open_ &= block[i + 1 :] != block[i]
+    return np.flatnonzero(open_) + i + 1
+
+
+def _connected(key: np.ndarray, block: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of keys that connect what is connected by near pairs: near(i, js) says which of the js are near the i-th."""
+    labels = np.arange(len(key))
+    crossing = bool((block != block[0]).any())
+    out = []
+    for i in range(len(key) - 1):
+        at = _open(labels, block, i, crossing)
+        for j in at[near(i, at)].tolist() if len(at) else ():
+            if labels[j] != labels[i]:
+                out.append((int(min(key[i], key[j])), int(max(key[i], key[j]))))
+                labels[labels == labels[j]] = labels[i]
+    return out
+
+
+def cell_candidates(key: np.ndarray, block: np.ndarray, rows: list[bytes]) -> list[tuple[int, int]]:
+    """Candidates that connect the members of a cell."""
+    opened = _opened(rows)
+    take = lambda at: (opened[0][at], opened[1][at])
+    return _connected(key, block, lambda i, at: candidates(take(np.full(len(at), i)), take(at)))
+
+
+def family_links(key: np.ndarray, block: np.ndarray, rows: list[bytes]) -> list[tuple[int, int]]:
+    """Links that connect the members of a family, each verified on the whole sets."""
+    sets = [np.frombuffer(r, np.uint64) for r in rows]
+    size = np.array(list(map(len, sets)))
+    ends = np.cumsum(size)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    marked = np.zeros(len(flat) + 1, bool)
+
+    def near(i: int, at: np.ndarray) -> np.ndarray:
+        # the share of the smaller set bounds the similarity
+        fits = LEAST[1] * np.minimum(size[at], size[i]) >= LEAST[0] * np.maximum(size[at], size[i])
+        own = flat[ends[i] - size[i] : ends[i]]
+        marked[own] = True
+        both = np.zeros(len(at), np.int64)
+        for k in np.flatnonzero(fits).tolist():
+            both[k] = np.count_nonzero(marked[flat[ends[at[k]] - size[at[k]] : ends[at[k]]]])
+        marked[own] = False
+        return fits & (LEAST[1] * both >= LEAST[0] * (size[at] + size[i] - both))
+
+    return _connected(key, block, near)
+
+
+def _linked(group: str, value: str, links: Callable[[np.ndarray, np.ndarray, list[bytes]], list[tuple[int, int]]]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        for (_, _, key, block), rows in _grouped(batches, (group, "part", "key", "block"), value):
+            found += links(key, block, rows) if len(key) > 1 else []
+            if len(found) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["u", "v"])
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["u", "v"])
+
+    return run
+
+
+def _blocked(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """Rows (group, key) with block and part: a group of more than `most` rows is cut into blocks, and a row is in a part for every block that its own meets."""
+    large = materialise(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(group, F.ceil(F.col("n") / most).cast("long").alias("n")))
+    if large.isEmpty():
+        return rows.withColumns({"block": F.lit(0).cast("long"), "part": F.lit(0).cast("long")})
+    cut = rows.join(large, group, "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("key", F.lit("block")), F.col("n")))
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda o: F.least(o, "block") * F.col("n") + F.greatest(o, "block"))
+    return cut.withColumn("part", F.explode(parts)).drop("n")
+
+
+def _links(rows: DataFrame, of: DataFrame, group: str, value: str, most: int, links: Callable) -> DataFrame:
+    """Links (u, v) inside the groups of rows (group, key), by the values of the keys."""
+    valued = materialise(_blocked(rows, group, most)).join(of.select("key", value), "key").select(group, "part", "key", "block", value)
+    return valued.repartition(group, "part").sortWithinPartitions(group, "part").mapInArrow(_linked(group, value, links), "u long, v long").distinct()
 
 
 def _key(text: Column) -> Column:
@@ -227,40 +282,14 @@ def groups(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64).reshape(-1)), pa.array(np.repeat(part.column("key").to_numpy(), cells.shape[1]))], names=["cell", "key"])
 
     placed = points.select("key", "sketch").mapInArrow(deal, "cell long, key long")
-    met = materialise(placed.repartition("cell").sortWithinPartitions("cell", "key").mapInArrow(_met, "cell long, key long, first long"))
-    involved = met.select("key").distinct().join(points, "key").select("key", F.col("least").alias("id"), "sketch")
-    involved = materialise(involved)
+    met = materialise(placed.repartition("cell").sortWithinPartitions("cell", "key").mapInArrow(_met, "cell long, key long"))
+    families = materialise(components(materialise(_links(met, points, "cell", "sketch", CELL_BLOCK, cell_candidates))).withColumnRenamed("node", "key"))
+    involved = families.select("key").join(points.select("key", F.col("least").alias("id")), "key")
     same = (rows["key"] == involved["key"]) & rows["node"].eqNullSafe(involved["id"])
     texts = rows.join(involved, same).groupBy(involved["key"].alias("key")).agg(F.first("text").alias("text"))
-    sets = materialise(texts.mapInArrow(_sets, "key long, shingles binary"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        sifted = materialise(_with_both(materialise(pairs), involved, "sketch").mapInArrow(_sifted, "u long, v long"))
-        return materialise(_with_both(sifted, sets, "shingles").mapInArrow(_verified, "u long, v long"))
-
-    def rooted(links: DataFrame) -> DataFrame:
-        return materialise(components(links).withColumnRenamed("node", "key"))
-
-    def still_open(roots: DataFrame) -> DataFrame:
-        """Rows (cell, key, root) of cells whose members have different roots."""
-        now = materialise(met.select("cell", "key").join(roots, "key", "left").select("cell", "key", F.coalesce("root", "key").alias("root")))
-        mixed = now.groupBy("cell").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("cell")
-        return materialise(now.join(mixed, "cell"))
-
-    links = verified(met.where("key <> first").select(F.col("first").alias("u"), F.col("key").alias("v")).distinct())
-    roots = rooted(links)
-    rest, before, turn = still_open(roots), met.count(), 0
-    # turns end when they no longer join much; what they leave open is paired in full
-    while (left := rest.count()) and left <= WORTH * before:
-        before, turn = left, turn + 1
-        one = rest.groupBy("cell").agg(F.min_by(F.struct("key", "root"), F.xxhash64("key", F.lit(turn))).alias("one"))
-        pairs = rest.join(one, "cell").where(F.col("root") != F.col("one.root")).select(F.least("key", "one.key").alias("u"), F.greatest("key", "one.key").alias("v"))
-        links = materialise(links.unionByName(verified(pairs.distinct())))
-        roots = rooted(links)
-        rest = still_open(roots)
-    if left:
-        pairs = rest.repartition("cell").sortWithinPartitions("cell").mapInArrow(_open_pairs, "u long, v long")
-        roots = rooted(links.unionByName(verified(pairs.distinct())))
+    sets = texts.mapInArrow(_sets, "key long, shingles binary")
+    links = materialise(_links(families.withColumnRenamed("root", "family"), sets, "family", "shingles", FAMILY_BLOCK, family_links))
+    roots = materialise(components(links).withColumnRenamed("node", "key"))
     return materialise(points.select("key", "least").join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root")))
 
 
