@@ -124,8 +124,25 @@ def learn_domains(docs: DataFrame, labels: DataFrame, domain: Column, n_domains:
     return DomainModel(counts, counts.pop("", [0] * n_domains))
 
 
-def membership_function(model: DomainModel):
+#: Makes, once per task, a function from texts to their numbers of tokens.
+TokenCounter = Callable[[], Callable[[list[str]], list[int]]]
+
+
+def words_of(whole: list[str]) -> list[int]:
+    """Words between ASCII white space."""
+    return [len(t.encode().split()) for t in whole]
+
+
+def vocabulary_counter(vocabulary: str, pattern: str) -> TokenCounter:
+    """Tokens under a byte-level vocabulary file. It costs about as much as `token_counts`, on top of the classifier."""
+    from lectern.llm.token_counts import RankMerger
+
+    return lambda: RankMerger(vocabulary, pattern).count
+
+
+def membership_function(model: DomainModel, counter: TokenCounter = lambda: words_of):
     """A function from texts to their numbers of tokens and their posteriors."""
+    count = counter()
     number = {f: i for i, f in enumerate(model.weights)}
     table = np.array(list(model.weights.values())).reshape(-1, len(model.prior))
     known: set[str] = set()
@@ -144,9 +161,7 @@ def membership_function(model: DomainModel):
         for i, tokens in enumerate(split):
             if found := sorted({k for t in set(tokens) & telling.keys() for k in telling[t]}):
                 evidence[i] = table[found].sum(0)
-        # tokens are words between ASCII white space
-        tokens = [len(t.encode().split()) for t in whole]
-        return [pa.array(tokens, pa.int64()), pa.array(list(model.posterior(evidence)), pa.list_(pa.float64()))]
+        return [pa.array(count(whole), pa.int64()), pa.array(list(model.posterior(evidence)), pa.list_(pa.float64()))]
 
     return of
 
@@ -154,10 +169,10 @@ def membership_function(model: DomainModel):
 _MEMBERSHIP = [T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))]
 
 
-def memberships(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, posterior array<double> of every whole text; tokens are words."""
+def memberships(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text", counter: TokenCounter = lambda: words_of) -> DataFrame:
+    """doc_id, n_tokens, posterior array<double> of every whole text; tokens are what the counter counts, words by default."""
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return annotate(source, lambda: membership_function(model), _MEMBERSHIP).drop("text")
+    return annotate(source, lambda: membership_function(model, counter), _MEMBERSHIP).drop("text")
 
 
 Step = tuple[np.ndarray, float]
@@ -248,10 +263,10 @@ def solve_rates(rows: DataFrame, weights: list[float], least: float = 0.0, grow:
         now, ahead = np.split(_summed(rows, 2 * k, totals), 2)
 
 
-def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: list[float], train_rows: int = TRAIN_ROWS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: list[float], train_rows: int = TRAIN_ROWS, counter: TokenCounter = lambda: words_of) -> DataFrame:
     """doc_id, n_tokens, posterior, rate of every document, and miss, the share of tokens by which the whole mixture misses its targets."""
     model = learn_domains(docs, labels, domain, len(weights), train_rows)
-    rows = materialise(memberships(docs, model))
+    rows = materialise(memberships(docs, model, counter=counter))
     fit = solve_rates(rows, weights)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,13 +278,13 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: list[float]
     return rated.withColumn("miss", F.lit(fit.miss))
 
 
-def mixed_rows(docs: DataFrame, labels: DataFrame, domain: Column, weights: list[float], train_rows: int = TRAIN_ROWS) -> DataFrame:
+def mixed_rows(docs: DataFrame, labels: DataFrame, domain: Column, weights: list[float], train_rows: int = TRAIN_ROWS, counter: TokenCounter = lambda: words_of) -> DataFrame:
     """The rows of docs, each as often as its rate says: all whole uses, and one more by a hash of id and text with the rest as probability.
 
     Rates are at least one, so no document is lost: domains below their weight are repeated.
     """
     model = learn_domains(docs, labels, domain, len(weights), train_rows)
-    fit = solve_rates(materialise(memberships(docs, model)), weights, least=1.0, grow=True)
+    fit = solve_rates(materialise(memberships(docs, model, counter=counter)), weights, least=1.0, grow=True)
     name, use = free_name(docs, "_rate"), free_name(docs, "_use")
 
     def make():

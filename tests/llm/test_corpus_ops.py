@@ -649,6 +649,15 @@ def test_what_cannot_be_met_is_returned(spark):
     assert mixing.solve_rates(df.where("false"), [0.5, 0.5]).miss == 0.0
 
 
+def test_targets_in_tokens_of_a_vocabulary(spark, docs, labels, texts):
+    counter = mixing.vocabulary_counter(BPE, public_tokenizers.PATTERN)
+    rows = mixing.mix(docs, labels, mixing.label_domain(), [0.8, 0.1, 0.1], counter=counter).collect()
+    merger = RankMerger(BPE, public_tokenizers.PATTERN)
+    assert all(r.n_tokens == merger.count([texts[r.doc_id]])[0] for r in rows[:50] if texts[r.doc_id])
+    held = sum(r.rate * r.n_tokens * np.array(r.posterior) for r in rows)
+    assert held / held.sum() == pytest.approx([0.8, 0.1, 0.1], abs=1e-3)
+
+
 def test_mixing_ties_and_posteriors(spark):
     """Disagreeing labels take the largest domain; the posteriors equal a plain computation."""
     texts = {1: "aaa bbb ccc", 2: "aaa bbb ddd", 3: "eee fff GGG!!", 4: "eee fff HHH!!", 5: "aaa eee", 6: None}
