@@ -176,10 +176,21 @@ def shortest_label(name: Column, aliases: Column) -> Column:
 
 
 def focused_context(source: Column, needle: Column, before: int, after: int) -> Column:
-    """Lines around the first occurrence of a needle; null where it does not occur."""
-    at = F.instr(source, needle)
-    first = F.size(F.split(F.substring(source, F.lit(1), at - 1), "\n", -1))
-    last = first + F.size(F.split(needle, "\n", -1)) - 1
-    lines = F.split(source, "\n", -1)
-    start = F.greatest(first - before, F.lit(1))
-    return F.when(at > 0, F.array_join(F.slice(lines, start, last + after - start + 1), "\n"))
+    """A source around the first occurrence of a needle (white space at its ends aside): from `before` lines above to behind the `after`-th line end below.
+
+    A needle that does not occur literally is looked for with all white space as one space; its place is counted in the source
+    so written, which is near enough for a window of lines. Empty where source or needle is null or empty, or neither occurs.
+    """
+    wanted = stripped(needle)
+    exact = F.instr(source, wanted)
+    loose = F.instr(F.regexp_replace(source, r"\s+", " "), F.regexp_replace(wanted, r"\s+", " "))
+    at = F.when(exact > 0, exact).otherwise(loose)
+    above = F.split(F.substring(source, F.lit(1), at - 1), "\n", -1)
+    head = F.array_join(F.slice(above, F.greatest(F.size(above) - before, F.lit(1)), F.lit(before + 1)), "\n")
+    # a text that begins with a line end keeps it where the window reaches that far
+    head = F.when((F.size(above) == before + 2) & (F.get(above, F.lit(0)) == ""), F.concat(F.lit("\n"), head)).otherwise(head)
+    said = F.substring(source, at, F.length(wanted))
+    below = F.split(F.substring(source, at + F.length(wanted), F.length(source)), "\n", -1)
+    tail = F.when(F.size(below) <= after, F.array_join(below, "\n")).otherwise(F.concat(F.array_join(F.slice(below, 1, after), "\n"), F.lit("\n" if after else "")))
+    known = (F.coalesce(source, F.lit("")) != "") & (F.coalesce(needle, F.lit("")) != "")
+    return F.when(known & (at > 0), F.concat(head, said, tail)).otherwise("")

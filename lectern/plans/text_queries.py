@@ -88,7 +88,9 @@ def chapter_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 def context_windows(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents")
-    needle = F.element_at(F.split("text", "\n", -1), -1)
+    lines = F.split("text", "\n", -1)
+    # literal last lines, first lines with other white space, and what does not occur
+    needle = F.when(F.col("doc_id") % 3 == 0, F.element_at(lines, -1)).when(F.col("doc_id") % 3 == 1, F.replace(F.get(lines, F.lit(0)), F.lit(" "), F.lit("\n "))).otherwise("no such words")
     return t.select("doc_id", F.md5(X.focused_context(F.col("text"), needle, 1, 1)).alias("context_md5"))
 
 
@@ -170,8 +172,10 @@ QUERIES = {
     ),
     "context_windows": (
         context_windows,
-        "WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents), p AS (SELECT *, len(string_split(text[1:strpos(text, ls[-1]) - 1], chr(10))) AS k FROM t) "
-        "SELECT doc_id, md5(array_to_string(ls[greatest(k - 1, 1):k + 1], chr(10))) AS context_md5 FROM p",
+        rf"WITH t AS (SELECT doc_id, text, {_STRIP("CASE doc_id % 3 WHEN 0 THEN string_split(text, chr(10))[-1] WHEN 1 THEN replace(string_split(text, chr(10))[1], ' ', chr(10) || ' ') ELSE 'no such words' END")} AS w, doc_id % 3 = 0 AND string_split(text, chr(10))[-1] = '' OR doc_id % 3 = 1 AND string_split(text, chr(10))[1] = '' AS none FROM documents), "
+        r"p AS (SELECT *, CASE WHEN strpos(text, w) > 0 THEN strpos(text, w) ELSE strpos(regexp_replace(text, '\s+', ' ', 'g'), regexp_replace(w, '\s+', ' ', 'g')) END AS k FROM t), "
+        "h AS (SELECT *, string_split(text[1:k - 1], chr(10)) AS up, string_split(text[k + length(w):], chr(10)) AS down FROM p) "
+        "SELECT doc_id, md5(CASE WHEN k = 0 OR none OR text = '' THEN '' ELSE CASE WHEN len(up) = 3 AND up[1] = '' THEN chr(10) ELSE '' END || array_to_string(up[-2:], chr(10)) || text[k:k + length(w) - 1] || CASE WHEN len(down) <= 1 THEN down[1] ELSE down[1] || chr(10) END END) AS context_md5 FROM h",
     ),
     "long_documents": (
         long_documents,
