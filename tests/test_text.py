@@ -39,5 +39,5 @@ def test_tokens_and_context(spark):
     assert values(spark, ["Near-by don't a_b É"], X.word_tokens) == [["near", "by", "don", "t", "a_b", "é"]]
     assert values(spark, ["a\nb\nc\nd"], lambda c: X.focused_context(c, F.lit("c"), 1, 0)) == ["b\nc"]
     assert values(spark, ["a\nb"], lambda c: X.focused_context(c, F.lit("z"), 1, 0)) == [""]
-    assert values(spark, ["a\nb\nc d\ne\nf"], lambda c: X.focused_context(c, F.lit(" c\n d "), 0, 1)) == ["c d\n"]
+    assert values(spark, ["a\nb\nc d\ne\nf"], lambda c: X.focused_context(c, F.lit(" c\n d "), 0, 1)) == ["c d\ne\n"]
     assert values(spark, ["\nb\nc", None, ""], lambda c: X.focused_context(c, F.lit("c"), 1, 2)) == ["\nb\nc", "", ""]
