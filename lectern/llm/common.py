@@ -57,14 +57,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Tables that this process wrote and has not deleted, oldest first.
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a result to the shared folder as Parquet and reread it, which cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/lectern-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """The tables of this process that are still there."""
+    return list(_WRITTEN)
+
+
+def sweep(spark: SparkSession, paths: list[str]) -> None:
+    """Delete materialised tables that nothing will read again; the caller knows when that is."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+
+
 def by_bucket(df: DataFrame, n: int, bucket: str | Column = "bucket") -> DataFrame:
     """Send every row to the partition that its bucket number names: no hash collisions between buckets."""
     return df.repartitionById(n, F.col(bucket) if isinstance(bucket, str) else bucket)

@@ -186,6 +186,34 @@ def test_winnowing(spark, docs, texts):
         assert r.near_edited == alike(a, b) and r.near_next == alike(a, c)
 
 
+def mixed_int(x):
+    """The finaliser over whole numbers."""
+    for _ in range(2):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % 2**64
+    return x ^ x >> 32
+
+
+def gram_hashes(text, gram):
+    """Every k-gram's hash on its own, from its code points in whole numbers."""
+    return [mixed_int(sum(mixed_int(ord(c) + 1) * pow(winnowing.BASE, k, 2**64) for k, c in enumerate(text[i : i + gram])) % 2**64) >> 32 for i in range(len(text) - gram + 1)]
+
+
+def test_winnowing_of_whole_texts(texts):
+    """Whole texts, with hashes that the operator has no part in."""
+    powers = winnowing.Powers()
+    for text in [t for t in sorted(texts.values(), key=len) if t][::23] + ["é😀" * 60]:
+        gram = min(winnowing.GRAM, len(text))
+        hashes = gram_hashes(text, gram)
+        kept = []
+        for i in range(max(1, len(hashes) - winnowing.WINDOW + 1)):
+            part = hashes[i : i + winnowing.WINDOW]
+            at = max(k for k, h in enumerate(part) if h == min(part)) + i
+            if not kept or kept[-1][1] != at:
+                kept.append((hashes[at], at))
+        found = winnowing.winnow(winnowing.code_points(text), powers)
+        assert list(zip(found[0].tolist(), found[1].tolist())) == kept
+
+
 def test_winnowing_ties_and_guarantee():
     powers = winnowing.Powers()
     hashes, places = winnowing.winnow(winnowing.code_points("ab" * 100), powers, 4, 6)
