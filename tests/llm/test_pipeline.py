@@ -46,6 +46,14 @@ def test_stages(spark, sf, steps):
     assert sorted((r.doc_id, r.ids_sha256) for r in steps[5].collect()) == expected
 
 
+def test_no_table_is_left_but_the_last(spark, sf):
+    from lectern.llm.common import written
+
+    before = set(written())
+    out = corpus_pipeline.run(spark, sf)
+    assert len(set(written()) - before) == 1 and out.count() > 100
+
+
 def test_odd_documents(spark, sf):
     import os
     import tempfile
