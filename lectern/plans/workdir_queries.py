@@ -252,7 +252,7 @@ QUERIES = {
     ),
     "merge_replies": (
         merge_replies,
-        "SELECT n_nationkey, o AS ordinal, i AS into, p AS place, s AS source, r AS reason, b AS problem FROM nation JOIN (VALUES (0, 0, 'A', 0, 'B', 'same', NULL), (0, 0, 'A', 1, 'C', 'same', NULL), (0, 1, 'D', 0, 'E', '', NULL), "
+        "SELECT n_nationkey, o::BIGINT AS ordinal, i AS into, p::BIGINT AS place, s AS source, r AS reason, b AS problem FROM nation JOIN (VALUES (0, 0, 'A', 0, 'B', 'same', NULL), (0, 0, 'A', 1, 'C', 'same', NULL), (0, 1, 'D', 0, 'E', '', NULL), "
         "(1, 0, '', NULL, NULL, '', 'missing ''into'''), (1, 1, 'y', NULL, NULL, '', '''from'' must be non-empty')) t(k, o, i, p, s, r, b) ON n_nationkey % 4 = k",
     ),
     "cast_listing": (
@@ -273,7 +273,7 @@ QUERIES = {
         "UNION ALL SELECT chapter_idx, seg_idx, CASE WHEN cut THEN 5 ELSE 0 END, 0, CASE WHEN chapter_idx % 3 = 1 THEN speaker ELSE 'Narrator' END, 'piece ' || seg_idx FROM o WHERE chapter_idx % 3 <> 0 AND seg_idx <= 1), "
         "n AS (SELECT *, coalesce(lag(speaker) OVER w = speaker, false) AS same FROM p WINDOW w AS (PARTITION BY chapter_idx ORDER BY seg_idx, spot, own)), "
         "g AS (SELECT *, sum((NOT same OR chapter_idx % 3 = 0)::INT) OVER (PARTITION BY chapter_idx ORDER BY seg_idx, spot, own) - 1 AS run FROM n) "
-        "SELECT chapter_idx, run AS seg_idx, any_value(speaker) AS speaker, md5(string_agg(CASE WHEN chapter_idx % 3 = 0 THEN text ELSE trim(text) END, ' ' ORDER BY seg_idx, spot, own)) AS md5 FROM g GROUP BY chapter_idx, run",
+        "SELECT chapter_idx, run::BIGINT AS seg_idx, any_value(speaker) AS speaker, md5(string_agg(CASE WHEN chapter_idx % 3 = 0 THEN text ELSE trim(text) END, ' ' ORDER BY seg_idx, spot, own)) AS md5 FROM g GROUP BY chapter_idx, run",
     ),
     "validation_reports": (
         validation_reports,
