@@ -49,6 +49,8 @@ TRAIN_ROWS = 12_000
 STEPS, TOLERANCE = 200, 1e-4
 #: The search also ends where so many steps lower the weighted miss by less than this share.
 STALL, STALL_STEPS = 1e-3, 10
+#: Where no domain may shrink, the total is this much more than the least possible one, so that even the domain with the least room has some.
+GROWTH = 1.02
 #: Least posterior of any domain: the classifier is never sure.
 FLOOR = 1e-3
 #: Features count if so many labelled rows have them and their evidence for the domains differs by so much; a document's evidence is cut to a span.
@@ -227,7 +229,7 @@ def _summed(rows: DataFrame, width: int, sums: Callable[[np.ndarray, np.ndarray]
 def solve_rates(rows: DataFrame, weights: list[float], least: float = 0.0, grow: bool = False, steps: int = STEPS, tolerance: float = TOLERANCE) -> Fit:
     """Projected-gradient rates of rows (n_tokens, posterior) whose expected domain tokens are nearest to the targets, from rates of one.
 
-    With grow the total is the least at which no domain has to shrink.
+    With grow the total is GROWTH times the least at which no domain has to shrink.
     """
     k, fit = len(weights), Fit(least)
     held = _summed(rows, k + k * k, lambda n, p: np.concatenate((n @ p, ((p * n[:, None]).T @ p).reshape(-1))))
@@ -237,7 +239,7 @@ def solve_rates(rows: DataFrame, weights: list[float], least: float = 0.0, grow:
         return fit
     share = np.array(weights, float) / sum(weights)
     if grow:
-        total = max(h / s for h, s in zip(held, share) if s)
+        total = GROWTH * max(h / s for h, s in zip(held, share) if s)
     target = total * share
     # the weights of the misses; the ridge only matters for domains without documents
     inverse = np.linalg.inv(gram + 1e-9 * np.trace(gram) * np.eye(k))

@@ -645,7 +645,7 @@ def test_rates_equal_a_dense_solution(spark, weights, least):
     df = spark.createDataFrame([(int(a), x.tolist()) for a, x in zip(n, p)], "n_tokens long, posterior array<double>").repartition(5)
     fit = mixing.solve_rates(df, weights, least, grow=least > 0)
     held = n @ p
-    total = max(held / np.array(weights)) if least else held.sum()
+    total = mixing.GROWTH * max(held / np.array(weights)) if least else held.sum()
     found = fit.rates(p)
     expected, _ = dense_rates(n, p, weights, least, total)
     assert (found >= least).all()
