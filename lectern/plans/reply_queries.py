@@ -190,7 +190,11 @@ QUERIES = {
         synthesized,
         f"WITH {SEGMENTS_SQL} SELECT DISTINCT sha256(speaker || chr(31) || text) AS hash, CAST(greatest(1, floor(length(text) * 0.002::DOUBLE * 800)) AS BIGINT) AS n_samples FROM segments WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]')",
     ),
-    "written_scripts": (written_scripts, None),
+    "written_scripts": (
+        written_scripts,
+        f"WITH {SEGMENTS_SQL}, p AS (SELECT chapter_idx, seg_idx, unnest(ps) AS t, generate_subscripts(ps, 1) AS k FROM (SELECT *, string_split(replace(replace(text, '”', '\"'), '“', '\"'), '\"') AS ps FROM segments)) "
+        "SELECT chapter_idx, seg_idx, row_number() OVER (PARTITION BY chapter_idx, seg_idx ORDER BY k) - 1 AS part, CASE WHEN k % 2 = 0 THEN 'Extra Female' ELSE 'Narrator' END AS speaker, trim(t, E' \\n\\t\\r') AS text FROM p WHERE trim(t, E' \\n\\t\\r') <> ''",
+    ),
     "book_covers": (
         book_covers,
         "WITH m AS (SELECT p_partkey % 200 AS book_id, p_partkey AS ordinal, CASE WHEN p_partkey % 13 = 0 THEN 1 WHEN p_size = 7 THEN 2 WHEN p_size % 3 <> 1 AND p_size % 9 = 0 THEN 3 WHEN p_size % 3 <> 1 THEN 4 END AS rank FROM part) "

@@ -170,6 +170,8 @@ def concat_with_pause(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("chapter_idx", F.posexplode("samples").alias("i", "sample")).select("chapter_idx", F.col("i").cast("long").alias("i"), F.round("sample", 6).alias("sample"))
 
 
+_CLOCK = lambda x: f"printf('%d:%02d:%02d.%03d', {_MS(x)} // 3600000, ({_MS(x)} // 60000) % 60, ({_MS(x)} // 1000) % 60, {_MS(x)} % 1000)"
+
 QUERIES = {
     "timing_manifest": (timing_manifest, f"WITH {TIMED_SQL} SELECT chapter_idx, seg_idx, speaker, start_s, end_s, {_TS(_MS('start_s'))} AS start_ts FROM timed"),
     "srt_cues": (srt_cues, f"WITH RECURSIVE {SHAKEN_SQL} SELECT chapter_idx, k AS cue_idx, {_TS(_MS('start_s'))} AS start_ts, {_TS(_MS('end_s'))} AS end_ts, md5(body) AS body_md5 FROM cues"),
@@ -193,7 +195,12 @@ QUERIES = {
         merge_pars,
         f"WITH {PARS_SQL} SELECT chapter_idx, par_idx, fragment, round(clip_begin, 6) AS clip_begin, round(coalesce(lead(clip_begin) OVER (PARTITION BY chapter_idx ORDER BY par_idx), last_end), 6) AS clip_end FROM pars",
     ),
-    "smil_documents": (smil_documents, None),
+    "smil_documents": (
+        smil_documents,
+        f"WITH {PARS_SQL}, c AS (SELECT chapter_idx, par_idx, fragment, round(clip_begin, 6) AS b, round(coalesce(lead(clip_begin) OVER (PARTITION BY chapter_idx ORDER BY par_idx), last_end), 6) AS e FROM pars), "
+        f"r AS (SELECT chapter_idx, '<par id=\"par' || par_idx || '\"><text src=\"text.xhtml#' || fragment || '\"/><audio src=\"a&amp;b.mp3\" clipBegin=\"' || {_CLOCK('b')} || '\" clipEnd=\"' || {_CLOCK('e')} || '\"/></par>' AS row FROM c) "
+        "SELECT chapter_idx, sum(length(row))::BIGINT + 74 AS n_chars, count(*) AS n_pars FROM r GROUP BY 1",
+    ),
     "segment_metrics": (
         segment_metrics,
         f"WITH {METRICS_SQL} SELECT vec_id, {', '.join(f'round({c}, 6) AS {c}' for c in ('duration_s', 'mean_abs', 'peak', 'rms', 'median_abs', 'first_sample', 'last_sample'))}, clip_run FROM m",
