@@ -120,6 +120,18 @@ def test_pieces_equal_library(docs, texts):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
 
 
+def test_runs_of_marks_equal_library():
+    """No chunk is merged directly: runs of spaces of any length go through backtracking too."""
+    import sentencepiece
+
+    lib, coder, r = sentencepiece.SentencePieceProcessor(model_file=PIECES), PieceEncoder(PIECES), random.Random(1)
+    for m in [*range(1, 300), 1024, 2047, 5000]:
+        for word in ["", "the", "字", "".join(r.choice("etaoinshrdlu字é1") for _ in range(r.randint(1, 9)))]:
+            text = " " * m + word
+            assert coder.encode_chunk("▁" * (m + 1) + word) == lib.encode(text), (m, word)
+            assert coder.run([text])[0][1] == " ".join(map(str, lib.encode(text, add_eos=True)))
+
+
 def plain_spans(text):
     out = []
     p = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
