@@ -506,3 +506,27 @@ def test_work_folders(spark, tmp_path):
     (tmp_path / "broken.json").write_text("{")
     for load in (workdir.load_scripts, workdir.load_cast, workdir.load_voices, workdir.load_state, workdir.load_audit, workdir.load_chunks):
         assert load(spark, str(tmp_path / "broken.json")).collect() == []
+
+
+def plain_words(page):
+    """Words of a page once comments, skipped elements and tags are cut out by patterns."""
+    import html as entities
+    import re
+
+    from lectern.functions.constants import SKIP_TAGS
+
+    page = re.sub(r"(?is)<!--.*?-->|<!doctype[^>]*>", "", page)
+    for tag in SKIP_TAGS:
+        page = re.sub(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "", page)
+    page = re.sub(r"(?i)<(?:meta|link)\b[^>]*>|</?(?:b|i|em|strong|span|a|u|small|sub|sup|code)\b[^>]*>", "", page)
+    return entities.unescape(re.sub(r"<[^>]+>", " ", page)).split()
+
+
+def test_paragraphs_hold_every_word_once(spark):
+    """On real pages with unclosed tags, entities, comments and skipped parts the paragraphs say what the page says, in its order."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = {r.page_id: [] for r in pages.collect()}
+    for r in html.extract_paragraphs(pages, "page_id", "html").collect():
+        found[r.page_id].append((r.tag_idx, r.text))
+    for page in pages.collect():
+        assert " ".join(text for _, text in sorted(found[page.page_id])).split() == plain_words(page.html), page.page_id
