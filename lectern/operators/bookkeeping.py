@@ -122,3 +122,36 @@ def window_lines(window: DataFrame) -> Column:
     line = F.concat(F.lit("  "), F.when(F.col("flagged"), ">").otherwise(" "), F.lit(" "), F.lpad(F.col("seg_idx").cast("string"), 4, " "), F.lit(" ("), "speaker", style, F.lit("): "), X.truncate(F.col("text")))
     moved = F.when(F.col("flagged") & (F.col("recorded") != F.col("seg_idx")), F.concat(F.lit("       (recorded as seg "), F.col("recorded").cast("string"), F.lit("; script re-split since)")))
     return F.concat_ws("\n", line, moved)
+
+
+def voice_key(preset: Column, instruct: Column, ref_audio: Column, ref_text: Column) -> Column:
+    """What tasks must share to be spoken in one batch: a preset voice and its direction, else a reference and its text."""
+    chosen = F.coalesce(preset, F.lit("")) != ""
+    return F.when(chosen, F.struct(F.lit("preset").alias("kind"), preset.alias("voice"), instruct.alias("with"))).otherwise(F.struct(F.lit("reference").alias("kind"), ref_audio.alias("voice"), ref_text.alias("with")))
+
+
+def voice_references(tasks: DataFrame, clips: DataFrame, state: DataFrame, styles: DataFrame, sample_line: str) -> DataFrame:
+    """tasks (name, emotion) with the reference clip of each: path, ref_text, sha.
+
+    clips (name, emotion, path, sha) has a member's clip per style, and its base clip under no style; state (name, emotion,
+    ref_text, sha) is what was recorded when a clip was made; styles (emotion, line) the standing lines. The style's clip
+    goes before the base clip; the text is the recorded one of the clip that is used, then the style's line (not for a base
+    clip), then the sample line; the digest is the recorded one of the style, else that of the clip.
+    """
+    own = clips.where("emotion is not null").select("name", "emotion", F.col("path").alias("own_path"), F.col("sha").alias("own_sha"))
+    base = clips.where("emotion is null").select("name", F.col("path").alias("base_path"), F.col("sha").alias("base_sha"))
+    told = state.where("emotion is not null").select("name", "emotion", F.col("ref_text").alias("own_text"), F.col("sha").alias("told_sha"))
+    base_told = state.where("emotion is null").select("name", F.col("ref_text").alias("base_text"))
+    rows = tasks.join(own, ["name", "emotion"], "left").join(base, "name", "left").join(told, ["name", "emotion"], "left").join(base_told, "name", "left").join(styles, "emotion", "left")
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    styled = F.col("own_path").isNotNull()
+    text = F.when(styled, F.coalesce(some("own_text"), some("line"))).otherwise(some("base_text"))
+    sha = F.coalesce(some("told_sha"), F.when(styled, F.col("own_sha")).otherwise(F.col("base_sha")))
+    return rows.select(*tasks.columns, F.coalesce("own_path", "base_path").alias("path"), F.coalesce(text, F.lit(sample_line)).alias("ref_text"), F.coalesce(sha, F.lit("")).alias("sha"))
+
+
+def audit_contexts(entries: DataFrame, sources: DataFrame, before: int, after: int) -> DataFrame:
+    """entries (chapter_idx, text, source_span, …) with the lines of their chapter around their text, else the span that was saved with them."""
+    found = entries.join(sources.select("chapter_idx", F.col("text").alias("source")), "chapter_idx", "left")
+    context = X.focused_context(F.col("source"), F.col("text"), before, after)
+    return found.withColumn("context", F.coalesce(F.nullif(context, F.lit("")), "source_span", F.lit(""))).drop("source")

@@ -108,6 +108,33 @@ def merged_audit(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(events, allowMissingColumns=True)
 
 
+def voice_keys(spark: SparkSession, d: str) -> DataFrame:
+    """How many tasks share a voice."""
+    p = table(spark, d, "part")
+    preset = F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).when(F.col("p_size") % 3 == 1, "")
+    key = bookkeeping.voice_key(preset, F.col("p_type"), F.concat(F.lit("a"), (F.col("p_size") % 5).cast("string")), F.lit("said"))
+    return p.select(key.alias("k")).groupBy("k.kind", "k.voice", "k.with").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reference_clips(spark: SparkSession, d: str) -> DataFrame:
+    s, styles = table(spark, d, "supplier"), F.array(F.lit("sad"), F.lit("happy"))
+    both = s.select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("k"), F.explode(styles).alias("emotion"))
+    k = F.col("k")
+    clips = both.where((k % 2 == 0) | (F.col("emotion") == "sad")).select("name", "emotion", F.concat_ws("__", "name", "emotion").alias("path"), F.md5("emotion").alias("sha"))
+    base = s.where("s_suppkey % 5 <> 0").select(F.col("s_name").alias("name"), F.lit(None).cast("string").alias("emotion"), F.col("s_name").alias("path"), F.lit("base").alias("sha"))
+    told = both.where(k % 3 == 0).select("name", "emotion", F.when(k % 2 == 0, "told").otherwise("").alias("ref_text"), F.when(k % 4 == 0, "told sha").alias("sha"))
+    base_told = s.where("s_suppkey % 7 = 0").select(F.col("s_name").alias("name"), F.lit(None).cast("string").alias("emotion"), F.lit("base told").alias("ref_text"), F.lit("x").alias("sha"))
+    lines = spark.createDataFrame([("sad", "a sad line"), ("happy", "")], "emotion string, line string")
+    return bookkeeping.voice_references(both.select("name", "emotion"), clips.unionByName(base), told.unionByName(base_told), lines, "the sample")
+
+
+def audit_contexts(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("chapter_idx"), "text")
+    lines = F.split("text", "\n", -1)
+    entries = t.select("chapter_idx", F.when(F.col("chapter_idx") % 10 == 0, F.element_at(lines, -1)).otherwise("not there").alias("text"), F.when(F.col("chapter_idx") % 3 == 0, "saved").alias("source_span"))
+    return bookkeeping.audit_contexts(entries, t, 0, 1).select("chapter_idx", F.md5("context").alias("md5"))
+
+
 _MEMBERS_SQL = "m AS (SELECT n_regionkey AS book_id, n_nationkey::BIGINT AS ordinal, n_name AS name, [upper(n_name) || '.', 'shared ' || (n_nationkey % 2), '...'] AS aliases, n_nationkey AS k FROM nation)"
 _LABELS_SQL = f"{_MEMBERS_SQL}, l AS (SELECT book_id, ordinal, name, unnest(list_concat([name], aliases)) AS label, generate_subscripts(list_concat([name], aliases), 1) - 1 AS place FROM m), n AS (SELECT *, lower(trim(regexp_replace(label, '[.,;:]+$', ''))) AS norm FROM l)"
 _STATE_SQL = "s AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS hash, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS done FROM orders)"
@@ -155,5 +182,19 @@ QUERIES = {
         "SELECT conv_id AS chapter_idx, turn AS seg_idx, '  ' || CASE WHEN turn = 1 THEN '>' ELSE ' ' END || ' ' || lpad(turn::VARCHAR, 4, ' ') || ' (' || role || CASE WHEN turn % 2 = 0 THEN '/sad' ELSE '' END || '): ' || "
         "CASE WHEN length(trim(replace(text, chr(10), ' '))) > 80 THEN substr(trim(replace(text, chr(10), ' ')), 1, 77) || '...' ELSE trim(replace(text, chr(10), ' ')) END || CASE WHEN turn = 1 AND conv_id % 3 = 1 THEN chr(10) || '       (recorded as seg 3; script re-split since)' ELSE '' END AS lines FROM conversations",
     ),
+    "voice_keys": (voice_keys, "SELECT CASE WHEN p_size % 3 = 0 THEN 'preset' ELSE 'reference' END AS kind, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE 'a' || (p_size % 5) END AS voice, CASE WHEN p_size % 3 = 0 THEN p_type ELSE 'said' END AS \"with\", count(*) AS n FROM part GROUP BY ALL"),
+    "reference_clips": (
+        reference_clips,
+        "WITH b AS (SELECT s_name AS name, s_suppkey AS k, e AS emotion, s_suppkey % 2 = 0 OR e = 'sad' AS styled FROM supplier, (SELECT unnest(['sad', 'happy']) AS e)) "
+        "SELECT name, emotion, CASE WHEN styled THEN name || '__' || emotion WHEN k % 5 <> 0 THEN name END AS path, "
+        "coalesce(CASE WHEN styled THEN CASE WHEN k % 6 = 0 THEN 'told' WHEN emotion = 'sad' THEN 'a sad line' END WHEN k % 7 = 0 THEN 'base told' END, 'the sample') AS ref_text, "
+        "CASE WHEN k % 12 = 0 THEN 'told sha' WHEN styled THEN md5(emotion) WHEN k % 5 <> 0 THEN 'base' ELSE '' END AS sha FROM b",
+    ),
+    "audit_contexts": (
+        audit_contexts,
+        f"WITH t AS (SELECT doc_id AS chapter_idx, text, regexp_replace(string_split(text, chr(10))[-1], '^\\s+|\\s+$', '', 'g') AS w FROM documents WHERE doc_id % 5 = 0), p AS (SELECT *, CASE WHEN chapter_idx % 10 = 0 AND w <> '' THEN strpos(text, w) ELSE 0 END AS k FROM t), "
+        "c AS (SELECT chapter_idx, CASE WHEN k > 0 THEN string_split(text[1:k - 1], chr(10))[-1] || w || CASE WHEN contains(text[k + length(w):], chr(10)) THEN string_split(text[k + length(w):], chr(10))[1] || chr(10) ELSE text[k + length(w):] END END AS c, chapter_idx % 3 = 0 AS saved, k, length(string_split(text[1:k - 1], chr(10))[1]) AS h, len(string_split(text[1:k - 1], chr(10))) AS n FROM p) "
+        "SELECT chapter_idx, md5(coalesce(CASE WHEN n = 2 AND h = 0 THEN chr(10) || c ELSE c END, CASE WHEN saved THEN 'saved' ELSE '' END)) AS md5 FROM c",
+    ),
     "merged_audit": (merged_audit, f"WITH {script_queries.AUDIT_SQL} SELECT chapter_idx, seg_idx, kind, phase, NULL AS into FROM audit UNION ALL SELECT n_regionkey, NULL, 'cast_merge', NULL, n_name FROM nation"),
 }
