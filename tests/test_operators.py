@@ -1,4 +1,6 @@
+import difflib
 import io
+import itertools
 import random
 import zipfile
 
@@ -13,24 +15,24 @@ def rows(df, *order):
     return [tuple(r) for r in df.orderBy(*order).collect()]
 
 
+def plain_runs(pieces, limit):
+    """The longest beginning whose lengths, and one each, stay within the limit, then the same of the rest."""
+    if not pieces:
+        return []
+    k = max([1, *(k for k in range(1, len(pieces) + 1) if sum(len(p) + 1 for p in pieces[:k]) <= limit)])
+    return [" ".join(pieces[:k]), *plain_runs(pieces[k:], limit)]
+
+
 def plain_pack(text, limit):
-    """Sentence by sentence and word by word."""
-    out, held, size = [], [], 0
-    for sentence in chunking.sentences(text):
-        if held and size + len(sentence) > limit:
-            out.append(" ".join(held))
-            held, size = [], 0
-        if len(sentence) <= limit:
-            held, size = [*held, sentence], size + len(sentence) + 1
-            continue
-        line, width = [], 0
-        for word in sentence.split(" "):
-            if width + len(word) + 1 > limit:
-                out.append(" ".join(line))
-                line, width = [], 0
-            line, width = [*line, word], width + len(word) + 1
-        held, size = [" ".join(line)], width
-    return out + ([" ".join(held)] if held else [])
+    def pack(carried, rest):
+        k = next((k for k, s in enumerate(rest) if len(s) > limit), None)
+        if k is None:
+            return plain_runs(carried + rest, limit + 1)
+        words = rest[k].split(" ")
+        *full, last = plain_runs(words, limit)
+        return plain_runs(carried + rest[:k], limit + 1) + [""] * (len(words[0]) >= limit) + full + pack([last], rest[k + 1 :])
+
+    return pack([], chunking.sentences(text))
 
 
 def test_pack_sentences_by_brute_force():
@@ -193,18 +195,13 @@ def test_upsert_by_alias(spark):
 
 
 def plain_fold(rows):
-    """One segment after the other: (speaker, text) rows in order."""
-    out, held = [], ""
-    for k, (speaker, text) in enumerate(rows):
-        whole, held = held + (text or ""), ""
-        if any(map(str.isalnum, text or "")):
-            out.append((speaker, whole))
-        elif k + 1 < len(rows) and rows[k + 1][0] == speaker:
-            held = whole
-        elif out and out[-1][0] == speaker:
-            out[-1] = (speaker, out[-1][1] + whole)
-        else:
-            out.append((speaker, whole))
+    """Every segment's home in its run: the next one with words, else the last one with words, else the run's end."""
+    out = []
+    for speaker, run in itertools.groupby(rows, lambda r: r[0]):
+        texts = [t or "" for _, t in run]
+        worded = [k for k, t in enumerate(texts) if any(map(str.isalnum, t))]
+        home = [next((w for w in worded if w >= k), worded[-1] if worded else len(texts) - 1) for k in range(len(texts))]
+        out += [(speaker, "".join(t for t, at in zip(texts, home) if at == h)) for h in sorted(set(home))]
     return out
 
 
@@ -363,21 +360,18 @@ def test_short_needles(spark):
 
 
 def plain_compare(source, segments):
-    """Opcodes word by word: gaps as sets of source words that no block covers."""
-    import difflib
-
-    have = alignment.tokens(source)
-    said = [(w, k, a) for k, t in enumerate(segments) for w, a, _ in alignment.tokens(t)]
-    matched = [0] * len(segments)
+    """Which script word every source word is; gaps are runs of source words that are none."""
+    have, said = alignment.tokens(source), [(w, k, a) for k, t in enumerate(segments) for w, a, _ in alignment.tokens(t)]
+    blocks = difflib.SequenceMatcher(None, [t[0] for t in have], [t[0] for t in said], autojunk=False).get_matching_blocks()
+    partner = {a + k: b + k for a, b, n in blocks for k in range(n)}
     gaps = []
-    for kind, i1, i2, j1, j2 in difflib.SequenceMatcher(None, [t[0] for t in have], [t[0] for t in said], autojunk=False).get_opcodes():
-        if kind == "equal":
-            for j in range(j1, j2):
-                matched[said[j][1]] += 1
-        elif i2 > i1:
-            gaps.append((have[i1][1], have[i2 - 1][2], *(said[j1][1:] if j1 < len(said) else (len(segments), 0))))
-    wrong = [k for k, t in enumerate(segments) if alignment.tokens(t) and matched[k] < len(alignment.tokens(t)) / 2]
-    return gaps, wrong
+    for lost, run in itertools.groupby(range(len(have)), lambda i: i not in partner):
+        if lost:
+            run = list(run)
+            at = partner[run[0] - 1] + 1 if run[0] else 0
+            gaps.append((have[run[0]][1], have[run[-1]][2], *(said[at][1:] if at < len(said) else (len(segments), 0))))
+    found = [said[j][1] for j in partner.values()]
+    return gaps, [k for k, t in enumerate(segments) if alignment.tokens(t) and 2 * found.count(k) < len(alignment.tokens(t))]
 
 
 def test_compare_script_by_brute_force():
