@@ -1,4 +1,8 @@
-"""Word positions, cast checks, hash indexes, partial state, gates and assembly."""
+"""Word positions, cast checks, hash indexes, partial state, gates and assembly.
+
+Defined results: null names, labels and hashes match nothing; a null `done` is not done; rows that repeat a key count as one where
+a key's first or last is asked for; empty tables give empty results.
+"""
 
 from __future__ import annotations
 

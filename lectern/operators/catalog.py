@@ -1,4 +1,9 @@
-"""Chapter listings, metadata, voices, reports and quarantine rows."""
+"""Chapter listings, metadata, voices, reports and quarantine rows.
+
+Defined results: metadata that is null or no JSON has no chapters; a name without a number has a null one; a model that is null
+or unknown has no voices; a null text has no lyrics; empty tables give empty results; rows that repeat give repeated
+rows, except in listings of files and in phases, where they are one.
+"""
 
 from __future__ import annotations
 

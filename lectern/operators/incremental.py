@@ -1,4 +1,9 @@
-"""Content-hash increments: freshness, deduplicated tasks, fingerprints, prefixes and audit replacement."""
+"""Content-hash increments: freshness, deduplicated tasks, fingerprints, prefixes and audit replacement.
+
+Defined results: a key or hash that is null equals none, so such a row is stale and never cached; rows that repeat a
+key keep their number in `stale` and are one in `upsert_state` and `pending_tasks` (all null hashes are one task
+there); a chapter without a count of waiting tasks does not wait; empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Review replies, split and fill edits, and the reports on them."""
+"""Review replies, split and fill edits, and the reports on them.
+
+Defined results: a null or broken reply has no rows, or one that says what is wrong; parts of a report that are null are left
+out; places (chapter_idx, seg_idx) must be unique in a script; empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Running offsets, cues, interval lookup and read-along pars over ordered segments."""
+"""Running offsets, cues, interval lookup and read-along pars over ordered segments.
+
+Defined results: a null size or duration moves nothing and has no pause behind it, and its own end is null; cues
+without text are left out, a null speaker is not named; times outside all segments are found nowhere; rows that repeat
+a place come in any order, so places must differ within a group; empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -524,3 +524,30 @@ def test_paragraphs_hold_every_word_once(spark):
         found[r.page_id].append((r.tag_idx, r.text))
     for page in pages.collect():
         assert " ".join(text for _, text in sorted(found[page.page_id])).split() == plain_words(page.html), page.page_id
+
+
+def test_nulls_and_repeats_in_increments_and_timing(spark):
+    from lectern.operators import bookkeeping, catalog, reviews
+
+    current = spark.createDataFrame([(1, "h"), (None, "h"), (2, None), (3, "x"), (3, "x")], "key int, hash string")
+    state = spark.createDataFrame([(1, "h", True), (None, "h", True), (2, None, True), (3, "x", None)], "key int, hash string, done boolean")
+    assert sorted(map(repr, (r.key for r in incremental.stale(current, state).collect()))) == ["2", "3", "3", "None"]
+    tasks = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", 0)], "hash string, pos int")
+    cached = spark.createDataFrame([(None,)], "hash string")
+    assert sorted((repr(r.hash), r.pos) for r in incremental.pending_tasks(tasks, cached, ["pos"]).collect()) == [("'a'", 0), ("None", 1)]
+    chapters = spark.createDataFrame([(1, 1, None), (1, 2, 1), (1, 3, 0)], "book_id int, chapter_idx int, n_pending int")
+    assert [r.chapter_idx for r in incremental.ready_prefix(chapters).collect()] == [1]
+    timed = timing.timing_manifest(spark.createDataFrame([(1, 0, 1.0), (1, 1, None), (1, 2, 2.0)], "chapter_idx int, seg_idx int, duration_s double"), 500)
+    assert rows(timed.select("seg_idx", "start_s", "end_s"), "seg_idx") == [(0, 0.0, 1.0), (1, 1.5, None), (2, 1.5, 3.5)]
+    models = spark.createDataFrame([(None,), ("Other",), ("my-Qwen-2",)], "model string")
+    assert {r.model: r.voices for r in catalog.known_voices(models, {"qwen": ["a"]}).collect()} == {None: [], "Other": [], "my-Qwen-2": ["a"]}
+    meta = spark.createDataFrame([(1, None), (2, "no json")], "book_id int, content string")
+    assert catalog.metadata_rows(meta, "content").collect() == []
+    assert [r.chapter for r in spark.createDataFrame([("x_1",), ("07_a",), (None,)], "n string").select(catalog.chapter_number(F.col("n")).alias("chapter")).collect()] == [None, 7, None]
+    replies_ = spark.createDataFrame([(1, None), (2, "[]"), (3, "3")], "id int, json string")
+    assert [(r.id, r.kind) for r in reviews.review_rows(replies_, "id").collect()] == [(3, "problem")]
+    assert bookkeeping.partial_state(state).select("key").collect()[0].key == 3
+    words = spark.createDataFrame([(1, None), (2, ""), (3, "¿Él, o_k?")], "id int, text string")
+    assert rows(bookkeeping.word_rows(words, "id"), "word_idx") == [(3, 0, "él", 1, 3), (3, 1, "o_k", 5, 8)]
+    empty = spark.createDataFrame([], "book_id int, ordinal int, name string, aliases array<string>, description string, voice string")
+    assert bookkeeping.cast_problems(empty).collect() == [] and reviews.cast_list(empty, "book_id").collect() == []
