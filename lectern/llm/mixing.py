@@ -126,15 +126,10 @@ def learn_domains(docs: DataFrame, labels: DataFrame, domain: Column, n_domains:
     return DomainModel(counts, counts.pop("", [0] * n_domains))
 
 
-#: Makes, once per task, a function from texts to their numbers of tokens.
+#: Makes, once per task, a function from texts to their numbers of tokens; none counts words between white space.
 TokenCounter = Callable[[], Callable[[list[str]], list[int]]]
 
 
-def words_of(whole: list[str]) -> list[int]:
-    """Words between ASCII white space."""
-    return [len(t.encode().split()) for t in whole]
-
-
 def vocabulary_counter(vocabulary: str, pattern: str) -> TokenCounter:
     """Tokens under a byte-level vocabulary file. It costs about as much as `token_counts`, on top of the classifier."""
     from lectern.llm.token_counts import RankMerger
@@ -142,28 +137,38 @@ def vocabulary_counter(vocabulary: str, pattern: str) -> TokenCounter:
     return lambda: RankMerger(vocabulary, pattern).count
 
 
-def membership_function(model: DomainModel, counter: TokenCounter = lambda: words_of):
+def membership_function(model: DomainModel, counter: TokenCounter | None = None):
     """A function from texts to their numbers of tokens and their posteriors."""
-    count = counter()
+    count = counter() if counter else None
     number = {f: i for i, f in enumerate(model.weights)}
     table = np.array(list(model.weights.values())).reshape(-1, len(model.prior))
+    short, begins = ({f[2:]: i for f, i in number.items() if f[:2] == kind} for kind in ("w:", "p:"))
     known: set[str] = set()
     telling: dict[str, tuple[int, ...]] = {}
 
+    def numbers(token: str) -> tuple[int, ...]:
+        """Numbers of a token's features; a plain word has one, which needs no general look."""
+        core = token[:-1] if token[-1] in ".,;:" else token
+        if core.isalpha() and not core.isupper():
+            low = core.lower()
+            i = short.get(low) if len(low) < 5 else begins.get(low[:5])
+            return () if i is None else (i,)
+        return tuple(number[f] for f in token_features(token) if f in number)
+
     def of(whole: list[str]) -> list[pa.Array]:
         split = [t.split() for t in whole]
         if len(known) > CACHE_ENTRIES:
             known.clear()
             telling.clear()
         for token in set().union(*split) - known:
-            if found := tuple(number[f] for f in token_features(token) if f in number):
+            if found := numbers(token):
                 telling[token] = found
             known.add(token)
         evidence = np.zeros((len(whole), table.shape[1]))
         for i, tokens in enumerate(split):
             if found := sorted({k for t in set(tokens) & telling.keys() for k in telling[t]}):
                 evidence[i] = table[found].sum(0)
-        return [pa.array(count(whole), pa.int64()), pa.array(list(model.posterior(evidence)), pa.list_(pa.float64()))]
+        return [pa.array(count(whole) if count else list(map(len, split)), pa.int64()), pa.array(list(model.posterior(evidence)), pa.list_(pa.float64()))]
 
     return of
 
@@ -171,7 +176,7 @@ def membership_function(model: DomainModel, counter: TokenCounter = lambda: word
 _MEMBERSHIP = [T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))]
 
 
-def memberships(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text", counter: TokenCounter = lambda: words_of) -> DataFrame:
+def memberships(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text", counter: TokenCounter | None = None) -> DataFrame:
     """doc_id, n_tokens, posterior array<double> of every whole text; tokens are what the counter counts, words by default."""
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     return annotate(source, lambda: membership_function(model, counter), _MEMBERSHIP).drop("text")
@@ -265,7 +270,7 @@ def solve_rates(rows: DataFrame, weights: list[float], least: float = 0.0, grow:
         now, ahead = np.split(_summed(rows, 2 * k, totals), 2)
 
 
-def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: list[float], train_rows: int = TRAIN_ROWS, counter: TokenCounter = lambda: words_of) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: list[float], train_rows: int = TRAIN_ROWS, counter: TokenCounter | None = None) -> DataFrame:
     """doc_id, n_tokens, posterior, rate of every document, and miss, the share of tokens by which the whole mixture misses its targets."""
     model = learn_domains(docs, labels, domain, len(weights), train_rows)
     rows = materialise(memberships(docs, model, counter=counter))
@@ -280,7 +285,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: list[float]
     return rated.withColumn("miss", F.lit(fit.miss))
 
 
-def mixed_rows(docs: DataFrame, labels: DataFrame, domain: Column, weights: list[float], train_rows: int = TRAIN_ROWS, counter: TokenCounter = lambda: words_of) -> DataFrame:
+def mixed_rows(docs: DataFrame, labels: DataFrame, domain: Column, weights: list[float], train_rows: int = TRAIN_ROWS, counter: TokenCounter | None = None) -> DataFrame:
     """The rows of docs, each as often as its rate says: all whole uses, and one more by a hash of id and text with the rest as probability.
 
     Rates are at least one, so no document is lost: domains below their weight are repeated.

@@ -698,6 +698,19 @@ def test_targets_in_tokens_of_a_vocabulary(spark, docs, labels, texts):
     assert held / held.sum() == pytest.approx([0.8, 0.1, 0.1], abs=1e-3)
 
 
+def test_numbers_of_plain_words_are_those_of_their_features():
+    """The short way to a word's feature gives what the general one does."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abCDé1ß.,;:!?İ#'-(") for _ in range(r.randint(1, 8))) for _ in range(4000)] + ["ABC", "A", "A.", "I,", "Hello.", "hello", "word;:", "été,", "ÄRGER.", "ok!!", "x1"]
+    features = sorted({f for w in words for f in mixing.token_features(w)})
+    model = mixing.DomainModel({f: [10.0, 0.0] if k % 2 else [0.0, 10.0] for k, f in enumerate(features)}, [20, 20])
+    found = mixing.membership_function(model)(words)
+    assert found[0].to_pylist() == [1] * len(words)
+    for w, p in zip(words, found[1].to_pylist()):
+        e = sum((model.weights[f] for f in {*mixing.token_features(w)} if f in model.weights), np.zeros(2))
+        assert p == pytest.approx(model.posterior(e[None])[0].tolist()), w
+
+
 def test_mixing_ties_and_posteriors(spark):
     """Disagreeing labels take the largest domain; the posteriors equal a plain computation."""
     texts = {1: "aaa bbb ccc", 2: "aaa bbb ddd", 3: "eee fff GGG!!", 4: "eee fff HHH!!", 5: "aaa eee", 6: None}
