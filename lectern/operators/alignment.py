@@ -159,23 +159,23 @@ def longest_shared_runs(needles: DataFrame, sources: DataFrame, needle_key: str,
 
     Needles and sources (key, text). A needle's anchors are its runs of as many words as any accepted match must have, four
     at most; they are joined by their hash. Matches on one diagonal in consecutive places are one run, so the longest run
-    follows from gaps and islands. Ties: earliest in the needle, then earliest in the source. A needle or source that is null or has
-    no words is in no pair; rows that repeat a key are one text only if they are equal.
+    follows from gaps and islands. Ties: earliest in the needle, then earliest in the source. A needle or source that is null
+    or has no words is in no pair; repeated rows count once, and different texts must have different keys.
     """
-    own = needles.select(needle_key, X.word_tokens(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
-    theirs = sources.select(source_key, X.word_tokens(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
+    own = needles.select(needle_key, X.word_tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+    theirs = sources.select(source_key, X.word_tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
     needed = F.ceil(F.size("w") * F.lit(ACCEPT) - 1e-9).cast("int")
+    least = F.least(F.lit(longest_anchor), needed)
     own = own.withColumn("needed", needed)
-    anchors = range(1, longest_anchor + 1)
-    least = F.least(F.lit(longest_anchor), F.col("needed"))
-    sized = reduce(DataFrame.unionByName, (_runs(own.where(least == anchor), needle_key, "i", anchor, "needed") for anchor in anchors))
+    sized = reduce(DataFrame.unionByName, (_runs(own.where(least == anchor), needle_key, "i", anchor, "needed") for anchor in range(1, longest_anchor + 1)))
     # lengths that occur, and how many runs of each: a few numbers
     found = {r["anchor"]: r["n"] for r in sized.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).collect()}
     held = reduce(DataFrame.unionByName, (_runs(theirs, source_key, "j", anchor) for anchor in sorted(found) or [1]))
     small = sum(found.values()) <= BROADCAST_RUNS
     hits = held.join(F.broadcast(sized) if small else sized, ["anchor", "h"]).withColumn("diagonal", F.col("i") - F.col("j"))
     w = Window.partitionBy(needle_key, source_key, "diagonal").orderBy("i")
-    islands = hits.withColumn("island", F.col("i") - F.row_number().over(w))
-    runs = islands.groupBy(needle_key, source_key, "diagonal", "island").agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.count(F.lit(1)) + F.first("anchor") - 1).alias("size"), F.first("needed").alias("needed"))
-    best = runs.where(F.col("size") >= F.col("needed")).groupBy(needle_key, source_key).agg(F.max(F.struct("size", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))).alias("b"))
+    islands = hits.withColumn("island", F.col("i") - F.dense_rank().over(w))
+    runs = islands.groupBy(needle_key, source_key, "diagonal", "island").agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.max("i") - F.min("i") + F.first("anchor")).alias("size"), F.first("needed").alias("needed"))
+    longest = F.max(F.struct("size", (-F.col("i")).alias("i"), (-F.col("j")).alias("j")))
+    best = runs.where(F.col("size") >= F.col("needed")).groupBy(needle_key, source_key).agg(longest.alias("b"))
     return best.select(needle_key, source_key, F.col("b.size").cast("long").alias("size"), (-F.col("b.i")).cast("long").alias("needle_at"), (-F.col("b.j")).cast("long").alias("source_at"))

@@ -349,8 +349,8 @@ def test_overlay_by_brute_force():
 
 
 def test_short_needles(spark):
-    needles = spark.createDataFrame([(1, "the road lay empty"), (2, "Rain fell"), (3, "late"), (4, None), (5, "..."), (6, "one two three four five")], "item_id int, text string")
-    sources = spark.createDataFrame([(1, "the road lay quiet; rain fell late"), (2, "zero one two three four"), (3, None), (4, "")], "doc_id int, text string")
+    needles = spark.createDataFrame([(1, "the road lay empty"), (2, "Rain fell"), (3, "late"), (4, None), (5, "..."), (6, "one two three four five"), (6, "one two three four five")], "item_id int, text string")
+    sources = spark.createDataFrame([(1, "the road lay quiet; rain fell late"), (1, "the road lay quiet; rain fell late"), (2, "zero one two three four"), (3, None), (4, "")], "doc_id int, text string")
     found = {(r.item_id, r.doc_id): (r.size, r.needle_at, r.source_at) for r in alignment.longest_shared_runs(needles, sources, "item_id", "doc_id").collect()}
     assert found == {(1, 1): (3, 0, 0), (2, 1): (2, 0, 4), (3, 1): (1, 0, 6), (6, 2): (4, 0, 1)}
     for (i, d), (size, at, _) in found.items():
