@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -57,31 +59,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-#: Tables that this process wrote and has not deleted, oldest first.
-_WRITTEN: list[str] = []
+#: The folder of the piece of work that runs now, where it has one of its own; a thread sees its own only.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def free_folder(spark: SparkSession) -> str:
+    """A path that nothing uses yet, in the folder of the work that runs now, else in the shared one."""
+    return f"{(_SCRATCH.get() or checkpoint_dir(spark)).rstrip('/')}/lectern-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Whatever this block materialises goes to a folder of its own, which `remove` can delete as a whole."""
+    folder = free_folder(spark)
+    token = _SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.reset(token)
+
+
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write a result to the shared folder as Parquet and reread it, which cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/lectern-{uuid.uuid4().hex}"
+    path = path or free_folder(spark)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written() -> list[str]:
-    """The tables of this process that are still there."""
-    return list(_WRITTEN)
-
-
-def sweep(spark: SparkSession, paths: list[str]) -> None:
-    """Delete materialised tables that nothing will read again; the caller knows when that is."""
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        if path in _WRITTEN:
-            _WRITTEN.remove(path)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing will read again; the caller knows when that is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def by_bucket(df: DataFrame, n: int, bucket: str | Column = "bucket") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import license_scan as licenses
 from lectern.llm.common import read_table
+from lectern.llm.merkle import merkle_manifest
 from lectern.llm.mixing import TARGETS, label_domain, mix
 from lectern.llm.piece_bpe import encode_decode
 from lectern.llm.quality import quality
@@ -62,6 +63,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(read_table(spark, sf_dir, "documents")).drop("proof_shape", "proof")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_secret_scan": op2_secret_scan,
@@ -73,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle": op11_merkle,
 }
 
 OP7_SQL = r"""
@@ -98,7 +104,57 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN k USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_substring_dedup": OP7_SQL, "op9_license_scan": licenses.oracle()}
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value})::VARCHAR || ':' || {value}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(f"({x})::VARCHAR") for x in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+def _step(at: str) -> str:
+    """The sibling of a node at a level, after the side on which it stands; a dash where there is none."""
+    return f"CASE WHEN ({at} >> level) % 2 = 1 THEN 'L' || nodes[({at} >> level)] ELSE coalesce('R' || nodes[({at} >> level) + 2], '-') END"
+
+
+_HALVED = "list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], '')))"
+#: CRC-32 of the decimal id, from the table of the reflected polynomial.
+_CRC = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::UBIGINT)), lambda c, k: xor(entries[((xor(c, k) & 255) + 1)::BIGINT], c >> 8)), 4294967295::UBIGINT)"
+
+OP11_SQL = f"""
+WITH RECURSIVE codes AS (
+  SELECT list(list_reduce(list_prepend(i::UBIGINT, list_transform(range(8), lambda z: z::UBIGINT)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY i) AS entries
+  FROM range(256) t(i)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, CASE WHEN n_chars IS NOT NULL AND {_CRC} % 7 = 0 THEN {_leaf("n_chars + 1")} END AS changed FROM documents, codes)
+), tree AS (
+  SELECT 0 AS level, lang, list(leaf ORDER BY pos) AS nodes FROM placed GROUP BY lang
+  UNION ALL SELECT level + 1, lang, {_HALVED} FROM tree WHERE len(nodes) > 1
+), sub AS (
+  SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS spot FROM tree WHERE len(nodes) = 1
+), top AS (
+  SELECT 0 AS level, list(subroot ORDER BY spot) AS nodes FROM sub
+  UNION ALL SELECT level + 1, {_HALVED} FROM top WHERE len(nodes) > 1
+), up AS (
+  SELECT lang, subroot, list({_step("spot")} ORDER BY level) FILTER (len(nodes) > 1) AS steps FROM sub, top GROUP BY lang, subroot
+), own AS (
+  SELECT p.lang, pos, list({_step("pos")} ORDER BY level) AS steps
+  FROM placed p JOIN tree t ON p.lang IS NOT DISTINCT FROM t.lang WHERE len(nodes) > 1 GROUP BY p.lang, pos
+), joined AS (
+  SELECT p.doc_id, leaf, subroot, (SELECT nodes[1] FROM top WHERE len(nodes) = 1) AS root, coalesce(changed, leaf) AS start,
+         list_concat(coalesce(own.steps, []), coalesce(up.steps, [])) AS steps
+  FROM placed p JOIN up ON p.lang IS NOT DISTINCT FROM up.lang LEFT JOIN own ON p.lang IS NOT DISTINCT FROM own.lang AND p.pos = own.pos
+), back AS (
+  SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(list_filter(steps, lambda x: x <> '-'), lambda x: x[2:]), '')) AS proof_sha256,
+         list_reduce(list_prepend(start, steps), lambda a, x: CASE WHEN x = '-' THEN sha256(a) WHEN x[1] = 'L' THEN sha256(x[2:] || a) ELSE sha256(a || x[2:]) END) AS folded_root
+  FROM joined
+)
+SELECT *, folded_root = root AS verified FROM back
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_substring_dedup": OP7_SQL, "op9_license_scan": licenses.oracle(), "op11_merkle": OP11_SQL}
 
 
 def queries() -> dict[str, Query]:

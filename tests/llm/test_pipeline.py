@@ -2,6 +2,7 @@
 
 import hashlib
 import sys
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import public_tokenizers
@@ -9,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from lectern.llm import secret_scan, toxicity
-from lectern.llm.common import materialise
+from lectern.llm.common import checkpoint_dir, materialise
 
 sys.path.insert(0, str(Path(__file__).parent))
 from test_similar import plain_groups  # noqa: E402
@@ -47,11 +48,26 @@ def test_stages(spark, sf, steps):
 
 
 def test_no_table_is_left_but_the_last(spark, sf):
-    from lectern.llm.common import written
+    """Only the last stage's input is left of the run, and what another query wrote meanwhile is still there."""
+    import os
+
+    other = materialise(spark.range(5).toDF("id"))
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    stages, beside = list(corpus_pipeline.STAGES), []
+
+    def meanwhile(spark, docs, sf_dir, stage=stages[1][1]):
+        with ThreadPoolExecutor() as pool:
+            beside.append(pool.submit(lambda: materialise(spark.range(7).toDF("id"))).result())
+        return stage(spark, docs, sf_dir)
 
-    before = set(written())
-    out = corpus_pipeline.run(spark, sf)
-    assert len(set(written()) - before) == 1 and out.count() > 100
+    corpus_pipeline.STAGES[1] = ("simhash", meanwhile)
+    try:
+        out = corpus_pipeline.run(spark, sf)
+    finally:
+        corpus_pipeline.STAGES[:] = stages
+    assert len(set(os.listdir(folder)) - before) == 2 and out.count() > 100
+    assert other.count() == 5 and beside[0].count() == 7
 
 
 def test_odd_documents(spark, sf):
