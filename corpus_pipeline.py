@@ -19,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise, read_table, sweep, written
+from lectern.llm.common import materialise, read_table, remove, scratch
 from lectern.llm.mixing import mixed_rows
 from lectern.llm.piece_bpe import encode_decode
 from lectern.llm.secret_scan import without_secrets
@@ -64,12 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; a stage's own tables and its input are deleted as soon as its result is written."""
-    docs = read_table(spark, sf_dir, "documents")
-    before = set(written())
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs)
-            sweep(spark, [path for path in written()[:-1] if path not in before])
-    return docs
+    """All stages. A stage's own tables are in a folder of its own, which goes with its input as soon as its result is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        with scratch(spark) as own:
+            made = stage(spark, docs, sf_dir)
+            docs = materialise(made, path := f"{own}-result")
+        for folder in filter(None, (own, before)):
+            remove(spark, folder)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
