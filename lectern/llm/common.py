@@ -98,14 +98,14 @@ def by_bucket(df: DataFrame, n: int, bucket: str | Column = "bucket") -> DataFra
     return df.repartitionById(n, F.col(bucket) if isinstance(bucket, str) else bucket)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that none holds much more than SLICE_CHARS bytes of text; one long row stays whole."""
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that none holds much more than `limit` bytes of text; one long row stays whole."""
     for batch in batches:
         column = batch.column(text)
         sizes = [n or 0 for n in pa.compute.binary_length(column).to_pylist()]
         start = held = 0
         for i, n in enumerate(sizes):
-            if held and held + n > SLICE_CHARS:
+            if held and held + n > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n

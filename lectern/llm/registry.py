@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import license_scan as licenses
 from lectern.llm.common import read_table
+from lectern.llm.divergence import divergence
 from lectern.llm.merkle import merkle_manifest
 from lectern.llm.mixing import TARGETS, label_domain, mix
 from lectern.llm.piece_bpe import encode_decode
@@ -67,6 +68,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(read_table(spark, sf_dir, "documents")).drop("proof_shape", "proof")
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_secret_scan": op2_secret_scan,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
     "op11_merkle": op11_merkle,
+    "op13_divergence": op13_divergence,
 }
 
 OP7_SQL = r"""
@@ -154,7 +160,37 @@ WITH RECURSIVE codes AS (
 SELECT *, folded_root = root AS verified FROM back
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_substring_dedup": OP7_SQL, "op9_license_scan": licenses.oracle(), "op11_merkle": OP11_SQL}
+_SHARE = "1 + (1000000000::HUGEINT * ({} + 5)) // ({} + 5 * terms)"
+
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS k FROM documents
+), w AS (
+  SELECT k, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS whole FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= 30
+), v AS (SELECT lang, count(*) AS terms, sum(whole) AS lang_total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+cells AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, {_SHARE.format("coalesce(n, 0)", "coalesce(total, 0)")} AS p, {_SHARE.format("whole", "lang_total")} AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN t USING (lang, source) LEFT JOIN c USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN cells x ON x.lang = a.lang AND x.source = a.source LEFT JOIN cells y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, 1000000000 AS most FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, p - q, 50 FROM cells WHERE n > 0 AND p > q
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM ranked
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM numbered WHERE rank <= most
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_substring_dedup": OP7_SQL, "op9_license_scan": licenses.oracle(), "op11_merkle": OP11_SQL, "op13_divergence": OP13_SQL}
 
 
 def queries() -> dict[str, Query]:
