@@ -12,6 +12,7 @@ from lectern.llm.common import read_table
 from lectern.llm.divergence import divergence
 from lectern.llm.merkle import merkle_manifest
 from lectern.llm.mixing import TARGETS, label_domain, mix
+from lectern.llm.nn_descent import near_vectors
 from lectern.llm.piece_bpe import encode_decode
 from lectern.llm.quality import quality
 from lectern.llm.secret_scan import secret_scan
@@ -68,6 +69,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(read_table(spark, sf_dir, "documents")).drop("proof_shape", "proof")
 
 
+def op12_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(read_table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
     "op11_merkle": op11_merkle,
+    "op12_nn_descent": op12_nn_descent,
     "op13_divergence": op13_divergence,
 }
 
@@ -160,6 +166,21 @@ WITH RECURSIVE codes AS (
 SELECT *, folded_root = root AS verified FROM back
 """
 
+OP12_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS k, vec_id, embedding::DOUBLE[] AS x FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0
+), linked AS (
+  SELECT a.k AS a, b.k AS b FROM ok a JOIN ok b ON a.k <> b.k AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9
+), reached AS (
+  SELECT k AS a, k AS b FROM v UNION SELECT r.a, l.b FROM reached r JOIN linked l ON r.b = l.a
+), classes AS (SELECT a, min(v.vec_id) AS component_id FROM reached JOIN v ON v.k = b GROUP BY a),
+degrees AS (SELECT a, count(*) AS n FROM linked GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN classes ON classes.a = k LEFT JOIN degrees ON degrees.a = k
+"""
+
 _SHARE = "1 + (1000000000::HUGEINT * ({} + 5)) // ({} + 5 * terms)"
 
 OP13_SQL = rf"""
@@ -190,7 +211,7 @@ cells AS (
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM numbered WHERE rank <= most
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_substring_dedup": OP7_SQL, "op9_license_scan": licenses.oracle(), "op11_merkle": OP11_SQL, "op13_divergence": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_substring_dedup": OP7_SQL, "op9_license_scan": licenses.oracle(), "op11_merkle": OP11_SQL, "op12_nn_descent": OP12_SQL, "op13_divergence": OP13_SQL}
 
 
 def queries() -> dict[str, Query]:
