@@ -1,157 +1,258 @@
-"""Alignment of scripts with their sources."""
+"""Alignment of scripts with their sources.
+
+Two texts are aligned by what is rare in them. Runs of `RUN` words that occur
+once on either side are joined; those that follow each other on both sides
+form blocks, and of a chapter's blocks the heaviest chain is kept that rises
+on both sides (ties go to the earlier block). Between two blocks of the chain
+is a gap, aligned alone: words that agree at its ends, then single words that
+occur once on either side of the gap, chained alike, then words that agree at
+the ends of what is left. What is not matched then is missing or made up.
+
+The joins, blocks and gaps are DataFrames; Python picks chains and aligns the
+words of single gaps, streamed in their order. It costs n log n in the words
+of a chapter, and a task holds the blocks of one chapter or the words of one
+gap at a time.
+
+Defined results: a null text is empty and has no words; rows without a
+chapter are left out; of rows that share a chapter the least text counts;
+segments that share an index are read in the order of their texts, repeated
+ones as often as they are there; a chapter without segments is missing as a
+whole, one without a source has no rows; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
-import difflib
-import re
-from collections.abc import Iterable
+import itertools
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.functions.folds import let, rows_of
+
+#: Share of a needle's words that a match needs; words of an anchor run.
+ACCEPT, RUN = 0.7, 3
+_EDGE = r"[.,;:?!\"'()\[\]-]"
+_ROWS = 50_000
+
+Block = tuple[int, int, int]  # place in the source, place in the script, words
+
+
+def heaviest_chain(blocks: list[Block]) -> list[Block]:
+    """Of blocks in the order of the source those of the heaviest rising chain, without the words that the one before already covers."""
+    places = sorted(b[1] for b in blocks)
+    # a Fenwick tree of the best chain that ends at or before a place: its words, and its last block (earlier ones win ties)
+    best = [(0, 1)] * (len(blocks) + 1)
+    before: list[int] = []
+    end = (0, 1)
+    for k, (_, j, n) in enumerate(blocks):
+        at = bisect_left(places, j)
+        top, x = (0, 1), at
+        while x:
+            top = max(top, best[x])
+            x &= x - 1
+        before.append(-top[1])
+        own = (top[0] + n, -k)
+        end = max(end, own)
+        x = at + 1
+        while x <= len(blocks):
+            best[x] = max(best[x], own)
+            x += x & -x
+    chain, k = [], -end[1]
+    while k >= 0:
+        chain.append(blocks[k])
+        k = before[k]
+    out = []
+    for last, (i, j, n) in zip([None, *chain[:0:-1]], chain[::-1]):
+        cut = max(0, last[0] + last[2] - i, last[1] + last[2] - j) if last else 0
+        if cut < n:
+            out.append((i + cut, j + cut, n - cut))
+    return out
 
-_TOKEN = re.compile(r"\w+")
-_EDGE = ".,;:?!\"'()[]-"
-ACCEPT = 0.7
 
+def _ends(a: list[str], b: list[str], i0: int, i1: int, j0: int, j1: int) -> Iterator[Block]:
+    """Words that agree at the start and at the end of a gap; what is left between them follows as a block of no words."""
+    most = min(i1 - i0, j1 - j0)
+    head = next((k for k in range(most) if a[i0 + k] != b[j0 + k]), most)
+    most -= head
+    tail = next((k for k in range(most) if a[i1 - 1 - k] != b[j1 - 1 - k]), most)
+    yield i0, j0, head
+    yield i1 - tail, j1 - tail, tail
 
-def tokens(text: str) -> list[tuple[str, int, int]]:
-    """(lower-case word, start, end)."""
-    return [(m.group().lower(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
 
+def align_gap(a: list[str], b: list[str]) -> list[Block]:
+    """Blocks of equal words of one gap: its ends, rare words, and the ends of what lies between these."""
+    (_, _, head), (i1, j1, tail) = _ends(a, b, 0, len(a), 0, len(b))
+    once_a, once_b = Counter(a[head:i1]), Counter(b[head:j1])
+    place = {w: j for j, w in enumerate(b[head:j1], head) if once_b[w] == 1}
+    blocks: list[Block] = []
+    for i in range(head, i1):
+        j = place.get(a[i]) if once_a[a[i]] == 1 else None
+        if j is None:
+            continue
+        if blocks and (i, j) == (blocks[-1][0] + blocks[-1][2], blocks[-1][1] + blocks[-1][2]):
+            blocks[-1] = (*blocks[-1][:2], blocks[-1][2] + 1)
+        else:
+            blocks.append((i, j, 1))
+    chain = heaviest_chain(blocks)
+    edges = [(head, head, 0), *chain, (i1, j1, 0)]
+    between = [x for (i, j, n), (k, m, _) in zip(edges, edges[1:]) for x in _ends(a, b, i + n, k, j + n, m)]
+    return [x for x in [(0, 0, head), *chain, *between, (i1, j1, tail)] if x[2]]
 
-def find_text(needle: str, source: str, start: int = 0) -> tuple[int, int] | None:
-    """Span in the source of the longest run of words shared with the needle, if it has 0.7 of the needle's words."""
-    own, theirs = [t[0] for t in tokens(needle)], [(w, a + start, b + start) for w, a, b in tokens(source[start:])]
-    if not own or not theirs:
-        return None
-    # the whole needle as a run of words is the longest run there can be, so its first occurrence is the answer
-    joined = "\0" + "\0".join(t[0] for t in theirs) + "\0"
-    at = joined.find("\0" + "\0".join(own) + "\0")
-    if at >= 0:
-        first = joined.count("\0", 0, at)
-        return theirs[first][1], theirs[first + len(own) - 1][2]
-    run = difflib.SequenceMatcher(None, own, [t[0] for t in theirs], autojunk=False).find_longest_match()
-    if run.size < ACCEPT * len(own):
-        return None
-    return theirs[run.b][1], theirs[run.b + run.size - 1][2]
 
+def _stream(df: DataFrame, keys: list[str], order: list[str], schema: str, work) -> DataFrame:
+    """Rows grouped by their keys and sorted within, each group given to work as it goes by; work gives rows of the schema."""
 
-def compare_script(source: str, segments: list[str]) -> tuple[list[tuple[str, int, int, str]], list[int]]:
-    """What of the source no segment says, as (text, segment to insert before, offset in it, line), and segments that the source does not have.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in batch.to_pylist())
+        out = (x for key, group in itertools.groupby(rows, lambda r: tuple(r[k] for k in keys)) for x in work(key, group))
+        while chunk := list(itertools.islice(out, _ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*chunk)], names=[x.split()[0] for x in schema.split(", ")])
 
-    Words are aligned in matching blocks. A gap is a run of source words between two blocks; it belongs where the script
-    stands behind the first of them. A segment of which under half the words lie in blocks is not in the source.
-    """
-    if not segments:
-        return ([(source, 0, 0, source)] if source.strip() else []), []
-    have, spoken = tokens(source), [tokens(text) for text in segments]
-    said = [t[0] for own in spoken for t in own]
-    owner = np.repeat(np.arange(len(segments)), [len(own) for own in spoken])
-    offset = [t[1] for own in spoken for t in own]
-    blocks = np.array(difflib.SequenceMatcher(None, [t[0] for t in have], said, autojunk=False).get_matching_blocks(), np.int64)
-    # between the end of a block and the start of the next; the last block is empty and stands at both ends
-    left = np.concatenate(([0], blocks[:-1, 0] + blocks[:-1, 2]))
-    behind = np.concatenate(([0], blocks[:-1, 1] + blocks[:-1, 2]))
-    missing = []
-    for first, last, at in zip(left.tolist(), blocks[:, 0].tolist(), behind.tolist()):
-        if last > first:
-            a, b = _with_punctuation(source, have[first][1], have[last - 1][2])
-            text = source[a:b].strip()
-            if len(text) > 1 or text.isalnum():
-                missing.append((text, int(owner[at]) if at < len(said) else len(segments), offset[at] if at < len(said) else 0, _line(source, a, b)))
-    inside = np.zeros(len(said) + 1, np.int64)
-    np.add.at(inside, blocks[:, 1], 1)
-    np.add.at(inside, blocks[:, 1] + blocks[:, 2], -1)
-    matched = np.bincount(owner, np.cumsum(inside)[: len(said)], len(segments))
-    return missing, np.flatnonzero((matched < 0.5 * np.bincount(owner, minlength=len(segments)))).tolist()
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def _with_punctuation(source: str, a: int, b: int) -> tuple[int, int]:
-    """A span and the marks right around it."""
-    return len(source[:a].rstrip(_EDGE)), len(source) - len(source[b:].lstrip(_EDGE))
+def _chained(blocks: DataFrame) -> DataFrame:
+    """The kept blocks of each chapter."""
+    return _stream(blocks, ["chapter_idx"], ["i", "j"], "chapter_idx long, i long, j long, n long", lambda key, group: ((*key, *b) for b in heaviest_chain([(r["i"], r["j"], r["n"]) for r in group])))
 
 
-def _line(source: str, a: int, b: int) -> str:
-    """The whole lines that hold a span."""
-    return (source[:a].rpartition("\n")[2] + source[a:b] + source[b:].partition("\n")[0]).strip()
+def _gap_blocks(gaps: DataFrame) -> DataFrame:
+    """Blocks of equal words inside the gaps: rows (chapter_idx, gap, side, at, w), side 0 for the source."""
 
+    def work(key: tuple, group: Iterable[dict]) -> Iterator[tuple]:
+        sides: tuple[list, list] = ([], [])
+        for r in group:
+            sides[r["side"]].append((r["at"], r["w"]))
+        (a, b) = sides
+        if a and b:
+            for i, j, n in align_gap([w for _, w in a], [w for _, w in b]):
+                yield key[0], a[0][0] + i, b[0][0] + j, n
 
-Span = tuple[int, int]
+    return _stream(gaps, ["chapter_idx", "gap"], ["side", "at"], "chapter_idx long, i long, j long, n long", work)
 
 
-def _literal(source: str, needle: str, at: int) -> Span | None:
-    found = source.find(needle, at)
-    return (found, found + len(needle)) if found >= 0 else None
+def _split(text: Column) -> Column:
+    """Per word: the word as compared, its length, what stands before and after it."""
+    words, marks = F.regexp_extract_all(text, F.lit(f"({X.WORD})"), F.lit(1)), F.split(text, X.WORD, -1)
+    # both lists are made once, not for each word
+    zipped = let(marks, lambda m: F.arrays_zip(words.alias("x"), F.slice(m, 1, F.size(m) - 1).alias("before"), F.slice(m, 2, F.size(m) - 1).alias("after")))
+    return F.transform(zipped, lambda z: F.struct(F.lower(z["x"]).alias("w"), F.length(z["x"]).alias("size"), z["before"].alias("before"), z["after"].alias("after")))
 
 
-def _any_space(source: str, needle: str, at: int) -> Span | None:
-    """With all white space as one space; places are counted in the text so written, as the reviewed scripts expect."""
-    span = _literal(" ".join(re.split(r"\s+", source[at:])), " ".join(re.split(r"\s+", needle)), 0)
-    return (at + span[0], at + span[0] + len(needle)) if span else None
+def _placed(words: DataFrame, key: str, order: str) -> DataFrame:
+    """Where each word begins and ends in its text."""
+    so_far = F.sum(F.length("before") + F.col("size")).over(Window.partitionBy(key).orderBy(order))
+    return words.withColumn("b", so_far.cast("long")).withColumn("a", F.col("b") - F.col("size"))
 
 
-def _in_words(source: str, needle: str, at: int) -> Span | None:
-    return find_text(needle, source, at)
+def _once(words: DataFrame, at: str) -> DataFrame:
+    """Runs of RUN words that a chapter has once, and where."""
+    ahead = Window.partitionBy("chapter_idx").orderBy(at)
+    run = F.concat_ws(" ", "w", *(F.lead("w", k).over(ahead) for k in range(1, RUN)))
+    runs = words.select("chapter_idx", at, run.alias("run"), F.lead("w", RUN - 1).over(ahead).alias("last")).where(F.col("last").isNotNull())
+    return runs.groupBy("chapter_idx", "run").agg(F.min(at).alias(at), F.count(F.lit(1)).alias("times")).where("times = 1").drop("times")
 
 
-def locate_span(source: str, texts: Iterable[str], cursor: int = 0) -> tuple[int, int]:
-    """Span of the source that holds the texts in order, each searched behind the one before: literally, else with other white space, else by words.
+def _blocks(anchors: DataFrame) -> DataFrame:
+    """Anchors that follow each other on both sides, as one block."""
+    diagonal = anchors.withColumn("d", F.col("i") - F.col("j"))
+    island = F.col("i") - F.row_number().over(Window.partitionBy("chapter_idx", "d").orderBy("i"))
+    return diagonal.withColumn("island", island).groupBy("chapter_idx", "d", "island").agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.count(F.lit(1)) + RUN - 1).alias("n")).drop("d", "island")
 
-    It begins where the first text was found (at the cursor if it was not) and ends behind the last that was found, at the end of the source if none was.
-    """
-    found: list[Span | None] = []
-    at = cursor
-    for needle in filter(None, map(str.strip, texts)):
-        found.append(_literal(source, needle, at) or _any_space(source, needle, at) or _in_words(source, needle, at))
-        at = found[-1][1] if found[-1] else at
-    start = found[0][0] if found and found[0] else cursor
-    return start, at if at > start else len(source)
-
-
-def locate_chunks(source: str, chunks: Iterable[str]) -> list[tuple[int, int] | None]:
-    """Span of each chunk, searched from the end of the one before; none where it is not found."""
-    out: list[tuple[int, int] | None] = []
-    cursor = 0
-    for chunk in chunks:
-        span = find_text(chunk.strip(), source, cursor) if chunk.strip() else None
-        cursor = span[1] if span else cursor
-        out.append(span)
-    return out
 
+def _pairs(blocks: DataFrame) -> DataFrame:
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")
+    return blocks.select("chapter_idx", "i", "j", k).select("chapter_idx", (F.col("i") + F.col("k")).alias("i"), (F.col("j") + F.col("k")).alias("j"))
 
-def validate_scripts(sources: DataFrame, segments: DataFrame) -> DataFrame:
-    """(chapter_idx, kind, seg_idx, offset, text): missing fragments and hallucinated segments of each chapter.
 
-    sources (chapter_idx, text), segments (chapter_idx, seg_idx, text). A chapter is one group, as alignment needs it whole.
-    """
+def _gapped(words: DataFrame, pairs: DataFrame, at: str) -> DataFrame:
+    """The words with their partners; gap counts the matched words before."""
+    other = "j" if at == "i" else "i"
+    return words.join(pairs, ["chapter_idx", at], "left").withColumn("gap", F.count(other).over(Window.partitionBy("chapter_idx").orderBy(at)))
+
+
+def align_words(source: DataFrame, script: DataFrame) -> DataFrame:
+    """(chapter_idx, i, j): matched words of source (chapter_idx, i, w) and script (chapter_idx, j, w), places counted from zero without holes."""
+    anchors = _once(source, "i").join(_once(script, "j"), ["chapter_idx", "run"])
+    first = _pairs(_chained(_blocks(anchors)))
+    rest = [_gapped(words.select("chapter_idx", at, "w"), first, at).where(F.col(other).isNull()).select("chapter_idx", "gap", F.lit(side).alias("side"), F.col(at).alias("at"), "w") for side, (words, at, other) in enumerate(((source, "i", "j"), (script, "j", "i")))]
+    return first.unionByName(_pairs(_gap_blocks(rest[0].unionByName(rest[1]))))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for chapter, text in zip(left["chapter_idx"], left["text"]):
-            own = right.sort_values("seg_idx")
-            missing, invented = compare_script(text or "", [t or "" for t in own["text"]])
-            rows += [(chapter, "missing", before, offset, piece) for piece, before, offset, _ in missing]
-            rows += [(chapter, "hallucinated", k, 0, own["text"].iloc[k]) for k in invented]
-        return pd.DataFrame(rows, columns=["chapter_idx", "kind", "seg_idx", "offset", "text"])
 
-    schema = "chapter_idx long, kind string, seg_idx long, offset long, text string"
-    return sources.select("chapter_idx", "text").groupBy("chapter_idx").cogroup(segments.select("chapter_idx", "seg_idx", "text").groupBy("chapter_idx")).applyInPandas(run, schema)
+def source_words(sources: DataFrame) -> DataFrame:
+    """(chapter_idx, i, w, a, b, before, after) of every word of sources (chapter_idx, text)."""
+    words = rows_of(sources, ["chapter_idx"], _split(F.col("text")), "i", "x").select("chapter_idx", F.col("i").cast("long"), "x.*")
+    return _placed(words, "chapter_idx", "i").drop("size")
+
+
+def script_words(segments: DataFrame) -> DataFrame:
+    """(chapter_idx, seg, j, w, a) of every word of segments (chapter_idx, seg, text), seg counted from zero without holes."""
+    words = rows_of(segments, ["chapter_idx", "seg"], _split(F.col("text")), "k", "x").select("chapter_idx", "seg", "k", "x.*")
+    keyed = words.withColumn("key", F.struct("chapter_idx", "seg"))
+    order = Window.partitionBy("chapter_idx").orderBy("seg", "k")
+    return _placed(keyed, "key", "k").select("chapter_idx", "seg", (F.row_number().over(order) - 1).cast("long").alias("j"), "w", "a")
+
+
+def validate_scripts(sources: DataFrame, segments: DataFrame) -> DataFrame:
+    """(chapter_idx, kind, seg_idx, offset, text, line): missing fragments and hallucinated segments of each chapter.
+
+    sources (chapter_idx, text), segments (chapter_idx, seg_idx, text). A missing fragment is a run of source words without
+    partners, with the marks right around it; it belongs where the script goes on behind the last matched word (segment,
+    counted from zero, and offset in it; the number of segments at the end) and line is the whole lines that hold it. Of a
+    hallucinated segment under half the words are matched; a segment without words is none. Fragments of one mark are left out.
+    """
+    whole = sources.where("chapter_idx is not null").groupBy(F.col("chapter_idx").cast("long").alias("chapter_idx")).agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    order = Window.partitionBy("chapter_idx").orderBy("seg_idx", "text")
+    said = segments.where("chapter_idx is not null").select(F.col("chapter_idx").cast("long").alias("chapter_idx"), "seg_idx", F.coalesce("text", F.lit("")).alias("text"))
+    said = said.withColumn("seg", (F.row_number().over(order) - 1).cast("long"))
+    have, spoken = source_words(whole), script_words(said)
+    pairs = align_words(have, spoken)
+
+    behind = F.max("j").over(Window.partitionBy("chapter_idx").orderBy("i"))
+    gaps = _gapped(have, pairs, "i").withColumn("to", F.coalesce(behind + 1, F.lit(0).cast("long"))).where(F.col("j").isNull())
+    fragments = gaps.groupBy("chapter_idx", "gap", "to").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min_by("before", "i").alias("before"), F.max_by("after", "i").alias("after"))
+    fragments = fragments.select(
+        "chapter_idx", "to",
+        (F.col("a") - F.length(F.regexp_extract("before", rf"({_EDGE}*)\z", 1))).alias("a"),
+        (F.col("b") + F.length(F.regexp_extract("after", f"^({_EDGE}*)", 1))).alias("b"),
+    )
+    sizes = said.groupBy("chapter_idx").agg(F.count(F.lit(1)).alias("segs"))
+    at = spoken.select("chapter_idx", F.col("j").alias("to"), "seg", F.col("a").alias("offset"))
+    shown = fragments.join(whole, "chapter_idx").join(sizes, "chapter_idx").join(at, ["chapter_idx", "to"], "left")
+    text = X.stripped(F.substring(F.col("text"), F.col("a") + 1, F.col("b") - F.col("a")))
+    line = F.concat(
+        F.substring_index(F.substring(F.col("text"), F.lit(1).cast("long"), F.col("a")), "\n", -1),
+        F.substring(F.col("text"), F.col("a") + 1, F.col("b") - F.col("a")),
+        F.substring_index(F.substring(F.col("text"), F.col("b") + 1, F.length("text")), "\n", 1),
+    )
+    missing = shown.select("chapter_idx", F.lit("missing").alias("kind"), F.coalesce("seg", "segs").alias("seg_idx"), F.coalesce("offset", F.lit(0)).alias("offset"), text.alias("text"), X.stripped(line).alias("line"))
+    missing = missing.where((F.length("text") > 1) | F.col("text").rlike(r"^[\p{L}\p{N}]$"))
+    # a chapter that nobody says
+    unsaid = whole.join(sizes, "chapter_idx", "left_anti").where(X.stripped(F.col("text")) != "")
+    zero = F.lit(0).cast("long")
+    nothing = unsaid.select("chapter_idx", F.lit("missing").alias("kind"), zero.alias("seg_idx"), zero.alias("offset"), "text", F.col("text").alias("line"))
+
+    share = spoken.join(pairs, ["chapter_idx", "j"], "left").groupBy("chapter_idx", "seg").agg(F.count("i").alias("found"), F.count(F.lit(1)).alias("words")).where("2 * found < words")
+    known = said.join(whole.select("chapter_idx"), "chapter_idx", "left_semi")
+    invented = known.join(share, ["chapter_idx", "seg"]).select("chapter_idx", F.lit("hallucinated").alias("kind"), F.col("seg").alias("seg_idx"), zero.alias("offset"), "text", F.col("text").alias("line"))
+    return reduce(DataFrame.unionByName, (missing, nothing, invented))
 
 
 #: Runs of so many needle words are sent to every task; more are joined by an exchange.
 BROADCAST_RUNS = 200_000
 
 
-def _runs(words: DataFrame, key: str, place: str, anchor: int, *kept: str) -> DataFrame:
-    """(key, place, anchor, h): hashes of all runs of `anchor` words."""
-    w = words.where(F.size("w") >= anchor)
-    hashes = F.transform(F.slice("w", 1, F.size("w") - (anchor - 1)), lambda x, i: F.xxhash64(*(F.get("w", i + k) for k in range(anchor))))
-    return w.select(key, *kept, F.lit(anchor).alias("anchor"), F.posexplode(hashes).alias(place, "h"))
+def _anchored(words: DataFrame, key: str, place: str, lengths: Column, *kept: str) -> DataFrame:
+    """(key, place, anchor, h): hashes of all runs of the given numbers of words, all from one array."""
+    run = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(n.alias("anchor"), i.alias("at"), F.xxhash64(F.slice("w", i + 1, n)).alias("h")))
+    fitting = F.filter(lengths, lambda n: n <= F.size("w"))
+    return rows_of(words, [key, *kept], F.flatten(F.transform(fitting, run)), "at", "x").select(key, *kept, F.col("x.anchor").alias("anchor"), F.col("x.at").alias(place), F.col("x.h").alias("h"))
 
 
 def longest_shared_runs(needles: DataFrame, sources: DataFrame, needle_key: str, source_key: str, longest_anchor: int = 4) -> DataFrame:
@@ -165,12 +266,10 @@ def longest_shared_runs(needles: DataFrame, sources: DataFrame, needle_key: str,
     own = needles.select(needle_key, X.word_tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
     theirs = sources.select(source_key, X.word_tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
     needed = F.ceil(F.size("w") * F.lit(ACCEPT) - 1e-9).cast("int")
-    least = F.least(F.lit(longest_anchor), needed)
-    own = own.withColumn("needed", needed)
-    sized = reduce(DataFrame.unionByName, (_runs(own.where(least == anchor), needle_key, "i", anchor, "needed") for anchor in range(1, longest_anchor + 1)))
+    sized = _anchored(own.withColumn("needed", needed), needle_key, "i", F.array(F.least(F.lit(longest_anchor), needed)), "needed")
     # lengths that occur, and how many runs of each: a few numbers
     found = {r["anchor"]: r["n"] for r in sized.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).collect()}
-    held = reduce(DataFrame.unionByName, (_runs(theirs, source_key, "j", anchor) for anchor in sorted(found) or [1]))
+    held = _anchored(theirs, source_key, "j", F.array(*map(F.lit, sorted(found) or [1])))
     small = sum(found.values()) <= BROADCAST_RUNS
     hits = held.join(F.broadcast(sized) if small else sized, ["anchor", "h"]).withColumn("diagonal", F.col("i") - F.col("j"))
     w = Window.partitionBy(needle_key, source_key, "diagonal").orderBy("i")

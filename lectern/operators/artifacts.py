@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import timing
-from lectern.operators.alignment import locate_span
 from lectern.sources import workdir
 
 #: Phases that keep a cache of segments, and the folder of it.
@@ -21,6 +17,67 @@ def segment_path(folder: Column, phase: Column, segment_hash: Column) -> Column:
     return F.concat_ws("/", folder, phase, F.lit(SEGMENTS), F.concat(segment_hash, F.lit(".wav")))
 
 
+#: Folders of phases and names of files in a work folder.
+REJECTED, PRESETS = "rejected", "presets"
+AUDIT_FILE, VOICES_FILE, CAST_FILE, STATE_FILE, METADATA_FILE, COVER_FILE = "audit.json", "voices.json", "characters.json", "state.json", "metadata.json", "cover.jpg"
+
+
+def _joined(*parts: Column | str) -> Column:
+    return F.concat_ws("/", *(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
+def phase_folder(folder: Column, phase: Column) -> Column:
+    return _joined(folder, phase)
+
+
+def segments_folder(folder: Column, phase: Column) -> Column:
+    """The cache of a phase's segments."""
+    return _joined(folder, phase, SEGMENTS)
+
+
+def segments_beside(sound: Column) -> Column:
+    """The cache that a chapter's sound was put together from: it stands beside the sound."""
+    above = F.regexp_extract(sound, "^(.*)/[^/]*$", 1)
+    return F.when(F.contains(sound, F.lit("/")), _joined(above, SEGMENTS)).otherwise(SEGMENTS)
+
+
+def rejects_folder(folder: Column, phase: Column) -> Column:
+    """Where a phase keeps the takes that it threw out."""
+    return _joined(folder, phase, REJECTED)
+
+
+def preview_path(folder: Column, name: Column, voice: Column) -> Column:
+    """The sound of a member in a voice that was tried for it."""
+    return _joined(folder, "audition", PRESETS, F.concat(name, F.lit("__"), voice, F.lit(".wav")))
+
+
+def file_paths(folder: Column) -> dict[str, Column]:
+    """Files that a work folder has once, by what they hold."""
+    return {"audit": _joined(folder, "audit", AUDIT_FILE), "voices": _joined(folder, "audition", VOICES_FILE), "cast": _joined(folder, "cast", CAST_FILE), "metadata": _joined(folder, "extract", METADATA_FILE), "cover": _joined(folder, "extract", COVER_FILE)}
+
+
+def state_path(folder: Column, phase: Column) -> Column:
+    return _joined(folder, phase, STATE_FILE)
+
+
+def work_folder(book: Column, wanted: Column) -> Column:
+    """The folder of a book's work: the one that is wanted, else one beside the book that has its name."""
+    beside = F.concat(F.regexp_replace(book, r"(?<=[^/])\.[^./]*$", ""), F.lit("_output"))
+    return F.coalesce(F.nullif(wanted, F.lit("")), beside)
+
+
+def wide_subtitle_path(sound: Column) -> Column:
+    """The sound's name with the ending of web subtitles."""
+    return F.concat(F.regexp_replace(sound, r"\.[^./]*$", ""), F.lit(".vtt"))
+
+
+def cached(tasks: DataFrame, files: DataFrame) -> DataFrame:
+    """Tasks (folder, phase, hash, ...) with cached: whether the cache of the phase has the segment among the files (path)."""
+    there = files.select(F.col("path").alias("_path")).distinct().withColumn("cached", F.lit(True))
+    at = tasks.withColumn("_path", segment_path(F.col("folder"), F.col("phase"), F.col("hash")))
+    return at.join(there, "_path", "left").withColumn("cached", F.coalesce("cached", F.lit(False))).drop("_path")
+
+
 def manifest_path(sound: Column) -> Column:
     """Where the timing of a chapter's sound is kept."""
     return F.concat(sound, F.lit(".timing.json"))
@@ -63,24 +120,3 @@ def subtitles_of_manifests(files: DataFrame) -> DataFrame:
     """(chapter_idx, srt) of saved timing manifests (path, content), the path as chapter; a manifest without chunks has none."""
     rows = workdir.chunk_rows(files).select(F.col("path").alias("chapter_idx"), F.col("place").alias("seg_idx"), "start_s", "end_s", "speaker", "text")
     return timing.srt_text(timing.cues(rows))
-
-
-def review_spans(chapters: DataFrame) -> DataFrame:
-    """(chapter_idx, batch, start_char, end_char) of chapters (chapter_idx, text, batches array<array<string>>): the span of the source that each batch of segments covers, each searched behind the start of the one before.
-
-    A null text is empty, null segments are not looked for, and a chapter without batches has no rows.
-    """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for chapter, text, parts in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                cursor = 0
-                for k, segments in enumerate(parts or []):
-                    start, end = locate_span(text or "", [s or "" for s in segments or []], cursor)
-                    rows.append((chapter, k, start, end))
-                    cursor = start
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["chapter_idx", "batch", "start_char", "end_char"])
-
-    return chapters.select(F.col("chapter_idx").cast("long"), "text", "batches").mapInArrow(run, "chapter_idx long, batch long, start_char long, end_char long")

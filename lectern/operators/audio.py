@@ -49,6 +49,11 @@ def categories(clip_samples: int = C.CLIP_RUN_SAMPLES, click: float = C.CLICK_FI
     return F.when(F.col("mean_abs").isNull(), F.array(F.lit("silent"))).otherwise(found)
 
 
+def mono(frames: Column) -> Column:
+    """One channel of frames (array<array<double>>, a value per channel): their mean. A frame without channels is null, as is one with a null."""
+    return F.transform(frames, lambda f: F.when(F.size(f) > 0, F.aggregate(f, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(f)))
+
+
 def normalized(samples: Column, level: float = 0.95) -> Column:
     """Scaled so that the peak is the level; silence stays."""
     a = F.transform(samples, lambda x: x.cast("double"))

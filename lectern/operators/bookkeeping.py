@@ -55,12 +55,16 @@ def cast_problems(cast: DataFrame) -> DataFrame:
 
 
 def named_members(segments: DataFrame, cast: DataFrame, fallback: str = "Narrator") -> DataFrame:
-    """segments (book_id, speaker, …) with the member that speaks: by name or alias without regard to case, the fallback for any other."""
+    """segments (book_id, speaker, …) with the member that speaks: whose name or alias the speaker is, letter by letter.
+
+    Members are entered in their order, each with its name and then its aliases, and a later entry takes the place of an earlier one.
+    Any other speaker, also null, is whoever the fallback names, and nobody (empty) where it names nobody.
+    """
     forms = cast.select("book_id", "name", "ordinal", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("place", "form"))
-    # a name goes before an alias, an earlier member before a later one
-    index = forms.groupBy("book_id", F.lower("form").alias("form")).agg(F.min_by("name", F.struct((F.col("place") > 0).alias("alias"), "ordinal", "place")).alias("member"))
-    joined = segments.withColumn("form", F.lower("speaker")).join(index, ["book_id", "form"], "left").drop("form")
-    return joined.withColumn("member", F.coalesce("member", F.lit(fallback)))
+    index = forms.groupBy("book_id", "form").agg(F.max_by("name", F.struct("ordinal", "place")).alias("member"))
+    other = index.where(F.col("form") == fallback).select("book_id", F.col("member").alias("other"))
+    joined = segments.join(index.withColumnRenamed("form", "speaker"), ["book_id", "speaker"], "left").join(other, "book_id", "left")
+    return joined.withColumn("member", F.coalesce("member", "other", F.lit(""))).drop("other")
 
 
 def hash_index(chunks: DataFrame) -> DataFrame:
@@ -115,6 +119,17 @@ def assembled(chapters: DataFrame, segments: DataFrame, pause: int) -> DataFrame
     return audio.concatenated(segments.join(ready, ["book_id", "chapter_idx"], "left_semi"), ["book_id", "chapter_idx"], "pos", "samples", pause)
 
 
+#: Hosts that take the strict dialect, and the names of both dialects.
+STRICT_HOSTS = ("openrouter.ai", "api.openai.com")
+STRICT, WIDE = "openai", "qwen"
+
+
+def dialect(wanted: Column, address: Column) -> Column:
+    """The wanted dialect; where it is `auto`, the strict one for the hosts that are known to take no other, else the wide one. An address without a host has none of these."""
+    host = F.lower(F.coalesce(F.try_parse_url(address, F.lit("HOST")), F.lit("")))
+    return F.when(wanted != "auto", wanted).when(host.isin(*STRICT_HOSTS), STRICT).otherwise(WIDE)
+
+
 def response_format(wanted: Column, dialect: Column) -> Column:
     """The wanted format of speech, else what the dialect's services send."""
     return F.when(F.coalesce(wanted, F.lit("")) != "", wanted).when(dialect == "openai", FORMATS["openai"]).otherwise(FORMATS["qwen"])

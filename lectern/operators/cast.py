@@ -6,12 +6,12 @@ without the column are one book. Names are compared in lower case; a null name i
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.constants import ALIAS_STOPWORDS, EMOTIONS, RETAINED_SPEAKERS
+from lectern.functions.folds import fold_list, let, rows_of
 
 BOOK = "book_id"
 #: Names that every cast has.
@@ -127,58 +127,121 @@ def upsert(cast: DataFrame, incoming: DataFrame) -> DataFrame:
     return _unbooked(out, cast, incoming)
 
 
-def _survivors(members: list[tuple[str, list[str] | None]], merges: list[tuple[str, str]]) -> list[tuple[str, str, list[str] | None]]:
-    """(name, survivor, aliases of a survivor) of a book's members after merges (into, source) in their order.
+def fold_merges(cast: DataFrame, merges: DataFrame) -> DataFrame:
+    """(name, survivor, aliases): members after merges (into, source, ordinal if there is an order); a survivor holds the names and aliases of all that were folded into it.
 
     A name or alias means the member that holds it now, so a chain is followed to its end whatever the order of its
-    links; a merge of a member into itself, which a cycle comes to, and one with an unknown name do nothing.
+    links; a merge of a member into itself, which a cycle comes to, and one with an unknown name do nothing. Merges
+    follow one another in a fold over a book's merges, whose state is every member's survivor; books are independent.
+    Without an ordinal the order is that of the names. Members without a name are left out; merges with a null name do nothing.
     """
-    up = list(range(len(members)))
-
-    def top(k: int) -> int:
-        while up[k] != k:
-            up[k] = up[up[k]]
-            k = up[k]
-        return k
-
-    holder: dict[str, int] = {}
-    for k, (name, _) in enumerate(members):
-        holder.setdefault(name.lower(), k)
-    for k, (_, aliases) in enumerate(members):
-        for alias in aliases or []:
-            holder.setdefault(alias.lower(), k)
-    for into, source in merges:
-        if (into or "").lower() in holder and (source or "").lower() in holder:
-            up[top(holder[source.lower()])] = top(holder[into.lower()])
-    gained: dict[int, set[str]] = {}
-    for k, (name, aliases) in enumerate(members):
-        gained.setdefault(top(k), set(aliases or [])).update(aliases or [], {name} if top(k) != k else ())
-    held = {k: sorted(a for a in every if a in (members[k][1] or []) or a.lower() != members[k][0].lower()) for k, every in gained.items()}
-    return [(name, members[top(k)][0], held[k] if top(k) == k else None) for k, (name, _) in enumerate(members)]
+    members, links = _booked(cast).where("name is not null"), _booked(merges).where("into is not null and source is not null")
+    links = links if "ordinal" in links.columns else links.withColumn("ordinal", F.lit(0).cast("long"))
+    place = "ordinal" if "ordinal" in members.columns else "name"
+    # whose is a name or alias: names go before aliases, earlier members before later ones
+    own = members.withColumn("k", F.row_number().over(Window.partitionBy(BOOK).orderBy(place, "name")) - 1)
+    forms = own.select(BOOK, "k", F.posexplode(_forms(own)).alias("at", "form")).groupBy(BOOK, F.lower("form").alias("form"))
+    holders = forms.agg(F.min_by("k", F.struct((F.col("at") > 0).alias("alias"), "k")).alias("k"))
+    named = links.select(BOOK, "ordinal", "into", "source", F.lower("into").alias("form")).join(holders, [BOOK, "form"]).withColumnRenamed("k", "to").drop("form")
+    named = named.withColumn("form", F.lower("source")).join(holders, [BOOK, "form"]).withColumnRenamed("k", "gone")
+    steps = named.groupBy(BOOK).agg(F.array_sort(F.collect_list(F.struct("ordinal", "into", "source", "to", "gone"))).alias("steps"))
+    sizes = own.groupBy(BOOK).agg(F.max("k").alias("last")).join(steps, BOOK, "left")
+
+    def merged(tops: Column, step: Column) -> Column:
+        return let(F.struct(F.get(tops, step["to"]).alias("to"), F.get(tops, step["gone"]).alias("gone")), lambda x: F.transform(tops, lambda t: F.when(t == x["gone"], x["to"]).otherwise(t)))
+
+    none = F.array().cast("array<struct<ordinal:bigint,into:string,source:string,to:int,gone:int>>")
+    tops = F.aggregate(F.coalesce("steps", none), F.sequence(F.lit(0), "last"), merged)
+    ends = rows_of(sizes, [BOOK], tops, "k", "top")
+    joined = own.join(ends, [BOOK, "k"])
+    heads = own.select(BOOK, F.col("k").alias("top"), F.col("name").alias("survivor"), F.coalesce("aliases", F.array().cast("array<string>")).alias("kept"))
+    gained = joined.join(heads, [BOOK, "top"]).select(BOOK, "top", F.explode(F.when(F.col("k") == F.col("top"), F.coalesce("aliases", F.array().cast("array<string>"))).otherwise(_forms(joined))).alias("alias"), "survivor", "kept")
+    held = gained.where((F.lower("alias") != F.lower("survivor")) | F.array_contains("kept", F.col("alias"))).groupBy(BOOK, "top").agg(F.array_sort(F.collect_set("alias")).alias("held"))
+    out = joined.join(heads.drop("kept"), [BOOK, "top"]).join(held, [BOOK, "top"], "left")
+    aliases = F.when(F.col("k") == F.col("top"), F.coalesce("held", F.array().cast("array<string>")))
+    return _unbooked(out.select(BOOK, "name", "survivor", aliases.alias("aliases")), cast, merges)
+
+
+_MEMBER = "struct<name:string,description:string,voice:string,audition_line:string,aliases:array<string>>"
+_NONE = "array<string>"
+
+
+def _holder(members: Column, form: Column) -> Column:
+    """The first member of that name, else the first with that alias; null without one."""
+    low = F.lower(form)
+    by_name = F.get(F.filter(members, lambda m: F.lower(m["name"]) == low), F.lit(0))
+    by_alias = F.get(F.filter(members, lambda m: F.exists(m["aliases"], lambda a: F.lower(a) == low)), F.lit(0))
+    return F.coalesce(by_name["name"], by_alias["name"])
+
+
+def _taken_in(member: Column, members: Column, e: Column, overwrite: bool) -> Column:
+    """(member, rejected, outcome) after an incoming row that is this member."""
+    name = member["name"]
+    joined = F.lower(name) != F.lower(e["name"])
+    more = F.concat(e["aliases"], F.when(joined, F.array(e["name"])).otherwise(F.array().cast(_NONE)))
+    old = usable_aliases(member["aliases"], name)
+    asked = F.array_distinct(F.concat(old, usable_aliases(more, name)))
+    free = lambda a: F.coalesce(_holder(members, a), name) == name
+    kept, rejected = F.array_sort(F.filter(asked, free)), F.array_sort(F.filter(asked, lambda a: ~free(a)))
+    empty = lambda x: F.coalesce(x, F.lit("")) == ""
+    prompt = F.when(empty(member["voice"]), member["description"]).otherwise(member["voice"])
+    described = ~empty(e["description"]) & ~e["description"].eqNullSafe(member["description"])
+    voiced = ~empty(e["voice"]) & ~e["voice"].eqNullSafe(prompt)
+    said = ~empty(e["audition_line"]) & ~e["audition_line"].eqNullSafe(member["audition_line"]) & (F.lit(overwrite) | empty(member["audition_line"]))
+    new = F.struct(
+        name.alias("name"),
+        F.when(described, e["description"]).otherwise(member["description"]).alias("description"),
+        F.when(voiced, e["voice"]).otherwise(member["voice"]).alias("voice"),
+        F.when(said, e["audition_line"]).otherwise(member["audition_line"]).alias("audition_line"),
+        kept.alias("aliases"),
+    )
+    changed = (F.size(F.array_except(kept, old)) > 0) | described | voiced | said
+    outcome = F.when(joined, "merged").when(changed, "updated").otherwise("unchanged")
+    return F.struct(new.cast(_MEMBER).alias("member"), rejected.alias("rejected"), outcome.alias("outcome"))
 
 
-def fold_merges(cast: DataFrame, merges: DataFrame) -> DataFrame:
-    """(name, survivor, aliases): members after merges (into, source, ordinal if there is an order); a survivor holds the names and aliases of all that were folded into it.
+def _batches_folded(cast: DataFrame, incoming: DataFrame, overwrite: bool) -> DataFrame:
+    """(book_id, state, made): a book's members after all incoming rows, and what became of each row."""
+    fields = ("name", "description", "voice", "audition_line", "aliases")
+    filled = [F.coalesce("aliases", F.array().cast(_NONE)).alias(c) if c == "aliases" else F.col(c) for c in fields]
+    own = _booked(cast).where("name is not null").groupBy(BOOK).agg(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*filled).alias("m"))))["m"].alias("members"))
+    asked = _booked(incoming).where("name is not null").groupBy(BOOK).agg(F.array_sort(F.collect_list(F.struct("batch", "ordinal", *filled))).alias("events"))
+    both = own.join(asked, BOOK, "full_outer")
+
+    def step(members: Column, e: Column) -> tuple[Column, Column]:
+        forms = F.concat(F.array(e["name"]), e["aliases"])
+        who = F.get(F.filter(F.transform(forms, lambda f: _holder(members, f)), lambda x: x.isNotNull()), F.lit(0))
+        fresh = F.struct(e["name"].alias("name"), e["description"].alias("description"), e["voice"].alias("voice"), e["audition_line"].alias("audition_line"), usable_aliases(e["aliases"], e["name"]).alias("aliases")).cast(_MEMBER)
 
-    Merges follow one another, so a book's cast and merges are one group; books are independent. Without an ordinal the order is that of the names.
-    Members without a name are left out; merges with a null name do nothing.
+        def known(w: Column) -> Column:
+            target = F.get(F.filter(members, lambda m: m["name"] == w), F.lit(0))
+            return let(_taken_in(target, members, e, overwrite), lambda t: F.struct(F.transform(members, lambda m: F.when(m["name"] == w, t["member"]).otherwise(m)).alias("members"), w.alias("member"), t["outcome"].alias("outcome"), t["rejected"].alias("rejected")))
+
+        added = F.struct(F.array_append(members, fresh).alias("members"), e["name"].alias("member"), F.lit("added").alias("outcome"), F.array().cast(_NONE).alias("rejected"))
+        after = let(who, lambda w: F.when(w.isNull(), added).otherwise(known(w)))
+        return after["members"], F.struct(e["batch"].alias("batch"), e["ordinal"].alias("ordinal"), e["name"].alias("name"), after["member"].alias("member"), after["outcome"].alias("outcome"), after["rejected"].alias("rejected"))
+
+    made = "struct<batch:bigint,ordinal:bigint,name:string,member:string,outcome:string,rejected:array<string>>"
+    start = F.coalesce("members", F.array()).cast(f"array<{_MEMBER}>")
+    return both.select(BOOK, fold_list(F.coalesce("events", F.array()), start, step, made).alias("x")).select(BOOK, "x.*")
+
+
+def upsert_batches(cast: DataFrame, incoming: DataFrame, overwrite_lines: bool = False) -> DataFrame:
+    """The cast (ordinal, name, description, voice, audition_line, aliases) after incoming rows of several batches (batch, ordinal, and the same columns), in their order.
+
+    A row is the member whose name it has, else the one whose alias its name is, else the one that one of its aliases names; else it is
+    new. New text replaces old, a line only fills a gap unless overwrite_lines; aliases join but for those that another member has,
+    among them members and aliases of earlier batches. A member keeps its place, new ones follow. A book's rows are folded in
+    one row; rows without a name are left out. Members of a book have different names.
     """
-    members, links = _booked(cast), _booked(merges)
-    kind = members.schema[BOOK].dataType.simpleString()
-    links = links if "ordinal" in links.columns else links.withColumn("ordinal", F.lit(0).cast("long"))
-    place = "ordinal" if "ordinal" in members.columns else "name"
+    found = rows_of(_batches_folded(cast, incoming, overwrite_lines), [BOOK], F.col("state"), "ordinal", "m")
+    return _unbooked(found.select(BOOK, F.col("ordinal").cast("long"), "m.*"), cast, incoming)
+
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = left.sort_values(["place", "name"], kind="stable")
-        order = right.sort_values(["ordinal", "into", "source"], kind="stable")
-        aliases = [None if a is None else list(a) for a in own["aliases"]]
-        rows = _survivors(list(zip(own["name"], aliases)), list(zip(order["into"], order["source"])))
-        return pd.DataFrame([(own[BOOK].iloc[0], *r) for r in rows], columns=[BOOK, "name", "survivor", "aliases"])
-
-    left = members.where("name is not null").select(BOOK, "name", "aliases", F.col(place).alias("place")).groupBy(BOOK)
-    right = links.where("into is not null and source is not null").select(BOOK, "into", "source", "ordinal").groupBy(BOOK)
-    out = left.cogroup(right).applyInPandas(run, f"{BOOK} {kind}, name string, survivor string, aliases array<string>")
-    return _unbooked(out, cast, merges)
+def batch_outcomes(cast: DataFrame, incoming: DataFrame, overwrite_lines: bool = False) -> DataFrame:
+    """(batch, ordinal, name, member, outcome, rejected) of every incoming row of `upsert_batches`: added, updated, merged or unchanged, and the aliases it did not get."""
+    found = rows_of(_batches_folded(cast, incoming, overwrite_lines), [BOOK], F.col("made"), "k", "x")
+    return _unbooked(found.select(BOOK, "x.*"), cast, incoming)
 
 
 def emote_tasks(cast: DataFrame) -> DataFrame:

@@ -1,107 +1,108 @@
-"""Order-preserving packers of text: one linear pass per text, all rows in parallel."""
+"""Order-preserving packers of text: one fold per text inside the JVM, all rows in parallel.
 
-from __future__ import annotations
+The fold passes over a text's pieces with the size of the open chunk as its
+state and gives each piece the number of its chunk; pieces of one chunk stand
+together, so chunks are slices. A text costs its length once.
+
+Defined results: a null text is empty; an empty text has no sentences, and one
+empty paragraph where blank ones are kept; a repeated row is cut again; an
+empty table gives an empty result.
+"""
 
-import re
-from bisect import bisect_right
-from collections.abc import Callable, Iterable, Iterator
-from itertools import accumulate, groupby
+from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from lectern.functions import text as X
 from lectern.functions.constants import CAST_CHUNK_WORDS, CAST_OVERLAP_WORDS, MAX_CHUNK_CHARS, SCRIPT_CHUNK_WORDS
+from lectern.functions.folds import fold_list, let, rows_of
 
-_SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+_NONE = "array<string>"
 
 
-def sentences(text: str) -> list[str]:
-    return [s for part in _SENTENCE_END.split(text) if (s := part.strip())]
+def sentences(text: Column) -> Column:
+    """Sentences: cut behind a full stop, question or exclamation mark and white space, without white space around."""
+    parts = F.split(F.coalesce(text, F.lit("")), rf"(?<=[.!?]){X._BLANK}+", -1)
+    return F.filter(F.transform(parts, X.stripped), lambda s: s != "")
 
 
-def _filled(pieces: list[str], limit: int) -> list[str]:
-    """Pieces joined to the longest runs whose lengths, and one for each piece, stay within the limit; a piece that is too long stands alone.
+def _slices(pieces: Column, chunk_of: Column) -> Column:
+    """Per chunk its pieces; chunk_of has the chunk of each piece, in order."""
+    at = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda k: (k == 0) | (F.get(chunk_of, k) != F.get(chunk_of, k - 1)))
+    one = lambda a, end: F.struct(F.get(chunk_of, a).alias("chunk"), F.slice(pieces, a + 1, end - a).alias("pieces"))
+    found = let(at, lambda starts: F.zip_with(starts, F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(pieces))), one))
+    return F.when(F.size(pieces) > 0, found)
 
-    A run ends where the running sum passes the limit from the run's start: one search per run.
-    """
-    ends = [0, *accumulate(len(p) + 1 for p in pieces)]
-    out: list[str] = []
-    at = 0
-    while at < len(pieces):
-        to = max(at + 1, bisect_right(ends, ends[at] + limit) - 1)
-        out.append(" ".join(pieces[at:to]))
-        at = to
-    return out
 
+def _packed_sentences(text: Column, limit: int) -> Column:
+    """(chunk, pieces): words take the place of a sentence longer than a chunk."""
+    words = lambda s: F.transform(F.split(s, " ", -1), lambda w, i: F.struct(w.alias("x"), F.when(i == 0, 1).otherwise(2).alias("kind")))
+    return F.flatten(F.transform(sentences(text), lambda s: F.when(F.length(s) <= limit, F.array(F.struct(s.alias("x"), F.lit(0).alias("kind")))).otherwise(words(s))))
 
-def pack_sentences(text: str, max_chars: int = MAX_CHUNK_CHARS) -> Iterator[str]:
-    """Sentences packed while they fit; the last of a chunk need not pay for its space. A sentence longer than a chunk is packed by words, and its last words open the next chunk.
 
-    A first word that is too long itself is preceded by an empty chunk, which callers drop.
-    """
-    open_pieces: list[str] = []
-    for too_long, group in groupby(sentences(text), lambda s: len(s) > max_chars):
-        if not too_long:
-            open_pieces += group
-            continue
-        for sentence in group:
-            yield from _filled(open_pieces, max_chars + 1)
-            words = sentence.split(" ")
-            if len(words[0]) >= max_chars:
-                yield ""
-            *full, last = _filled(words, max_chars)
-            yield from full
-            open_pieces = [last]
-    yield from _filled(open_pieces, max_chars + 1)
-
-
-def pack_paragraphs(text: str, max_words: int = SCRIPT_CHUNK_WORDS, separator: str = "\n\n", overlap: int = 0, keep_blank: bool = True) -> Iterator[str]:
-    """Paragraphs packed up to a number of words, none split. With overlap a chunk begins with the last words of the one before."""
-    held: list[str] = []
-    count = 0
-    for paragraph in text.split(separator):
-        if not keep_blank and not paragraph.strip():
-            continue
-        size = len(paragraph.split())
-        if held and count + size > max_words:
-            yield separator.join(held)
-            tail = " ".join(held).split()[-overlap:] if overlap else []
-            held, count = ([" ".join(tail)] if tail else []), len(tail)
-        held.append(paragraph)
-        count += size
-    if held:
-        yield separator.join(held)
-
-
-def split_rows(df: DataFrame, key: str, text: str, packer: Callable[[str], Iterable[str]]) -> DataFrame:
-    """(key, chunk_idx, chunk) for the pieces that a packer makes of each text."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, index, chunks, size = [], [], [], 0
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i, chunk in enumerate(packer(t or "")):
-                    keys.append(k)
-                    index.append(i)
-                    chunks.append(chunk)
-                    size += len(chunk)
-                if size > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(index, pa.int64()), pa.array(chunks, pa.string())], names=[key, "chunk_idx", "chunk"])
-                    keys, index, chunks, size = [], [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(index, pa.int64()), pa.array(chunks, pa.string())], names=[key, "chunk_idx", "chunk"])
-
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, chunk_idx long, chunk string")
+def sentence_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, chunk_idx, chunk): the sentences of each text."""
+    rows = rows_of(df, [key], sentences(F.col(text)), "chunk_idx", "chunk")
+    return rows.select(key, F.col("chunk_idx").cast("long"), "chunk")
 
 
 def sentence_chunks(df: DataFrame, key: str, text: str, max_chars: int = MAX_CHUNK_CHARS) -> DataFrame:
-    return split_rows(df, key, text, lambda t: pack_sentences(t, max_chars)).where("trim(chunk) <> ''")
+    """(key, chunk_idx, chunk): sentences packed while they fit; the last of a chunk need not pay for its space.
+
+    A sentence longer than a chunk is packed by words, and its last words open the next chunk. Before a first word that is too
+    long itself a number is left out. Blank chunks have no rows.
+    """
+
+    def step(s: Column, p: Column) -> tuple[Column, Column]:
+        size = F.length(p["x"])
+        ends = F.when(p["kind"] == 0, s["n"] + size > max_chars).when(p["kind"] == 1, F.lit(True)).otherwise(s["n"] + size + 1 > max_chars)
+        chunk = s["chunk"] + (ends & s["held"]).cast("int") + ((p["kind"] == 1) & (size >= max_chars)).cast("int")
+        return F.struct((size + 1 + F.when(ends, 0).otherwise(s["n"])).alias("n"), chunk.alias("chunk"), F.lit(True).alias("held")), chunk
+
+    pieces = df.select(key, _packed_sentences(F.col(text), max_chars).alias("_p"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chunk"), F.lit(False).alias("held"))
+    numbered = pieces.select(key, F.col("_p.x").alias("_x"), fold_list(F.col("_p"), start, step, "int")["made"].alias("_of"))
+    rows = rows_of(numbered, [key], _slices(F.col("_x"), F.col("_of")), "_k", "_c")
+    return rows.select(key, F.col("_c.chunk").cast("long").alias("chunk_idx"), F.array_join("_c.pieces", " ").alias("chunk")).where("trim(chunk) <> ''")
+
+
+def _paragraph_slices(df: DataFrame, key: str, text: str, max_words: int, separator: str, overlap: int, keep_blank: bool) -> DataFrame:
+    """(key, _chunks): the paragraphs of each chunk; a chunk also pays for the words that it takes over."""
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), f"\\Q{separator}\\E", -1)
+    parts = parts if keep_blank else F.filter(parts, lambda p: X.stripped(p) != "")
+    sized = F.transform(parts, lambda p: F.struct(p.alias("x"), F.size(X.words(p)).alias("n")))
+
+    def step(s: Column, p: Column) -> tuple[Column, Column]:
+        full = s["held"] & (s["n"] + p["n"] > max_words)
+        chunk = s["chunk"] + full.cast("int")
+        return F.struct((p["n"] + F.when(full, F.least(s["n"], F.lit(overlap))).otherwise(s["n"])).alias("n"), chunk.alias("chunk"), F.lit(True).alias("held")), chunk
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chunk"), F.lit(False).alias("held"))
+    pieces = df.select(key, sized.alias("_p"))
+    numbered = pieces.select(key, F.col("_p.x").alias("_x"), fold_list(F.col("_p"), start, step, "int")["made"].alias("_of"))
+    return numbered.select(key, F.transform(_slices(F.col("_x"), F.col("_of")), lambda c: c["pieces"]).alias("_chunks"))
 
 
 def paragraph_chunks(df: DataFrame, key: str, text: str, max_words: int = SCRIPT_CHUNK_WORDS, separator: str = "\n\n") -> DataFrame:
-    return split_rows(df, key, text, lambda t: pack_paragraphs(t, max_words, separator))
+    """(key, chunk_idx, chunk): paragraphs packed up to a number of words, none split."""
+    rows = rows_of(_paragraph_slices(df, key, text, max_words, separator, 0, True), [key], F.col("_chunks"), "chunk_idx", "_c")
+    return rows.select(key, F.col("chunk_idx").cast("long"), F.array_join("_c", separator).alias("chunk"))
 
 
 def overlapping_chunks(df: DataFrame, key: str, text: str, max_words: int = CAST_CHUNK_WORDS, overlap: int = CAST_OVERLAP_WORDS, separator: str = "\n\n") -> DataFrame:
-    return split_rows(df, key, text, lambda t: pack_paragraphs(t, max_words, separator, overlap, keep_blank=False))
+    """(key, chunk_idx, chunk): paragraphs that are not blank, packed alike; a chunk begins with the last words of the one before."""
+    if not overlap:
+        rows = rows_of(_paragraph_slices(df, key, text, max_words, separator, 0, False), [key], F.col("_chunks"), "chunk_idx", "_c")
+        return rows.select(key, F.col("chunk_idx").cast("long"), F.array_join("_c", separator).alias("chunk"))
+
+    def step(tail: Column, c: Column) -> tuple[Column, Column]:
+        words = F.concat(tail, F.flatten(F.transform(c, X.words)))
+        left = F.slice(words, F.greatest(F.lit(1), F.size(words) - (overlap - 1)), F.lit(overlap))
+        opening = F.when(F.size(tail) > 0, F.array(F.array_join(tail, " "))).otherwise(F.array().cast(_NONE))
+        return left, F.array_join(F.concat(opening, c), separator)
+
+    chunks = _paragraph_slices(df, key, text, max_words, separator, overlap, False)
+    joined = fold_list(F.coalesce("_chunks", F.array().cast(f"array<{_NONE}>")), F.array().cast(_NONE), step, "string")["made"]
+    rows = rows_of(chunks, [key], joined, "chunk_idx", "chunk")
+    return rows.select(key, F.col("chunk_idx").cast("long"), "chunk")

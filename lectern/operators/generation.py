@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.constants import PARAGRAPH_PAUSE_MS, SAMPLE_RATE
 from lectern.operators import audio, chunking
-from lectern.operators.replies import error_snippet, parse_reply
+from lectern.operators.replies import parsed_replies
 
 Voice = Callable[[list[tuple[str, str, int]]], list[list[float]]]
 
@@ -128,59 +128,56 @@ def engine(config: dict) -> Voice:
     return ENGINES[name](config)
 
 
-Message = dict[str, str]
+#: Gives a reply to each of some conversations, lists of (role, content).
+Writer = Callable[[list[list[tuple[str, str]]]], list[str]]
+_TALK = "array<struct<role:string,content:string>>"
 
 
-def ask_until_valid(messages: list[Message], ask: Callable[[list[Message]], str], parse: Callable[[object], object], problems: Callable[[object], list[str]] = lambda found: [], attempts: int = 6, shape: str = "") -> tuple[object, list[Message]]:
-    """What a reply is parsed to, once it has no problems, and the conversation so far; a reply that fails is answered with what is wrong with it.
+def _said(role: str, content: Column) -> Column:
+    return F.array(F.struct(F.lit(role).alias("role"), content.alias("content")))
 
-    ask gives a reply to a conversation. parse raises ValueError or KeyError on a wrong structure. After the last attempt the last answer is raised.
-    """
-    talk = list(messages)
-    hint = f" Expected shape: {shape}" if shape else ""
-    for _ in range(attempts):
-        content = ask(talk)
-        if not content:
-            answer = f"The reply had no content. Put the answer in the reply itself as valid JSON.{hint}"
-        else:
-            try:
-                found = parse(parse_reply(content))
-                wrong = problems(found)
-                if not wrong:
-                    return found, [*talk, {"role": "assistant", "content": content}]
-                answer = "\n".join(["Validation errors:", *(f"- {w}" for w in wrong), "Fix these and send the whole JSON again."])
-            except json.JSONDecodeError as error:
-                answer = f"JSON error at line {error.lineno} column {error.colno}: {error.msg}.\n{error_snippet(content, error.pos)}\nSend the whole reply again as valid JSON.{hint}"
-            except KeyError as error:
-                answer = f"Structure error: missing key {error}. Send it again with all keys.{hint}"
-            except ValueError as error:
-                answer = f"Structure error: {error}. Send it again in the right shape.{hint}"
-        talk += [{"role": "assistant", "content": content}, {"role": "user", "content": answer}]
-    raise ValueError(f"no valid reply after {attempts} attempts: {answer}")
-
-
-def ask_rows(prompts: DataFrame, key: str, make: Callable[[], Callable[[list[Message]], str]], parse: Callable[[object], object], problems: Callable[[object], list[str]] = lambda found: [], attempts: int = 6) -> DataFrame:
-    """(key, json, n_attempts, problem) of prompts (key, system, prompt): every row is a conversation of its own; a row that never gets a valid reply has the problem."""
-    kind = prompts.schema[key].dataType.simpleString()
+
+def _answered(talks: DataFrame, key: str, make: Callable[[], Writer]) -> DataFrame:
+    """Conversations (key, talk) with the reply to each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask = make()
+        write = make()
         for batch in batches:
-            found, tries, wrong = [], [], []
-            for system, prompt in zip(batch.column("system").to_pylist(), batch.column("prompt").to_pylist()):
-                start = [{"role": "system", "content": system or ""}, {"role": "user", "content": prompt or ""}]
-                try:
-                    value, talk = ask_until_valid(start, ask, parse, problems, attempts)
-                    found.append(json.dumps(value, ensure_ascii=False))
-                    tries.append((len(talk) - 1) // 2)
-                    wrong.append(None)
-                except ValueError as error:
-                    found.append(None)
-                    tries.append(attempts)
-                    wrong.append(str(error))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(tries, pa.int64()), pa.array(wrong, pa.string())], names=[key, "json", "n_attempts", "problem"])
-
-    return prompts.select(key, "system", "prompt").mapInArrow(run, f"{key} {kind}, json string, n_attempts long, problem string")
+            talks = [[(m["role"], m["content"]) for m in talk] for talk in batch.column("talk").to_pylist()]
+            if talks:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(write(talks), pa.string())], names=[*batch.schema.names, "reply"])
+
+    kind = talks.schema[key].dataType.simpleString()
+    return talks.select(key, "talk").mapInArrow(run, f"{key} {kind}, talk {_TALK}, reply string")
+
+
+def converse(prompts: DataFrame, key: str, make: Callable[[], Writer], problems: Callable[[Column], Column], save: Callable[[DataFrame], DataFrame], attempts: int = 6) -> DataFrame:
+    """(key, json, n_attempts, problem) of prompts (key, system, prompt): a row's reply once it is JSON without problems; a reply that fails is answered with what is wrong with it.
+
+    problems gives the array of problems that a reply's JSON has, as a column. A round is one job over the rows that are still
+    open; its replies are saved before they are judged. After the last round a row has its last problem. Null texts are empty;
+    keys must differ, as rows are joined by them.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    talks = prompts.select(key, F.concat(_said("system", text(F.col("system"))), _said("user", text(F.col("prompt")))).alias("talk"))
+    done = None
+    for attempt in range(1, attempts + 1):
+        spoken = save(_answered(talks, key, make))
+        judged = spoken.join(parsed_replies(spoken, key, "reply").drop("keys"), key)
+        wrong = F.when(F.col("json").isNull(), F.array("problem")).otherwise(problems(F.col("json")))
+        judged = judged.withColumn("wrong", F.coalesce(wrong, F.array().cast("array<string>")))
+        last = attempt == attempts
+        closed = judged if last else judged.where(F.size("wrong") == 0)
+        told = F.when(F.size("wrong") > 0, F.array_join("wrong", "; "))
+        found = closed.select(key, F.when(told.isNull(), F.col("json")).alias("json"), F.lit(attempt).cast("long").alias("n_attempts"), told.alias("problem"))
+        done = found if done is None else done.unionByName(found)
+        if last:
+            break
+        ask = F.concat(F.lit("This is wrong with the reply:"), F.array_join(F.transform("wrong", lambda w: F.concat(F.lit("\n* "), w)), ""), F.lit("\nWrite all of it again, as JSON."))
+        talks = judged.where(F.size("wrong") > 0).select(key, F.concat("talk", _said("assistant", text(F.col("reply"))), _said("user", ask)).alias("talk"))
+        if talks.isEmpty():
+            break
+    return done
 
 
 def until_clean(tasks: DataFrame, generate: Callable[[DataFrame], DataFrame], faulty: Column, save: Callable[[DataFrame], DataFrame], attempts: int = 5) -> DataFrame:

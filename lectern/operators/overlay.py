@@ -11,9 +11,10 @@ from xml.etree import ElementTree as ET
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lectern.functions.constants import CONTENT_TAGS, SKIP_TAGS
-from lectern.operators.alignment import locate_chunks
+from lectern.operators.locate import locate_chunks
 
 #: The class that readers give to the active fragment, and its style.
 ACTIVE_CLASS = "-epub-media-overlay-active"
@@ -124,17 +125,23 @@ def paragraphs(root: ET.Element) -> list[Paragraph]:
     return out
 
 
+def text_of(found: list[Paragraph]) -> str:
+    """The text in which chunks are looked for."""
+    return "\n\n".join(p.text for p in found)
+
+
 def shares(ends: list[int], starts: list[int], a: int, b: int) -> list[tuple[int, float, float]]:
     """Intervals, in order and apart, that [a, b) overlaps, each with its share of what is covered."""
     first, last = bisect_right(ends, a), bisect_left(starts, b)
     edges = [0, *accumulate(min(b, ends[k]) - max(a, starts[k]) for k in range(first, last))]
-    return [(k, low / edges[-1], high / edges[-1]) for k, low, high in zip(range(first, last), edges, edges[1:])]
+    # a place without any text covers nothing
+    return [] if not edges[-1] else [(k, low / edges[-1], high / edges[-1]) for k, low, high in zip(range(first, last), edges, edges[1:])]
 
 
-def place_chunks(root: ET.Element, chunks: list[str], prefix: str = "lv") -> list[list[tuple[str, float, float]]]:
-    """(fragment id, from share, to share) of each chunk: a span of its own inside one paragraph, else the paragraphs it covers. Changes the document."""
+def place_chunks(root: ET.Element, spans: list[tuple[int, int] | None], prefix: str = "lv") -> list[list[tuple[str, float, float]]]:
+    """(fragment id, from share, to share) of each span of the document's text: a span of its own inside one paragraph, else the paragraphs it covers. Changes the document."""
     found = paragraphs(root)
-    source = "\n\n".join(p.text for p in found)
+    source = text_of(found)
     starts = [0, *accumulate(len(p.text) + 2 for p in found)][: len(found)]
     ends = [a + len(p.text) for a, p in zip(starts, found)]
     taken = {e.get("id") for e in root.iter() if e.get("id")}
@@ -147,7 +154,7 @@ def place_chunks(root: ET.Element, chunks: list[str], prefix: str = "lv") -> lis
         return element.get("id")
 
     out: list[list[tuple[str, float, float]]] = []
-    for span in locate_chunks(source, chunks):
+    for span in spans:
         over = shares(ends, starts, *span) if span else []
         if len(over) == 1:
             k = over[0][0]
@@ -195,27 +202,42 @@ def wire_package(package: ET.Element, overlays: list[dict], clock: str) -> None:
     ET.SubElement(metadata, ns + "meta", {"property": "media:active-class"}).text = ACTIVE_CLASS
 
 
+def _sources(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts in which the chunks of documents are looked for, and what is wrong with a document."""
+    for batch in batches:
+        texts, problems = [], []
+        for xhtml in batch.column("xhtml").to_pylist():
+            try:
+                texts.append(text_of(paragraphs(ET.fromstring(xhtml or ""))))
+                problems.append(None)
+            except ET.ParseError as problem:
+                texts.append(None)
+                problems.append(str(problem))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(problems, pa.string())], names=[*batch.schema.names, "text", "problem"])
+
+
+def _placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.string()]
+    for batch in batches:
+        rows: list[tuple] = []
+        for key, xhtml, problem, spans in zip(*(batch.column(c).to_pylist() for c in ("chapter_idx", "xhtml", "problem", "spans"))):
+            if problem is not None:
+                rows.append((key, None, None, None, None, None, problem))
+                continue
+            wanted = [None if s["a"] is None else (s["a"], s["b"]) for s in spans or []]
+            rows += [(key, i, j, *p, None) for i, found in enumerate(place_chunks(ET.fromstring(xhtml), wanted)) for j, p in enumerate(found)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["chapter_idx", "chunk_idx", "place", "fragment", "from_share", "to_share", "problem"])
+
+
 def placements(chapters: DataFrame) -> DataFrame:
     """(chapter_idx, chunk_idx, place, fragment, from_share, to_share, problem) of chapters (chapter_idx, xhtml, chunks array<string>).
 
     A chapter whose document is null or not well formed has one row with the problem and nothing else; null chunks are not found,
-    and chunks that are not found have no rows.
+    and chunks that are not found have no rows. Chapters have different indexes.
     """
-
-    def rows_of(key: int, xhtml: str | None, chunks: list[str | None] | None) -> Iterator[tuple]:
-        try:
-            root = ET.fromstring(xhtml or "")
-        except ET.ParseError as problem:
-            yield key, None, None, None, None, None, str(problem)
-            return
-        for i, placed in enumerate(place_chunks(root, [c or "" for c in chunks or []])):
-            yield from ((key, i, j, *p, None) for j, p in enumerate(placed))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [row for values in zip(*(batch.column(k).to_pylist() for k in range(3))) for row in rows_of(*values)]
-            if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["chapter_idx", "chunk_idx", "place", "fragment", "from_share", "to_share", "problem"])
-
-    return chapters.select("chapter_idx", "xhtml", "chunks").mapInArrow(run, "chapter_idx long, chunk_idx long, place long, fragment string, from_share double, to_share double, problem string")
+    walked = chapters.select(F.col("chapter_idx").cast("long").alias("chapter_idx"), "xhtml", "chunks").mapInArrow(_sources, "chapter_idx long, xhtml string, chunks array<string>, text string, problem string")
+    found = locate_chunks(walked.where("problem is null"))
+    spans = found.groupBy("chapter_idx").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", F.col("start_char").alias("a"), F.col("end_char").alias("b")))).alias("spans"))
+    ready = walked.join(spans, "chapter_idx", "left").select("chapter_idx", "xhtml", "problem", "spans")
+    return ready.mapInArrow(_placed, "chapter_idx long, chunk_idx long, place long, fragment string, from_share double, to_share double, problem string")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -13,51 +12,59 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.functions.constants import RETRYABLE_STATUS
 
-_COMMA = re.compile(r",(\s*[}\]])")
-_OPEN_STRING = re.compile(r'(:\s*"(?:[^"\\\n]|\\.)*)\n(\s*"[A-Za-z_]+"\s*:)')
-_THINKING = re.compile(r"(?s)<(think|reasoning)>.*?</\1>")
+#: A string that a line end cuts off before the next key; matched without going back, so long strings do no harm.
+_CUT_STRING = r'(:\s*+"(?:[^"\\\n]++|\\.)*+)\n(\s*+"[A-Za-z_]+"\s*+:)'
+_FENCE = "```"
 
 
-def parse_reply(content: str) -> object:
-    """The JSON of a reply: thinking and code fences aside, a trailing comma or an unclosed string before a key repaired, text behind the value ignored."""
-    body = _THINKING.sub("", content).strip()
-    fence = re.match(r"```(?:json)?", body)
-    if fence:
-        body = body[fence.end() :].removesuffix("```")
-    body = body.strip()
-    for attempt in (body, _COMMA.sub(r"\1", _OPEN_STRING.sub(r'\1",\n\2', body))):
-        try:
-            return json.loads(attempt)
-        except json.JSONDecodeError:
-            pass
-    return json.JSONDecoder().raw_decode(attempt)[0]
+def reply_body(content: Column) -> Column:
+    """What a reply says: without thinking and the fence around code."""
+    said = X.without_thinking(F.coalesce(content, F.lit("")))
+    inside = F.regexp_replace(F.regexp_replace(said, f"^{_FENCE}(?:json)?", ""), f"{_FENCE}$", "")
+    return X.stripped(F.when(said.startswith(_FENCE), inside).otherwise(said))
 
 
-def error_snippet(content: str, at: int, radius: int = 60) -> str:
-    """Text around a place with a caret under it."""
-    low, high = max(0, at - radius), min(len(content), at + radius)
-    head, tail = "..." * (low > 0), "..." * (high < len(content))
-    shown = content[low:high].replace("\n", "\\n")
-    return f"{head}{shown}{tail}\n{' ' * (len(head) + at - low)}^"
+def reply_text(body: Column) -> Column:
+    """The JSON text of a reply's body: as it is, else with cut-off strings closed and trailing commas dropped; null where neither is JSON. Text behind the value does not matter."""
+    mended = without_trailing_commas(F.regexp_replace(body, _CUT_STRING, '$1",\n$2'))
+    return F.when(F.try_parse_json(body).isNotNull(), body).when(F.try_parse_json(mended).isNotNull(), mended)
 
 
 def parsed_replies(replies: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, json, problem): the canonical JSON of each reply, or what is wrong with it."""
+    """(key, json, keys, problem): each reply as JSON with its keys in order, the keys of an object as the reply has them, or what is wrong with it.
+
+    A reply in which an object has one key twice is broken, as is an empty or null one.
+    """
+    body = replies.select(key, reply_body(F.col(content)).alias("body"))
+    rows = body.withColumn("json", reply_text(F.col("body")))
+    problem = F.when(F.col("json").isNull(), F.when(F.col("body") == "", "no content").otherwise(F.concat(F.lit("no JSON: "), X.truncate(F.col("body"), 120))))
+    return rows.select(key, F.to_json(F.try_parse_json("json")).alias("json"), F.json_object_keys("json").alias("keys"), problem.alias("problem"))
+
+
+def broken_replies(replies: DataFrame, key: str, content: str, radius: int = 60) -> DataFrame:
+    """(key, line, place, shown) of the replies that are no JSON: where reading stops, and the text around it with a mark below.
+
+    Only these replies are read by Python, whose reader tells the place.
+    """
     kind = replies.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, problems = [], []
+            rows = []
             for text in batch.column(1).to_pylist():
                 try:
-                    found.append(json.dumps(parse_reply(text or ""), ensure_ascii=False))
-                    problems.append(None)
-                except ValueError as error:
-                    found.append(None)
-                    problems.append(error_snippet(text or "", getattr(error, "pos", 0)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(problems, pa.string())], names=[key, "json", "problem"])
-
-    return replies.select(key, content).mapInArrow(run, f"{key} {kind}, json string, problem string")
+                    json.JSONDecoder().raw_decode(text)
+                    rows.append((None, None, None))
+                except json.JSONDecodeError as error:
+                    first = max(error.pos - radius, 0)
+                    parts = (text[first : error.pos], text[error.pos : error.pos + radius])
+                    before, behind = (("..." if cut else "") + part.replace("\n", "\\n") for part, cut in zip(parts, (first > 0, False)))
+                    more = "..." if error.pos + radius < len(text) else ""
+                    rows.append((error.lineno, error.pos, f"{before}{behind}{more}\n{'^':>{len(before) + 1}}"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string())))], names=[key, "line", "place", "shown"])
+
+    broken = replies.select(key, reply_body(F.col(content)).alias("body")).where(reply_text(F.col("body")).isNull())
+    return broken.mapInArrow(run, f"{key} {kind}, line long, place long, shown string")
 
 
 def without_trailing_commas(content: Column) -> Column:

@@ -6,15 +6,12 @@ out; places (chapter_idx, seg_idx) must be unique in a script; empty tables give
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.constants import EMOTIONS, RETAINED_SPEAKERS
+from lectern.functions.folds import rows_of
 from lectern.operators.script import speaker_islands
 
 #: Keys under which a reply may hold its changes, in the order in which they count.
@@ -25,68 +22,69 @@ VISIBLE_KINDS = ("flag", "validation", "hallucination")
 CHARACTER_KEYS = ("name", "n", "description", "d", "voice", "v", "aliases", "a")
 
 
-def change_list(reply: object) -> list:
-    """The changes of a reply: a list is they; of an object the list under the first change key, itself if it names a segment, else its first list."""
-    if isinstance(reply, list):
-        return reply
-    if not isinstance(reply, dict):
-        raise ValueError(f"no changes in a reply of type {type(reply).__name__}")
-    lists = {key: value for key, value in reply.items() if isinstance(value, list)}
-    for key in CHANGE_KEYS:
-        if key in lists:
-            return lists[key]
-    return [reply] if "index" in reply else next(iter(lists.values()), [])
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
+def _is_object(v: Column) -> Column:
+    return _kind(v).startswith("OBJECT")
+
+
+def _listed(v: Column) -> Column:
+    """The items of a list; null for anything else."""
+    return F.when(_kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+
+
+def _part(v: Column, full: str, short: str) -> Column:
+    """What an object has under its full key, else under its short one."""
+    return F.coalesce(F.try_variant_get(v, f"$.{full}", "variant"), F.try_variant_get(v, f"$.{short}", "variant"))
+
+
+def _string(v: Column) -> Column:
+    return F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def flag_list(reply: object) -> list:
-    """The flags of a reply, none unless they are a list in an object."""
-    flags = reply.get("flags") if isinstance(reply, dict) else None
-    return flags if isinstance(flags, list) else []
+def _item(v: Column) -> Column:
+    """Segment, speaker, instruction and text that an item of a reply names; what is of another type is null."""
+    at = _part(v, "index", "i")
+    fields = [_string(_part(v, full, short)).alias(full) for full, short in (("speaker", "s"), ("instruction", "in"), ("text", "t"))]
+    return F.struct(F.when(_kind(at) == "BIGINT", F.try_variant_get(at, "$", "bigint")).alias("seg_idx"), *fields)
 
 
-def _fields(item: dict) -> tuple[str | None, ...]:
-    """Speaker, instruction and text, under full or short keys; what is no string is none."""
-    values = (item.get(full, item.get(short)) for full, short in (("speaker", "s"), ("instruction", "in"), ("text", "t")))
-    return tuple(v if isinstance(v, str) else None for v in values)
+def change_list(v: Column, keys: Column) -> Column:
+    """The changes of a reply: a list is they; of an object the list under the first change key, itself if it names a segment, else its first list; null for anything else."""
+    named = [_listed(F.try_variant_get(v, f"$.{key}", "variant")) for key in CHANGE_KEYS]
+    whole = F.try_variant_get(v, "$", "map<string,variant>")
+    lists = F.filter(F.transform(keys, lambda k: _listed(F.try_element_at(whole, k))), lambda x: x.isNotNull())
+    itself = F.when(F.try_variant_get(v, "$.index", "variant").isNotNull(), F.array(v))
+    none = F.array().cast("array<variant>")
+    return F.coalesce(_listed(v), F.when(_is_object(v), F.coalesce(*named, itself, F.get(lists, F.lit(0)), none)))
 
 
-def _index(item: dict) -> int | None:
-    at = item.get("index", item.get("i"))
-    return at if isinstance(at, int) and not isinstance(at, bool) else None
+#: How a reply that is no list or object is called.
+_TYPES = (("STRING", "str"), ("BIGINT", "int"), ("BOOLEAN", "bool"), ("VOID", "NoneType"))
 
 
 def review_rows(parsed: DataFrame, key: str) -> DataFrame:
-    """(key, kind, ordinal, seg_idx, speaker, instruction, text, reason) of parsed replies (key, json): kind is change, flag, or problem with the reason.
+    """(key, kind, ordinal, seg_idx, speaker, instruction, text, reason) of parsed replies (key, json, keys): kind is change, flag, or problem with the reason.
 
-    Items that are no objects or name no segment are left out. A null json gives no rows.
+    Items that are no objects or name no segment are left out, as are flags that are no list. A null json gives no rows.
     """
-    kind = parsed.schema[key].dataType.simpleString()
-
-    def rows_of(name: object, content: str | None) -> Iterator[tuple]:
-        if content is None:
-            return
-        try:
-            reply = json.loads(content)
-            changes = change_list(reply)
-        except ValueError as error:
-            yield name, "problem", 0, None, None, None, None, str(error)
-            return
-        for k, item in enumerate(changes):
-            if isinstance(item, dict) and _index(item) is not None:
-                yield (name, "change", k, _index(item), *_fields(item), None)
-        for k, item in enumerate(flag_list(reply)):
-            if isinstance(item, dict) and _index(item) is not None:
-                inner = item.get("suggestion")
-                yield (name, "flag", k, _index(item), *_fields(inner if isinstance(inner, dict) else item), str(item.get("reason") or item.get("r") or ""))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [row for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for row in rows_of(*pair)]
-            if rows:
-                kinds = [batch.schema.field(0).type, pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[key, "kind", "ordinal", "seg_idx", "speaker", "instruction", "text", "reason"])
-
-    return parsed.select(key, "json").mapInArrow(run, f"{key} {kind}, kind string, ordinal long, seg_idx long, speaker string, instruction string, text string, reason string")
+    keys = F.col("keys") if "keys" in parsed.columns else F.json_object_keys("json")
+    rows = parsed.where("json is not null").select(key, F.try_parse_json("json").alias("v"), F.coalesce(keys, F.array().cast("array<string>")).alias("keys"))
+    rows = rows.select(key, "v", change_list(F.col("v"), F.col("keys")).alias("changes"))
+    called = F.coalesce(*(F.when(_kind(F.col("v")) == kind, name) for kind, name in _TYPES), F.lit("float"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("seg_idx", "long"), ("speaker", "string"), ("instruction", "string"), ("text", "string"))]
+    problems = rows.where("changes is null").select(key, F.lit("problem").alias("kind"), F.lit(0).cast("long").alias("ordinal"), *nothing, F.concat(F.lit("no changes in a reply of type "), called).alias("reason"))
+    changes = rows_of(rows, [key], F.col("changes"), "ordinal", "x").where(_is_object(F.col("x"))).select(key, "ordinal", _item(F.col("x")).alias("i"))
+    changes = changes.where("i.seg_idx is not null").select(key, F.lit("change").alias("kind"), F.col("ordinal").cast("long").alias("ordinal"), "i.*", F.lit(None).cast("string").alias("reason"))
+    listed = rows_of(rows.where(_is_object(F.col("v"))), [key], _listed(F.try_variant_get("v", "$.flags", "variant")), "ordinal", "x").where(_is_object(F.col("x")))
+    inner = F.try_variant_get("x", "$.suggestion", "variant")
+    said = _item(F.when(_is_object(inner), inner).otherwise(F.col("x")))
+    text = lambda name: F.coalesce(F.nullif(F.try_variant_get("x", f"$.{name}", "string"), F.lit("")))
+    flags = listed.select(key, "ordinal", _item(F.col("x"))["seg_idx"].alias("seg_idx"), said.alias("i"), F.coalesce(text("reason"), text("r"), F.lit("")).alias("reason")).where("seg_idx is not null")
+    flags = flags.select(key, F.lit("flag").alias("kind"), F.col("ordinal").cast("long").alias("ordinal"), "seg_idx", "i.speaker", "i.instruction", "i.text", "reason")
+    return problems.unionByName(changes).unionByName(flags)
 
 
 def review_flags(reviews: DataFrame, segments: DataFrame) -> DataFrame:

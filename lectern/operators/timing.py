@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.constants import PARAGRAPH_PAUSE_MS
+from lectern.functions.folds import fold_list, rows_of
 
 
 def running_start(size: Column, gap: float, keys: list[str], order: list[str]) -> Column:
@@ -40,26 +41,67 @@ def timing_manifest(chunks: DataFrame, pause_ms: int = PARAGRAPH_PAUSE_MS) -> Da
     return chunks.withColumn("start_s", start).withColumn("end_s", F.col("start_s") + F.col("duration_s"))
 
 
+#: Places of a chapter that are clamped together.
+CUE_BLOCK = 4_096
+#: Seconds that a cue lasts at least.
+LEAST_CUE = 0.001
+_CUE = "struct<start_s:double,end_s:double,body:string>"
+
+
+def _clamped(prev: Column, c: Column) -> Column:
+    """A cue behind the end of the last."""
+    end = F.when(c["end_s"] <= c["start_s"], c["start_s"] + LEAST_CUE).otherwise(c["end_s"])
+    late = c["start_s"] < prev
+    start = F.when(late, prev).otherwise(c["start_s"])
+    end = F.when(late & (end <= start), start + LEAST_CUE).otherwise(end)
+    return F.struct(start.alias("start_s"), end.alias("end_s"), c["body"].alias("body"))
+
+
+def _summary(cues_: Column) -> Column:
+    """What a block of cues does to the end before it, p: from `bound` on it is p plus `n` least cues, below it is `fixed`.
+
+    A cue that ends at e makes of p the greater of e and a least cue more than p, so the cues of a block need p to be so far
+    on that none of them is reached; else the last one that is decides, whatever p was. A cue without an end forgets p.
+    """
+
+    def step(s: Column, c: Column) -> Column:
+        end = F.when(c["end_s"] <= c["start_s"], c["start_s"] + LEAST_CUE).otherwise(c["end_s"])
+        open_end = end.isNull() | c["start_s"].isNull()
+        bound = F.when(open_end, F.lit(float("inf"))).otherwise(F.greatest(s["bound"], end - s["n"] * LEAST_CUE))
+        fixed = F.when(open_end, F.coalesce(end, F.lit(-1.0))).when(s["fixed"] < end, end).otherwise(s["fixed"] + LEAST_CUE)
+        return F.struct(bound.alias("bound"), fixed.alias("fixed"), (s["n"] + 1).alias("n"))
+
+    low = F.lit(float("-inf"))
+    return F.aggregate(cues_, F.struct(low.alias("bound"), low.alias("fixed"), F.lit(0).alias("n")), step)
+
+
 def cues(timed: DataFrame) -> DataFrame:
     """Subtitle cues of each chapter: blank texts skipped, numbered after that, no cue empty or before the end of the last.
 
-    The clamp depends on the end that was emitted before, so it is a fold over a chapter's cues.
+    The clamp depends on the end that was emitted before. It is a scan: blocks of places are summed up by what they do to that
+    end, the summaries of a chapter are passed through in order, and each block is then clamped from the end that it finds.
     """
     body = X.stripped(F.coalesce("text", F.lit("")))
     body = F.when(body != "", F.when(F.coalesce("speaker", F.lit("")) != "", F.concat(F.lit("["), "speaker", F.lit("] "), body)).otherwise(body))
-    rows = timed.withColumn("body", body).where("body is not null")
-    grouped = rows.groupBy("chapter_idx").agg(F.sort_array(F.collect_list(F.struct("seg_idx", "start_s", "end_s", "body"))).alias("c"))
-
-    def step(acc: Column, c: Column) -> Column:
-        end = F.when(c["end_s"] <= c["start_s"], c["start_s"] + 0.001).otherwise(c["end_s"])
-        late = c["start_s"] < acc["prev"]
-        start = F.when(late, acc["prev"]).otherwise(c["start_s"])
-        end = F.when(late & (end <= start), start + 0.001).otherwise(end)
-        return F.struct(end.alias("prev"), F.concat(acc["out"], F.array(F.struct(start.alias("start_s"), end.alias("end_s"), c["body"].alias("body")))).alias("out"))
-
-    first = F.struct(F.lit(-1.0).alias("prev"), F.array().cast("array<struct<start_s:double,end_s:double,body:string>>").alias("out"))
-    folded = grouped.select("chapter_idx", F.posexplode(F.aggregate("c", first, step, lambda a: a["out"])).alias("pos", "cue"))
-    return folded.select("chapter_idx", (F.col("pos") + 1).cast("long").alias("cue_idx"), F.col("cue.start_s").alias("start_s"), F.col("cue.end_s").alias("end_s"), F.col("cue.body").alias("body"))
+    rows = timed.withColumn("body", body).where("body is not null").withColumn("block", F.floor(F.col("seg_idx") / CUE_BLOCK))
+    blocks = rows.groupBy("chapter_idx", "block").agg(F.array_sort(F.collect_list(F.struct("seg_idx", "start_s", "end_s", "body"))).alias("c"))
+    blocks = blocks.select("chapter_idx", "block", "c", _summary(F.col("c")).alias("s"))
+
+    def through(state: Column, b: Column) -> tuple[Column, Column]:
+        end = F.when(state["end"] < b["bound"], b["fixed"]).otherwise(state["end"] + b["n"] * LEAST_CUE)
+        return F.struct(end.alias("end"), (state["n"] + b["n"]).alias("n")), F.struct(b["block"].alias("block"), state["end"].alias("end"), state["n"].alias("n"))
+
+    listed = blocks.groupBy("chapter_idx").agg(F.array_sort(F.collect_list(F.struct("block", "s.bound", "s.fixed", "s.n"))).alias("bs"))
+    start = F.struct(F.lit(-1.0).alias("end"), F.lit(0).cast("long").alias("n"))
+    found = rows_of(listed, ["chapter_idx"], fold_list(F.col("bs"), start, through, "struct<block:bigint,end:double,n:bigint>")["made"], "k", "b")
+    placed = blocks.select("chapter_idx", "block", "c").join(found.select("chapter_idx", F.col("b.block").alias("block"), F.col("b.end").alias("end"), F.col("b.n").alias("n")), ["chapter_idx", "block"])
+
+    def one(prev: Column, c: Column) -> tuple[Column, Column]:
+        cue = _clamped(prev, c)
+        return cue["end_s"], cue
+
+    clamped = rows_of(placed, ["chapter_idx", "n"], fold_list(F.col("c"), F.col("end"), one, _CUE)["made"], "pos", "cue")
+    return clamped.select("chapter_idx", (F.col("n") + F.col("pos") + 1).cast("long").alias("cue_idx"), F.col("cue.start_s").alias("start_s"), F.col("cue.end_s").alias("end_s"), F.col("cue.body").alias("body"))
 
 
 def srt_text(cue_rows: DataFrame) -> DataFrame:

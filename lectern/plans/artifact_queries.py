@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import artifacts
+from lectern.operators import artifacts, locate
 from lectern.plans import timing_queries
 from lectern.plans.common import table
 
@@ -44,13 +44,64 @@ def subtitles_of_manifests(spark: SparkSession, d: str) -> DataFrame:
     return artifacts.subtitles_of_manifests(files).select("chapter_idx", F.md5("srt").alias("srt_md5"))
 
 
+_LOW = "abcdefghijklmnopqrstuvwxyz"
+
+
 def review_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Batches of two lines of every document, all of them there as written."""
-    t = table(spark, d, "documents").where("doc_id % 4 = 0")
+    """Batches of three lines of every document: as written, with other white space, and with other case and marks."""
+    t = table(spark, d, "documents")
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
-    batches = F.transform(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda k: k % 2 == 0), lambda k: F.slice(lines, k + 1, F.lit(2)))
-    return artifacts.review_spans(t.where(F.size(lines) > 0).select(F.col("doc_id").alias("chapter_idx"), "text", batches.alias("batches")))
-
+    changed = F.transform(lines, lambda x, k: F.when(k % 7 == 2, F.concat(F.translate(x, _LOW, _LOW.upper()), F.lit("!"))).when(k % 5 == 3, F.replace(x, F.lit(" "), F.lit("  "))).otherwise(x))
+    batches = F.transform(F.filter(F.sequence(F.lit(0), F.size(changed) - 1), lambda k: k % 3 == 0), lambda k: F.slice(changed, k + 1, F.lit(3)))
+    return locate.review_spans(t.where(F.size(lines) > 0).select(F.col("doc_id").alias("chapter_idx"), "text", batches.alias("batches")))
+
+
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
+_TAIL = "text[cur + 1:]"
+_LOOSE = r"regexp_replace({}, '[\s\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g')"
+
+# one text after the other as a recursion over a document's texts; the longest common run of words from all pairs of equal words
+_REVIEW = rf"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, text, list_transform(ls, lambda x, k: CASE WHEN (k - 1) % 7 = 2 THEN translate(x, '{_LOW}', '{_LOW.upper()}') || '!' WHEN (k - 1) % 5 = 3 THEN replace(x, ' ', '  ') ELSE x END) AS ls
+  FROM (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents) WHERE len(ls) > 0
+), own AS (
+  SELECT DISTINCT doc_id, needle, {_WORDS.format("needle")} AS w FROM (SELECT doc_id, trim(unnest(ls), E' \n\t\r') AS needle FROM t)
+), theirs AS (
+  SELECT doc_id, unnest({_WORDS.format("text")}) AS x, unnest(range(len({_WORDS.format("text")}))) AS j FROM t
+), placed AS (
+  SELECT *, sum(before + length(x)) OVER (PARTITION BY doc_id ORDER BY j) AS b FROM (SELECT theirs.*, length(seps[j + 1]) AS before FROM theirs JOIN (SELECT doc_id, regexp_split_to_array(text, '[\p{{L}}\p{{N}}_]+') AS seps FROM t) USING (doc_id))
+), ends AS (
+  SELECT doc_id, list(b - length(x) ORDER BY j) AS starts, list(b ORDER BY j) AS ends FROM placed GROUP BY doc_id
+), hits AS (
+  SELECT doc_id, needle, n, i, j, i - row_number() OVER (PARTITION BY doc_id, needle, i - j ORDER BY i) AS island
+  FROM (SELECT doc_id, needle, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM own) JOIN theirs USING (doc_id, x)
+), runs AS (
+  SELECT doc_id, needle, n, min(i) AS i, min(j) AS j, count(*) AS size FROM hits GROUP BY doc_id, needle, n, i - j, island HAVING count(*) >= 0.7 * n
+), listed AS (
+  SELECT doc_id, needle, list({{'i': i, 'j': j, 'size': size, 'n': n}}) AS runs FROM runs GROUP BY doc_id, needle
+), texts AS (
+  SELECT doc_id, list({{'needle': needle, 'runs': coalesce(runs, [])}} ORDER BY k) AS needles FROM (SELECT doc_id, trim(unnest(ls), E' \n\t\r') AS needle, generate_subscripts(ls, 1) AS k FROM t) LEFT JOIN listed USING (doc_id, needle) GROUP BY doc_id
+), s AS (
+  SELECT doc_id, text, needles, starts, ends, 0 AS k, 0::BIGINT AS begin_, 0::BIGINT AS cur, NULL::BIGINT AS a FROM t JOIN texts USING (doc_id) LEFT JOIN ends USING (doc_id)
+  UNION ALL
+  SELECT doc_id, text, needles, starts, ends, k + 1, begin_, coalesce(to_, cur), coalesce(a, CASE WHEN from_ IS NULL THEN begin_ WHEN from_ >= begin_ THEN from_ END)
+  FROM (
+    SELECT *, CASE WHEN exact > 0 THEN cur + exact - 1 WHEN loose > 0 THEN cur + loose - 1 ELSE starts[best.j + 1] END AS from_,
+      CASE WHEN exact > 0 THEN cur + exact - 1 + length(needle) WHEN loose > 0 THEN cur + loose - 1 + length(needle) ELSE ends[best.j + best.size] END AS to_
+    FROM (
+      SELECT *, strpos({_TAIL}, needle) AS exact, CASE WHEN strpos({_TAIL}, needle) = 0 THEN strpos({_LOOSE.format(_TAIL)}, {_LOOSE.format("needle")}) ELSE 0 END AS loose,
+        list_sort(list_filter(list_transform(runs, lambda r: {{'short': -(r.size - greatest(0, first - r.j)), 'i': r.i + greatest(0, first - r.j), 'j': greatest(r.j, first), 'size': r.size - greatest(0, first - r.j), 'n': r.n}}), lambda r: r.size >= 0.7 * r.n))[1] AS best
+      FROM (
+        SELECT doc_id, text, needles, starts, ends, k, needles[k + 1].needle AS needle, needles[k + 1].runs AS runs, len(list_filter(starts, lambda x: x < CASE WHEN k % 3 = 0 THEN b0 ELSE cur END)) AS first,
+          CASE WHEN k % 3 = 0 THEN b0 ELSE begin_ END AS begin_, CASE WHEN k % 3 = 0 THEN b0 ELSE cur END AS cur, CASE WHEN k % 3 = 0 THEN NULL ELSE a END AS a
+        FROM (SELECT *, coalesce(a, begin_) AS b0 FROM s) WHERE k < len(needles)
+      )
+    )
+  )
+)
+SELECT doc_id AS chapter_idx, (k - 1) // 3 AS batch, coalesce(a, begin_) AS start_char, CASE WHEN cur > coalesce(a, begin_) THEN cur ELSE length(text) END AS end_char
+FROM s WHERE k > 0 AND (k % 3 = 0 OR k = len(needles))"""
 
 _SRT = timing_queries.QUERIES["srt_files"][1]
 
@@ -62,11 +113,6 @@ QUERIES = {
     "subtitles_of_manifests": (subtitles_of_manifests, _SRT),
     "review_spans": (
         review_spans,
-        "WITH RECURSIVE t AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents WHERE doc_id % 4 = 0), "
-        # the first line of a batch, then the second behind it, both searched from the cursor
-        "s AS (SELECT doc_id, text, ls, 0 AS k, 0::BIGINT AS cursor_, NULL::BIGINT AS a, NULL::BIGINT AS b FROM t WHERE len(ls) > 0 UNION ALL "
-        "SELECT doc_id, text, ls, k + 1, a2, a2, b2 FROM (SELECT *, b1 + strpos(text[b1 + 1:], w2) - 1 + length(w2) AS b2 FROM (SELECT *, a2 + length(w1) AS b1 FROM "
-        "(SELECT *, cursor_ + strpos(text[cursor_ + 1:], trim(ls[2 * k + 1])) - 1 AS a2, trim(ls[2 * k + 1]) AS w1, coalesce(trim(ls[2 * k + 2]), '') AS w2 FROM s WHERE 2 * k < len(ls)))) ) "
-        "SELECT doc_id AS chapter_idx, k - 1 AS batch, a AS start_char, CASE WHEN b > a THEN b ELSE length(text) END AS end_char FROM s WHERE k > 0",
+        _REVIEW,
     ),
 }

@@ -25,11 +25,14 @@ def cast_problems(spark: SparkSession, d: str) -> DataFrame:
 
 
 def named_members(spark: SparkSession, d: str) -> DataFrame:
-    n = _members(spark, d)
-    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    asked = F.when(F.col("s_suppkey") % 3 == 0, F.lower("n_name")).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("SHARED "), (F.col("s_suppkey") % 2).cast("string"))).otherwise("nobody")
-    rows = s.select("s_suppkey", F.col("n_regionkey").alias("book_id"), asked.alias("speaker"))
-    return bookkeeping.named_members(rows, n).select("s_suppkey", "speaker", "member")
+    """Speakers by name, by aliases that several members have or that are another's name, in other letters, and unknown; some books have a narrator."""
+    k = F.col("n_nationkey")
+    n = table(spark, d, "nation")
+    members = n.select(F.col("n_regionkey").alias("book_id"), k.cast("long").alias("ordinal"), F.col("n_name").alias("name"), F.array(F.concat(F.lit("shared "), (k % 2).cast("string")), F.when(k % 3 == 0, "FRANCE").when(k % 7 == 1, "Narrator").otherwise("old one")).alias("aliases"))
+    s = table(spark, d, "supplier").join(n, F.col("s_nationkey") == k)
+    which = F.col("s_suppkey") % 6
+    asked = F.when(which == 0, F.col("n_name")).when(which == 1, F.concat(F.lit("shared "), (F.col("s_suppkey") % 2).cast("string"))).when(which == 2, F.lower("n_name")).when(which == 3, "FRANCE").when(which == 4, "old one")
+    return bookkeeping.named_members(s.select("s_suppkey", F.col("n_regionkey").alias("book_id"), asked.alias("speaker")), members).select("s_suppkey", "speaker", "member")
 
 
 def merge_outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -155,9 +158,11 @@ QUERIES = {
     ),
     "named_members": (
         named_members,
-        f"WITH {_MEMBERS_SQL}, f AS (SELECT book_id, k % 2 AS p, arg_min(name, ordinal) AS member FROM m GROUP BY ALL) "
-        "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN lower(n_name) WHEN 1 THEN 'SHARED ' || (s_suppkey % 2) ELSE 'nobody' END AS speaker, CASE s_suppkey % 3 WHEN 0 THEN n_name WHEN 1 THEN coalesce(member, 'Narrator') ELSE 'Narrator' END AS member "
-        "FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN f ON f.book_id = n_regionkey AND f.p = s_suppkey % 2",
+        "WITH m AS (SELECT n_regionkey AS book_id, n_nationkey AS k, n_name AS name, ['shared ' || (n_nationkey % 2), CASE WHEN n_nationkey % 3 = 0 THEN 'FRANCE' WHEN n_nationkey % 7 = 1 THEN 'Narrator' ELSE 'old one' END] AS aliases FROM nation), "
+        "e AS (SELECT book_id, k, 0 AS p, name AS form, name FROM m UNION ALL SELECT book_id, k, 1, aliases[1], name FROM m UNION ALL SELECT book_id, k, 2, aliases[2], name FROM m), "
+        "x AS (SELECT book_id, form, name AS member FROM e QUALIFY row_number() OVER (PARTITION BY book_id, form ORDER BY k DESC, p DESC) = 1), "
+        "s AS (SELECT s_suppkey, n_regionkey AS book_id, CASE s_suppkey % 6 WHEN 0 THEN n_name WHEN 1 THEN 'shared ' || (s_suppkey % 2) WHEN 2 THEN lower(n_name) WHEN 3 THEN 'FRANCE' WHEN 4 THEN 'old one' END AS speaker FROM supplier JOIN nation ON s_nationkey = n_nationkey) "
+        "SELECT s_suppkey, speaker, coalesce(x.member, f.member, '') AS member FROM s LEFT JOIN x ON x.book_id = s.book_id AND x.form = s.speaker LEFT JOIN x f ON f.book_id = s.book_id AND f.form = 'Narrator'",
     ),
     "merge_outcomes": (merge_outcomes, "SELECT CASE WHEN n_nationkey % 3 <> 0 THEN 'kept' ELSE 'updated' END AS outcome, count(*) AS n FROM nation GROUP BY 1"),
     "hash_index": (hash_index, "SELECT 'h' || l_partkey AS hash, arg_min(printf('%08d', l_orderkey), (l_orderkey, l_linenumber)) AS path, arg_min(l_suppkey, (l_orderkey, l_linenumber)) AS script_idx FROM (SELECT * FROM lineitem WHERE l_partkey % 9 <> 0 AND l_suppkey % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) = 1) GROUP BY 1"),

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import alignment, chunking, html, overlay
+from lectern.plans.alignment_sql import validation_sql
 from lectern.plans.common import SEGMENTS_SQL, segments, table
 
 _SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, E' \n\t\r')), lambda s: s <> '')"
 
 
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    found = chunking.split_rows(table(spark, d, "documents"), "doc_id", "text", chunking.sentences)
+    found = chunking.sentence_rows(table(spark, d, "documents"), "doc_id", "text")
     return found.select("doc_id", "chunk_idx", F.md5("chunk").alias("md5"))
 
 
@@ -105,6 +106,10 @@ _FULL_LINES = f"SELECT doc_id, ps, {_COUNTS} AS ns FROM (SELECT doc_id, list_fil
 _BATCHES = f"SELECT batch, ps, {_COUNTS} AS ns FROM (SELECT batch, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ps FROM (SELECT doc_id // 3 AS batch, string_agg(chr(10) || '--- Chapter ' || doc_id || ' ---' || chr(10) || text, '' ORDER BY doc_id) AS text FROM documents GROUP BY 1))"
 _TAG = lambda t: f"nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<{t}[^>]*>(.*?)</{t}>', 1), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')), '')"
 
+_SCRIPTS = f"""{SEGMENTS_SQL}, sources AS (SELECT chapter_idx, string_agg(text, chr(10) ORDER BY seg_idx) AS text FROM segments GROUP BY 1),
+script AS (SELECT chapter_idx, row_number() OVER (PARTITION BY chapter_idx ORDER BY seg_idx, text) - 1 AS seg, text FROM (
+  SELECT chapter_idx, seg_idx, text FROM segments WHERE seg_idx <> 1 UNION ALL SELECT chapter_idx - 1, 1000, 'unheard ' || text FROM segments WHERE seg_idx = 1))"""
+
 # words of needle and document that are equal, runs of them along a diagonal, the longest run of each pair
 _FIND = """
 WITH t AS (SELECT item_id * 10 + k AS item_id, CASE WHEN k = 0 THEN text ELSE array_to_string(string_split(text, ' ')[:k], ' ') END AS text FROM benchmark, range(6) r(k)),
@@ -137,7 +142,7 @@ QUERIES = {
     "page_texts": (page_texts, None),
     "page_titles": (page_titles, f"SELECT page_id, coalesce({_TAG('title')}, {_TAG('h1')}, {_TAG('h2')}, {_TAG('h3')}) AS title FROM pages"),
     "find_text_in_source": (find_text_in_source, _FIND),
-    "validate_script": (validate_script, None),
+    "validate_script": (validate_script, validation_sql(_SCRIPTS)),
     "read_along_placements": (read_along_placements, None),
     "strip_segments": (
         strip_segments,

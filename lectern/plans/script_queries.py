@@ -63,6 +63,30 @@ def cast_upsert(spark: SparkSession, d: str) -> DataFrame:
     return cast.upsert(c, new).select("name", "description", "voice", "audition_line", F.array_join("aliases", "|").alias("aliases"), "outcome")
 
 
+def _batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nations as casts of their regions, and three batches of suppliers that come to them: under their names, under titles that several claim, and as strangers."""
+    n = table(spark, d, "nation")
+    k = F.col("n_nationkey")
+    own = n.select(F.col("n_regionkey").alias("book_id"), k.cast("long").alias("ordinal"), F.col("n_name").alias("name"), F.concat(F.lit("from "), "n_name").alias("description"), F.when(k % 2 == 0, "low").otherwise("").alias("voice"), F.when(k % 3 == 0, "a line").otherwise("").alias("audition_line"), F.when(k % 4 != 3, F.array(F.lower("n_name"), F.lit("she"), F.concat(F.lit("title "), (k % 3).cast("string")))).alias("aliases"))
+    s = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").join(n, F.col("s_nationkey") == k)
+    title = lambda m: F.concat(F.lit("title "), (s % m).cast("string"))
+    name = F.when(s % 5 == 0, F.col("n_name")).when(s % 5 == 1, F.lower("n_name")).when(s % 5 == 2, title(9)).when(s % 5 == 3, F.col("s_name")).otherwise(F.concat(F.lit("Old "), "n_name"))
+    aliases = F.when(s % 4 != 1, F.array(title(11), F.concat(F.lit("Old "), "n_name"), F.lit("They"), F.concat(F.lit("guest "), (s % 13).cast("string"))))
+    asked = rows.select(F.col("n_regionkey").alias("book_id"), (s % 3).cast("long").alias("batch"), s.cast("long").alias("ordinal"), name.alias("name"), F.when(s % 2 == 0, F.concat(F.lit("d"), (s % 4).cast("string"))).otherwise("").alias("description"), F.when(s % 7 == 0, F.concat(F.lit("v"), (s % 2).cast("string"))).alias("voice"), F.when(s % 6 == 0, F.concat(F.lit("said "), s.cast("string"))).alias("audition_line"), aliases.alias("aliases"))
+    return own, asked
+
+
+def cast_batches(spark: SparkSession, d: str) -> DataFrame:
+    found = cast.upsert_batches(*_batches(spark, d))
+    return found.withColumn("aliases", F.array_join("aliases", "|"))
+
+
+def batch_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    found = cast.batch_outcomes(*_batches(spark, d))
+    return found.withColumn("rejected", F.array_join("rejected", "|"))
+
+
 def cast_merge(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation")
     nxt = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("into"))
@@ -204,6 +228,44 @@ _EMO = "[" + ", ".join(f"'{e}'" for e in EMOTIONS) + "]"
 _STOP = "(" + ", ".join(f"'{w}'" for w in ALIAS_STOPWORDS) + ")"
 _CLEAN = lambda x: f"lower(regexp_replace(trim({x}), '[.,;:]+$', ''))"
 
+def _usable(aliases: str, name: str) -> str:
+    norm = "lower(regexp_replace(trim({}), '[.,;:]+$', ''))".format("z")
+    return f"list_filter({aliases}, lambda z: {norm} <> '' AND {norm} <> lower({name}) AND {norm} NOT IN {_STOP})"
+
+
+def _holder(form: str, v: str) -> str:
+    return f"coalesce(list_filter(members, lambda {v}: lower({v}.name) = lower({form}))[1].name, list_filter(members, lambda {v}: len(list_filter({v}.aliases, lambda {v}{v}: lower({v}{v}) = lower({form}))) > 0)[1].name)"
+
+
+# the same fold as a recursion over the rows of each book
+_FOLDED = f"""
+WITH RECURSIVE own AS (
+  SELECT n_regionkey AS book_id, list({{'name': n_name, 'description': 'from ' || n_name, 'voice': CASE WHEN n_nationkey % 2 = 0 THEN 'low' ELSE '' END, 'audition_line': CASE WHEN n_nationkey % 3 = 0 THEN 'a line' ELSE '' END,
+    'aliases': CASE WHEN n_nationkey % 4 <> 3 THEN [lower(n_name), 'she', 'title ' || (n_nationkey % 3)] ELSE [] END}} ORDER BY n_nationkey) AS members FROM nation GROUP BY 1
+), asked AS (
+  SELECT n_regionkey AS book_id, list({{'batch': s_suppkey % 3, 'ordinal': s_suppkey, 'name': CASE s_suppkey % 5 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) WHEN 2 THEN 'title ' || (s_suppkey % 9) WHEN 3 THEN s_name ELSE 'Old ' || n_name END,
+    'description': CASE WHEN s_suppkey % 2 = 0 THEN 'd' || (s_suppkey % 4) ELSE '' END, 'voice': CASE WHEN s_suppkey % 7 = 0 THEN 'v' || (s_suppkey % 2) END, 'audition_line': CASE WHEN s_suppkey % 6 = 0 THEN 'said ' || s_suppkey END,
+    'aliases': CASE WHEN s_suppkey % 4 <> 1 THEN ['title ' || (s_suppkey % 11), 'Old ' || n_name, 'They', 'guest ' || (s_suppkey % 13)] ELSE [] END}} ORDER BY s_suppkey % 3, s_suppkey) AS events
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1
+), s AS (
+  SELECT book_id, events, 0 AS k, members, NULL::STRUCT(batch BIGINT, ordinal BIGINT, name VARCHAR, description VARCHAR, voice VARCHAR, audition_line VARCHAR, aliases VARCHAR[]) AS e, NULL::VARCHAR AS who, NULL::VARCHAR AS outcome, NULL::VARCHAR[] AS rejected FROM own LEFT JOIN asked USING (book_id)
+  UNION ALL
+  SELECT book_id, events, k + 1,
+    CASE WHEN who IS NULL THEN list_append(members, {{'name': e.name, 'description': e.description, 'voice': e.voice, 'audition_line': e.audition_line, 'aliases': {_usable("e.aliases", "e.name")}}})
+    ELSE list_transform(members, lambda m: CASE WHEN m.name = who THEN {{'name': who, 'description': CASE WHEN described THEN e.description ELSE m.description END, 'voice': CASE WHEN voiced THEN e.voice ELSE m.voice END, 'audition_line': CASE WHEN said THEN e.audition_line ELSE m.audition_line END, 'aliases': list_sort(kept)}} ELSE m END) END,
+    e, who, CASE WHEN who IS NULL THEN 'added' WHEN lower(who) <> lower(e.name) THEN 'merged' WHEN described OR voiced OR said OR len(list_filter(kept, lambda z: NOT list_contains(old, z))) > 0 THEN 'updated' ELSE 'unchanged' END,
+    CASE WHEN who IS NULL THEN [] ELSE list_sort(list_filter(wanted, lambda z: NOT list_contains(kept, z))) END
+  FROM (
+    SELECT *, list_filter(wanted, lambda z: coalesce({_holder("z", "y")}, who) = who) AS kept, coalesce(e.description, '') <> '' AND e.description IS DISTINCT FROM t.description AS described,
+      coalesce(e.voice, '') <> '' AND e.voice IS DISTINCT FROM CASE WHEN coalesce(t.voice, '') = '' THEN t.description ELSE t.voice END AS voiced, coalesce(e.audition_line, '') <> '' AND coalesce(t.audition_line, '') = '' AS said
+    FROM (
+      SELECT *, {_usable("t.aliases", "who")} AS old, list_distinct(list_concat({_usable("t.aliases", "who")}, {_usable("list_concat(e.aliases, CASE WHEN lower(who) <> lower(e.name) THEN [e.name] ELSE [] END)", "who")})) AS wanted
+      FROM (SELECT *, list_filter(members, lambda m: m.name = who)[1] AS t FROM (
+        SELECT book_id, events, k, members, events[k + 1] AS e, list_filter(list_transform(list_concat([events[k + 1].name], events[k + 1].aliases), lambda f: {_holder("f", "y")}), lambda x: x IS NOT NULL)[1] AS who FROM s WHERE k < len(events)))
+    )
+  )
+)"""
+
 QUERIES = {
     "resolve_speakers": (resolve_speakers, f"WITH {RESOLVED_SQL} SELECT seg_id, speaker, resolved, problem FROM spoken JOIN resolved USING (speaker)"),
     "group_errors": (
@@ -231,6 +293,8 @@ QUERIES = {
         f"array_to_string(list_sort(list_distinct(list_concat(list_filter(aliases, lambda a: {_CLEAN('a')} <> '' AND {_CLEAN('a')} <> key AND {_CLEAN('a')} NOT IN {_STOP}), coalesce(fresh, [])))), '|') AS aliases, "
         "CASE WHEN ordinal % 3 <> 0 THEN 'kept' ELSE 'updated' END AS outcome FROM c LEFT JOIN k USING (key)",
     ),
+    "cast_batches": (cast_batches, f"{_FOLDED} SELECT book_id, i - 1 AS ordinal, m.name, m.description, m.voice, m.audition_line, array_to_string(m.aliases, '|') AS aliases FROM (SELECT book_id, unnest(members) AS m, generate_subscripts(members, 1) AS i FROM s WHERE k = coalesce(len(events), 0))"),
+    "batch_outcomes": (batch_outcomes, f"{_FOLDED} SELECT book_id, e.batch, e.ordinal, e.name, coalesce(who, e.name) AS member, outcome, array_to_string(rejected, '|') AS rejected FROM s WHERE k > 0"),
     "cast_merge": (
         cast_merge,
         f"WITH {CAST_SQL}, t AS (SELECT m.name, m.aliases, s.name AS survivor FROM members m JOIN members s ON s.ordinal = least(m.ordinal - m.ordinal % 5 + 4, 24)), "

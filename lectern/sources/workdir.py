@@ -162,6 +162,11 @@ def extracted_files(chapters: DataFrame) -> DataFrame:
     return texts.unionByName(books.select("book_id", F.lit("metadata.json").alias("name"), F.to_json(F.struct("title", "author", "language", "chapters")).alias("content")))
 
 
+def cover_files(covers: DataFrame) -> DataFrame:
+    """(name, data) of covers (book_id, data) as files of their books' folders, as the media source writes them; a book without a cover has none."""
+    return covers.where(F.length("data") > 0).select(F.concat(F.lit("book_id="), F.col("book_id").cast("string"), F.lit("/cover.jpg")).alias("name"), F.col("data").cast("binary").alias("data"))
+
+
 def changed_files(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """Rows (key, content) that differ from what is saved: files that would be written as they are stay untouched."""
     there = old.select(key, F.col("content").alias("saved"))
