@@ -85,7 +85,7 @@ def validation_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assembled_chapters(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "lineitem").where("l_orderkey <= 2000")
+    l = table(spark, d, "lineitem")
     sound = l.select((F.col("l_orderkey") % 40).alias("book_id"), F.col("l_orderkey").alias("chapter_idx"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_quantity").alias("pos"), F.array_repeat(F.col("l_quantity"), 3).alias("samples"))
     chapters = l.groupBy((F.col("l_orderkey") % 40).alias("book_id"), F.col("l_orderkey").alias("chapter_idx")).agg(F.count_if(F.col("l_returnflag") == "R").alias("n_pending"))
     found = bookkeeping.assembled(chapters, sound, 2)
@@ -132,7 +132,7 @@ def reference_clips(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit_contexts(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("chapter_idx"), "text")
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("chapter_idx"), "text")
     lines = F.split("text", "\n", -1)
     entries = t.select("chapter_idx", F.when(F.col("chapter_idx") % 10 == 0, F.element_at(lines, -1)).otherwise("not there").alias("text"), F.when(F.col("chapter_idx") % 3 == 0, "saved").alias("source_span"))
     return bookkeeping.audit_contexts(entries, t, 0, 1).select("chapter_idx", F.md5("context").alias("md5"))
@@ -178,7 +178,7 @@ QUERIES = {
     "validation_gate": (validation_gate, f"WITH {SEGMENTS_SQL}, n AS (SELECT chapter_idx, count(*) FILTER (chapter_idx % 2 = 0 AND seg_idx % 2 = 0) AS n_missing, count(*) FILTER (chapter_idx % 2 = 0 AND seg_idx % 2 <> 0) AS n_hallucinated FROM segments GROUP BY 1) SELECT *, n_missing + n_hallucinated = 0 AS passed FROM n"),
     "assembled_chapters": (
         assembled_chapters,
-        "WITH c AS (SELECT l_orderkey % 40 AS book_id, l_orderkey AS chapter_idx, count(*) FILTER (l_returnflag = 'R') AS n_pending, count(*) AS parts, sum(l_quantity) * 3 AS total FROM lineitem WHERE l_orderkey <= 2000 GROUP BY ALL), "
+        "WITH c AS (SELECT l_orderkey % 40 AS book_id, l_orderkey AS chapter_idx, count(*) FILTER (l_returnflag = 'R') AS n_pending, count(*) AS parts, sum(l_quantity) * 3 AS total FROM lineitem GROUP BY ALL), "
         "f AS (SELECT book_id, min(chapter_idx) AS first_open FROM c WHERE n_pending > 0 GROUP BY 1) SELECT book_id, chapter_idx, 3 * parts + 2 * (parts - 1) AS n, total FROM c LEFT JOIN f USING (book_id) WHERE first_open IS NULL OR chapter_idx < first_open",
     ),
     "response_formats": (response_formats, "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'mp3' WHEN s_suppkey % 2 = 0 THEN 'pcm' ELSE 'wav' END AS format FROM supplier"),
@@ -197,7 +197,7 @@ QUERIES = {
     ),
     "audit_contexts": (
         audit_contexts,
-        f"WITH t AS (SELECT doc_id AS chapter_idx, text, regexp_replace(string_split(text, chr(10))[-1], '^\\s+|\\s+$', '', 'g') AS w FROM documents WHERE doc_id % 5 = 0), p AS (SELECT *, CASE WHEN chapter_idx % 10 = 0 AND w <> '' THEN strpos(text, w) ELSE 0 END AS k FROM t), "
+        f"WITH t AS (SELECT doc_id AS chapter_idx, text, regexp_replace(string_split(text, chr(10))[-1], '^\\s+|\\s+$', '', 'g') AS w FROM documents), p AS (SELECT *, CASE WHEN chapter_idx % 10 = 0 AND w <> '' THEN strpos(text, w) ELSE 0 END AS k FROM t), "
         "c AS (SELECT chapter_idx, CASE WHEN k > 0 THEN string_split(text[1:k - 1], chr(10))[-1] || w || CASE WHEN contains(text[k + length(w):], chr(10)) THEN string_split(text[k + length(w):], chr(10))[1] || chr(10) ELSE text[k + length(w):] END END AS c, chapter_idx % 3 = 0 AS saved, k, length(string_split(text[1:k - 1], chr(10))[1]) AS h, len(string_split(text[1:k - 1], chr(10))) AS n FROM p) "
         "SELECT chapter_idx, md5(coalesce(CASE WHEN n = 2 AND h = 0 THEN chr(10) || c ELSE c END, CASE WHEN saved THEN 'saved' ELSE '' END)) AS md5 FROM c",
     ),

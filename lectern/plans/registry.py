@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: tuple[str, ...] = ("text_queries", "timing_queries", "document_queries", "script_queries", "reply_queries", "catalog_queries", "workdir_queries", "bookkeeping_queries", "artifact_queries")
+_MODULES: tuple[str, ...] = ("text_queries", "timing_queries", "document_queries", "script_queries", "reply_queries", "catalog_queries", "workdir_queries", "bookkeeping_queries", "artifact_queries", "delivery_queries", "report_queries")
 
 
 def _entries() -> dict[str, tuple[Query, str | None]]:

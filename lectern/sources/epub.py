@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import wave
 import zipfile
 import zlib
@@ -12,6 +13,7 @@ from collections.abc import Iterable, Iterator
 from posixpath import dirname, join, normpath
 from urllib.parse import quote, unquote
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from lectern.functions.constants import MIN_CHAPTER_WORDS
 from lectern.operators.html import paragraphs_of, title_of
 
+#: Marks that no XML document may hold.
+_NO_XML = re.compile("[^\\t\\n\\r\\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 _DC = "{http://purl.org/dc/elements/1.1/}"
 
 
@@ -104,6 +108,40 @@ def with_parts(book: bytes, replacements: dict[str, bytes], additions: dict[str,
     return out.getvalue()
 
 
+def _page(title: str, text: str) -> str:
+    lines = "".join(f"<p>{escape(line)}</p>" for line in text.split("\n") if line.strip())
+    return f"<html xmlns='http://www.w3.org/1999/xhtml'><head><title>{escape(title)}</title></head><body>{lines}</body></html>"
+
+
+def book_bytes(title: str, author: str, language: str, chapters: list[tuple[str, str]]) -> bytes:
+    """A package of chapters (title, text), a paragraph per line; marks that XML does not know are left out."""
+    known = lambda text: _NO_XML.sub(" ", text or "")
+    parts = [(f"c{k}.xhtml", known(_page(name or "", text or ""))) for k, (name, text) in enumerate(chapters)]
+    items = "".join(f"<item id='c{k}' href='{name}' media-type='application/xhtml+xml'/>" for k, (name, _) in enumerate(parts))
+    spine = "".join(f"<itemref idref='c{k}'/>" for k in range(len(parts)))
+    said = "".join(f"<dc:{tag}>{escape(known(value))}</dc:{tag}>" for tag, value in (("title", title), ("creator", author), ("language", language)) if value)
+    package = f"<package xmlns='http://www.idpf.org/2007/opf' version='3.0'><metadata xmlns:dc='{_DC[1:-1]}'>{said}</metadata><manifest>{items}</manifest><spine>{spine}</spine></package>"
+    container = "<container xmlns='urn:oasis:names:tc:opendocument:xmlns:container' version='1.0'><rootfiles><rootfile full-path='OPS/package.opf' media-type='application/oebps-package+xml'/></rootfiles></container>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("mimetype", "application/epub+zip", zipfile.ZIP_STORED)
+        for name, content in (("META-INF/container.xml", container), ("OPS/package.opf", package), *((f"OPS/{name}", content) for name, content in parts)):
+            book.writestr(name, content)
+    return out.getvalue()
+
+
+def packaged(books: DataFrame) -> DataFrame:
+    """(name, data) of books (name, title, author, language, chapters array<struct<title, text>>), as the media source writes them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("title", "author", "language", "chapters"))
+            data = [book_bytes(t, a, n, [(c["title"], c["text"]) for c in chapters or []]) for t, a, n, chapters in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(data, pa.binary())], names=["name", "data"])
+
+    return books.select("name", "title", "author", "language", "chapters").mapInArrow(run, "name string, data binary")
+
+
 def wav_bytes(samples: list[float], rate: int) -> bytes:
     out = io.BytesIO()
     with wave.open(out, "wb") as w:

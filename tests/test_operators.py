@@ -230,10 +230,6 @@ def test_overlay_placement():
     assert spans["lv1"] == "It was late" and spans[placed[3][0][0]] == "Nobody went"
     assert "".join("".join(root.itertext()).split()) == "Itwaslate.Theroadlayempty.LooseNobodycame.Nobodywent."
     assert overlay.with_highlight(root) and not overlay.with_highlight(ET.fromstring("<body/>"))
-    package = ET.fromstring('<package><metadata/><manifest><item id="a" href="a.xhtml"/></manifest></package>')
-    overlay.wire_package(package, [{"doc_href": "a.xhtml", "smil_href": "a.smil", "audio_href": "a.mp3", "duration": "0:00:01.000"}], "0:00:01.000")
-    assert package.find("manifest/item").get("media-overlay") == "smil0" and len(package.find("metadata")) == 3
-    assert "&lt;b&gt;" in overlay.navigation([("a.xhtml", "<b>")])
 
 
 def test_overlay_of_broken_documents(spark):
