@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import buckets, materialise, slices
+from lectern.llm.common import materialise, slices
 
 #: Documents of a language that a term must occur in; terms listed per source; scale and smoothing of shares.
 MIN_DOCS, TOP, SCALE, SMOOTH = 30, 50, 1_000_000_000, 5
@@ -43,8 +43,8 @@ MIN_DOCS, TOP, SCALE, SMOOTH = 30, 50, 1_000_000_000, 5
 _ROW_BYTES = 160
 #: Pairs of sources that a worker reports at once.
 _PAIRS = 1_000_000
-#: Bytes of text that are looked at together.
-_PIECE = 1_000_000
+#: Bytes of text that are looked at together, and of a bucket's rows.
+_PIECE, _BUCKET = 3_000_000, 8_000_000
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _IN_TERM = np.array([0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
@@ -159,7 +159,6 @@ def pair_sums(row: np.ndarray, col: np.ndarray, shares: np.ndarray, bases: np.nd
 
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank: the other sources of a source's language by distance, and the terms that set it apart."""
-    spark = docs.sparkSession
     empty = F.lit("")
     rows = docs.select(*(F.coalesce(docs[c].cast("string"), empty).alias(c) for c in ("text", "lang", "source")))
     counts = materialise(term_counts(rows))
@@ -178,7 +177,8 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
     terms = apart.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
 
     # distances of all pairs of sources: a bucket of a language's terms at a time, and where there are many sources a share of them
-    n = buckets(spark, _ROW_BYTES * entries.count())
+    # every bucket reports each pair once, so their number follows the entries and not the cluster
+    n = max(1, -(-_ROW_BYTES * entries.count() // _BUCKET))
     dealt = entries.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(n)).cast("int")).drop("whole")
     crowd = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) * F.count(F.lit(1)) / _PAIRS).cast("int").alias("blocks"))
     block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
