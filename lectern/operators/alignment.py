@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.folds import let, rows_of
+from lectern.store import kept
 
 #: Share of a needle's words that a match needs; words of an anchor run.
 ACCEPT, RUN = 0.7, 3
@@ -180,9 +181,9 @@ def _gapped(words: DataFrame, pairs: DataFrame, at: str) -> DataFrame:
 def align_words(source: DataFrame, script: DataFrame) -> DataFrame:
     """(chapter_idx, i, j): matched words of source (chapter_idx, i, w) and script (chapter_idx, j, w), places counted from zero without holes."""
     anchors = _once(source, "i").join(_once(script, "j"), ["chapter_idx", "run"])
-    first = _pairs(_chained(_blocks(anchors)))
+    first = kept(_pairs(_chained(_blocks(anchors))))
     rest = [_gapped(words.select("chapter_idx", at, "w"), first, at).where(F.col(other).isNull()).select("chapter_idx", "gap", F.lit(side).alias("side"), F.col(at).alias("at"), "w") for side, (words, at, other) in enumerate(((source, "i", "j"), (script, "j", "i")))]
-    return first.unionByName(_pairs(_gap_blocks(rest[0].unionByName(rest[1]))))
+    return kept(first.unionByName(_pairs(_gap_blocks(rest[0].unionByName(rest[1])))))
 
 
 def source_words(sources: DataFrame) -> DataFrame:

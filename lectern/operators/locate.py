@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.functions.folds import fold_list, let, rows_of
 from lectern.operators.alignment import ACCEPT, _anchored, source_words
+from lectern.store import kept
 
 #: Words of the longest anchor.
 ANCHOR = 4
@@ -123,9 +124,9 @@ def review_spans(chapters: DataFrame) -> DataFrame:
     """
     clean = _cleaned(chapters)
     spoken = F.transform("batches", lambda b: F.filter(b, lambda t: t != ""))
-    plain = rows_of(clean, ["chapter_idx"], _spans(F.col("text"), spoken, lambda t, c: _literally(F.col("text"), t, c)), "batch", "s")
+    plain = kept(rows_of(clean, ["chapter_idx"], _spans(F.col("text"), spoken, lambda t, c: _literally(F.col("text"), t, c)), "batch", "s"))
     open_ = plain.where("s.lost").select("chapter_idx").distinct()
-    lost = clean.join(open_, "chapter_idx", "left_semi")
+    lost = kept(clean.join(open_, "chapter_idx", "left_semi"))
     asked = F.transform("asked", lambda b: F.filter(b, lambda t: t["id"].isNotNull()))
     by_words = lambda x, c: F.coalesce(_literally(F.col("text"), x["text"], c), _in_words(F.get("runs", x["id"]), F.col("starts"), F.col("ends"), c))
     full = rows_of(_prepared(lost), ["chapter_idx"], _spans(F.col("text"), asked, by_words), "batch", "s")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.constants import CONTENT_TAGS, SKIP_TAGS
 from lectern.operators.locate import locate_chunks
+from lectern.store import kept
 
 #: The class that readers give to the active fragment, and its style.
 ACTIVE_CLASS = "-epub-media-overlay-active"
@@ -217,6 +218,7 @@ def placements(chapters: DataFrame) -> DataFrame:
     and chunks that are not found have no rows. Chapters have different indexes.
     """
     walked = chapters.select(F.col("chapter_idx").cast("long").alias("chapter_idx"), "xhtml", "chunks").mapInArrow(_sources, "chapter_idx long, xhtml string, chunks array<string>, text string, problem string")
+    walked = kept(walked)
     found = locate_chunks(walked.where("problem is null"))
     spans = found.groupBy("chapter_idx").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", F.col("start_char").alias("a"), F.col("end_char").alias("b")))).alias("spans"))
     ready = walked.join(spans, "chapter_idx", "left").select("chapter_idx", "xhtml", "problem", "spans")

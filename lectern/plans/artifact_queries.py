@@ -60,7 +60,7 @@ _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 _TAIL = "text[cur + 1:]"
 _LOOSE = r"regexp_replace({}, '[\s\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g')"
 
-# one text after the other as a recursion over a document's texts; the longest common run of words from all pairs of equal words
+# one text after the other as a recursion over a document's texts; common runs of words from runs of up to four equal ones
 _REVIEW = rf"""
 WITH RECURSIVE t AS (
   SELECT doc_id, text, list_transform(ls, lambda x, k: CASE WHEN (k - 1) % 7 = 2 THEN translate(x, '{_LOW}', '{_LOW.upper()}') || '!' WHEN (k - 1) % 5 = 3 THEN replace(x, ' ', '  ') ELSE x END) AS ls
@@ -68,40 +68,52 @@ WITH RECURSIVE t AS (
 ), own AS (
   SELECT DISTINCT doc_id, needle, {_WORDS.format("needle")} AS w FROM (SELECT doc_id, trim(unnest(ls), E' \n\t\r') AS needle FROM t)
 ), theirs AS (
-  SELECT doc_id, unnest({_WORDS.format("text")}) AS x, unnest(range(len({_WORDS.format("text")}))) AS j FROM t
+  SELECT doc_id, unnest(w) AS x, unnest(list_transform(seps[:len(w)], lambda y: length(y))) AS before, generate_subscripts(w, 1) - 1 AS j
+  FROM (SELECT doc_id, {_WORDS.format("text")} AS w, regexp_split_to_array(text, '[\p{{L}}\p{{N}}_]+') AS seps FROM t)
 ), placed AS (
-  SELECT *, sum(before + length(x)) OVER (PARTITION BY doc_id ORDER BY j) AS b FROM (SELECT theirs.*, length(seps[j + 1]) AS before FROM theirs JOIN (SELECT doc_id, regexp_split_to_array(text, '[\p{{L}}\p{{N}}_]+') AS seps FROM t) USING (doc_id))
+  SELECT doc_id, x, j, sum(before + length(x)) OVER (PARTITION BY doc_id ORDER BY j) AS b FROM theirs
 ), ends AS (
   SELECT doc_id, list(b - length(x) ORDER BY j) AS starts, list(b ORDER BY j) AS ends FROM placed GROUP BY doc_id
+), sized AS MATERIALIZED (
+  SELECT doc_id, needle, w, row_number() OVER () AS id, len(w) AS n, least(4, ceil(0.7 * len(w) - 1e-9))::BIGINT AS size FROM own WHERE len(w) > 0
+), mine AS (
+  SELECT doc_id, id, n, size, i, hash(array_to_string(w[i + 1:i + size], ' ')) AS gram FROM (SELECT *, unnest(range(n - size + 1)) AS i FROM sized)
+), grams AS (
+  SELECT doc_id, j, unnest([1, 2, 3, 4]) AS size, hash(unnest([x, x || ' ' || lead(x) OVER o, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o])) AS gram
+  FROM theirs WINDOW o AS (PARTITION BY doc_id ORDER BY j)
 ), hits AS (
-  SELECT doc_id, needle, n, i, j, i - row_number() OVER (PARTITION BY doc_id, needle, i - j ORDER BY i) AS island
-  FROM (SELECT doc_id, needle, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM own) JOIN theirs USING (doc_id, x)
+  SELECT id, n, size, i, j, i - row_number() OVER (PARTITION BY id, i - j ORDER BY i) AS island FROM mine JOIN grams USING (doc_id, size, gram)
 ), runs AS (
-  SELECT doc_id, needle, n, min(i) AS i, min(j) AS j, count(*) AS size FROM hits GROUP BY doc_id, needle, n, i - j, island HAVING count(*) >= 0.7 * n
+  SELECT id, n, min(i) AS i, min(j) AS j, count(*) + any_value(size) - 1 AS size FROM hits GROUP BY id, n, i - j, island HAVING count(*) + any_value(size) - 1 >= 0.7 * n
 ), listed AS (
-  SELECT doc_id, needle, list({{'i': i, 'j': j, 'size': size, 'n': n}}) AS runs FROM runs GROUP BY doc_id, needle
+  SELECT doc_id, needle, list({{'i': i, 'j': j, 'size': runs.size, 'n': runs.n}}) AS runs FROM runs JOIN sized USING (id) GROUP BY doc_id, needle
 ), texts AS (
   SELECT doc_id, list({{'needle': needle, 'runs': coalesce(runs, [])}} ORDER BY k) AS needles FROM (SELECT doc_id, trim(unnest(ls), E' \n\t\r') AS needle, generate_subscripts(ls, 1) AS k FROM t) LEFT JOIN listed USING (doc_id, needle) GROUP BY doc_id
+), base AS MATERIALIZED (
+  SELECT doc_id, text, needles, starts, ends FROM t JOIN texts USING (doc_id) LEFT JOIN ends USING (doc_id)
 ), s AS (
-  SELECT doc_id, text, needles, starts, ends, 0 AS k, 0::BIGINT AS begin_, 0::BIGINT AS cur, NULL::BIGINT AS a FROM t JOIN texts USING (doc_id) LEFT JOIN ends USING (doc_id)
+  SELECT doc_id, len(needles) AS most, length(text) AS size, 0 AS k, 0::BIGINT AS begin_, 0::BIGINT AS cur, NULL::BIGINT AS a FROM base
   UNION ALL
-  SELECT doc_id, text, needles, starts, ends, k + 1, begin_, coalesce(to_, cur), coalesce(a, CASE WHEN from_ IS NULL THEN begin_ WHEN from_ >= begin_ THEN from_ END)
+  SELECT doc_id, most, size, k + 1, begin_, coalesce(to_, cur), coalesce(a, CASE WHEN from_ IS NULL THEN begin_ WHEN from_ >= begin_ THEN from_ END)
   FROM (
     SELECT *, CASE WHEN exact > 0 THEN cur + exact - 1 WHEN loose > 0 THEN cur + loose - 1 ELSE starts[best.j + 1] END AS from_,
       CASE WHEN exact > 0 THEN cur + exact - 1 + length(needle) WHEN loose > 0 THEN cur + loose - 1 + length(needle) ELSE ends[best.j + best.size] END AS to_
     FROM (
-      SELECT *, strpos({_TAIL}, needle) AS exact, CASE WHEN strpos({_TAIL}, needle) = 0 THEN strpos({_LOOSE.format(_TAIL)}, {_LOOSE.format("needle")}) ELSE 0 END AS loose,
-        list_sort(list_filter(list_transform(runs, lambda r: {{'short': -(r.size - greatest(0, first - r.j)), 'i': r.i + greatest(0, first - r.j), 'j': greatest(r.j, first), 'size': r.size - greatest(0, first - r.j), 'n': r.n}}), lambda r: r.size >= 0.7 * r.n))[1] AS best
+      SELECT *, CASE WHEN exact = 0 THEN strpos({_LOOSE.format(_TAIL)}, {_LOOSE.format("needle")}) ELSE 0 END AS loose,
+        CASE WHEN exact = 0 THEN list_sort(list_filter(list_transform(runs, lambda r: {{'short': -(r.size - greatest(0, first - r.j)), 'i': r.i + greatest(0, first - r.j), 'j': greatest(r.j, first), 'size': r.size - greatest(0, first - r.j), 'n': r.n}}), lambda r: r.size >= 0.7 * r.n))[1] END AS best
       FROM (
-        SELECT doc_id, text, needles, starts, ends, k, needles[k + 1].needle AS needle, needles[k + 1].runs AS runs, len(list_filter(starts, lambda x: x < CASE WHEN k % 3 = 0 THEN b0 ELSE cur END)) AS first,
-          CASE WHEN k % 3 = 0 THEN b0 ELSE begin_ END AS begin_, CASE WHEN k % 3 = 0 THEN b0 ELSE cur END AS cur, CASE WHEN k % 3 = 0 THEN NULL ELSE a END AS a
-        FROM (SELECT *, coalesce(a, begin_) AS b0 FROM s) WHERE k < len(needles)
+        SELECT *, strpos({_TAIL}, needle) AS exact, CASE WHEN strpos({_TAIL}, needle) = 0 THEN len(list_filter(starts, lambda x: x < cur)) END AS first
+        FROM (
+          SELECT doc_id, most, x.size, text, starts, ends, k, needles[k + 1].needle AS needle, needles[k + 1].runs AS runs,
+            CASE WHEN k % 3 = 0 THEN b0 ELSE begin_ END AS begin_, CASE WHEN k % 3 = 0 THEN b0 ELSE cur END AS cur, CASE WHEN k % 3 = 0 THEN NULL ELSE a END AS a
+          FROM (SELECT *, coalesce(a, begin_) AS b0 FROM s WHERE k < most) x JOIN base USING (doc_id)
+        )
       )
     )
   )
 )
-SELECT doc_id AS chapter_idx, (k - 1) // 3 AS batch, coalesce(a, begin_) AS start_char, CASE WHEN cur > coalesce(a, begin_) THEN cur ELSE length(text) END AS end_char
-FROM s WHERE k > 0 AND (k % 3 = 0 OR k = len(needles))"""
+SELECT doc_id AS chapter_idx, (k - 1) // 3 AS batch, coalesce(a, begin_) AS start_char, CASE WHEN cur > coalesce(a, begin_) THEN cur ELSE size END AS end_char
+FROM s WHERE k > 0 AND (k % 3 = 0 OR k = most)"""
 
 _SRT = timing_queries.QUERIES["srt_files"][1]
 

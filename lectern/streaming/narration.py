@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,17 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder that the cluster names; one of its own only where it is unset and all runs on this machine."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        master = spark.conf.get("spark.master", "")
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(path)
-    return f"{path.rstrip('/')}/lectern-stream-{uuid.uuid4().hex}"
+from lectern.store import shared_folder
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from lectern.streaming.narration import shared_folder
+from lectern.store import shared_folder
 
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -93,25 +93,27 @@ class _Events(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.waiting = handle.getMapState("waiting", "line_no long", "line string")
-        self.place = handle.getValueState("place", "line_no long, event_no long, name string, ended boolean")
+        self.place = handle.getValueState("place", "line_no long, event_no long, name string, ended boolean, held long, parts long")
         self.data = handle.getListState("data", "payload string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        at, event, name, ended = self.place.get() if self.place.exists() else (0, 0, None, False)
+        # how many lines wait and how many fields are open: nothing is looked up that is not there
+        at, event, name, ended, held, parts = self.place.get() if self.place.exists() else (0, 0, None, False, 0, 0)
         if ended:
             return
         fresh: dict[int, str | None] = {}
         for batch in rows:
             fresh |= {int(n): x for n, x in zip(batch["line_no"], batch["line"]) if n >= at}
-        data = [r[0] for r in self.data.get()] if self.data.exists() else []
+        data = [r[0] for r in self.data.get()] if parts else []
         kept, out = len(data), []
-        while at in fresh or self.waiting.containsKey((at,)):
-            if at in fresh:
-                line = fresh.pop(at)
-            else:
+        while at in fresh or (held and self.waiting.containsKey((at,))):
+            if held and self.waiting.containsKey((at,)):
                 line = self.waiting.getValue((at,))[0]
-            if self.waiting.containsKey((at,)):
                 self.waiting.removeKey((at,))
+                fresh.pop(at, None)
+                held -= 1
+            else:
+                line = fresh.pop(at)
             at += 1
             ended = line is None
             text = "" if ended else line.rstrip("\r\n").rstrip(" ")
@@ -127,15 +129,17 @@ class _Events(StatefulProcessor):
                 data.append(text[5:].lstrip(" "))
         for n, line in fresh.items():
             if not ended:
+                held += not self.waiting.containsKey((n,))
                 self.waiting.updateValue((n,), (line,))
-        self.place.update((at, event, name, ended))
-        if kept == -1 or ended:
+        if (kept == -1 or ended) and parts:
             self.data.clear()
-            kept = 0
+        kept = max(0, kept) if not ended else len(data)
         if data[kept:]:
             self.data.appendList([(x,) for x in data[kept:]])
-        if ended:
+        if ended and held:
             self.waiting.clear()
+            held = 0
+        self.place.update((at, event, name, ended, held, 0 if ended else len(data)))
         if out:
             yield pd.DataFrame(out, columns=["stream_id", "event_no", "event", "payload"])
 
