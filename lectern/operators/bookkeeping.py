@@ -68,9 +68,12 @@ def named_members(segments: DataFrame, cast: DataFrame, fallback: str = "Narrato
 
 
 def hash_index(chunks: DataFrame) -> DataFrame:
-    """(hash, path, script_idx): the first place (by path, then place) of each segment in timing manifests (path, place, hash, script_idx); chunks without a hash or a script place are none."""
+    """(hash, path, script_idx): the first place (by path, then place) of each segment in timing manifests (path, place, hash, script_idx); chunks without a hash or a script place are none.
+
+    Of chunks that repeat a path and a place the least script place counts.
+    """
     rows = chunks.where("hash is not null and hash <> '' and script_idx is not null")
-    first = F.min_by(F.struct("path", "script_idx"), F.struct("path", "place")).alias("x")
+    first = F.min(F.struct("path", "place", "script_idx")).alias("x")
     return rows.groupBy("hash").agg(first).select("hash", "x.path", "x.script_idx")
 
 
