@@ -16,3 +16,12 @@ def test_hash_index_of_repeated_places(spark):
         random.Random(seed).shuffle(chunks)
         found = bookkeeping.hash_index(spark.createDataFrame(chunks, "path string, place int, hash string, script_idx long").coalesce(1)).collect()
         assert [tuple(r) for r in found] == [("h", "p", 3)]
+
+
+def test_fill_missing_keeps_line_ends_where_told(spark):
+    """A cut before a line end: by default all white space goes there, else only what the class says."""
+    segments = spark.createDataFrame([(1, 0, "a", "one"), (1, 1, "a", "Ndes.\n To hain "), (1, 2, "a", " \tend")], "chapter_idx long, seg_idx long, speaker string, text string")
+    pieces = spark.createDataFrame([(1, 1, 5, 0, "b", "piece")], "chapter_idx long, before long, offset long, ordinal long, speaker string, text string")
+    found = lambda *blank: [r.text for r in reviews.fill_missing(segments, pieces, *blank).orderBy("seg_idx").collect()]
+    assert found() == ["one Ndes.", "piece", "To hain end"]
+    assert found(r"\p{Zs}") == ["one Ndes.", "piece", "\n To hain \tend"]
