@@ -6,12 +6,18 @@ without the column are one book. Names are compared in lower case; a null name i
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.functions import text as X
 from lectern.functions.constants import ALIAS_STOPWORDS, EMOTIONS, RETAINED_SPEAKERS
-from lectern.functions.folds import fold_list, let, rows_of
+from lectern.functions.folds import let, rows_of
 
 BOOK = "book_id"
 #: Names that every cast has.
@@ -162,68 +168,138 @@ def fold_merges(cast: DataFrame, merges: DataFrame) -> DataFrame:
     return _unbooked(out.select(BOOK, "name", "survivor", aliases.alias("aliases")), cast, merges)
 
 
-_MEMBER = "struct<name:string,description:string,voice:string,audition_line:string,aliases:array<string>>"
-_NONE = "array<string>"
-
-
-def _holder(members: Column, form: Column) -> Column:
-    """The first member of that name, else the first with that alias; null without one."""
-    low = F.lower(form)
-    by_name = F.get(F.filter(members, lambda m: F.lower(m["name"]) == low), F.lit(0))
-    by_alias = F.get(F.filter(members, lambda m: F.exists(m["aliases"], lambda a: F.lower(a) == low)), F.lit(0))
-    return F.coalesce(by_name["name"], by_alias["name"])
-
-
-def _taken_in(member: Column, members: Column, e: Column, overwrite: bool) -> Column:
-    """(member, rejected, outcome) after an incoming row that is this member."""
-    name = member["name"]
-    joined = F.lower(name) != F.lower(e["name"])
-    more = F.concat(e["aliases"], F.when(joined, F.array(e["name"])).otherwise(F.array().cast(_NONE)))
-    old = usable_aliases(member["aliases"], name)
-    asked = F.array_distinct(F.concat(old, usable_aliases(more, name)))
-    free = lambda a: F.coalesce(_holder(members, a), name) == name
-    kept, rejected = F.array_sort(F.filter(asked, free)), F.array_sort(F.filter(asked, lambda a: ~free(a)))
-    empty = lambda x: F.coalesce(x, F.lit("")) == ""
-    prompt = F.when(empty(member["voice"]), member["description"]).otherwise(member["voice"])
-    described = ~empty(e["description"]) & ~e["description"].eqNullSafe(member["description"])
-    voiced = ~empty(e["voice"]) & ~e["voice"].eqNullSafe(prompt)
-    said = ~empty(e["audition_line"]) & ~e["audition_line"].eqNullSafe(member["audition_line"]) & (F.lit(overwrite) | empty(member["audition_line"]))
-    new = F.struct(
-        name.alias("name"),
-        F.when(described, e["description"]).otherwise(member["description"]).alias("description"),
-        F.when(voiced, e["voice"]).otherwise(member["voice"]).alias("voice"),
-        F.when(said, e["audition_line"]).otherwise(member["audition_line"]).alias("audition_line"),
-        kept.alias("aliases"),
-    )
-    changed = (F.size(F.array_except(kept, old)) > 0) | described | voiced | said
-    outcome = F.when(joined, "merged").when(changed, "updated").otherwise("unchanged")
-    return F.struct(new.cast(_MEMBER).alias("member"), rejected.alias("rejected"), outcome.alias("outcome"))
+_FIELDS = ("name", "description", "voice", "audition_line", "aliases")
+#: Rows of a result that leave a task at once.
+_OUT_ROWS = 4096
+
+
+def _known_forms(forms: Column) -> Column:
+    """(low, norm) of each form: in lower case, and as an alias is compared; norm is null where it can be nobody's alias."""
+
+    def one(f: Column) -> Column:
+        norm = F.lower(F.regexp_replace(X.stripped(f), r"[.,;:]+$", ""))
+        return F.struct(f.alias("form"), F.lower(f).alias("low"), F.when((norm != "") & ~norm.isin(*ALIAS_STOPWORDS), norm).alias("norm"))
 
+    return F.transform(forms, one)
 
-def _batches_folded(cast: DataFrame, incoming: DataFrame, overwrite: bool) -> DataFrame:
-    """(book_id, state, made): a book's members after all incoming rows, and what became of each row."""
-    fields = ("name", "description", "voice", "audition_line", "aliases")
-    filled = [F.coalesce("aliases", F.array().cast(_NONE)).alias(c) if c == "aliases" else F.col(c) for c in fields]
-    own = _booked(cast).where("name is not null").groupBy(BOOK).agg(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*filled).alias("m"))))["m"].alias("members"))
-    asked = _booked(incoming).where("name is not null").groupBy(BOOK).agg(F.array_sort(F.collect_list(F.struct("batch", "ordinal", *filled))).alias("events"))
-    both = own.join(asked, BOOK, "full_outer")
 
-    def step(members: Column, e: Column) -> tuple[Column, Column]:
-        forms = F.concat(F.array(e["name"]), e["aliases"])
-        who = F.get(F.filter(F.transform(forms, lambda f: _holder(members, f)), lambda x: x.isNotNull()), F.lit(0))
-        fresh = F.struct(e["name"].alias("name"), e["description"].alias("description"), e["voice"].alias("voice"), e["audition_line"].alias("audition_line"), usable_aliases(e["aliases"], e["name"]).alias("aliases")).cast(_MEMBER)
+def _empty(x: str | None) -> bool:
+    return x is None or x == ""
 
-        def known(w: Column) -> Column:
-            target = F.get(F.filter(members, lambda m: m["name"] == w), F.lit(0))
-            return let(_taken_in(target, members, e, overwrite), lambda t: F.struct(F.transform(members, lambda m: F.when(m["name"] == w, t["member"]).otherwise(m)).alias("members"), w.alias("member"), t["outcome"].alias("outcome"), t["rejected"].alias("rejected")))
 
-        added = F.struct(F.array_append(members, fresh).alias("members"), e["name"].alias("member"), F.lit("added").alias("outcome"), F.array().cast(_NONE).alias("rejected"))
-        after = let(who, lambda w: F.when(w.isNull(), added).otherwise(known(w)))
-        return after["members"], F.struct(e["batch"].alias("batch"), e["ordinal"].alias("ordinal"), e["name"].alias("name"), after["member"].alias("member"), after["outcome"].alias("outcome"), after["rejected"].alias("rejected"))
+class _Cast:
+    """A book's members while rows come to them, found by name and by alias.
+
+    A member that a row came to holds usable aliases only, all of them its own: no later row can take one away, so a row is looked
+    up and joined by its own names and aliases, whatever the cast holds.
+    """
+
+    def __init__(self, overwrite: bool) -> None:
+        self.overwrite = overwrite
+        self.members: list[dict] = []
+        self.by_name: dict[str, int] = {}
+        #: The first member with an alias; all members of a cast as it came, of whom the first may lose it.
+        self.by_alias: dict[str, list[int]] = {}
+
+    def add(self, row: dict, forms: list[dict]) -> None:
+        """A member with these aliases (form, low, norm)."""
+        k = len(self.members)
+        self.members.append({**row, "aliases": forms, "clean": False})
+        self.by_name.setdefault(row["low"], k)
+        for low in {f["low"] for f in forms}:
+            if low is not None:
+                self.by_alias.setdefault(low, []).append(k)
+
+    def holder(self, low: str | None) -> int | None:
+        """The first member of that name, else the first with that alias."""
+        if low is None:
+            return None
+        return self.by_name[low] if low in self.by_name else next(iter(self.by_alias.get(low, ())), None)
+
+    def take(self, e: dict, forms: list[dict]) -> tuple[str, str, list[str]]:
+        """(member, outcome, rejected) of an incoming row with its forms, the name first."""
+        k = next((h for f in forms if (h := self.holder(f["low"])) is not None), None)
+        if k is None:
+            self.add(e, [f for f in forms[1:] if f["norm"] is not None and f["norm"] != e["low"]])
+            return e["name"], "added", []
+        m = self.members[k]
+        joined = m["low"] != e["low"]
+        usable = lambda fs: {f["form"]: f for f in fs if f["norm"] is not None and f["norm"] != m["low"]}
+        free = lambda f: self.holder(f["low"]) in (None, k)
+        rejected: list[str] = []
+        if not m["clean"]:
+            old = usable(m["aliases"])
+            held = {a: f for a, f in old.items() if free(f)}
+            rejected = [a for a in old if a not in held]
+            for low in {f["low"] for f in m["aliases"]} - {f["low"] for f in held.values()} - {None}:
+                self.by_alias[low].remove(k)
+            m["aliases"], m["clean"] = held, True
+        new = {a: f for a, f in usable([*forms[1:], *forms[: 1 if joined else 0]]).items() if a not in m["aliases"]}
+        gained = {a: f for a, f in new.items() if a not in rejected and free(f)}
+        rejected += [a for a in new if a not in gained and a not in rejected]
+        for a, f in gained.items():
+            m["aliases"][a] = f
+            if k not in (own := self.by_alias.setdefault(f["low"], [])):
+                own.append(k)
+        prompt = m["description"] if _empty(m["voice"]) else m["voice"]
+        described = not _empty(e["description"]) and e["description"] != m["description"]
+        voiced = not _empty(e["voice"]) and e["voice"] != prompt
+        said = not _empty(e["audition_line"]) and e["audition_line"] != m["audition_line"] and (self.overwrite or _empty(m["audition_line"]))
+        m |= {c: e[c] for c, changed in (("description", described), ("voice", voiced), ("audition_line", said)) if changed}
+        changed = bool(gained) or described or voiced or said
+        return m["name"], "merged" if joined else "updated" if changed else "unchanged", sorted(rejected)
+
+    def rows(self) -> Iterator[tuple]:
+        """(ordinal, name, description, voice, audition_line, aliases) of all members."""
+        for k, m in enumerate(self.members):
+            aliases = sorted(m["aliases"]) if m["clean"] else [f["form"] for f in m["aliases"]]
+            yield (k, m["name"], m["description"], m["voice"], m["audition_line"], aliases)
+
+
+def _batches_folded(cast: DataFrame, incoming: DataFrame, overwrite: bool, outcomes: bool) -> DataFrame:
+    """A book's members after all incoming rows, or what became of each row: rows of a book come in order, its members are kept."""
+    none = F.array().cast("array<string>")
 
-    made = "struct<batch:bigint,ordinal:bigint,name:string,member:string,outcome:string,rejected:array<string>>"
-    start = F.coalesce("members", F.array()).cast(f"array<{_MEMBER}>")
-    return both.select(BOOK, fold_list(F.coalesce("events", F.array()), start, step, made).alias("x")).select(BOOK, "x.*")
+    def side(df: DataFrame, kind: int) -> DataFrame:
+        batch = F.col("batch").cast("long") if kind else F.lit(0).cast("long")
+        aliases = F.coalesce(F.col("aliases").cast("array<string>"), none)
+        forms = F.concat(F.array("name"), aliases) if kind else aliases
+        texts = (F.col(c).cast("string").alias(c) for c in _FIELDS[:-1])
+        return _booked(df).where("name is not null").select(BOOK, F.lit(kind).alias("kind"), batch.alias("batch"), F.col("ordinal").cast("long").alias("ordinal"), *texts, aliases.alias("aliases"), F.lower("name").alias("low"), _known_forms(forms).alias("forms"))
+
+    rows = side(cast, 0).unionByName(side(incoming, 1))
+    book = rows.schema[BOOK]
+    made = "batch long, ordinal long, name string, member string, outcome string, rejected array<string>" if outcomes else "ordinal long, name string, description string, voice string, audition_line string, aliases array<string>"
+    schema = T.StructType([T.StructField(BOOK, book.dataType), *T.StructType.fromDDL(made).fields])
+
+    def folded(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        at, state = None, None
+        for batch in batches:
+            for e in batch.to_pylist():
+                # rows of no book: members and incoming rows have nothing to do with each other
+                place = (e[BOOK], e["kind"] if e[BOOK] is None else None)
+                if state is None or place != at:
+                    if state is not None and not outcomes:
+                        yield from ((at[0], *r) for r in state.rows())
+                    at, state = place, _Cast(overwrite)
+                forms = e.pop("forms")
+                if e["kind"] == 0:
+                    state.add(e, forms)
+                    continue
+                member, outcome, rejected = state.take(e, forms)
+                if outcomes:
+                    yield (e[BOOK], e["batch"], e["ordinal"], e["name"], member, outcome, rejected)
+        if state is not None and not outcomes:
+            yield from ((at[0], *r) for r in state.rows())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(schema)
+        found = folded(batches)
+        while held := list(islice(found, _OUT_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), kinds)], schema=kinds)
+
+    in_order = rows.repartition(BOOK).sortWithinPartitions(BOOK, "kind", "batch", "ordinal", *_FIELDS)
+    return in_order.mapInArrow(run, schema)
 
 
 def upsert_batches(cast: DataFrame, incoming: DataFrame, overwrite_lines: bool = False) -> DataFrame:
@@ -231,17 +307,15 @@ def upsert_batches(cast: DataFrame, incoming: DataFrame, overwrite_lines: bool =
 
     A row is the member whose name it has, else the one whose alias its name is, else the one that one of its aliases names; else it is
     new. New text replaces old, a line only fills a gap unless overwrite_lines; aliases join but for those that another member has,
-    among them members and aliases of earlier batches. A member keeps its place, new ones follow. A book's rows are folded in
-    one row; rows without a name are left out. Members of a book have different names.
+    among them members and aliases of earlier batches. A member keeps its place, new ones follow. A book's rows are folded one by
+    one as they come sorted, its members are what is kept; rows without a name are left out. Members of a book have different names.
     """
-    found = rows_of(_batches_folded(cast, incoming, overwrite_lines), [BOOK], F.col("state"), "ordinal", "m")
-    return _unbooked(found.select(BOOK, F.col("ordinal").cast("long"), "m.*"), cast, incoming)
+    return _unbooked(_batches_folded(cast, incoming, overwrite_lines, False), cast, incoming)
 
 
 def batch_outcomes(cast: DataFrame, incoming: DataFrame, overwrite_lines: bool = False) -> DataFrame:
     """(batch, ordinal, name, member, outcome, rejected) of every incoming row of `upsert_batches`: added, updated, merged or unchanged, and the aliases it did not get."""
-    found = rows_of(_batches_folded(cast, incoming, overwrite_lines), [BOOK], F.col("made"), "k", "x")
-    return _unbooked(found.select(BOOK, "x.*"), cast, incoming)
+    return _unbooked(_batches_folded(cast, incoming, overwrite_lines, True), cast, incoming)
 
 
 def emote_tasks(cast: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
+import time
 
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from lectern.operators import bookkeeping, reviews
+from lectern.operators import bookkeeping, cast, reviews
 
 
 def test_hash_index_of_repeated_places(spark):
@@ -25,3 +26,16 @@ def test_fill_missing_keeps_line_ends_where_told(spark):
     found = lambda *blank: [r.text for r in reviews.fill_missing(segments, pieces, *blank).orderBy("seg_idx").collect()]
     assert found() == ["one Ndes.", "piece", "To hain end"]
     assert found(r"\p{Zs}") == ["one Ndes.", "piece", "\n To hain \tend"]
+
+
+FIELDS = "name string, description string, voice string, audition_line string, aliases array<string>"
+
+
+def test_batch_outcomes_of_a_large_book(spark):
+    """One member that 20,000 rows join and 20,000 strangers: the work follows the rows, not rows times members."""
+    k = F.col("id")
+    asked = spark.range(40_000).select(F.lit(0).cast("long").alias("batch"), k.alias("ordinal"), F.concat(F.lit("n"), k.cast("string")).alias("name"), *(F.lit("d").alias(c) for c in ("description", "voice", "audition_line")), F.when(k % 2 == 0, F.array(F.lit("boss"))).alias("aliases"))
+    start = time.monotonic()
+    own = spark.createDataFrame([(0, "Boss", None, None, None, None)], f"ordinal long, {FIELDS}")
+    found = {(x.outcome, x["count"]) for x in cast.batch_outcomes(own, asked).groupBy("outcome").count().collect()}
+    assert found == {("merged", 20_000), ("added", 20_000)} and time.monotonic() - start < 120
