@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
 
+from lectern.functions.constants import ALIAS_STOPWORDS
 from lectern.operators import bookkeeping, cast, reviews
 
 
@@ -31,6 +33,64 @@ def test_fill_missing_keeps_line_ends_where_told(spark):
 FIELDS = "name string, description string, voice string, audition_line string, aliases array<string>"
 
 
+def _usable(aliases, name):
+    norm = lambda a: re.sub("[.,;:]+$", "", a.strip()).lower()
+    return [a for a in aliases if a is not None and norm(a) not in ("", name.lower()) and norm(a) not in ALIAS_STOPWORDS]
+
+
+def _merged(members, events, overwrite):
+    """The definition of upsert_batches, every row against every member."""
+    members, told = [dict(m, aliases=list(m["aliases"] or [])) for m in members], []
+
+    def holder(form):
+        low = None if form is None else form.lower()
+        by_name = [m for m in members if low is not None and m["name"].lower() == low]
+        return next(iter(by_name or [m for m in members if low in [a.lower() for a in m["aliases"] if a is not None]]), None)
+
+    for e in events:
+        aliases = e["aliases"] or []
+        m = next((h for f in [e["name"], *aliases] if (h := holder(f))), None)
+        if m is None:
+            members.append(dict(e, aliases=_usable(aliases, e["name"])))
+            told.append((e["ordinal"], e["name"], "added", []))
+            continue
+        joined = m["name"].lower() != e["name"].lower()
+        old = _usable(m["aliases"], m["name"])
+        asked = dict.fromkeys(old + _usable(aliases + [e["name"]] * joined, m["name"]))
+        kept = sorted(a for a in asked if holder(a) in (None, m))
+        prompt = m["voice"] or m["description"]
+        new = {"description": e["description"] or m["description"], "audition_line": m["audition_line"]}
+        new["voice"] = e["voice"] if e["voice"] and e["voice"] != prompt else m["voice"]
+        if e["audition_line"] and (overwrite or not m["audition_line"]):
+            new["audition_line"] = e["audition_line"]
+        changed = set(kept) - set(old) or any(new[c] != m[c] for c in new)
+        told.append((e["ordinal"], m["name"], "merged" if joined else "updated" if changed else "unchanged", sorted(set(asked) - set(kept))))
+        m.update(new, aliases=kept)
+    return members, told
+
+
+def test_cast_batches_by_brute_force(spark):
+    """Names, aliases that several claim, pronouns, odd letters and nulls, in one book and in two, told twice."""
+    r = random.Random(5)
+    words = ["Ann", "ann.", "ANN", "Bob", "the She", "she", "They.", "Old Tom", "old tom", "É", "é", "x;", "X", "", "..."]
+
+    def row(k, name):
+        text = lambda: r.choice([None, "", "d1", "d2"])
+        return dict(ordinal=k, name=name, description=text(), voice=text(), audition_line=text(), aliases=r.choice([None, r.choices([*words, None], k=r.randint(0, 4))]))
+
+    for overwrite in (False, True):
+        own = [dict(row(k, n), book_id=b) for b in (1, 2) for k, n in enumerate(["Ann", "Tom", "é"][: b + 1])]
+        asked = [dict(row(k, r.choice([w for w in words if w] + [f"new {k}"])), book_id=1 + k % 2, batch=k // 20) for k in range(60)]
+        left = spark.createDataFrame(own, f"book_id long, ordinal long, {FIELDS}")
+        right = spark.createDataFrame(r.sample(asked, len(asked)), f"book_id long, batch long, ordinal long, {FIELDS}")
+        found = cast.upsert_batches(left, right, overwrite).orderBy("book_id", "ordinal").collect()
+        outcomes = cast.batch_outcomes(left, right, overwrite).orderBy("book_id", "ordinal").collect()
+        for b in (1, 2):
+            members, told = _merged([m for m in own if m["book_id"] == b], [e for e in asked if e["book_id"] == b], overwrite)
+            assert [(x.name, x.description, x.voice, x.audition_line, x.aliases) for x in found if x.book_id == b] == [(m["name"], m["description"], m["voice"], m["audition_line"], m["aliases"]) for m in members]
+            assert [(x.ordinal, x.member, x.outcome, x.rejected) for x in outcomes if x.book_id == b] == told
+
+
 def test_batch_outcomes_of_a_large_book(spark):
     """One member that 20,000 rows join and 20,000 strangers: the work follows the rows, not rows times members."""
     k = F.col("id")
