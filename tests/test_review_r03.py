@@ -9,7 +9,7 @@ import time
 from pyspark.sql import functions as F
 
 from lectern.functions.constants import ALIAS_STOPWORDS
-from lectern.operators import bookkeeping, cast, reviews
+from lectern.operators import bookkeeping, cast, overlay, reviews
 
 
 def test_hash_index_of_repeated_places(spark):
@@ -99,3 +99,15 @@ def test_batch_outcomes_of_a_large_book(spark):
     own = spark.createDataFrame([(0, "Boss", None, None, None, None)], f"ordinal long, {FIELDS}")
     found = {(x.outcome, x["count"]) for x in cast.batch_outcomes(own, asked).groupBy("outcome").count().collect()}
     assert found == {("merged", 20_000), ("added", 20_000)} and time.monotonic() - start < 120
+
+
+def test_chunks_of_a_text_of_few_words(spark):
+    """A chapter that says the same few words again and again, in one paragraph: every chunk has its place, in their order, in a short time."""
+    r = random.Random(2)
+    words = [r.choice(["la", "le", "lo"]) for _ in range(12_000)]
+    chunks = [" ".join(words[i : i + 40]) for i in range(0, 12_000, 40)]
+    start = time.monotonic()
+    rows = [(1, f"<html><body><p>{' '.join(words)}</p></body></html>", chunks), (2, "<p>broken", ["a"]), (None, "<p>a</p>", ["a"])]
+    found = overlay.placements(spark.createDataFrame(rows, "chapter_idx long, xhtml string, chunks array<string>")).collect()
+    assert sorted(x.chunk_idx for x in found if x.chapter_idx == 1) == list(range(300)) and all(x.fragment and (x.from_share, x.to_share) == (0.0, 1.0) for x in found if x.chapter_idx == 1)
+    assert [(x.chapter_idx, x.problem is None) for x in found if x.chapter_idx != 1] == [(2, False)] and time.monotonic() - start < 60
