@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.folds import let
 from lectern.operators import artifacts, locate
 from lectern.plans import timing_queries
 from lectern.plans.common import table
@@ -52,7 +53,8 @@ def review_spans(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents")
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
     changed = F.transform(lines, lambda x, k: F.when(k % 7 == 2, F.concat(F.translate(x, _LOW, _LOW.upper()), F.lit("!"))).when(k % 5 == 3, F.replace(x, F.lit(" "), F.lit("  "))).otherwise(x))
-    batches = F.transform(F.filter(F.sequence(F.lit(0), F.size(changed) - 1), lambda k: k % 3 == 0), lambda k: F.slice(changed, k + 1, F.lit(3)))
+    # the lines are made once, not for each batch
+    batches = let(changed, lambda c: F.transform(F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda k: k % 3 == 0), lambda k: F.slice(c, k + 1, F.lit(3))))
     return locate.review_spans(t.where(F.size(lines) > 0).select(F.col("doc_id").alias("chapter_idx"), "text", batches.alias("batches")))
 
 

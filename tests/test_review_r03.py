@@ -9,7 +9,7 @@ import time
 from pyspark.sql import functions as F
 
 from lectern.functions.constants import ALIAS_STOPWORDS
-from lectern.operators import bookkeeping, cast, overlay, reviews
+from lectern.operators import bookkeeping, cast, locate, overlay, reviews
 
 
 def test_hash_index_of_repeated_places(spark):
@@ -111,3 +111,11 @@ def test_chunks_of_a_text_of_few_words(spark):
     found = overlay.placements(spark.createDataFrame(rows, "chapter_idx long, xhtml string, chunks array<string>")).collect()
     assert sorted(x.chunk_idx for x in found if x.chapter_idx == 1) == list(range(300)) and all(x.fragment and (x.from_share, x.to_share) == (0.0, 1.0) for x in found if x.chapter_idx == 1)
     assert [(x.chapter_idx, x.problem is None) for x in found if x.chapter_idx != 1] == [(2, False)] and time.monotonic() - start < 60
+
+
+def test_review_spans_write_nothing_on_the_way(spark):
+    """Batches in other letters and other white space, found in one pass: no exchange, no table on the way."""
+    rows = [(1, "One two  three four.\nFive six seven eight.", [["ONE TWO THREE FOUR!"], ["Five  six seven eight."], ["nothing like it"]])]
+    df = locate.review_spans(spark.createDataFrame(rows, "chapter_idx long, text string, batches array<array<string>>"))
+    assert [tuple(x) for x in df.orderBy("batch").collect()] == [(1, 0, 0, 19), (1, 1, 20, 42), (1, 2, 20, 42)]
+    assert "Exchange" not in df._jdf.queryExecution().toString() and "parquet" not in df._jdf.queryExecution().toString()
