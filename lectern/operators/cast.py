@@ -263,9 +263,8 @@ def _batches_folded(cast: DataFrame, incoming: DataFrame, overwrite: bool, outco
     def side(df: DataFrame, kind: int) -> DataFrame:
         batch = F.col("batch").cast("long") if kind else F.lit(0).cast("long")
         aliases = F.coalesce(F.col("aliases").cast("array<string>"), none)
-        forms = F.concat(F.array("name"), aliases) if kind else aliases
         texts = (F.col(c).cast("string").alias(c) for c in _FIELDS[:-1])
-        return _booked(df).where("name is not null").select(BOOK, F.lit(kind).alias("kind"), batch.alias("batch"), F.col("ordinal").cast("long").alias("ordinal"), *texts, aliases.alias("aliases"), F.lower("name").alias("low"), _known_forms(forms).alias("forms"))
+        return _booked(df).where("name is not null").select(BOOK, F.lit(kind).alias("kind"), batch.alias("batch"), F.col("ordinal").cast("long").alias("ordinal"), *texts, aliases.alias("aliases"))
 
     rows = side(cast, 0).unionByName(side(incoming, 1))
     book = rows.schema[BOOK]
@@ -298,8 +297,12 @@ def _batches_folded(cast: DataFrame, incoming: DataFrame, overwrite: bool, outco
         while held := list(islice(found, _OUT_ROWS)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), kinds)], schema=kinds)
 
-    in_order = rows.repartition(BOOK).sortWithinPartitions(BOOK, "kind", "batch", "ordinal", *_FIELDS)
-    return in_order.mapInArrow(run, schema)
+    # with a number, or books of few bytes and many rows would be put together into one task
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order = rows.repartition(parts, BOOK).sortWithinPartitions(BOOK, "kind", "batch", "ordinal", *_FIELDS)
+    # forms are made where the books are: before, a small file would make all of them in one task
+    forms = F.when(F.col("kind") == 1, F.concat(F.array("name"), "aliases")).otherwise(F.col("aliases"))
+    return in_order.withColumns({"low": F.lower("name"), "forms": _known_forms(forms)}).drop("aliases").mapInArrow(run, schema)
 
 
 def upsert_batches(cast: DataFrame, incoming: DataFrame, overwrite_lines: bool = False) -> DataFrame:

@@ -103,6 +103,15 @@ def test_batch_outcomes_of_a_large_book(spark):
     assert found == {("merged", 20_000), ("added", 20_000)} and time.monotonic() - start < 120
 
 
+def test_books_of_few_bytes_are_folded_apart(spark):
+    """Casts of many books are folded in several tasks, though all their rows together are few bytes."""
+    asked = spark.range(400).select((F.col("id") % 40).alias("book_id"), F.lit(0).cast("long").alias("batch"), F.col("id").alias("ordinal"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), *(F.lit("d").alias(c) for c in ("description", "voice", "audition_line")), F.array(F.lit("boss")).alias("aliases"))
+    own = spark.createDataFrame([(b, 0, "Boss", None, None, None, None) for b in range(40)], f"book_id long, ordinal long, {FIELDS}")
+    for found in (cast.upsert_batches(own, asked), cast.batch_outcomes(own, asked)):
+        told = found.withColumn("p", F.spark_partition_id()).select("book_id", "p").distinct().collect()
+        assert len(told) == 40 and len({x.p for x in told}) > 1
+
+
 def test_chunks_of_a_text_of_few_words(spark):
     """A chapter that says the same few words again and again, in one paragraph: every chunk has its place, in their order, in a short time."""
     r = random.Random(2)
