@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions.constants import ALIAS_STOPWORDS
 from lectern.operators import bookkeeping, cast, locate, overlay, reviews
+from lectern.plans import registry
+from lectern.sources import media
 from lectern.streaming import stateful
 from test_delivery import fed
 
@@ -161,3 +165,31 @@ def test_speech_events_by_batches(spark, tmp_path):
     found = stateful.run_speech_events(stream, str(tmp_path / "run"), twice).collect()
     assert sorted((x.stream_id, x.event_no, x.event, x.payload) for x in found) == sorted(e for s in expected.values() for e in s)
     assert len(seen) >= 4 and {x.batch for x in found} <= set(seen)
+
+
+def test_delivered_files_are_not_listed(spark, sf):
+    """The queries on files open what a table names: no folder is listed by the driver, no commit gathers names."""
+    for name in ("book_files", "sound_files", "cover_files"):
+        plan = registry.queries()[name](spark, sf)._jdf.queryExecution().toString()
+        assert "binaryFile" not in plan and media.Media.name() not in plan
+
+
+def test_files_by_tables_of_names(spark, tmp_path):
+    """Written, moved and read by tasks; names that are given twice, taken or bad are errors and leave nothing; a row may be written again on demand."""
+    out = str(tmp_path / "out")
+    there = lambda: sorted(os.path.relpath(os.path.join(d, f), out) for d, _, fs in os.walk(out) for f in fs if not f.endswith(".crc"))
+    rows = spark.range(0, 600, 1, 4).select(F.format_string("%d/a b%%%d", F.col("id") % 3, "id").alias("name"), F.when(F.col("id") % 5 != 0, F.encode(F.repeat(F.lit("x"), F.col("id").cast("int")), "utf-8")).alias("data"))
+    files = media.write_files(rows, "file://" + out, suffix=".x")
+    assert there() == sorted(f"{k % 3}/a b%{k}.x" for k in range(600)) and files.agg(F.sum("size")).first()[0] == sum(k for k in range(600) if k % 5)
+    found = {r["name"]: len(r.data) for r in media.read_files(files, "file://" + out, suffix=".x").collect()}
+    assert found == {f"{k % 3}/a b%{k}": k if k % 5 else 0 for k in range(600)}
+    twice = rows.unionByName(rows).withColumn("name", F.concat(F.lit("new/"), "name"))
+    for bad in (rows.limit(2), twice, rows.withColumn("name", F.lit("../up")), rows.withColumn("data", F.raise_error(F.lit("never")).cast("binary"))):
+        with pytest.raises(Exception, match="files of one name|no name of a file|never"):
+            media.write_files(bad, out, suffix=".x")
+        assert len(there()) == 600 and not os.path.exists(f"{out}/{media.STAGING}")
+    again = rows.where("name = '1/a b%7'").withColumn("data", F.encode(F.lit("new"), "utf-8"))
+    assert [r.data for r in media.read_files(media.write_files(again, out, suffix=".x", overwrite=True), out, suffix=".x").collect()] == [b"new"]
+    assert len(there()) == 600
+    none = media.write_files(rows.where("false"), str(tmp_path / "none"))
+    assert none.count() == 0 and media.read_files(none, str(tmp_path / "none")).count() == 0
